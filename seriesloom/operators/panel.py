@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.constants import SEED
 from seriesloom.functions import periods
+from seriesloom.operators.ranks import exact_quantiles
 
 KEY = ["id", "date"]
 
@@ -54,11 +55,12 @@ def build_series(
     how = {
         "sum": F.sum(exact).cast("double"),
         "mean": (F.sum(exact).cast("double") / F.count(x)),
-        "median": F.percentile(x.cast("double"), 0.5),
         "count": F.count(x).cast("double"),
         "min": F.min(x).cast("double"),
         "max": F.max(x).cast("double"),
     }
+    if agg == "median":
+        return exact_quantiles(raw, KEY, "value", {"value": 0.5})
     if agg not in how:
         raise ValueError(f"unknown aggregation {agg!r}")
     return raw.groupBy("id", "date").agg(how[agg].alias("value"))

@@ -70,7 +70,7 @@ def main():
             rows = [tuple(r[c] for c in sorted(df.columns)) for r in df.collect()]
         except Exception as e:  # noqa: BLE001
             bad.append(name)
-            print(f"FAIL  {name}: spark: {type(e).__name__} {str(e)[:1500]}", flush=True)
+            print(f"FAIL  {name}: spark: {type(e).__name__} {str(e)[:500]}", flush=True)
             continue
         took = time.time() - started
         if name not in ORACLES:
