@@ -1 +1,148 @@
+"""Forecast models on whole panels."""
 
+from pyspark.sql import functions as F
+
+from seriesloom.catalog.registry import ORDERS_M, SHIP_M, orders_monthly, query, ship_monthly, with_sql
+from seriesloom.constants import default_params
+from seriesloom.operators import frames as M
+from seriesloom.operators import reshape as R
+from seriesloom.operators.features import append_future
+from seriesloom.operators.models import arima, simple, smoothing
+from seriesloom.operators.quality import impute
+
+CTX = M.Context(12)
+
+
+def frame_of(panel, n_assess=12, n_future=12, grain="month"):
+    return M.model_frame(append_future(panel, n_future, grain), M.standard_runs(n_assess, n_future))
+
+
+def run_sql(base, n_assess, n_future):
+    """Test and future run of a monthly panel in SQL."""
+    return [base, f"""
+f AS (SELECT id, date, value, false AS fut FROM p UNION ALL SELECT id, unnest(generate_series(max(date)
+  + INTERVAL 1 MONTH, max(date) + INTERVAL {n_future} MONTH, INTERVAL 1 MONTH)) AS date, NULL, true FROM p
+  GROUP BY id)""", """
+tt AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY date) AS t,
+  count(*) FILTER (NOT fut) OVER (PARTITION BY id) AS n FROM f)""", f"""
+fr AS (SELECT id, run, date, t, n - cut AS nf, t > n - cut AS ahead, greatest(t - (n - cut), 0) AS h,
+  CASE WHEN t <= n - cut THEN value END AS y, value AS actual
+  FROM tt, (VALUES ('test', {n_assess}, {n_assess}), ('future', 0, {n_future})) r(run, cut, len)
+  WHERE t <= n - cut + len)"""]
+
+
+def out(df, digits=4):
+    return df.select("id", "run", "date", "ahead", F.round("prediction", digits).alias("prediction"))
+
+
+@query("model_naive", "O-104", with_sql(*run_sql(SHIP_M, 6, 6), """
+SELECT id, run, date, ahead, round(last_value(y IGNORE NULLS) OVER (PARTITION BY id, run ORDER BY date
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 4) AS prediction FROM fr"""))
+def model_naive(spark, sf):
+    return out(simple.naive(frame_of(ship_monthly(spark, sf), 6, 6), CTX, {}))
+
+
+@query("model_seasonal_naive", "O-105", with_sql(*run_sql(SHIP_M, 6, 6), """
+w AS (SELECT *, last_value(y IGNORE NULLS) OVER (PARTITION BY id, run, t % 12 ORDER BY date
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS same, last_value(y IGNORE NULLS) OVER (PARTITION BY id, run
+  ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM fr)""", """
+SELECT id, run, date, ahead, round(CASE WHEN ahead THEN coalesce(same, prev) ELSE same END, 4) AS prediction
+FROM w"""))
+def model_seasonal_naive(spark, sf):
+    return out(simple.seasonal_naive(frame_of(ship_monthly(spark, sf), 6, 6), CTX, {}))
+
+
+@query("model_rolling_average", "O-106", with_sql(*run_sql(SHIP_M, 6, 6), """
+w AS (SELECT *, avg(y) OVER (PARTITION BY id, run ORDER BY date ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS tr,
+  avg(CASE WHEN t > nf - 12 THEN y END) OVER (PARTITION BY id, run) AS held FROM fr)""", """
+SELECT id, run, date, ahead, round(CASE WHEN ahead THEN held ELSE tr END, 6) AS prediction FROM w"""))
+def model_rolling_average(spark, sf):
+    return out(simple.rolling_average(
+        frame_of(ship_monthly(spark, sf), 6, 6), CTX, default_params("Rolling Average")), 6)
+
+
+@query("model_exponential_smoothing", "O-107", with_sql(*run_sql(SHIP_M, 6, 6), """
+l AS (SELECT id, run, list_reduce(list(y ORDER BY date) FILTER (y IS NOT NULL),
+  lambda a, x: a * 0.8::DOUBLE + x * 0.2::DOUBLE) AS level FROM fr GROUP BY id, run HAVING count(y) >= 2)""", """
+SELECT fr.id, fr.run, date, ahead, round(level, 6) AS prediction FROM fr JOIN l ON fr.id = l.id AND fr.run = l.run
+WHERE ahead"""))
+def model_exponential_smoothing(spark, sf):
+    params = default_params("ETS", {"auto_ets": False, "smooth_level": 0.2})
+    return out(smoothing.ets(frame_of(ship_monthly(spark, sf), 6, 6), CTX, params), 6).where(
+        "ahead AND prediction IS NOT NULL")
+
+
+@query("model_holt_linear", "O-107", with_sql(*run_sql(ORDERS_M, 12, 12), """
+l AS (SELECT id, run, list(y ORDER BY date) FILTER (y IS NOT NULL) AS ys FROM fr GROUP BY id, run)""", """
+s AS (SELECT id, run, list_reduce(list_transform(ys, lambda y: [y, 0.0::DOUBLE, 0.0::DOUBLE]), lambda a, x: [
+  0.3::DOUBLE * x[1] + 0.7::DOUBLE * (a[1] + a[2]),
+  0.1::DOUBLE * (0.3::DOUBLE * x[1] + 0.7::DOUBLE * (a[1] + a[2]) - a[1]) + 0.9::DOUBLE * a[2], 0.0::DOUBLE],
+  [ys[1], (ys[12] - ys[1]) / 11, 0.0::DOUBLE]) AS st FROM l)""", """
+SELECT fr.id, fr.run, date, ahead, round(st[1] + h * st[2], 1) AS prediction
+FROM fr JOIN s ON fr.id = s.id AND fr.run = s.run WHERE ahead"""))
+def model_holt_linear(spark, sf):
+    params = default_params("ETS", {
+        "auto_ets": False, "trend": "additive", "smooth_level": 0.3, "smooth_trend": 0.1})
+    return out(smoothing.ets(frame_of(orders_monthly(spark, sf)), CTX, params), 1).where("ahead")
+
+
+@query("model_ets_auto", "O-107")
+def model_ets_auto(spark, sf):
+    return out(smoothing.ets(frame_of(ship_monthly(spark, sf)), CTX, default_params("ETS")))
+
+
+@query("model_ets_multiplicative", "O-107")
+def model_ets_multiplicative(spark, sf):
+    params = default_params("ETS", {
+        "auto_ets": False, "error": "multiplicative", "trend": "multiplicative", "season": "multiplicative",
+        "damping": "damped", "smooth_level": 0.2, "smooth_trend": 0.05, "smooth_season": 0.1})
+    return out(smoothing.ets(frame_of(orders_monthly(spark, sf)), CTX, params))
+
+
+@query("model_theta", "O-108")
+def model_theta(spark, sf):
+    return out(smoothing.theta(frame_of(ship_monthly(spark, sf)), CTX, {}))
+
+
+@query("model_arima_auto", "O-109")
+def model_arima_auto(spark, sf):
+    return out(arima.sarima(frame_of(orders_monthly(spark, sf)), CTX, default_params("SARIMA")))
+
+
+@query("model_arima_fixed", "O-109", with_sql(*run_sql(SHIP_M, 6, 6), """
+d AS (SELECT *, y - lag(y) OVER (PARTITION BY id, run ORDER BY date) AS z FROM fr)""", """
+x AS (SELECT *, lag(z) OVER (PARTITION BY id, run ORDER BY date) AS z1 FROM d)""", """
+r AS (SELECT id, run, regr_slope(z, z1) AS b, regr_intercept(z, z1) AS a, count(z1) AS k, var_pop(z1) AS v
+  FROM x WHERE NOT ahead GROUP BY id, run)""", """
+la AS (SELECT id, run, y, z FROM x WHERE NOT ahead QUALIFY row_number() OVER (PARTITION BY id, run
+  ORDER BY date DESC) = 1)""", """
+SELECT x.id, x.run, x.date, true AS ahead, round(la.y + a + b * la.z, 4) AS prediction
+FROM x JOIN r ON x.id = r.id AND x.run = r.run JOIN la ON la.id = x.id AND la.run = x.run
+WHERE x.h = 1 AND k >= 12 AND v > 0"""))
+def model_arima_fixed(spark, sf):
+    params = default_params("SARIMA", {"auto_arima": False, "non_seasonal_ar": 1, "non_seasonal_differences": 1})
+    preds = arima.sarima(frame_of(ship_monthly(spark, sf), 6, 6), M.Context(1), params)
+    long_enough = preds.where("NOT ahead").groupBy("id", "run").agg(F.count(F.lit(1)).alias("k")).where("k >= 14")
+    return out(preds.where("h = 1").join(long_enough.select("id", "run"), ["id", "run"], "left_semi"))
+
+
+@query("model_decompose_ets", "O-111")
+def model_decompose_ets(spark, sf):
+    return out(smoothing.decompose_then(frame_of(ship_monthly(spark, sf)), CTX, default_params("STLM")))
+
+
+@query("model_decompose_arima", "O-111")
+def model_decompose_arima(spark, sf):
+    params = default_params("STLM", {"trend_model": "ARIMA"})
+    return out(smoothing.decompose_then(frame_of(orders_monthly(spark, sf)), CTX, params))
+
+
+@query("parameters_ets", "O-127")
+def parameters_ets(spark, sf):
+    return smoothing.ets_parameters(frame_of(orders_monthly(spark, sf)), CTX, default_params("ETS"))
+
+
+@query("parameters_arima", "O-127")
+def parameters_arima(spark, sf):
+    params = arima.sarima_parameters(frame_of(orders_monthly(spark, sf)), CTX, default_params("SARIMA"))
+    return params.select("id", "run", "d", "seasonal_d", F.explode("coefficients").alias("term", "value"), "aicc")

@@ -48,21 +48,28 @@ def signature(d: Column) -> dict[str, Column]:
 LABELS = {"month_lbl": MONTHS, "wday_lbl": WEEKDAYS}
 
 
-def easter_sunday(year: Column) -> Column:
-    """Gregorian Easter by the anonymous (Meeus) rule, in integer arithmetic."""
+def easter_steps(year: Column) -> list[tuple[str, Column]]:
+    """Gregorian Easter by the anonymous (Meeus) rule as a list of (name, column) to be added in turn.
+
+    Each step refers to the names before it, so Spark evaluates the shared parts once.
+    """
     div = lambda a, b: F.floor(a / b).cast("int")
-    golden = F.pmod(year, F.lit(19))
-    century, rest = div(year, 100), F.pmod(year, F.lit(100))
+    golden, century, rest = (F.col(f"_{n}") for n in ("golden", "century", "rest"))
+    moon, weekday, days = (F.col(f"_{n}") for n in ("moon", "weekday", "days"))
     skipped = div(century - div(century + 8, 25) + 1, 3)
-    moon = F.pmod(19 * golden + century - div(century, 4) - skipped + 15, F.lit(30))
-    weekday = F.pmod(
-        32 + 2 * F.pmod(century, F.lit(4)) + 2 * div(rest, 4) - moon - F.pmod(rest, F.lit(4)), F.lit(7))
-    shift = div(golden + 11 * moon + 22 * weekday, 451)
-    days = moon + weekday - 7 * shift + 114
-    return F.make_date(year, div(days, 31), F.pmod(days, F.lit(31)) + 1)
+    return [
+        ("_golden", F.pmod(year, F.lit(19))),
+        ("_century", div(year, 100)),
+        ("_rest", F.pmod(year, F.lit(100))),
+        ("_moon", F.pmod(19 * golden + century - div(century, 4) - skipped + 15, F.lit(30))),
+        ("_weekday", F.pmod(32 + 2 * F.pmod(century, F.lit(4)) + 2 * div(rest, 4) - moon - F.pmod(rest, F.lit(4)),
+                            F.lit(7))),
+        ("_days", moon + weekday - 7 * div(golden + 11 * moon + 22 * weekday, 451) + 114),
+        ("_easter", F.make_date(year, div(days, 31), F.pmod(days, F.lit(31)) + 1)),
+    ]
 
 
-def holidays(d: Column) -> dict[str, Column]:
+def holidays(d: Column, easter: Column) -> dict[str, Column]:
     """0/1 indicators of United States holidays on the day of a time stamp."""
     month, day, wday = F.month(d), F.dayofmonth(d), F.dayofweek(d)
     date = d.cast("date")
@@ -70,7 +77,6 @@ def holidays(d: Column) -> dict[str, Column]:
     def nth(m: int, weekday: int, n: int) -> Column:
         return (month == m) & (wday == weekday) & day.between(7 * n - 6, 7 * n)
 
-    easter = easter_sunday(F.year(d))
     flags = {
         "new_years_day": (month == 1) & (day == 1),
         "martin_luther_king_day": nth(1, 2, 3),
@@ -86,8 +92,4 @@ def holidays(d: Column) -> dict[str, Column]:
         "christmas_day": (month == 12) & (day == 25),
     }
     out = {f"holiday_{k}": v.cast("int") for k, v in flags.items()}
-    any_flag = None
-    for col in flags.values():
-        any_flag = col if any_flag is None else any_flag | col
-    out["holiday"] = any_flag.cast("int")
     return out

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.functions import periods
-from seriesloom.functions.calendar import LABELS, holidays, signature
-from seriesloom.operators.panel import by_date, whole
+from seriesloom.functions.calendar import LABELS, easter_steps, holidays, signature
+from seriesloom.operators.panel import by_date, spread, whole
 from seriesloom.operators.reshape import constant_columns, feature_columns
 
 
@@ -33,6 +33,7 @@ def append_future(panel: DataFrame, n_future: int, grain: str) -> DataFrame:
 
     The partitioning by id is kept, so later windows by id need no further exchange.
     """
+    panel = spread(panel)
     last = F.lead("date").over(by_date()).isNull()
     own = F.array(F.struct(F.col("date"), F.lit(False).alias("is_future")))
     ahead = F.transform(
@@ -52,7 +53,13 @@ def add_calendar(df: DataFrame) -> DataFrame:
 
 
 def add_holidays(df: DataFrame) -> DataFrame:
-    return df.withColumns(holidays(F.col("date")))
+    """Holiday indicators and ``holiday``, which is 1 on any of them."""
+    steps = easter_steps(F.year("date"))
+    for name, col in steps:
+        df = df.withColumn(name, col)
+    flags = holidays(F.col("date"), F.col("_easter"))
+    df = df.withColumns(flags).withColumn("holiday", F.greatest(*flags))
+    return df.drop(*[name for name, _ in steps])
 
 
 def fourier_columns(t: Column, season_lengths: list[float], k: int) -> dict[str, Column]:

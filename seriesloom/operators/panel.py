@@ -29,6 +29,16 @@ def whole(*keys: str) -> Window:
     return Window.partitionBy(*(keys or ("id",)))
 
 
+def spread(panel: DataFrame) -> DataFrame:
+    """Hash the panel by id into spark.sql.shuffle.partitions parts, ahead of work that is heavy per row.
+
+    It takes the place of the exchange that the windows by id need anyway. Adaptive execution sizes partitions by
+    bytes and would run a small but CPU-bound panel in one task; a given number of partitions is left alone.
+    """
+    parts = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return panel.repartition(max(parts, panel.sparkSession.sparkContext.defaultParallelism), "id")
+
+
 def build_series(
     df: DataFrame,
     id_col: str | Column,
