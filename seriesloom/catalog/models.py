@@ -2,13 +2,14 @@
 
 from pyspark.sql import functions as F
 
-from seriesloom.catalog.registry import ORDERS_M, SHIP_M, orders_monthly, query, ship_monthly, with_sql
+from seriesloom.catalog.registry import ORDERS_M, SHIP_M, orders_monthly, query, ship_monthly, table, with_sql
 from seriesloom.constants import default_params
 from seriesloom.operators import frames as M
-from seriesloom.operators import reshape as R
+from seriesloom.operators import panel as P
 from seriesloom.operators.features import append_future
+from seriesloom.operators.linear import features_array, grouped_ols
 from seriesloom.operators.models import arima, simple, smoothing
-from seriesloom.operators.quality import impute
+from seriesloom.operators.models.registry import fit_predict
 
 CTX = M.Context(12)
 
@@ -146,3 +147,87 @@ def parameters_ets(spark, sf):
 def parameters_arima(spark, sf):
     params = arima.sarima_parameters(frame_of(orders_monthly(spark, sf)), CTX, default_params("SARIMA"))
     return params.select("id", "run", "d", "seasonal_d", F.explode("coefficients").alias("term", "value"), "aicc")
+
+
+def feature_panel(spark, sf, n_future=12):
+    """Monthly orders with calendar, Fourier and lag features, future rows included."""
+    from seriesloom.operators.features import FeatureParams, feature_frame
+
+    params = FeatureParams(calendar=False, fourier_periods=[12], fourier_k=2, lags=[12])
+    df = feature_frame(orders_monthly(spark, sf), params, n_future, "month")
+    return df.withColumns({"time_trend": F.row_number().over(P.by_date()), "month": F.month("date")})
+
+
+FEATURES = ("time_trend", "month", "sin12_K1", "cos12_K1", "sin12_K2", "cos12_K2", "lag12")
+FCTX = M.Context(12, FEATURES)
+
+
+def feature_model_frame(spark, sf):
+    return M.model_frame(feature_panel(spark, sf), M.standard_runs(12, 12))
+
+
+def _register(name, covers, method, params=None, sql=None):
+    @query(name, covers, sql)
+    def run(spark, sf):
+        return out(fit_predict(feature_model_frame(spark, sf), method, FCTX, params))
+
+
+KNN_SQL = with_sql(*run_sql(ORDERS_M, 12, 12), """
+x AS (SELECT *, CAST(month(date) AS DOUBLE) AS m, CAST(t AS DOUBLE) AS tt FROM fr)""", """
+s AS (SELECT *, (m - avg(CASE WHEN NOT ahead THEN m END) OVER w) / stddev_samp(CASE WHEN NOT ahead THEN m END) OVER w
+  AS a, (tt - avg(CASE WHEN NOT ahead THEN tt END) OVER w) / stddev_samp(CASE WHEN NOT ahead THEN tt END) OVER w AS b
+  FROM x WINDOW w AS (PARTITION BY id, run))""", """
+d AS (SELECT p.id, p.run, p.date, k.y, round(sqrt((p.a - k.a) * (p.a - k.a) + (p.b - k.b) * (p.b - k.b)), 12) AS dist,
+  row_number() OVER (PARTITION BY p.id, p.run, p.date ORDER BY round(sqrt((p.a - k.a) * (p.a - k.a)
+    + (p.b - k.b) * (p.b - k.b)), 12), k.t) AS place
+  FROM s p JOIN s k ON p.id = k.id AND p.run = k.run AND p.ahead AND NOT k.ahead)""", """
+SELECT id, run, date, true AS ahead, round(sum(y / (dist + 1e-6::DOUBLE)) / sum(1 / (dist + 1e-6::DOUBLE)), 1)
+  AS prediction FROM d WHERE place <= 5 GROUP BY id, run, date""")
+
+
+@query("model_neighbours", "O-116", KNN_SQL)
+def model_neighbours(spark, sf):
+    preds = fit_predict(feature_model_frame(spark, sf), "KNN", M.Context(12, ("month", "time_trend")))
+    return out(preds.where("ahead"), 1)
+
+
+@query("model_linear_trend", "O-113 O-103", with_sql(*run_sql(SHIP_M, 6, 6), """
+r AS (SELECT id, run, regr_slope(y, t) AS b, regr_intercept(y, t) AS a, count(y) AS k FROM fr WHERE NOT ahead
+  GROUP BY id, run)""", """
+SELECT fr.id, fr.run, date, ahead, round(a + b * t, 5) AS prediction FROM fr JOIN r ON fr.id = r.id
+  AND fr.run = r.run WHERE k >= 3"""))
+def model_linear_trend(spark, sf):
+    frame = frame_of(ship_monthly(spark, sf), 6, 6).withColumn("trend", F.col("t").cast("double"))
+    preds = fit_predict(frame, "Linear Regression", M.Context(12, ("trend",)))
+    long_enough = frame.groupBy("id", "run").agg(F.count("y").alias("k")).where("k >= 3").select("id", "run")
+    return out(preds.join(long_enough, ["id", "run"], "left_semi"), 5)
+
+
+@query("grouped_least_squares", "O-103", """
+SELECT l_returnflag AS id, count(*) AS n, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept,
+  round(regr_slope(l_extendedprice, l_quantity), 5) AS slope FROM lineitem GROUP BY 1""")
+def grouped_least_squares(spark, sf):
+    df = table(spark, sf, "lineitem").withColumnRenamed("l_returnflag", "id")
+    fit = grouped_ols(df, ["id"], features_array(["l_quantity"]), F.col("l_extendedprice"))
+    return fit.select("id", "n", F.round(F.col("beta")[0], 4).alias("intercept"),
+                      F.round(F.col("beta")[1], 5).alias("slope"))
+
+
+_register("model_linear_features", "O-113", "Linear Regression")
+_register("model_elastic_net", "O-114", "Elastic Net")
+_register("model_hinge_basis", "O-115", "MARS", {"num_terms": 10})
+_register("model_support_vector", "O-117", "SVM")
+_register("model_support_vector_radial", "O-117", "SVM", {"boundary": "Radial"})
+_register("model_random_forest", "O-118", "Random Forest", {"rf_trees": 20})
+_register("model_boosted_trees", "O-119", "Boosted Trees", {"boost_trees": 8, "boost_tree_depth": 4})
+_register("model_leaf_linear", "O-120", "Cubist", {"committees": 2})
+_register("model_feed_forward", "O-121", "Feed-Forward")
+_register("model_feed_forward_ar", "O-122", "Feed-Forward AR", {
+    "ffar_num_networks": 3, "ffar_hidden_units": 5, "ffar_non_seasonal_ar": 2, "ffar_seasonal_ar": 1})
+_register("model_arima_boost", "O-123", "ARIMA-Boost", {"arima_boost_trees": 5, "arima_boost_tree_depth": 3})
+_register("model_changepoint_boost", "O-124", "Prophet-Boost", {"prophet_boost_trees": 5, "prophet_boost_tree_depth": 3})
+_register("model_several_seasons", "O-110", "TBATS")
+_register("model_changepoints", "O-112", "Prophet")
+_register("model_changepoints_logistic", "O-112", "Prophet", {"growth": "logistic"})
+_register("model_changepoints_multiplicative", "O-112", "Prophet", {"prophet_season": "multiplicative"})
+_register("model_arima_with_regressors", "O-109", "SARIMA")

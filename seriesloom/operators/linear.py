@@ -62,7 +62,8 @@ def _least_squares(a: np.ndarray, b: np.ndarray, penalty: np.ndarray) -> tuple[n
 
 
 def least_squares(
-    sums: DataFrame, penalty: list[float] | None = None, subsets: list[list[int]] | None = None
+    sums: DataFrame, penalty: list[float] | None = None, subsets: list[list[int]] | None = None,
+    carry: list[str] = (),
 ) -> DataFrame:
     """Solve every group of ``cross_products``; with ``subsets`` the one with the smallest AICc wins.
 
@@ -84,7 +85,8 @@ def least_squares(
             sse = np.maximum(sse, 1e-12 * np.maximum(yy, 1e-300))
             k = len(s) + 1
             room = np.maximum(rows - k - 1, 1e-9)
-            aicc = rows * np.log(sse / rows) + 2 * k + 2 * k * (k + 1) / room
+            spread = np.maximum(sse, 1e-300) / np.maximum(rows, 1)
+            aicc = rows * np.log(spread) + 2 * k + 2 * k * (k + 1) / room
             aicc = np.where(rows > k + 1, aicc, 1e300 + k)
             free = np.maximum(rows - len(s), 1)
             full = np.zeros((len(m), p))
@@ -100,11 +102,14 @@ def least_squares(
         return pd.DataFrame({"beta": list(best[0]), "se": list(best[1]), "sse": best[2],
                              "choice": best[3].astype("int32"), "aicc": best[4]})
 
-    keys = [c for c in sums.columns if c not in ("n", "gram")]
-    return sums.select(*keys, "n", solve("gram", "n").alias("f")).select(*keys, "n", "f.*")
+    keys = [c for c in sums.columns if c not in ("n", "gram", *carry)]
+    solved = sums.select(*keys, *carry, "n", solve("gram", "n").alias("f"))
+    return solved.select(*keys, *carry, "n", "f.*")
 
 
-def elastic_net(sums: DataFrame, grid: list[tuple[float, float]], rounds: int = 200) -> DataFrame:
+def elastic_net(
+    sums: DataFrame, grid: list[tuple[float, float]], rounds: int = 200, carry: list[str] = ()
+) -> DataFrame:
     """Elastic net for every group and every (penalty, mixture) of the grid, by coordinate descent on the sums.
 
     The first column is the intercept. Features are standardised and the target is scaled to unit sd. Result: one row
@@ -142,9 +147,89 @@ def elastic_net(sums: DataFrame, grid: list[tuple[float, float]], rounds: int =
             out.append(np.concatenate([intercept[:, None], slope], axis=1))
         return pd.Series([[o[i] for o in out] for i in range(len(m))])
 
-    keys = [c for c in sums.columns if c not in ("n", "gram")]
-    solved = sums.select(*keys, "n", F.posexplode(solve("gram", "n")).alias("choice", "beta"))
-    return solved
+    keys = [c for c in sums.columns if c not in ("n", "gram", *carry)]
+    return sums.select(*keys, *carry, "n", F.posexplode(solve("gram", "n")).alias("choice", "beta"))
+
+
+def forward_selection(sums: DataFrame, terms: int, prune: str = "backward", carry: list[str] = ()) -> DataFrame:
+    """Grow a regression term by term (largest drop of the squared error), then prune it by generalised
+    cross-validation; column 0 is the intercept. Adds ``beta`` with zeros for unused columns."""
+
+    @F.pandas_udf("array<double>")
+    def solve(gram: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([_grow_and_prune(m, r, terms, prune) for m, r in zip(_square(np.stack(gram.to_numpy())), n)])
+
+    keys = [c for c in sums.columns if c not in ("n", "gram", *carry)]
+    return sums.select(*keys, *carry, "n", solve("gram", "n").alias("beta"))
+
+
+def _grow_and_prune(m: np.ndarray, rows: int, terms: int, prune: str) -> np.ndarray:
+    p = len(m) - 1
+
+    def fit(columns):
+        s = np.array(columns)
+        beta, _ = _least_squares(m[None, s[:, None], s[None, :]], m[None, s, p], np.zeros(len(s)))
+        return max(float(m[p, p] - beta[0] @ m[s, p]), 0.0), beta[0]
+
+    def gcv(columns):
+        return fit(columns)[0] / max(1 - 1.5 * len(columns) / max(rows, 1), 1e-3) ** 2
+
+    chosen = [0]
+    while len(chosen) < min(terms, max(int(rows) // 3, 1)):
+        trials = [(fit([*chosen, j])[0], j) for j in range(1, p) if j not in chosen]
+        if not trials or min(trials)[0] >= fit(chosen)[0] * (1 - 1e-4):
+            break
+        chosen.append(min(trials)[1])
+    while prune == "backward" and len(chosen) > 1:
+        score, worst = min((gcv([c for c in chosen if c != j]), j) for j in chosen[1:])
+        if score > gcv(chosen):
+            break
+        chosen.remove(worst)
+    full = np.zeros(p)
+    full[chosen] = fit(chosen)[1]
+    return full
+
+
+def fit_series(
+    df: DataFrame, keys: list[str], x: Column, y: Column, columns: list[str], solver=least_squares, **options
+) -> DataFrame:
+    """Least squares (or another solver of this module) per series together with its rows: keys, rows (array in order of columns), n, beta and so on.
+
+    For keys whose groups are single series, which the calendar bounds: rows and sums come from one aggregate over the
+    partitioning by id, so there is no second pass over the input and no join. ``cross_products`` is the variant for
+    groups without such a bound.
+    """
+    z = F.transform(F.concat(x, F.array(y.cast("double"))), lambda v: F.coalesce(v, F.lit(float("nan"))))
+    grouped = df.withColumn("_z", z).groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct(*columns, "_z"))).alias("rows"))
+    flat = F.flatten(F.transform("rows", lambda r: r["_z"]))
+    width = F.size(F.element_at("rows", 1)["_z"])
+    sums = grouped.withColumn("s", series_products(flat, width)).select(
+        *keys, F.transform("rows", lambda r: r.dropFields("_z")).alias("rows"), "s.n", "s.gram")
+    return solver(sums, carry=["rows"], **options)
+
+
+def series_products(flat: Column, width: Column) -> Column:
+    """Cross products (n, gram) of one series; rows with a missing entry are left out."""
+
+    @F.pandas_udf("n bigint, gram array<double>")
+    def products(flat: pd.Series, width: pd.Series) -> pd.DataFrame:
+        counts, grams = [], []
+        for values, q in zip(flat, width):
+            z = np.asarray(values, dtype=float).reshape(-1, q)
+            z = z[np.isfinite(z).all(axis=1)]
+            counts.append(len(z))
+            grams.append((z.T @ z)[np.triu_indices(q)])
+        return pd.DataFrame({"n": counts, "gram": grams})
+
+    return products(flat, width)
+
+
+def fit_in_place(df: DataFrame, keys: list[str], x: Column, y: Column, out: str = "beta", **options) -> DataFrame:
+    """``fit_series`` back in row form: the input with the coefficients of its series as a column."""
+    columns = [c for c in df.columns if c not in keys]
+    fit = fit_series(df, keys, x, y, columns, **options)
+    return fit.select(*keys, F.col("beta").alias(out), F.inline("rows"))
 
 
 def fitted(x: Column, beta: Column = None) -> Column:

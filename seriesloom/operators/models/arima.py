@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.functions.text import dot
 from seriesloom.operators.frames import BASE, RUN_KEYS, Context, filled_y, predictions, steps_ahead
-from seriesloom.operators.linear import features_array, fitted, grouped_ols
+from seriesloom.operators.linear import features_array, fit_in_place, fit_series, fitted
 from seriesloom.operators.panel import by_date, whole
 
 LONG_LAGS = 8
@@ -83,26 +83,27 @@ def difference_weights(dd: int, ds: int, m: int) -> list[float]:
     return [-c for c in poly[1:]]
 
 
-def arima_terms(frame: DataFrame, m: int, params: dict) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Rows with their regressors, and the fitted parameters per (id, run)."""
+def arima_fit(frame: DataFrame, m: int, params: dict, extra: list[str] = ()) -> tuple[DataFrame, list[str]]:
+    """One row per (id, run): its rows with their regressors x, coefficients and orders; and the names of x."""
     p, cap_p, q, cap_q, subsets = _orders(params, m)
     w = by_date(*RUN_KEYS)
     df = _with_differences(filled_y(frame), m, params)
     long = [f"_z{k}" for k in range(1, LONG_LAGS + 1)]
-    df = df.withColumns({c: F.lag("z", k).over(w) for k, c in enumerate(long, 1)})
     x1 = features_array(long)
-    stage1 = grouped_ols(df, RUN_KEYS, x1, F.col("z")).select(*RUN_KEYS, F.col("beta").alias("_b1"))
-    df = df.join(stage1, RUN_KEYS, "left")
+    df = fit_in_place(df.withColumns({c: F.lag("z", k).over(w) for k, c in enumerate(long, 1)}), RUN_KEYS, x1,
+                      F.col("z"), "_b1")
     df = df.withColumn("e", F.coalesce(F.col("z") - fitted(x1, F.col("_b1")), F.lit(0.0))).drop("_b1", *long)
     df = df.withColumn("e", F.when(~F.col("ahead"), F.col("e")))
     names = {f"z{k}": F.lag("z", k).over(w) for k in range(1, p + 1)}
     names.update({f"zs{k}": F.lag("z", k * m).over(w) for k in range(1, cap_p + 1)})
     names.update({f"e{k}": F.lag("e", k).over(w) for k in range(1, q + 1)})
     names.update({f"es{k}": F.lag("e", k * m).over(w) for k in range(1, cap_q + 1)})
-    df = df.withColumns(names)
-    # a constant only where nothing is differenced away: with differences it would be a drift
-    fit = grouped_ols(df, RUN_KEYS, features_array(list(names)), F.col("z"), subsets=subsets)
-    return df, fit, list(names)
+    x2 = features_array(list(names))
+    df = df.withColumns(names).withColumn("x", x2)
+    columns = ["t", "date", "h", "ahead", "actual", "y", "z", "e", "x", "dd", "ds", *extra]
+    fit = fit_series(df, RUN_KEYS, F.col("x"), F.col("z"), columns, subsets=subsets)
+    first = F.element_at("rows", 1)
+    return fit.withColumn("dd", first["dd"]).withColumn("ds", first["ds"]), list(names)
 
 
 def sarima(frame: DataFrame, ctx: Context, params: dict, extra: list[str] = ()) -> DataFrame:
@@ -111,21 +112,13 @@ def sarima(frame: DataFrame, ctx: Context, params: dict, extra: list[str] = ())
     offset = None
     if ctx.features:
         x = features_array(list(ctx.features))
-        beta = grouped_ols(frame, RUN_KEYS, x, F.col("y"), penalty=[0.0] + [1e-6] * len(ctx.features))
-        frame = frame.join(beta.select(*RUN_KEYS, F.col("beta").alias("_bx")), RUN_KEYS, "left")
+        frame = fit_in_place(frame, RUN_KEYS, x, F.col("y"), "_bx", penalty=[0.0] + [1e-6] * len(ctx.features))
         frame = frame.withColumn("_reg", F.coalesce(fitted(x, F.col("_bx")), F.lit(0.0))).drop("_bx")
         frame = frame.withColumn("y", F.col("y") - F.col("_reg"))
         extra = [*extra, "_reg"]
         offset = "_reg"
-    df, fit, names = arima_terms(frame, m, params)
+    arrays, names = arima_fit(frame, m, params, extra)
     p, cap_p, q, cap_q, _ = _orders(params, m)
-    df = df.join(fit.select(*RUN_KEYS, "beta"), RUN_KEYS, "left")
-    inside = F.col("y") - (F.col("z") - fitted(features_array(names)))
-    df = df.withColumn("inside", F.when(~F.col("ahead"), inside))
-    row = F.struct("t", "date", "h", "ahead", "actual", "y", "z", "e", "inside", *extra)
-    arrays = df.groupBy(*RUN_KEYS).agg(
-        F.array_sort(F.collect_list(row)).alias("rows"), F.first("beta").alias("beta"),
-        F.first("dd").alias("dd"), F.first("ds").alias("ds"))
     known = F.filter("rows", lambda r: ~r["ahead"])
     reach = max(p, q, cap_p * m, cap_q * m, 1)
     if params["auto_arima"]:
@@ -162,7 +155,8 @@ def sarima(frame: DataFrame, ctx: Context, params: dict, extra: list[str] = ())
                         push(st["y"], y).alias("y"), F.concat(st["out"], F.array(y)).alias("out"))
 
     ahead = F.aggregate(steps_ahead(F.size("rows") - F.size(known)), start, step, lambda s: s["out"])
-    values = F.concat(F.transform(known, lambda r: r["inside"]), ahead)
+    inside = F.transform(known, lambda r: r["y"] - r["z"] + fitted(r["x"], b))
+    values = F.concat(inside, ahead)
     zipped = arrays.select(*RUN_KEYS, F.explode(F.arrays_zip("rows", values.alias("p"))).alias("q"))
     rows = zipped.select(*RUN_KEYS, "q.rows.*", F.col("q.p").alias("_p"))
     if offset:
@@ -175,7 +169,7 @@ def sarima(frame: DataFrame, ctx: Context, params: dict, extra: list[str] = ())
 
 def sarima_parameters(frame: DataFrame, ctx: Context, params: dict) -> DataFrame:
     """Chosen differences, coefficients by name and AICc per (id, run)."""
-    df, fit, names = arima_terms(frame, max(1, ctx.period), params)
-    orders = df.groupBy(*RUN_KEYS).agg(F.first("dd").alias("d"), F.first("ds").alias("seasonal_d"))
+    fit, names = arima_fit(frame, max(1, ctx.period), params)
     terms = F.map_from_arrays(F.array(*[F.lit(n) for n in ["constant", *names]]), F.col("beta"))
-    return fit.join(orders, RUN_KEYS).select(*RUN_KEYS, "d", "seasonal_d", terms.alias("coefficients"), "aicc")
+    return fit.select(*RUN_KEYS, F.col("dd").alias("d"), F.col("ds").alias("seasonal_d"),
+                      terms.alias("coefficients"), "aicc")
