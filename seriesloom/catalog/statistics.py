@@ -1 +1,83 @@
+"""Hypothesis tests and metrics."""
 
+from pyspark.sql import functions as F
+
+from seriesloom.catalog.registry import (
+    ORDERS_D, ORDERS_M, SHIP_M, orders_daily, orders_monthly, query, ship_monthly, with_sql,
+)
+from seriesloom.operators import reshape as R
+from seriesloom.operators import stats as S
+
+
+@query("test_jarque_bera", "O-89", with_sql(ORDERS_D, """
+c AS (SELECT id, value - avg(value) OVER (PARTITION BY id) AS d FROM p)""", """
+m AS (SELECT id, count(*) AS n, avg(d * d) AS m2, avg(d * d * d) AS m3, avg(d * d * d * d) AS m4 FROM c GROUP BY id)
+""", """
+j AS (SELECT id, n / 6.0::DOUBLE * (m3 * m3 / (m2 * m2 * m2) + (m4 / (m2 * m2) - 3) * (m4 / (m2 * m2) - 3) / 4) AS s
+  FROM m)""", """
+SELECT id, 'Jarque-Bera' AS test, round(s, 5) AS statistic, round(exp(-s / 2), 7) AS p_value FROM j"""))
+def test_jarque_bera(spark, sf):
+    out = S.jarque_bera(S.sample(orders_daily(spark, sf)))
+    return out.withColumn("statistic", F.round("statistic", 5)).withColumn("p_value", F.round("p_value", 7))
+
+
+BOX_SQL = """
+k AS (SELECT id, count(*) AS n, CAST(floor(pow(count(*) - 1, 1.0 / 3.0::DOUBLE)) AS INTEGER) AS k
+  FROM p GROUP BY id),
+d AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY date) AS t,
+  value - avg(value) OVER (PARTITION BY id) AS d FROM p),
+c0 AS (SELECT id, sum(d * d) AS c0 FROM d GROUP BY id),
+lg AS (SELECT id, unnest(range(1, k + 1)) AS lag FROM k),
+ck AS (SELECT a.id, lag, sum(a.d * b.d) AS ck FROM d a JOIN lg ON a.id = lg.id JOIN d b ON a.id = b.id
+  AND b.t = a.t - lag GROUP BY a.id, lag),
+r AS (SELECT ck.id, lag, n, ck / nullif(c0, 0) AS r FROM ck JOIN c0 ON ck.id = c0.id JOIN k ON k.id = ck.id)"""
+
+
+@query("test_box", "O-91", with_sql(SHIP_M, BOX_SQL, """
+SELECT id, round(n * sum(r * r), 6) AS box_pierce, round(n * (n + 2) * sum(r * r / (n - lag)), 6) AS ljung_box
+FROM r GROUP BY id, n"""))
+def test_box(spark, sf):
+    long = S.box_tests(S.sample(ship_monthly(spark, sf)))
+    wide = R.to_wide(long, ["id"], "test", "statistic", ["Box-Pierce", "Ljung-Box"])
+    wide = R.pick_columns(wide, rename={"Box-Pierce": "box_pierce", "Ljung-Box": "ljung_box"})
+    return R.round_numeric(wide, 6)
+
+
+@query("test_kpss", "O-94", with_sql(ORDERS_D, """
+e AS (SELECT id, date, value - avg(value) OVER (PARTITION BY id) AS e, count(*) OVER (PARTITION BY id) AS n FROM p)""",
+"""
+c AS (SELECT *, sum(e) OVER (PARTITION BY id ORDER BY date ROWS UNBOUNDED PRECEDING) AS cum,
+  row_number() OVER (PARTITION BY id ORDER BY date) AS t, floor(4 * pow(n / 100.0::DOUBLE, 0.25::DOUBLE)) AS l
+  FROM e)""", """
+b AS (SELECT id, n, sum(cum * cum) / (n * n) AS eta, sum(e * e) / n AS s0 FROM c GROUP BY id, n)""", """
+x AS (SELECT a.id, sum(2.0::DOUBLE / a.n * (1 - i / (a.l + 1)) * a.e * z.e) AS s1 FROM c a
+  JOIN (SELECT unnest(range(1, 11)) AS i) ON i <= a.l JOIN c z ON a.id = z.id AND z.t = a.t - i GROUP BY a.id)""", """
+SELECT b.id, 'KPSS' AS test, round(eta / (s0 + s1), 7) AS statistic FROM b JOIN x ON b.id = x.id"""))
+def test_kpss(spark, sf):
+    out = S.kpss(S.sample(orders_daily(spark, sf)))
+    return out.select("id", "test", F.round("statistic", 7).alias("statistic"))
+
+
+@query("test_dickey_fuller_statistics", "O-92 O-93 O-90")
+def test_dickey_fuller_statistics(spark, sf):
+    return S.array_tests(S.sample(orders_daily(spark, sf)))
+
+
+@query("test_battery", "O-95 O-89 O-90 O-91 O-92 O-93 O-94")
+def test_battery(spark, sf):
+    return S.test_battery(orders_monthly(spark, sf))
+
+
+@query("significance_stars", "O-95 O-20", with_sql(ORDERS_M, """
+r AS (SELECT id, count(*) AS n, value FROM p GROUP BY id, value)""", """
+q AS (SELECT id, avg(value) AS m FROM p GROUP BY id)""", """
+s AS (SELECT id, CASE id WHEN '1-URGENT' THEN 0.0005 WHEN '2-HIGH' THEN 0.005 WHEN '3-MEDIUM' THEN 0.02
+  WHEN '5-LOW' THEN 0.5 ELSE 0.07 END AS pv FROM q)""", """
+SELECT id, CASE WHEN pv < 0.001 THEN '***' WHEN pv < 0.01 THEN '**' WHEN pv < 0.05 THEN '*' WHEN pv < 0.1 THEN '.'
+  ELSE '' END AS signif FROM s"""))
+def significance_stars(spark, sf):
+    i = F.col("id")
+    p = (F.when(i == "1-URGENT", 0.0005).when(i == "2-HIGH", 0.005).when(i == "3-MEDIUM", 0.02)
+         .when(i == "5-LOW", 0.5).otherwise(0.07))
+    ids = orders_monthly(spark, sf).groupBy("id").agg(F.avg("value").alias("m"))
+    return ids.select("id", S.stars(p).alias("signif"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -266,8 +267,6 @@ def feed_forward_ar(frame: DataFrame, ctx: Context, params: dict) -> DataFrame:
 
 def _per_network(nets: int, width: int, ridge: list[float]):
     """Solver: ridge output layer of every network from the cross products of all of them."""
-    import pandas as pd
-
     from seriesloom.operators.linear import _least_squares, _square
 
     def solver(sums: DataFrame, carry: list[str]) -> DataFrame:

@@ -1,13 +1,185 @@
-"""placeholder"""
+"""Choosing parameters: grids, cross-validated scores, leaderboards, and the table of tuned parameters."""
+
+from __future__ import annotations
+
+import math
+import random
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seriesloom.constants import METHOD_DEFAULTS, SEED, default_params
+from seriesloom.operators.accuracy import accuracy_table
+from seriesloom.operators.frames import Context, fold_runs, model_frame
+from seriesloom.operators.models.neighbours import knn_path
+from seriesloom.operators.models.registry import context_for, fit_predict
+from seriesloom.operators.models.regression import net_path
+
+# Ranges searched per parameter: (low, high, whole numbers, logarithmic).
+RANGES = {
+    "penalty": (1e-4, 10.0, False, True),
+    "mixture": (0.0, 1.0, False, False),
+    "neighbors": (1, 15, True, False),
+    "num_terms": (3, 30, True, False),
+    "prod_degree": (1, 2, True, False),
+    "cost": (0.05, 30.0, False, True),
+    "margin": (0.0, 0.2, False, False),
+    "rf_mtry": (1, 10, True, False),
+    "rf_trees": (20, 100, True, False),
+    "rf_min_n": (2, 40, True, False),
+    "boost_learn_rate": (0.01, 0.4, False, True),
+    "arima_boost_learn_rate": (0.01, 0.4, False, True),
+    "prophet_boost_learn_rate": (0.01, 0.4, False, True),
+    "committees": (1, 5, True, False),
+    "max_rules": (2, 32, True, False),
+    "ff_hidden_units": (2, 20, True, False),
+    "ff_penalty": (1e-4, 10.0, False, True),
+    "ffar_seasonal_ar": (0, 2, True, False),
+    "ffar_hidden_units": (2, 10, True, False),
+    "ffar_penalty": (1e-4, 10.0, False, True),
+}
+
+# Parameters tuned when nothing else is asked for.
+TUNED_BY_DEFAULT = {
+    "Elastic Net": ["penalty", "mixture"],
+    "MARS": ["num_terms", "prod_degree"],
+    "KNN": ["neighbors"],
+    "SVM": ["cost", "margin"],
+    "Random Forest": ["rf_mtry", "rf_trees", "rf_min_n"],
+    "Boosted Trees": ["boost_learn_rate"],
+    "Cubist": ["committees", "max_rules"],
+    "Feed-Forward": ["ff_hidden_units", "ff_penalty"],
+    "Feed-Forward AR": ["ffar_seasonal_ar", "ffar_hidden_units", "ffar_penalty"],
+    "ARIMA-Boost": ["arima_boost_learn_rate"],
+    "Prophet-Boost": ["prophet_boost_learn_rate"],
+}
+
+
+def tune_setup(spark, method: str, chosen: list[str] | None = None) -> DataFrame:
+    """One row per parameter of a method: default value and whether it varies."""
+    chosen = TUNED_BY_DEFAULT[method] if chosen is None else chosen
+    unknown = set(chosen) - set(METHOD_DEFAULTS[method])
+    if unknown:
+        raise ValueError(f"{method} has no parameters {sorted(unknown)}")
+    rows = F.array(*[
+        F.struct(F.lit(method).alias("method"), F.lit(k).alias("parameter"), F.lit(str(v)).alias("default"),
+                 F.lit(k in chosen).alias("tune"))
+        for k, v in METHOD_DEFAULTS[method].items()])
+    return spark.range(1).select(F.inline(rows))
+
+
+def space_filling(names: list[str], size: int, seed: int = SEED, around: dict | None = None,
+                  shrink: float = 0.25) -> list[dict]:
+    """Latin hypercube: every parameter takes one value from each of ``size`` equal slices of its range.
+
+    With ``around`` the ranges shrink to a neighbourhood of that point (a finer second round).
+    """
+    rng = random.Random(seed)
+    columns = {}
+    for name in names:
+        low, high, whole, logarithmic = RANGES[name]
+        a, b = (math.log(low), math.log(high)) if logarithmic else (float(low), float(high))
+        if around is not None:
+            centre = math.log(around[name]) if logarithmic else float(around[name])
+            reach = (b - a) * shrink / 2
+            a, b = max(a, centre - reach), min(b, centre + reach)
+        slices = list(range(size))
+        rng.shuffle(slices)
+        values = [a + (b - a) * (s + rng.random()) / size for s in slices]
+        values = [math.exp(v) if logarithmic else v for v in values]
+        columns[name] = [int(round(v)) if whole else v for v in values]
+    return [{n: columns[n][i] for n in names} for i in range(size)]
+
+
+def grid_table(spark, grid: list[dict]) -> DataFrame:
+    """Grid as a table (choice, parameter, value)."""
+    rows = F.array(*[
+        F.struct(F.lit(i).alias("choice"), F.lit(k).alias("parameter"), F.lit(float(v)).alias("value"))
+        for i, point in enumerate(grid) for k, v in point.items()])
+    return spark.range(1).select(F.inline(rows))
+
+
+def candidate_predictions(frame: DataFrame, method: str, ctx: Context, grid: list[dict]) -> DataFrame:
+    """Predictions of every grid point on every run, marked by ``choice``.
+
+    The elastic net and the neighbours evaluate the whole grid in one pass; other methods run once per point.
+    """
+    full = [default_params(method, p) for p in grid]
+    ctx = context_for(method, ctx)
+    if method == "Elastic Net":
+        return net_path(frame, ctx, [(p["penalty"], p["mixture"]) for p in full])
+    if method == "KNN":
+        return knn_path(frame, ctx, [int(p["neighbors"]) for p in full])
+    out = None
+    for i, point in enumerate(grid):
+        rows = fit_predict(frame, method, ctx, point).withColumn("choice", F.lit(i))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def fold_scores(preds: DataFrame, metric: str = "rmse") -> DataFrame:
+    """Mean error per id and grid point over the predicted rows of the folds."""
+    by_fold = accuracy_table(preds.where(F.col("ahead")), ["id", "choice", "run"], [metric])
+    return by_fold.groupBy("id", "choice").agg(F.avg(metric).alias("score"))
+
+
+def best_choice(scores: DataFrame) -> DataFrame:
+    """Grid point with the smallest error per id."""
+    return scores.where(F.col("score").isNotNull()).groupBy("id").agg(
+        F.min_by("choice", F.struct("score", "choice")).alias("choice"), F.min("score").alias("score"))
+
+
+def tune(panel: DataFrame, method: str, ctx: Context, n_assess: int, n_folds: int = 5, grid_size: int = 10,
+         metric: str = "rmse", chosen: list[str] | None = None, second_round: bool = False) -> DataFrame:
+    """Tuned parameters per id: (id, method, params map, score).
+
+    Every grid point is scored on every time slice of the training part. A second round looks around the point that is
+    best on average (one row to the driver) and replaces a sequential search.
+    """
+    names = TUNED_BY_DEFAULT[method] if chosen is None else chosen
+    frame = model_frame(panel, fold_runs(n_assess, n_folds))
+    grid = space_filling(names, grid_size)
+    scores = fold_scores(candidate_predictions(frame, method, ctx, grid), metric)
+    if second_round:
+        overall = scores.groupBy("choice").agg(F.avg("score").alias("score")).orderBy("score").first()
+        grid = grid + space_filling(names, grid_size, SEED + 1, around=grid[overall["choice"]])
+        scores = fold_scores(candidate_predictions(frame, method, ctx, grid), metric)
+    points = F.array(*[F.create_map(*[v for k, x in p.items() for v in (F.lit(k), F.lit(float(x)))]) for p in grid])
+    return best_choice(scores).select(
+        "id", F.lit(method).alias("method"), F.element_at(points, F.col("choice") + 1).alias("params"), "score")
+
+
+def with_tuned(wanted: DataFrame, tuned: DataFrame, defaults: dict[str, dict]) -> DataFrame:
+    """Parameters per (id, method): defaults overridden by tuned values where they exist."""
+    def literal(values):
+        return F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(float(v)))])
+
+    base = F.create_map(*[x for m, p in defaults.items() for x in (F.lit(m), literal(p))])[F.col("method")]
+    joined = wanted.join(tuned.select("id", "method", F.col("params").alias("_tuned")), ["id", "method"], "left")
+    none = F.create_map().cast("map<string,double>")
+    merged = F.map_zip_with(base, F.coalesce(F.col("_tuned"), none), lambda k, a, b: F.coalesce(b, a))
+    return joined.withColumn("params", merged).drop("_tuned")
+
+
+def leaderboard(panel: DataFrame, ctx: Context, n_assess: int, n_folds: int = 5, metric: str = "rmse",
+                candidates: list[tuple[str, dict]] | None = None) -> DataFrame:
+    """Candidates (method, parameters) ranked per id by their mean error over the folds; the number of candidates is
+    the search budget."""
+    if candidates is None:
+        candidates = [("Elastic Net", p) for p in space_filling(["penalty", "mixture"], 4)]
+        candidates += [("KNN", p) for p in space_filling(["neighbors"], 3)]
+        candidates += [("Linear Regression", {}), ("MARS", {"num_terms": 8}), ("Feed-Forward", {})]
+    frame = model_frame(panel, fold_runs(n_assess, n_folds))
+    by_method: dict[str, list[dict]] = {}
+    for method, p in candidates:
+        by_method.setdefault(method, []).append(p)
+    scores = None
+    for method, grid in by_method.items():
+        part = fold_scores(candidate_predictions(frame, method, ctx, grid), metric).withColumn(
+            "method", F.lit(method))
+        scores = part if scores is None else scores.unionByName(part)
+    place = F.rank().over(Window.partitionBy("id").orderBy("score"))
+    return scores.where(F.col("score").isNotNull()).select(
+        "id", "method", "choice", "score", place.alias("place"))
+
 
-def with_tuned(wanted, tuned, defaults):
-    """Parameters per (id, method): defaults overridden by the tuned values that exist."""
-    maps = F.create_map(*[x for m, p in defaults.items() for x in (
-        F.lit(m), F.create_map(*[y for k, v in p.items() for y in (F.lit(k), F.lit(float(v)))]))])
-    out = wanted.join(tuned.withColumnRenamed("params", "_tuned"), ["id", "method"], "left")
-    base = maps[F.col("method")]
-    merged = F.map_zip_with(base, F.coalesce(F.col("_tuned"), F.create_map().cast("map<string,double>")),
-                            lambda k, a, b: F.coalesce(b, a))
-    return out.withColumn("params", merged).drop("_tuned")
