@@ -107,10 +107,10 @@ def calibration_rows(spark, sf):
 
 @query("residual_rows", "O-142", with_sql(*simple_sql(ORDERS_M), """
 SELECT id, model_desc, date, CASE WHEN ahead THEN 'test' ELSE 'train' END AS split, actual,
-  round(prediction, 1) AS prediction, round(actual - prediction, 1) AS residual FROM pr WHERE run = 'test'"""))
+  round(prediction, 3) AS prediction, round(actual - prediction, 3) AS residual FROM pr WHERE run = 'test'"""))
 def residual_rows(spark, sf):
     out = FC.residuals_of(simple_predictions(spark, sf))
-    return out.withColumn("prediction", F.round("prediction", 1)).withColumn("residual", F.round("residual", 1))
+    return out.withColumn("prediction", F.round("prediction", 3)).withColumn("residual", F.round("residual", 3))
 
 
 @query("residual_acf", "O-142 O-52")

@@ -36,8 +36,8 @@ def rmspe(a: Column, p: Column) -> Column:
 
 
 def rsq(a: Column, p: Column) -> Column:
-    flat = F.nullif(F.var_pop(a) * F.var_pop(p), F.lit(0.0)).isNull()
-    return F.when(~flat, F.pow(F.corr(a, p), 2))
+    """Squared correlation; null for constant actuals or predictions."""
+    return F.try_divide(F.pow(F.covar_pop(a, p), 2), F.var_pop(a) * F.var_pop(p))
 
 
 def mase(a: Column, p: Column, step: Column) -> Column:
