@@ -104,11 +104,11 @@ LIMITS = {"Correlation": 0.3, "PPS": 0.1, "LASSO": 0.5, "Random Forest": 0.1}
 
 
 @query("importance_filter", "O-14", with_sql(SHIP_M, CORR_SQL, TWO_SQL, NORM_SQL, """
-SELECT id, variable, round(round(importance, 9), 7) AS importance, type FROM no WHERE (type = 'Correlation'
+SELECT id, variable, round(importance, 9) AS importance, type FROM no WHERE (type = 'Correlation'
   AND round(importance, 9) >= 0.3) OR (type = 'LASSO' AND round(importance, 9) >= 0.5)"""))
 def importance_filter(spark, sf):
     scores = R.round_numeric(IM.normalise(two_types(spark, sf)), 9)
-    return R.round_numeric(IM.keep_important(scores, LIMITS), 7)
+    return IM.keep_important(scores, LIMITS)
 
 
 @query("selection_summary", "O-102 O-42", with_sql(SHIP_M, CORR_SQL, TWO_SQL, NORM_SQL, """

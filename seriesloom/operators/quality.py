@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.operators.describe import decompose
-from seriesloom.operators.panel import by_date, by_date_desc, regular_grid, whole
+from seriesloom.operators.panel import by_date, regular_grid, whole
 
 
 def apply_edits(panel: DataFrame, edits: DataFrame) -> DataFrame:
@@ -24,14 +24,14 @@ def forward_fill(panel: DataFrame, column: str = "value") -> DataFrame:
 def interpolate(panel: DataFrame, column: str = "value") -> DataFrame:
     """Linear interpolation by row position; the ends carry the nearest value.
 
-    The next known value is the last one of the reversed order: a frame to the end of the partition would cost
-    quadratic time.
+    Lag and lead past nulls cost one step per row; a frame to the end of the partition would cost quadratic time.
     """
     t = F.row_number().over(by_date())
     known = F.when(F.col(column).isNotNull(), F.struct(F.col("_t").alias("t"), F.col(column).alias("v")))
     out = panel.withColumn("_t", t).withColumn("_k", known)
-    out = out.withColumn("_a", F.last("_k", ignorenulls=True).over(by_date())).withColumn(
-        "_b", F.last("_k", ignorenulls=True).over(by_date_desc()))
+    out = out.withColumns({
+        "_a": F.expr("lag(_k) IGNORE NULLS OVER (PARTITION BY id ORDER BY date)"),
+        "_b": F.expr("lead(_k) IGNORE NULLS OVER (PARTITION BY id ORDER BY date)")})
     a, b = F.col("_a"), F.col("_b")
     line = a["v"] + (b["v"] - a["v"]) * F.try_divide(F.col("_t") - a["t"], b["t"] - a["t"])
     filled = F.coalesce(F.col(column), line, a["v"], b["v"])

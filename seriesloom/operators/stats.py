@@ -38,60 +38,86 @@ def sample(panel: DataFrame) -> DataFrame:
     return ranked.where(F.col("_r") <= SAMPLE).withColumn("k", k).drop("_r")
 
 
-def jarque_bera(points: DataFrame) -> DataFrame:
-    x = F.col("value")
-    moments = points.groupBy("id").agg(
-        F.count(x).alias("m"), F.skewness(x).alias("s"), F.kurtosis(x).alias("kurt"))
-    stat = F.col("m") / 6.0 * (F.col("s") * F.col("s") + F.col("kurt") * F.col("kurt") / 4)
-    return moments.select("id", F.lit("Jarque-Bera").alias("test"), stat.alias("statistic"),
-                          F.exp(-stat / 2).alias("p_value"))
+MOST_LAGS = int(4 * (SAMPLE / 100) ** 0.25)  # truncation lag of the KPSS statistic at the full sample: 10
 
 
-def box_tests(points: DataFrame) -> DataFrame:
-    """Box-Pierce and Ljung-Box over the first k autocorrelations; k differs by series."""
-    centred = points.withColumn("d", F.col("value") - F.avg("value").over(whole()))
-    arrays = centred.groupBy("id").agg(
-        F.array_sort(F.collect_list(F.struct("date", "d"))).alias("a"), F.first("k").alias("k"))
-    arrays = arrays.withColumn("d", F.transform("a", lambda r: r["d"])).withColumn("m", F.size("a"))
-    c0 = F.aggregate("d", F.lit(0.0), lambda s, x: s + x * x)
-    product = lambda lag: F.aggregate(
-        F.zip_with(F.slice("d", F.lit(1), F.greatest(F.col("m") - lag, F.lit(0))),
-                   F.slice("d", lag + 1, F.greatest(F.col("m") - lag, F.lit(0))), lambda a, b: a * b),
-        F.lit(0.0), lambda s, x: s + x)
-    usable = F.least(F.col("k"), F.col("m") - 1)
-    lags = F.slice(F.sequence(F.lit(1), F.greatest(usable, F.lit(1))), F.lit(1), F.greatest(usable, F.lit(0)))
-    arrays = arrays.withColumn("c0", c0).withColumn("r", F.transform(
-        lags, lambda lag: F.struct(lag.alias("lag"), F.try_divide(product(lag), F.col("c0")).alias("r"))))
-    zero = F.lit(0.0)
-    bp = F.col("m") * F.aggregate("r", zero, lambda s, x: s + x["r"] * x["r"])
-    lb = F.col("m") * (F.col("m") + 2) * F.aggregate(
-        "r", zero, lambda s, x: s + x["r"] * x["r"] / (F.col("m") - x["lag"]))
-    stats = arrays.select("id", "k", bp.alias("bp"), lb.alias("lb"))
-    long = stats.select("id", "k", F.explode(F.array(
-        F.struct(F.lit("Box-Pierce").alias("test"), F.col("bp").alias("statistic")),
-        F.struct(F.lit("Ljung-Box").alias("test"), F.col("lb").alias("statistic")))).alias("q"))
-    return long.select("id", "q.test", "q.statistic", S.chi2_p(F.col("q.statistic"), F.col("k")).alias("p_value"))
+def gather(points: DataFrame) -> DataFrame:
+    """One row per series with everything the tests need, from one window pass and one aggregate.
 
-
-def kpss(points: DataFrame) -> DataFrame:
-    """Level stationarity with Bartlett weights up to trunc(4 (n / 100)^(1/4)) lags: at most 10 for 5000 points."""
+    Columns that a single test does not use are pruned by the optimizer.
+    """
     w = by_date()
     e = points.withColumn("e", F.col("value") - F.avg("value").over(whole()))
     e = e.withColumn("cum", F.sum("e").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    most = int(4 * (SAMPLE / 100) ** 0.25)
-    e = e.withColumns({f"p{i}": F.col("e") * F.lag("e", i).over(w) for i in range(1, most + 1)})
-    sums = e.groupBy("id").agg(
-        F.count(F.lit(1)).alias("m"), F.sum(F.col("cum") * F.col("cum")).alias("s2"),
-        F.sum(F.col("e") * F.col("e")).alias("ss"), *[F.sum(f"p{i}").alias(f"p{i}") for i in range(1, most + 1)])
+    e = e.withColumns({f"p{i}": F.col("e") * F.lag("e", i).over(w) for i in range(1, MOST_LAGS + 1)})
+    rows = F.array_sort(F.collect_list(F.struct("date", "value", "e")))
+    return e.groupBy("id").agg(
+        F.count(F.lit(1)).alias("m"), F.first("k").alias("k"), F.skewness("value").alias("skew"),
+        F.kurtosis("value").alias("kurt"), F.sum(F.col("cum") * F.col("cum")).alias("cum2"),
+        F.sum(F.col("e") * F.col("e")).alias("ss"),
+        F.array(*[F.coalesce(F.sum(f"p{i}"), F.lit(0.0)) for i in range(1, MOST_LAGS + 1)]).alias("products"),
+        rows.alias("rows"))
+
+
+def _result(test: str, statistic: Column, p_value: Column) -> Column:
+    return F.struct(F.lit(test).alias("test"), statistic.alias("statistic"), p_value.alias("p_value"))
+
+
+def jarque_bera_of() -> list[Column]:
+    stat = F.col("m") / 6.0 * (F.col("skew") * F.col("skew") + F.col("kurt") * F.col("kurt") / 4)
+    return [_result("Jarque-Bera", stat, F.exp(-stat / 2))]
+
+
+def kpss_of() -> list[Column]:
+    """Level stationarity with Bartlett weights up to trunc(4 (n / 100)^(1/4)) lags."""
     m = F.col("m")
     lags = F.floor(4 * F.pow(m / 100.0, F.lit(0.25)))
     spread = F.col("ss") / m
-    for i in range(1, most + 1):
-        spread = spread + F.when(F.lit(i) <= lags, 2.0 / m * (1 - i / (lags + 1)) * F.coalesce(
-            F.col(f"p{i}"), F.lit(0.0))).otherwise(0.0)
-    stat = F.try_divide(F.col("s2") / (m * m), spread)
-    out = sums.select("id", stat.alias("statistic"))
-    return out.select("id", F.lit("KPSS").alias("test"), "statistic", S.kpss_p(F.col("statistic")).alias("p_value"))
+    for i in range(1, MOST_LAGS + 1):
+        spread = spread + F.when(
+            F.lit(i) <= lags, 2.0 / m * (1 - i / (lags + 1)) * F.col("products")[i - 1]).otherwise(0.0)
+    stat = F.try_divide(F.col("cum2") / (m * m), spread)
+    return [_result("KPSS", stat, S.kpss_p(stat))]
+
+
+def with_box(gathered: DataFrame) -> DataFrame:
+    """Adds bp and lb, the Box-Pierce and Ljung-Box statistics over the first k autocorrelations; k differs by id."""
+    d = F.transform("rows", lambda r: r["e"])
+    df = gathered.withColumn("_d", d)
+    size = lambda lag: F.greatest(F.col("m") - lag, F.lit(0)).cast("int")
+    product = lambda lag: F.aggregate(
+        F.zip_with(F.slice("_d", F.lit(1), size(lag)), F.slice("_d", lag + 1, size(lag)), lambda a, b: a * b),
+        F.lit(0.0), lambda s, x: s + x)
+    usable = F.least(F.col("k"), F.col("m").cast("int") - 1)
+    lags = F.slice(F.sequence(F.lit(1), F.greatest(usable, F.lit(1))), F.lit(1), F.greatest(usable, F.lit(0)))
+    df = df.withColumn("_r", F.transform(
+        lags, lambda lag: F.struct(lag.alias("lag"), F.try_divide(product(lag), F.col("ss")).alias("r"))))
+    zero, m = F.lit(0.0), F.col("m")
+    return df.withColumns({
+        "bp": m * F.aggregate("_r", zero, lambda s, x: s + x["r"] * x["r"]),
+        "lb": m * (m + 2) * F.aggregate("_r", zero, lambda s, x: s + x["r"] * x["r"] / (m - x["lag"])),
+    }).drop("_d", "_r")
+
+
+def box_of() -> list[Column]:
+    return [_result("Box-Pierce", F.col("bp"), S.chi2_p(F.col("bp"), F.col("k"))),
+            _result("Ljung-Box", F.col("lb"), S.chi2_p(F.col("lb"), F.col("k")))]
+
+
+def _long(gathered: DataFrame, results: Column) -> DataFrame:
+    return gathered.select("id", F.inline(results))
+
+
+def jarque_bera(points: DataFrame) -> DataFrame:
+    return _long(gather(points), F.array(*jarque_bera_of()))
+
+
+def box_tests(points: DataFrame) -> DataFrame:
+    return _long(with_box(gather(points)), F.array(*box_of()))
+
+
+def kpss(points: DataFrame) -> DataFrame:
+    return _long(gather(points), F.array(*kpss_of()))
 
 
 def _ols(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,11 +166,8 @@ def phillips_perron(x: np.ndarray) -> tuple[float, float]:
     return stat, S.table_p(stat, n, S.PP_VALUES)
 
 
-def array_tests(points: DataFrame) -> DataFrame:
+def array_results() -> Column:
     """Shapiro-Wilk, augmented Dickey-Fuller and Phillips-Perron: at most 5000 points of one series per call."""
-    arrays = points.groupBy("id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("date", "value"))), lambda r: r["value"]).alias("x"),
-        F.first("k").alias("k"))
 
     @F.pandas_udf("array<struct<test:string,statistic:double,p_value:double>>")
     def run(x: pd.Series, k: pd.Series) -> pd.Series:
@@ -157,14 +180,19 @@ def array_tests(points: DataFrame) -> DataFrame:
                         for t, (s, p) in found.items()])
         return pd.Series(out)
 
-    return arrays.select("id", F.inline(run("x", "k")))
+    return run(F.transform("rows", lambda r: r["value"]), F.col("k"))
+
+
+def array_tests(points: DataFrame) -> DataFrame:
+    return _long(gather(points), array_results())
 
 
 def test_battery(panel: DataFrame, digits: int = 4) -> DataFrame:
-    """All seven tests per series: test, h0, statistic, p_value, signif."""
-    points = sample(panel)
-    both = jarque_bera(points).unionByName(box_tests(points)).unionByName(kpss(points)).unionByName(
-        array_tests(points))
+    """All seven tests per series: test, h0, statistic, p_value, signif. One scan, one exchange."""
+    wide = with_box(gather(sample(panel)))
+    wide = wide.withColumn("_native", F.array(*jarque_bera_of(), *box_of(), *kpss_of())).withColumn(
+        "_arrays", array_results())
+    both = wide.select("id", F.inline(F.concat("_native", "_arrays")))
     h0 = F.create_map(*[v for k, h in NULL_HYPOTHESES.items() for v in (F.lit(k), F.lit(h))])
     return both.select(
         "id", "test", h0[F.col("test")].alias("h0"), F.round("statistic", digits).alias("statistic"),
