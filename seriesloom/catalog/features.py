@@ -162,18 +162,42 @@ def feature_names(spark, sf):
     return full.unpivot(["id", "date"], names, "feature", "x").select("feature").distinct()
 
 
-@query("predictor_matrix", "O-26 O-82")
+@query("predictor_matrix", "O-26 O-82", with_sql(ORDERS_M, """
+SELECT id, date, value, CAST(row_number() OVER (PARTITION BY id ORDER BY date) AS DOUBLE) AS x1,
+  CAST(month(date) AS DOUBLE) AS x2 FROM p"""))
 def predictor_matrix(spark, sf):
     from pyspark.ml.functions import vector_to_array
 
-    df = X.generate_features(orders_monthly(spark, sf), full_params(), 12, "month").na.drop()
+    df = orders_monthly(spark, sf).withColumns({
+        "time_trend": F.row_number().over(P.by_date()), "month": F.month("date")})
     columns = X.columns_for("Linear Regression", df.columns)
+    x = vector_to_array("features")
+    return R.predictor_matrix(df, columns).select("id", "date", "value", x[0].alias("x1"), x[1].alias("x2"))
+
+
+@query("predictor_matrix_complete", "O-26 O-82")
+def predictor_matrix_complete(spark, sf):
+    from pyspark.ml.functions import vector_to_array
+
+    df = X.generate_features(orders_monthly(spark, sf), full_params(), 12, "month").na.drop()
+    columns = X.columns_for("MARS", df.columns)
     return R.predictor_matrix(df, columns).withColumn("features", vector_to_array("features"))
 
 
-@query("feature_set_regression", "O-83")
+@query("feature_set_regression", "O-83", with_sql(ORDERS_M, f"""
+t AS (SELECT id, date, value, CAST(row_number() {W} AS DOUBLE) AS t FROM p)""", """
+r AS (SELECT id, regr_slope(value, t) AS b, regr_intercept(value, t) AS a FROM t GROUP BY id)""", """
+SELECT t.id, date, value, round(a + b * t, 1) AS fitted FROM t JOIN r ON t.id = r.id"""))
 def feature_set_regression(spark, sf):
     from seriesloom.operators.linear import fitted_by_formula
 
-    df = X.generate_features(orders_monthly(spark, sf), X.FeatureParams(fourier_periods=[12]), 0 + 1, "month")
+    df = orders_monthly(spark, sf).withColumn("time_trend", F.row_number().over(P.by_date()))
+    return R.apply_to_columns(fitted_by_formula(df, "value ~ time_trend"), ["fitted"], lambda c: F.round(c, 1))
+
+
+@query("feature_set_regression_complete", "O-83")
+def feature_set_regression_complete(spark, sf):
+    from seriesloom.operators.linear import fitted_by_formula
+
+    df = X.generate_features(orders_monthly(spark, sf), X.FeatureParams(fourier_periods=[12]), 1, "month")
     return fitted_by_formula(df.where("value IS NOT NULL"), "value ~ time_trend + sin12_K1 + cos12_K1")

@@ -147,7 +147,7 @@ def shown(df, digits=1):
         {c: F.round(c, digits) for c in ("value", "conf_lo", "conf_hi")})
 
 
-@query("conformal_intervals", "O-140 O-32 O-141", with_sql(*simple_sql(ORDERS_M), CONF_SQL, """
+@query("conformal_intervals", "O-140 O-32 O-141 O-133 O-126", with_sql(*simple_sql(ORDERS_M), CONF_SQL, """
 SELECT id, model_desc, key, date, round(value, 1) AS value, round(conf_lo, 1) AS conf_lo,
   round(conf_hi, 1) AS conf_hi, conf_lvl FROM fo"""))
 def conformal_intervals(spark, sf):
@@ -224,13 +224,11 @@ def model_labels_filter(spark, sf):
 
 
 @query("candidate_models", "O-152", """
-SELECT CAST(i AS INTEGER) AS model_id, m AS model_desc, (SELECT count(*) FROM orders) AS n FROM (VALUES (1, 'Naive'),
+SELECT DISTINCT o_orderpriority AS id, CAST(i AS INTEGER) AS model_id, m AS model_desc FROM orders, (VALUES (1, 'Naive'),
   (2, 'Seasonal Naive'), (3, 'Rolling Average'), (4, 'Ens - Average'), (5, 'Ens - Median')) v(i, m)""")
 def candidate_models(spark, sf):
-    base, more = FC.model_table(spark, SIMPLE), FC.model_table(spark, ["Ens - Average", "Ens - Median"])
-    total = table(spark, sf, "orders").agg(F.count(F.lit(1)).alias("n"))
-    # one row on the right: the number of orders
-    return FC.merge_models(base, more).join(F.broadcast(total))
+    ids = priorities(spark, sf)
+    return FC.merge_models(FC.model_table(ids, SIMPLE), FC.model_table(ids, ["Ens - Average", "Ens - Median"]))
 
 
 @query("adjusted_forecast", "O-143", with_sql(*simple_sql(ORDERS_M), CONF_SQL, """
@@ -294,6 +292,10 @@ def scenario_values(spark, sf):
 # Workflows that SQL cannot express.
 
 
+def priorities(spark, sf):
+    return table(spark, sf, "orders").select(F.col("o_orderpriority").alias("id")).distinct()
+
+
 def features_with_future(spark, sf):
     return feature_panel(spark, sf)
 
@@ -322,6 +324,26 @@ def stacked_models(spark, sf):
     return out.where("ahead").select("id", "run", "date", "model_desc", "prediction")
 
 
+@query("stacked_single_member", "O-129", with_sql(*run_sql(ORDERS_M, 12, 12)[:-1], """
+fr AS (SELECT id, run, date, t, n - cut AS nf, t > n - cut AS ahead, CASE WHEN t <= n - cut THEN value END AS y,
+  value AS actual FROM tt, (VALUES ('test', 12, 12), ('future', 0, 12), ('fold1', 16, 4), ('fold2', 20, 4),
+  ('fold3', 24, 4)) r(run, cut, len) WHERE t <= n - cut + len)""", """
+w AS (SELECT *, coalesce(last_value(y IGNORE NULLS) OVER (PARTITION BY id, run, t % 12 ORDER BY date
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), last_value(y IGNORE NULLS) OVER (PARTITION BY id, run
+  ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS p1 FROM fr)""", """
+r AS (SELECT id, regr_slope(actual, p1) AS b, regr_intercept(actual, p1) AS a FROM w
+  WHERE run LIKE 'fold%' AND ahead GROUP BY id)""", """
+SELECT w.id, run, date, 'Stk - Linear Regression' AS model_desc, round(a + b * p1, 0) AS prediction
+FROM w JOIN r ON w.id = r.id WHERE ahead AND run NOT LIKE 'fold%'"""))
+def stacked_single_member(spark, sf):
+    from seriesloom.operators.stacking import stack
+
+    panel = append_future(orders_monthly(spark, sf), 12, "month")
+    frame = M.model_frame(panel, M.standard_runs(12, 12) + M.fold_runs(12, 3))
+    out = stack(fit_predict_all(frame, ["Seasonal Naive"], CTX), ["Seasonal Naive"], ["Linear Regression"])
+    return out.where("ahead").select("id", "run", "date", "model_desc", F.round("prediction", 0).alias("prediction"))
+
+
 @query("stacked_boosted", "O-129")
 def stacked_boosted(spark, sf):
     frame = M.model_frame(features_with_future(spark, sf), M.standard_runs(24, 12) + M.fold_runs(24, 3))
@@ -379,17 +401,23 @@ def undifferenced_forecast(spark, sf):
     return back.select("id", h.alias("h"), F.round("value", 1).alias("value"))
 
 
-@query("tuning_setup", "O-130")
+@query("tuning_setup", "O-130", """
+SELECT DISTINCT o_orderpriority AS id, 'Random Forest' AS method, k AS parameter, v AS default, k = 'rf_mtry' AS tune
+FROM orders, (VALUES ('rf_mtry', '5'), ('rf_trees', '100'), ('rf_min_n', '5')) d(k, v)""")
 def tuning_setup(spark, sf):
-    ids = orders_monthly(spark, sf).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    return TU.tune_setup(spark, "Random Forest", ["rf_mtry"]).join(ids)
+    return TU.tune_setup(priorities(spark, sf), "Random Forest", ["rf_mtry"])
 
 
-@query("space_filling_grid", "O-131")
+@query("space_filling_grid", "O-131", """
+SELECT DISTINCT o_orderpriority AS id, k AS parameter, CAST(s AS INTEGER) AS slice, CAST(1 AS BIGINT) AS n FROM orders,
+  (VALUES ('mixture'), ('penalty')) d(k), (SELECT unnest(range(0, 10)) AS s)""")
 def space_filling_grid(spark, sf):
-    grid = TU.grid_table(spark, TU.space_filling(["penalty", "mixture"], 10))
-    ids = orders_monthly(spark, sf).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    return grid.join(ids)
+    """Every tenth of the range of every parameter (on its scale) is hit exactly once."""
+    grid = TU.grid_table(priorities(spark, sf), TU.space_filling(["penalty", "mixture"], 10))
+    low, high = F.ln(F.lit(1e-4)), F.ln(F.lit(10.0))
+    place = F.when(F.col("parameter") == "penalty", (F.ln("value") - low) / (high - low)).otherwise(F.col("value"))
+    return grid.groupBy("id", "parameter", F.floor(place * 10).cast("int").alias("slice")).agg(
+        F.count(F.lit(1)).alias("n"))
 
 
 @query("tuned_elastic_net", "O-132 O-41 O-58")

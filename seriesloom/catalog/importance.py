@@ -68,6 +68,16 @@ def lasso_importance(spark, sf):
     return IM.lasso(history(spark, sf), list(FEATURES))
 
 
+@query("lasso_single_feature", "O-98", with_sql(ORDERS_M, """
+t AS (SELECT id, value, CAST(row_number() OVER (PARTITION BY id ORDER BY date) AS DOUBLE) AS t FROM p)""", """
+s AS (SELECT id, stddev_pop(value) AS sy, stddev_pop(t) AS st, corr(value, t) AS r FROM t GROUP BY id)""", """
+SELECT id, 'time_trend' AS variable, round(sign(r) * greatest(abs(r) - 1000.0::DOUBLE / sy, 0) * sy / st, 2)
+  AS importance, 'LASSO' AS type FROM s WHERE abs(r) > 1000.0::DOUBLE / sy"""))
+def lasso_single_feature(spark, sf):
+    df = orders_monthly(spark, sf).withColumn("time_trend", F.row_number().over(P.by_date()))
+    return R.round_numeric(IM.lasso(df, ["time_trend"], penalty=1000.0), 2)
+
+
 @query("forest_importance", "O-99")
 def forest_importance(spark, sf):
     return IM.forest(history(spark, sf), ["time_trend", "month", "lag12"], trees=10, repeats=2)

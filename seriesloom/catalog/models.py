@@ -149,6 +149,48 @@ def parameters_arima(spark, sf):
     return params.select("id", "run", "d", "seasonal_d", F.explode("coefficients").alias("term", "value"), "aicc")
 
 
+@query("parameters_linear", "O-127 O-113", with_sql(*run_sql(SHIP_M, 6, 6), """
+SELECT id, run, round(regr_intercept(y, t), 6) AS intercept, round(regr_slope(y, t), 6) AS slope, count(y) AS n FROM fr
+WHERE NOT ahead GROUP BY id, run HAVING count(y) >= 3"""))
+def parameters_linear(spark, sf):
+    frame = frame_of(ship_monthly(spark, sf), 6, 6).withColumn("trend", F.col("t").cast("double"))
+    fit = grouped_ols(frame, M.RUN_KEYS, features_array(["trend"]), F.col("y")).where("n >= 3")
+    return fit.select("id", "run", F.round(F.col("beta")[0], 6).alias("intercept"),
+                      F.round(F.col("beta")[1], 6).alias("slope"), "n")
+
+
+NET_SQL = """
+s AS (SELECT id, run, avg(y) AS my, avg(t) AS mt, stddev_pop(y) AS sy, stddev_pop(t) AS st, corr(y, t) AS r FROM fr
+  WHERE NOT ahead GROUP BY id, run),
+b AS (SELECT *, sign(r) * greatest(abs(r) - 50000.0::DOUBLE / sy * 0.5, 0) / (1 + 50000.0::DOUBLE / sy * 0.5) * sy / st
+  AS slope FROM s)"""
+
+
+@query("model_elastic_net_trend", "O-114", with_sql(*run_sql(ORDERS_M, 12, 12), NET_SQL, """
+SELECT fr.id, fr.run, date, ahead, round(my + slope * (t - mt), 0) AS prediction
+FROM fr JOIN b ON fr.id = b.id AND fr.run = b.run"""))
+def model_elastic_net_trend(spark, sf):
+    frame = frame_of(orders_monthly(spark, sf)).withColumn("trend", F.col("t").cast("double"))
+    return out(fit_predict(frame, "Elastic Net", M.Context(12, ("trend",)), {"penalty": 50000.0, "mixture": 0.5}), 0)
+
+
+THETA_SQL = """
+l AS (SELECT id, run, list(y ORDER BY date) FILTER (y IS NOT NULL) AS ys, regr_slope(y, t) AS slope FROM fr
+  GROUP BY id, run),
+g AS (SELECT id, run, ys, slope, k / 20.0::DOUBLE AS a FROM l, (SELECT unnest(range(1, 20)) AS k)),
+fs AS (SELECT id, run, slope, a, list_reduce(list_transform(ys, lambda y: [y, 0.0::DOUBLE]), lambda s, x: [
+  a * x[1] + (1 - a) * s[1], s[2] + (x[1] - s[1]) * (x[1] - s[1])]) AS st FROM g),
+be AS (SELECT * FROM fs QUALIFY row_number() OVER (PARTITION BY id, run ORDER BY st[2]) = 1)"""
+
+
+@query("model_theta_plain", "O-108", with_sql(*run_sql(ORDERS_M, 12, 12), THETA_SQL, """
+SELECT fr.id, fr.run, date, ahead, round(st[1] + slope / 2 * (h - 1 + 1 / a), 0) AS prediction
+FROM fr JOIN be ON fr.id = be.id AND fr.run = be.run WHERE ahead"""))
+def model_theta_plain(spark, sf):
+    """Without a season the method is a fold and a slope, which SQL can follow."""
+    return out(smoothing.theta(frame_of(orders_monthly(spark, sf)), M.Context(1), {}), 0).where("ahead")
+
+
 def feature_panel(spark, sf, n_future=12):
     """Monthly orders with calendar, Fourier and lag features, future rows included."""
     from seriesloom.operators.features import FeatureParams, feature_frame

@@ -49,9 +49,9 @@ def impute_sql(base, unit, period, digits):
         f"SELECT id, date, round(filled + s, {digits}) AS value, raw IS NULL AS imputed FROM fl")
 
 
-@query("impute_daily", "O-46", impute_sql(ORDERS_D, "DAY", 7, 2))
+@query("impute_daily", "O-46", impute_sql(ORDERS_D, "DAY", 7, 5))
 def impute_daily(spark, sf):
-    return R.round_numeric(Q.impute(orders_daily(spark, sf), "day", 7), 2)
+    return R.round_numeric(Q.impute(orders_daily(spark, sf), "day", 7), 5)
 
 
 @query("impute_parts", "O-46", impute_sql(SHIP_M, "MONTH", 12, 8))

@@ -63,6 +63,47 @@ def test_dickey_fuller_statistics(spark, sf):
     return S.array_tests(S.sample(orders_daily(spark, sf)))
 
 
+@query("test_dickey_fuller", "O-92", with_sql(ORDERS_D, """
+x AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY date) AS t, value AS y,
+  lag(value) OVER (PARTITION BY id ORDER BY date) AS l FROM p)""", """
+r AS (SELECT id, regr_slope(y - l, t) AS bd, regr_intercept(y - l, t) AS ad, regr_slope(l, t) AS bl,
+  regr_intercept(l, t) AS al, count(l) AS n FROM x WHERE l IS NOT NULL GROUP BY id)""", """
+e AS (SELECT x.id, n, y - l - ad - bd * t AS d, l - al - bl * t AS v FROM x JOIN r ON x.id = r.id
+  WHERE l IS NOT NULL)""", """
+b AS (SELECT id, n, sum(d * v) / sum(v * v) AS b, sum(v * v) AS vv, sum(d * d) AS dd FROM e GROUP BY id, n)""", """
+SELECT id, 'Augmented Dickey-Fuller' AS test, round(b / sqrt((dd - b * b * vv) / (n - 3) / vv), 6) AS statistic
+FROM b"""))
+def test_dickey_fuller(spark, sf):
+    """Without lagged differences, so that SQL can follow; the battery uses k of them."""
+    points = S.sample(orders_daily(spark, sf)).withColumn("k", F.lit(0))
+    out = S.array_tests(points).where("test = 'Augmented Dickey-Fuller'")
+    return out.select("id", "test", F.round("statistic", 6).alias("statistic"))
+
+
+@query("test_phillips_perron", "O-93", with_sql(ORDERS_D, """
+x AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY date) - 1 AS t, value / stddev_pop(value) OVER (PARTITION
+  BY id) AS y FROM p)""", """
+z AS (SELECT id, t, y, lag(y) OVER (PARTITION BY id ORDER BY t) AS l FROM x)""", """
+r AS (SELECT id, regr_slope(y, t) AS by, regr_intercept(y, t) AS ay, regr_slope(l, t) AS bl, regr_intercept(l, t) AS al,
+  CAST(count(l) AS DOUBLE) AS n, sum(l * l) AS ll, sum(l * t) AS lt, sum(l) AS sl FROM z WHERE l IS NOT NULL
+  GROUP BY id)""", """
+e AS (SELECT z.id, t, y - ay - by * t AS d, l - al - bl * t AS v FROM z JOIN r ON z.id = r.id WHERE l IS NOT NULL)""",
+"""
+b AS (SELECT id, sum(d * v) / sum(v * v) AS a FROM e GROUP BY id)""", """
+u AS (SELECT e.id, t, d - a * v AS u FROM e JOIN b ON e.id = b.id)""", """
+s0 AS (SELECT id, sum(u * u) / count(*) AS s, floor(4 * pow(count(*) / 100.0::DOUBLE, 0.25::DOUBLE)) AS lags,
+  count(*) AS n FROM u GROUP BY id)""", """
+s1 AS (SELECT a.id, sum((1 - i / (lags + 1)) * a.u * c.u) * 2 / max(s0.n) AS extra FROM u a JOIN s0 ON a.id = s0.id
+  JOIN (SELECT unnest(range(1, 11)) AS i) ON i <= lags JOIN u c ON c.id = a.id AND c.t = a.t - i GROUP BY a.id)""", """
+q AS (SELECT r.*, n * n * (n * n - 1) * ll / 12 - n * lt * lt + n * (n + 1) * lt * sl
+  - n * (n + 1) * (2 * n + 1) * sl * sl / 6 AS dx FROM r)""", """
+SELECT q.id, 'Phillips-Perron' AS test, round(q.n * (a - 1) - pow(q.n, 6) / (24 * dx) * extra, 3) AS statistic
+FROM q JOIN b ON q.id = b.id JOIN s1 ON s1.id = q.id"""))
+def test_phillips_perron(spark, sf):
+    out = S.array_tests(S.sample(orders_daily(spark, sf))).where("test = 'Phillips-Perron'")
+    return out.select("id", "test", F.round("statistic", 3).alias("statistic"))
+
+
 @query("test_battery", "O-95 O-89 O-90 O-91 O-92 O-93 O-94")
 def test_battery(spark, sf):
     return S.test_battery(orders_monthly(spark, sf))

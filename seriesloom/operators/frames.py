@@ -60,7 +60,7 @@ def model_frame(panel: DataFrame, runs: list[Run]) -> DataFrame:
     h = F.col("t") - F.col("_n") + F.col("_r.cut")
     extra = [c for c in panel.columns if c not in ("id", "date", "value", "is_future")]
     return rows.select(
-        "id", F.col("_r.name").alias("run"), "date", F.col("t").cast("int").alias("t"),
+        "id", F.col("_r.name").alias("run", metadata={"runs": [r.name for r in runs]}), "date", F.col("t").cast("int").alias("t"),
         F.greatest(h, F.lit(0)).cast("int").alias("h"), (h > 0).alias("ahead"),
         F.when(~F.col("is_future"), F.col("value")).alias("actual"),
         F.when(h <= 0, F.col("value")).alias("y"), *extra)

@@ -28,8 +28,9 @@ def scaled_frame(frame: DataFrame, ctx: Context, method: str) -> tuple[DataFrame
 
 
 def runs_of(frame: DataFrame) -> list[str]:
-    """Names of the runs, a handful."""
-    return [r["run"] for r in frame.select("run").distinct().collect()]
+    """Names of the runs, a handful: model_frame notes them on the column, so no job is needed."""
+    noted = frame.schema["run"].metadata.get("runs")
+    return noted or [r["run"] for r in frame.select("run").distinct().collect()]
 
 
 def pooled(frame: DataFrame, ctx: Context, method: str, estimator, runs: list[str] | None = None) -> DataFrame:

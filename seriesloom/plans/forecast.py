@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.operators.accuracy import accuracy_table
@@ -32,23 +33,19 @@ class Forecast:
     oos_forecast: DataFrame
 
 
-def model_table(spark, labels: list[str]) -> DataFrame:
-    """Candidate models with running ids."""
+def model_table(ids: DataFrame, labels: list[str]) -> DataFrame:
+    """Candidate models of every id with running numbers."""
     rows = F.array(*[F.struct(F.lit(i).alias("model_id"), F.lit(m).alias("model_desc"))
                      for i, m in enumerate(labels, 1)])
-    return spark.range(1).select(F.inline(rows))
+    return ids.select("id", F.inline(rows))
 
 
 def merge_models(*tables: DataFrame) -> DataFrame:
-    """Append model tables and number them anew; each holds a few labels."""
-    from functools import reduce
-
-    from pyspark.sql import Window
-
+    """Append model tables and number the models of each id anew (a few labels per id)."""
     numbered = [t.withColumn("_table", F.lit(i)) for i, t in enumerate(tables)]
     both = reduce(lambda a, b: a.unionByName(b), numbered)
-    order = F.row_number().over(Window.orderBy("_table", "model_id"))
-    return both.select(order.alias("model_id"), "model_desc")
+    order = F.row_number().over(Window.partitionBy("id").orderBy("_table", "model_id"))
+    return both.select("id", order.alias("model_id"), "model_desc")
 
 
 def model_ids(labels: list[str]):
@@ -130,7 +127,7 @@ def forecast(
         return rows.unionByName(actual_rows(data), allowMissingColumns=True)
 
     return Forecast(
-        data, model_table(panel.sparkSession, labels), parts, calibration, residuals_of(parts), accuracy_of(parts),
+        data, model_table(data.select("id").distinct(), labels), parts, calibration, residuals_of(parts), accuracy_of(parts),
         table("test"), table("future"))
 
 

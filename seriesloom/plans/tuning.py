@@ -55,8 +55,8 @@ TUNED_BY_DEFAULT = {
 }
 
 
-def tune_setup(spark, method: str, chosen: list[str] | None = None) -> DataFrame:
-    """One row per parameter of a method: default value and whether it varies."""
+def tune_setup(ids: DataFrame, method: str, chosen: list[str] | None = None) -> DataFrame:
+    """Per id one row per parameter of a method: default value and whether it varies."""
     chosen = TUNED_BY_DEFAULT[method] if chosen is None else chosen
     unknown = set(chosen) - set(METHOD_DEFAULTS[method])
     if unknown:
@@ -65,7 +65,7 @@ def tune_setup(spark, method: str, chosen: list[str] | None = None) -> DataFrame
         F.struct(F.lit(method).alias("method"), F.lit(k).alias("parameter"), F.lit(str(v)).alias("default"),
                  F.lit(k in chosen).alias("tune"))
         for k, v in METHOD_DEFAULTS[method].items()])
-    return spark.range(1).select(F.inline(rows))
+    return ids.select("id", F.inline(rows))
 
 
 def space_filling(names: list[str], size: int, seed: int = SEED, around: dict | None = None,
@@ -91,12 +91,12 @@ def space_filling(names: list[str], size: int, seed: int = SEED, around: dict |
     return [{n: columns[n][i] for n in names} for i in range(size)]
 
 
-def grid_table(spark, grid: list[dict]) -> DataFrame:
-    """Grid as a table (choice, parameter, value)."""
+def grid_table(ids: DataFrame, grid: list[dict]) -> DataFrame:
+    """Grid as a table (id, choice, parameter, value)."""
     rows = F.array(*[
         F.struct(F.lit(i).alias("choice"), F.lit(k).alias("parameter"), F.lit(float(v)).alias("value"))
         for i, point in enumerate(grid) for k, v in point.items()])
-    return spark.range(1).select(F.inline(rows))
+    return ids.select("id", F.inline(rows))
 
 
 def candidate_predictions(frame: DataFrame, method: str, ctx: Context, grid: list[dict]) -> DataFrame:
