@@ -84,10 +84,10 @@ def test_dickey_fuller(spark, sf):
 x AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY date) - 1 AS t, value / stddev_pop(value) OVER (PARTITION
   BY id) AS y FROM p)""", """
 z AS (SELECT id, t, y, lag(y) OVER (PARTITION BY id ORDER BY t) AS l FROM x)""", """
-r AS (SELECT id, regr_slope(y, t) AS by, regr_intercept(y, t) AS ay, regr_slope(l, t) AS bl, regr_intercept(l, t) AS al,
+r AS (SELECT id, regr_slope(y, t) AS gy, regr_intercept(y, t) AS ay, regr_slope(l, t) AS bl, regr_intercept(l, t) AS al,
   CAST(count(l) AS DOUBLE) AS n, sum(l * l) AS ll, sum(l * t) AS lt, sum(l) AS sl FROM z WHERE l IS NOT NULL
   GROUP BY id)""", """
-e AS (SELECT z.id, t, y - ay - by * t AS d, l - al - bl * t AS v FROM z JOIN r ON z.id = r.id WHERE l IS NOT NULL)""",
+e AS (SELECT z.id, t, y - ay - gy * t AS d, l - al - bl * t AS v FROM z JOIN r ON z.id = r.id WHERE l IS NOT NULL)""",
 """
 b AS (SELECT id, sum(d * v) / sum(v * v) AS a FROM e GROUP BY id)""", """
 u AS (SELECT e.id, t, d - a * v AS u FROM e JOIN b ON e.id = b.id)""", """
