@@ -6,10 +6,11 @@ from seriesloom.catalog.registry import ORDERS_M, SHIP_M, orders_monthly, query,
 from seriesloom.constants import default_params
 from seriesloom.operators import frames as M
 from seriesloom.operators import panel as P
+from seriesloom.operators import reshape as R
 from seriesloom.operators.features import append_future
 from seriesloom.operators.linear import features_array, grouped_ols
 from seriesloom.operators.models import arima, simple, smoothing
-from seriesloom.operators.models.registry import fit_predict
+from seriesloom.operators.models.registry import fit_predict, fitted_parameters
 
 CTX = M.Context(12)
 
@@ -255,6 +256,14 @@ def grouped_least_squares(spark, sf):
                       F.round(F.col("beta")[1], 5).alias("slope"))
 
 
+@query("parameters_by_method", "O-127")
+def parameters_by_method(spark, sf):
+    frame = feature_model_frame(spark, sf)
+    parts = [fitted_parameters(frame, m, FCTX).withColumn("method", F.lit(m)) for m in ("ETS", "SARIMA", "Elastic Net")]
+    return R.stack(*parts)
+
+
+_register("model_automatic", "O-125", "H2O AutoML")
 _register("model_linear_features", "O-113", "Linear Regression")
 _register("model_elastic_net", "O-114", "Elastic Net")
 _register("model_hinge_basis", "O-115", "MARS", {"num_terms": 10})

@@ -164,29 +164,52 @@ def forward_selection(sums: DataFrame, terms: int, prune: str = "backward", carr
 
 
 def _grow_and_prune(m: np.ndarray, rows: int, terms: int, prune: str) -> np.ndarray:
+    """Greedy growth on the cross products of one series, then removal of terms while the GCV score improves.
+
+    Each added column is swept out of the cross products, which leaves the drop in error of all others in sight; the
+    rise in error from removing a term is beta^2 over its entry in the inverse.
+    """
     p = len(m) - 1
+    left = m.copy()
+    scale = np.maximum(np.diagonal(m), 1e-300)
+    chosen: list[int] = []
+    most = min(terms, max(int(rows) // 3, 1))
+    while len(chosen) < most:
+        spread = np.diagonal(left)[:p]
+        usable = spread > 1e-9 * scale[:p]
+        usable[chosen] = False
+        if not chosen:
+            pick = 0  # the intercept comes first
+        else:
+            gain = np.where(usable, left[:p, p] ** 2 / np.where(usable, spread, 1.0), 0.0)
+            pick = int(gain.argmax())
+            if gain[pick] <= 1e-4 * max(left[p, p], 1e-300):
+                break
+        if left[pick, pick] <= 0:
+            break
+        chosen.append(pick)
+        left = left - np.outer(left[:, pick], left[pick]) / left[pick, pick]
 
     def fit(columns):
         s = np.array(columns)
-        beta, _ = _least_squares(m[None, s[:, None], s[None, :]], m[None, s, p], np.zeros(len(s)))
-        return max(float(m[p, p] - beta[0] @ m[s, p]), 0.0), beta[0]
+        beta, inverse = _least_squares(m[None, s[:, None], s[None, :]], m[None, s, p], np.zeros(len(s)))
+        return max(float(m[p, p] - beta[0] @ m[s, p]), 0.0), beta[0], inverse[0]
 
-    def gcv(columns):
-        return fit(columns)[0] / max(1 - 1.5 * len(columns) / max(rows, 1), 1e-3) ** 2
+    def gcv(error, size):
+        return error / max(1 - 1.5 * size / max(rows, 1), 1e-3) ** 2
 
-    chosen = [0]
-    while len(chosen) < min(terms, max(int(rows) // 3, 1)):
-        trials = [(fit([*chosen, j])[0], j) for j in range(1, p) if j not in chosen]
-        if not trials or min(trials)[0] >= fit(chosen)[0] * (1 - 1e-4):
-            break
-        chosen.append(min(trials)[1])
+    full = np.zeros(p)
+    if not chosen:
+        return full
+    error, beta, inverse = fit(chosen)
     while prune == "backward" and len(chosen) > 1:
-        score, worst = min((gcv([c for c in chosen if c != j]), j) for j in chosen[1:])
-        if score > gcv(chosen):
+        rise = beta[1:] ** 2 / np.maximum(inverse[1:], 1e-300)
+        worst = int(rise.argmin())
+        if gcv(error + rise[worst], len(chosen) - 1) > gcv(error, len(chosen)):
             break
-        chosen.remove(worst)
-    full = np.zeros(p)
-    full[chosen] = fit(chosen)[1]
+        del chosen[worst + 1]
+        error, beta, inverse = fit(chosen)
+    full[chosen] = beta
     return full
 
 

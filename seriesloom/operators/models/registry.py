@@ -5,10 +5,12 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from seriesloom.constants import default_params
-from seriesloom.operators.frames import Context
-from seriesloom.operators.models import arima, neighbours, regression, simple, smoothing, trees
+from seriesloom.operators.frames import RUN_KEYS, Context
+from seriesloom.operators.linear import cross_products, elastic_net, features_array, least_squares
+from seriesloom.operators.models import arima, automatic, neighbours, regression, simple, smoothing, trees
 
 MODELS = {
     "Naive": simple.naive,
@@ -32,6 +34,7 @@ MODELS = {
     "Feed-Forward AR": regression.feed_forward_ar,
     "ARIMA-Boost": trees.arima_boost,
     "Prophet-Boost": trees.changepoint_boost,
+    "H2O AutoML": automatic.automatic,
 }
 
 TIME_ONLY = {"Naive", "Seasonal Naive", "Rolling Average", "ETS", "Theta", "TBATS", "STLM", "Feed-Forward AR"}
@@ -53,6 +56,31 @@ def fit_predict(frame: DataFrame, method: str, ctx: Context, params: dict | None
     return MODELS[method](frame, context_for(method, ctx), default_params(method, params))
 
 
+def fitted_parameters(frame: DataFrame, method: str, ctx: Context, params: dict | None = None) -> DataFrame:
+    """Fitted parameters in long form (id, run, parameter, value), for the methods that have some per series."""
+    full, ctx = default_params(method, params), context_for(method, ctx)
+    number = lambda *names: F.create_map(*[
+        x for n in names for x in (F.lit(n), F.col(n).cast("double"))])
+    if method == "ETS":
+        table = smoothing.ets_parameters(frame, ctx, full)
+        values = number("trended", "damped", "alpha", "beta", "gamma", "aicc")
+    elif method == "SARIMA":
+        table = arima.sarima_parameters(frame, ctx, full)
+        values = F.map_concat("coefficients", number("d", "seasonal_d", "aicc"))
+    elif method in ("Linear Regression", "Elastic Net"):
+        df, names = regression.feature_names(frame, ctx, method)
+        sums = cross_products(df, RUN_KEYS, features_array(names), F.col("y"))
+        if method == "Elastic Net":
+            table = elastic_net(sums, [(float(full["penalty"]), float(full["mixture"]))])
+        else:
+            table = least_squares(sums)
+        labels = F.array(*[F.lit(n) for n in ["intercept", *names]])
+        values = F.map_from_arrays(labels, F.col("beta"))
+    else:
+        raise ValueError(f"{method} has no parameters per series")
+    return table.select(*RUN_KEYS, F.explode(values).alias("parameter", "value"))
+
+
 def fit_predict_all(frame: DataFrame, methods: list[str], ctx: Context, params: dict | None = None) -> DataFrame:
     """Predictions of several methods, stacked; ``params`` maps a method to its overrides."""
     parts = [fit_predict(frame, m, ctx, (params or {}).get(m)) for m in methods]

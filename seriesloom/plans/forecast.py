@@ -19,6 +19,9 @@ from seriesloom.operators.stacking import stack
 from seriesloom.session import materialise
 
 
+WINDOW_ONLY = {"Naive", "Seasonal Naive", "Rolling Average"}
+
+
 @dataclass
 class Forecast:
     """Lazy tables of one forecasting run."""
@@ -98,17 +101,18 @@ def forecast(
     ensembles: list[str] = (),
     stacking: list[str] = (),
     n_folds: int = 5,
-    stage: bool = False,
+    stage: bool | None = None,
 ) -> Forecast:
     """Run all methods on the hold-out test and on the future (and on folds when stacking).
 
     ``panel`` carries its future rows (``is_future``). With ``stage`` the predictions are written to the shared folder
-    once, which pays when several tables of the result are used.
+    at once, and all tables of the result read them from there; without it every table fits the models anew. The
+    default stages them unless all methods are plain windows.
     """
     runs = standard_runs(n_assess, n_future) + (fold_runs(n_assess, n_folds) if stacking else [])
     frame = model_frame(panel, runs)
     preds = fit_predict_all(frame, methods, ctx, params)
-    if stage:
+    if stage or (stage is None and not set(methods) <= WINDOW_ONLY):
         preds = materialise(preds)
     labels = list(methods)
     parts = preds.where(~F.col("run").startswith("fold"))

@@ -14,6 +14,7 @@ from seriesloom.operators.frames import Context, fold_runs, model_frame
 from seriesloom.operators.models.neighbours import knn_path
 from seriesloom.operators.models.registry import context_for, fit_predict
 from seriesloom.operators.models.regression import net_path
+from seriesloom.session import materialise
 
 # Ranges searched per parameter: (low, high, whole numbers, logarithmic).
 RANGES = {
@@ -99,6 +100,12 @@ def grid_table(ids: DataFrame, grid: list[dict]) -> DataFrame:
     return ids.select("id", F.inline(rows))
 
 
+def staged(frame: DataFrame) -> DataFrame:
+    """The frame from the shared folder, where several passes read it; keeps the note of its runs."""
+    runs = frame.schema["run"].metadata
+    return materialise(frame).withMetadata("run", runs)
+
+
 def candidate_predictions(frame: DataFrame, method: str, ctx: Context, grid: list[dict]) -> DataFrame:
     """Predictions of every grid point on every run, marked by ``choice``.
 
@@ -138,6 +145,8 @@ def tune(panel: DataFrame, method: str, ctx: Context, n_assess: int, n_folds: in
     """
     names = TUNED_BY_DEFAULT[method] if chosen is None else chosen
     frame = model_frame(panel, fold_runs(n_assess, n_folds))
+    if second_round or method not in ("Elastic Net", "KNN"):
+        frame = staged(frame)
     grid = space_filling(names, grid_size)
     scores = fold_scores(candidate_predictions(frame, method, ctx, grid), metric)
     if second_round:
@@ -169,7 +178,7 @@ def leaderboard(panel: DataFrame, ctx: Context, n_assess: int, n_folds: int = 5,
         candidates = [("Elastic Net", p) for p in space_filling(["penalty", "mixture"], 4)]
         candidates += [("KNN", p) for p in space_filling(["neighbors"], 3)]
         candidates += [("Linear Regression", {}), ("MARS", {"num_terms": 8}), ("Feed-Forward", {})]
-    frame = model_frame(panel, fold_runs(n_assess, n_folds))
+    frame = staged(model_frame(panel, fold_runs(n_assess, n_folds)))
     by_method: dict[str, list[dict]] = {}
     for method, p in candidates:
         by_method.setdefault(method, []).append(p)

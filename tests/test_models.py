@@ -18,7 +18,7 @@ LIMITS = {
     "Naive": 20, "Seasonal Naive": 8, "Rolling Average": 20, "ETS": 6, "Theta": 8, "SARIMA": 3, "TBATS": 2,
     "STLM": 6, "Prophet": 6, "Linear Regression": 0.5, "Elastic Net": 5, "MARS": 3, "KNN": 10, "SVM": 6,
     "Random Forest": 12, "Boosted Trees": 12, "Cubist": 10, "Feed-Forward": 8, "Feed-Forward AR": 10,
-    "ARIMA-Boost": 8, "Prophet-Boost": 10,
+    "ARIMA-Boost": 8, "Prophet-Boost": 10, "H2O AutoML": 8,
 }
 FAST = {
     "Random Forest": {"rf_trees": 10}, "Boosted Trees": {"boost_trees": 5, "boost_tree_depth": 3},
@@ -120,7 +120,7 @@ def test_tuning_prefers_the_better_point(featured):
 
 
 def test_registry_and_parameters():
-    assert set(MODELS) == set(METHOD_DEFAULTS) - {"H2O AutoML"}
+    assert set(MODELS) == set(METHOD_DEFAULTS)
     assert method_family("ETS") == "ts" and method_family("Cubist") == "ml"
     with pytest.raises(ValueError):
         default_params("ETS", {"alpha": 1})
