@@ -2,28 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.operators.panel import by_date
 from seriesloom.operators.reshape import with_levels
 
 
-def conformal_widths(calibration: DataFrame) -> DataFrame:
-    """Sorted absolute test residuals per (id, model): at most the hold-out size long."""
-    size = F.abs(F.col("actual") - F.col("prediction"))
-    return calibration.where(size.isNotNull()).groupBy("id", "model_desc").agg(
-        F.array_sort(F.collect_list(size)).alias("widths"))
+def add_conformal(preds: DataFrame, run: str, levels: list[float]) -> DataFrame:
+    """Predicted rows of a run with split-conformal bounds for every level.
 
-
-def add_conformal(rows: DataFrame, calibration: DataFrame, levels: list[float]) -> DataFrame:
-    """Split-conformal bounds: value -/+ the ceil((n + 1) level)-th smallest absolute residual."""
-    joined = with_levels(rows.join(conformal_widths(calibration), ["id", "model_desc"], "left"), levels)
+    The half width is the ceil((n + 1) level)-th smallest absolute test residual of the same id and model. The residuals
+    (as many as the hold-out has rows) reach the rows of the run by a window, so the predictions are read once and
+    nothing is joined.
+    """
+    rows = preds.where(F.col("ahead") & F.col("run").isin("test", run))
+    size = F.when(F.col("run") == "test", F.abs(F.col("actual") - F.col("prediction")))
+    widths = F.array_sort(F.collect_list(size).over(Window.partitionBy("id", "model_desc")))
+    rows = rows.withColumn("widths", widths).where(F.col("run") == run).select(
+        "id", "model_desc", F.lit("prediction").alias("key"), "date", F.col("prediction").alias("value"), "widths")
+    rows = with_levels(rows, levels)
     n = F.size("widths")
     k = F.least(n, F.ceil((n + 1) * F.col("conf_lvl").cast("double") - 1e-9)).cast("int")
-    half = F.element_at("widths", F.greatest(k, F.lit(1)))
-    return joined.withColumns({
-        "conf_lo": F.col("value") - half, "conf_hi": F.col("value") + half}).drop("widths")
+    half = F.when(n > 0, F.element_at("widths", F.greatest(k, F.lit(1))))
+    return rows.withColumns({"conf_lo": F.col("value") - half, "conf_hi": F.col("value") + half}).drop("widths")
 
 
 def widen(forecast: DataFrame, kind: str = "linear", beta: float = 0.5) -> DataFrame:

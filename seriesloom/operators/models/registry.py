@@ -82,6 +82,14 @@ def fitted_parameters(frame: DataFrame, method: str, ctx: Context, params: dict
 
 
 def fit_predict_all(frame: DataFrame, methods: list[str], ctx: Context, params: dict | None = None) -> DataFrame:
-    """Predictions of several methods, stacked; ``params`` maps a method to its overrides."""
-    parts = [fit_predict(frame, m, ctx, (params or {}).get(m)) for m in methods]
+    """Predictions of several methods, stacked; ``params`` maps a method to its overrides.
+
+    The methods that are plain windows share one pass.
+    """
+    given = params or {}
+    windows = [m for m in methods if m in simple.VALUES]
+    parts = [fit_predict(frame, m, ctx, given.get(m)) for m in methods if m not in windows]
+    if windows:
+        full = {m: default_params(m, given.get(m)) for m in windows}
+        parts.insert(0, simple.window_models(frame, windows, Context(ctx.period), full))
     return reduce(lambda a, b: a.unionByName(b), parts)

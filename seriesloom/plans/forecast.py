@@ -78,13 +78,6 @@ def accuracy_of(preds: DataFrame, **options) -> DataFrame:
     return accuracy_table(rows, ["id", "model_desc", "type"], **options)
 
 
-def forecast_rows(preds: DataFrame, calibration: DataFrame, run: str, levels: list[float]) -> DataFrame:
-    """Predicted rows of a run with conformal bounds for every level."""
-    rows = preds.where((F.col("run") == run) & F.col("ahead")).select(
-        "id", "model_desc", F.lit("prediction").alias("key"), "date", F.col("prediction").alias("value"))
-    return add_conformal(rows, calibration, levels)
-
-
 def actual_rows(panel: DataFrame) -> DataFrame:
     known = panel.where(F.col("value").isNotNull())
     return known.select("id", F.lit("ACTUAL").alias("model_desc"), F.lit("actual").alias("key"), "date", "value")
@@ -127,7 +120,7 @@ def forecast(
     data = panel.where(~F.col("is_future"))
 
     def table(run):
-        rows = forecast_rows(parts, calibration, run, list(levels)).withColumn("model_id", model_ids(labels))
+        rows = add_conformal(parts, run, list(levels)).withColumn("model_id", model_ids(labels))
         return rows.unionByName(actual_rows(data), allowMissingColumns=True)
 
     return Forecast(

@@ -30,16 +30,20 @@ def clean_names(df: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """Comma-separated file with a header; empty fields and NA are null.
+    """Comma-separated file with a header; empty fields and NA are null, and names become snake_case.
 
-    Give a schema for large files: without one Spark reads the file twice to infer the types.
+    A schema (DDL) picks its columns by name, whatever their order in the file; text that does not fit a type becomes
+    null. Give one for large files: without it Spark reads the file twice to infer the types.
     """
     if not path.lower().rstrip("/").endswith((".csv", ".csv.gz")):
         raise ValueError(f"expected a .csv file, got {path!r}")
     reader = spark.read.option("header", True).option("nullValue", "NA")
-    reader = reader.schema(schema) if schema else reader.option("inferSchema", True).option(
-        "preferDate", True)
-    df = clean_names(reader.csv(path))
+    if schema:
+        df = clean_names(reader.csv(path))
+        wanted = T.StructType.fromDDL(schema)
+        require_columns(df, wanted.fieldNames())
+        return df.select(*[_typed(f) for f in wanted.fields])
+    df = clean_names(reader.option("inferSchema", True).csv(path))
     blank = {
         f.name: F.when(F.trim(F.col(f.name)) != "", F.col(f.name))
         for f in df.schema.fields if isinstance(f.dataType, T.StringType)
@@ -47,9 +51,15 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
     return df.withColumns(blank) if blank else df
 
 
+def _typed(field: T.StructField):
+    text = F.when(F.trim(field.name) != "", F.col(field.name))
+    return (text if isinstance(field.dataType, T.StringType) else F.trim(text).try_cast(field.dataType)).alias(
+        field.name)
+
+
 def read_series_csv(spark: SparkSession, path: str) -> DataFrame:
     """Series file with the columns date, id, value."""
-    return require_columns(read_csv(spark, path, SERIES_SCHEMA), ["date", "id", "value"])
+    return read_csv(spark, path, SERIES_SCHEMA)
 
 
 def read_regressors_csv(spark: SparkSession, path: str, names: list[str]) -> DataFrame:

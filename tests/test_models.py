@@ -126,3 +126,40 @@ def test_registry_and_parameters():
         default_params("ETS", {"alpha": 1})
     with pytest.raises(ValueError):
         default_params("Guess")
+
+
+def test_neighbours_do_not_depend_on_the_parts(frame, monkeypatch):
+    from seriesloom.operators.models import neighbours
+
+    def run():
+        out = neighbours.knn(frame, M.Context(12, FEATURES[:3]), {"neighbors": 4}).where("ahead")
+        return [r["prediction"] for r in out.orderBy("id", "run", "date").collect()]
+
+    whole = run()
+    monkeypatch.setattr(neighbours, "PART", 7)
+    assert run() == pytest.approx(whole, rel=1e-9) and len(whole) == 48
+
+
+def test_explanations_add_up(frame):
+    from seriesloom.operators import explain as E
+
+    names = ["time_trend", "sin12_K1"]
+    test = E.prepared(frame, names)
+    predict = E.linear_model(E.prepared(frame, names, "train"), names)
+    seen = test.groupBy("id").agg(F.max("date").alias("date")).join(test, ["id", "date"])
+    steps = E.break_down(test, seen, names, predict)
+    total = {r["id"]: r["s"] for r in steps.groupBy("id").agg(F.sum("contribution").alias("s")).collect()}
+    want = {r["id"]: r["prediction"] for r in predict(seen).collect()}
+    assert total == pytest.approx(want, rel=1e-9)
+    scores = E.permutation_importance(test, names, predict, 3)
+    assert scores.where("importance > 0").count() == 4
+
+
+def test_selection_keeps_useful_features(featured):
+    from seriesloom.operators import importance as IM
+
+    df = featured.withColumn("noise", F.pmod(F.xxhash64("date"), F.lit(1000)).cast("double")).drop("is_future")
+    scores = IM.normalise(IM.importance(df, ["Correlation", "PPS"], ["time_trend", "noise", "lag12"]))
+    out = IM.select_features(df, scores, {"Correlation": 0.6, "PPS": 0.6}, 12)
+    assert "noise" not in out["data"].columns and "time_trend" in out["data"].columns
+    assert out["future_data"].count() == 24 and out["data"].where("value IS NULL").count() == 0

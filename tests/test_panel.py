@@ -81,6 +81,12 @@ def test_csv_round_trip_and_names(spark, tmp_path):
     assert [r["value"] for r in back] == [1.0, None, 3.0]
     assert [S.clean_name(n) for n in ("N. Methods", "totalValue", "Delta PP (%)")] == [
         "n_methods", "total_value", "delta_pp_percent"]
+    other = tmp_path / "other.csv"
+    other.write_text("Value,ID,Date\n1.5,x,2020-01-01\nNA,x,2020-02-01\noops,,2020-03-01\n")
+    rows = S.read_series_csv(spark, str(other)).orderBy("date").collect()
+    assert [(r["id"], r["value"]) for r in rows] == [("x", 1.5), ("x", None), (None, None)]
+    with pytest.raises(ValueError):
+        S.read_csv(spark, str(other), "price double")
     with pytest.raises(ValueError):
         S.read_csv(spark, "data.xlsx")
     with pytest.raises(ValueError):
