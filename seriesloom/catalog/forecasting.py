@@ -426,6 +426,20 @@ def tuned_elastic_net(spark, sf):
     return tuned.select("id", "method", F.explode("params").alias("parameter", "value"), "score")
 
 
+@query("tuned_random_folds", "O-132 O-58")
+def tuned_random_folds(spark, sf):
+    tuned = TU.tune(features_with_future(spark, sf), "Elastic Net", FCTX, 24, 5, 10, validation="K-Fold CV")
+    return tuned.select("id", "method", F.explode("params").alias("parameter", "value"), "score")
+
+
+@query("tuned_forest", "O-132")
+def tuned_forest(spark, sf):
+    """A method without a shared pass: one pooled fit per grid point and fold."""
+    tuned = TU.tune(features_with_future(spark, sf), "Random Forest", M.Context(12, ("time_trend", "month")), 24, 2, 2,
+                    chosen=["rf_min_n"])
+    return tuned.select("id", "method", F.explode("params").alias("parameter", "value"), "score")
+
+
 @query("tuned_neighbours", "O-132 O-41")
 def tuned_neighbours(spark, sf):
     tuned = TU.tune(features_with_future(spark, sf), "KNN", FCTX, 24, 5, 5, metric="mae")

@@ -11,7 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.operators.panel import by_date, spread, whole
+from seriesloom.constants import SEED
+from seriesloom.operators.panel import by_date, random_folds, spread, whole
 
 RUN_KEYS = ["id", "run"]
 BASE = ["id", "run", "date", "t", "h", "ahead", "actual"]
@@ -22,6 +23,7 @@ class Run:
     name: str
     cut: int
     length: int
+    skip: int = 0  # rows left out at the start, for training windows of fixed length
 
 
 @dataclass(frozen=True)
@@ -36,11 +38,35 @@ def standard_runs(n_assess: int, n_future: int) -> list[Run]:
     return [Run("test", n_assess, n_assess), Run("future", 0, n_future)]
 
 
-def fold_runs(n_assess: int, n_folds: int, inside: bool = True) -> list[Run]:
-    """Time slices of n_assess // n_folds rows; ``inside`` keeps them in front of the hold-out rows."""
+def fold_runs(n_assess: int, n_folds: int, inside: bool = True, rolling: bool = False) -> list[Run]:
+    """Time slices of n_assess // n_folds rows; ``inside`` keeps them in front of the hold-out rows.
+
+    Training rows are all earlier ones, or with ``rolling`` a window of the training length less n_assess.
+    """
     step = max(1, n_assess // n_folds)
     base = n_assess if inside else 0
-    return [Run(f"fold{k}", base + k * step, step) for k in range(1, n_folds + 1)]
+    cuts = [base + k * step for k in range(1, n_folds + 1)]
+    return [Run(f"fold{k}", cut, step, max(0, base + n_assess - cut) if rolling else 0)
+            for k, cut in enumerate(cuts, 1)]
+
+
+def random_fold_frame(panel: DataFrame, n_assess: int, n_folds: int, seed: int = SEED) -> DataFrame:
+    """K-fold frame of the rows before the hold-out: each run predicts the rows of one fold from those of the others.
+
+    For methods that regress on features; a method that steps through time needs time slices.
+    """
+    if "is_future" in panel.columns:
+        panel = panel.where(~F.col("is_future")).drop("is_future")
+    rows = random_folds(panel, n_folds, seed).withColumn("t", F.row_number().over(by_date()))
+    rows = rows.withColumn("_n", F.count(F.lit(1)).over(whole())).where(F.col("t") <= F.col("_n") - n_assess)
+    names = [f"fold{k}" for k in range(1, n_folds + 1)]
+    rows = rows.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(n_folds))))
+    ahead = F.col("fold") == F.col("_k")
+    extra = [c for c in panel.columns if c not in ("id", "date", "value")]
+    return rows.select(
+        "id", F.concat(F.lit("fold"), F.col("_k")).alias("run", metadata={"runs": names}), "date",
+        F.col("t").cast("int").alias("t"), ahead.cast("int").alias("h"), ahead.alias("ahead"),
+        F.col("value").alias("actual"), F.when(~ahead, F.col("value")).alias("y"), *extra)
 
 
 def model_frame(panel: DataFrame, runs: list[Run]) -> DataFrame:
@@ -53,10 +79,11 @@ def model_frame(panel: DataFrame, runs: list[Run]) -> DataFrame:
     base = panel.withColumn("t", F.row_number().over(by_date())).withColumn(
         "_n", F.count(F.when(~F.col("is_future"), 1)).over(whole()))
     specs = F.array(*[
-        F.struct(F.lit(r.name).alias("name"), F.lit(r.cut).alias("cut"), F.lit(r.length).alias("length"))
+        F.struct(F.lit(r.name).alias("name"), F.lit(r.cut).alias("cut"), F.lit(r.length).alias("length"),
+                 F.lit(r.skip).alias("skip"))
         for r in runs])
     rows = base.withColumn("_r", F.explode(F.filter(
-        specs, lambda r: F.col("t") <= F.col("_n") - r["cut"] + r["length"])))
+        specs, lambda r: (F.col("t") <= F.col("_n") - r["cut"] + r["length"]) & (F.col("t") > r["skip"]))))
     h = F.col("t") - F.col("_n") + F.col("_r.cut")
     extra = [c for c in panel.columns if c not in ("id", "date", "value", "is_future")]
     return rows.select(

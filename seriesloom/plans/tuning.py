@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.constants import METHOD_DEFAULTS, SEED, default_params
 from seriesloom.operators.accuracy import accuracy_table
-from seriesloom.operators.frames import Context, fold_runs, model_frame
+from seriesloom.operators.frames import Context, fold_runs, model_frame, random_fold_frame
 from seriesloom.operators.models.neighbours import knn_path
 from seriesloom.operators.models.registry import context_for, fit_predict
 from seriesloom.operators.models.regression import net_path
@@ -137,14 +137,21 @@ def best_choice(scores: DataFrame) -> DataFrame:
 
 
 def tune(panel: DataFrame, method: str, ctx: Context, n_assess: int, n_folds: int = 5, grid_size: int = 10,
-         metric: str = "rmse", chosen: list[str] | None = None, second_round: bool = False) -> DataFrame:
+         metric: str = "rmse", chosen: list[str] | None = None, second_round: bool = False,
+         validation: str = "TS CV", rolling: bool = False) -> DataFrame:
     """Tuned parameters per id: (id, method, params map, score).
 
-    Every grid point is scored on every time slice of the training part. A second round looks around the point that is
+    Every grid point is scored on every fold of the training part: time slices (``TS CV``, expanding or rolling) or
+    random folds (``K-Fold CV``). A second round looks around the point that is
     best on average (one row to the driver) and replaces a sequential search.
     """
     names = TUNED_BY_DEFAULT[method] if chosen is None else chosen
-    frame = model_frame(panel, fold_runs(n_assess, n_folds))
+    if validation == "TS CV":
+        frame = model_frame(panel, fold_runs(n_assess, n_folds, rolling=rolling))
+    elif validation == "K-Fold CV":
+        frame = random_fold_frame(panel, n_assess, n_folds)
+    else:
+        raise ValueError(f"unknown validation {validation!r}")
     if second_round or method not in ("Elastic Net", "KNN"):
         frame = staged(frame)
     grid = space_filling(names, grid_size)

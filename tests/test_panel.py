@@ -73,6 +73,16 @@ def test_frame_matches_each_run(panel):
     assert frame.where("ahead AND y IS NOT NULL").count() == 0
 
 
+def test_rolling_and_random_folds(panel):
+    frame = M.model_frame(panel, M.fold_runs(12, 3, rolling=True))
+    sizes = frame.where("NOT ahead").groupBy("id", "run").count().collect()
+    assert {(r["id"], r["count"]) for r in sizes} == {("a", 84 - 24), ("b", 72 - 24)}
+    folds = M.random_fold_frame(panel, 12, 4)
+    held = folds.where("ahead").groupBy("id").count().collect()
+    assert {(r["id"], r["count"]) for r in held} == {("a", 72), ("b", 60)}
+    assert folds.where("ahead = (y IS NOT NULL)").count() == 0
+
+
 def test_csv_round_trip_and_names(spark, tmp_path):
     df = panel_of(spark, {"a b": [1.0, None, 3.0]})
     path = str(tmp_path / "x.csv")
