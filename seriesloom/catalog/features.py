@@ -123,7 +123,7 @@ def interaction_features(spark, sf):
 
 
 def full_params():
-    """All families, as in the reference scenario for internal features."""
+    """All feature families."""
     return X.FeatureParams(
         calendar=True, holiday=True, fourier_periods=[6, 12], fourier_k=1, spline_degrees=[3, 6], lags=[12, 24],
         rolls=[3, 6], interactions=["week2 * wday.lbl", "week3 * wday.lbl"])

@@ -184,7 +184,7 @@ def ets_table(arrays: DataFrame, period: int, params: dict, column: str = "ys")
     def solve(ys: pd.Series, steps: pd.Series) -> pd.DataFrame:
         sizes = np.array([len(v) for v in ys])
         order = np.argsort(sizes, kind="stable")  # series of like length share a chunk, little padding
-        chunk = max(1, BATCH_CELLS // width)
+        chunk = max(1, BATCH_CELLS // (width * max(1, period // 4)))  # one slot per phase and cell
         parts = []
         for at in range(0, len(order), chunk):
             rows = order[at:at + chunk]
