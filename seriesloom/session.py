@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -28,11 +29,14 @@ def local_session(cpus: int = 8, name: str = "seriesloom") -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder all executors can reach: spark.checkpoint.dir, or a temporary one when unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
+    """Folder that the driver and all executors reach: spark.checkpoint.dir.
+
+    Only in local mode, where there is one machine, an unset folder becomes a temporary one.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="seriesloom-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
