@@ -10,7 +10,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Blanks on which a text is cut into pieces whose ids do not depend on each other, and blanks or marks for which it is not.
-_ODD = re.compile("[\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200b\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]"
+_ODD = re.compile(r"[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]"
                   r"|[ \n]{2}|^[ \n]|[ \n]$|<\|")
 #: Words whose ids are remembered (the first ones met: the common words are among them), and letters in such a word.
 MEMO, LONGEST = 600_000, 40
