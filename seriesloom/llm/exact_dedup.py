@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import attach, query, short_batches, staged, table, text_bytes, without
+from seriesloom.llm.common import attach, query, short_batches, staged, table, text_bytes
 
 #: Bytes of text that a task holds in its trie before it writes out finished subtrees.
 SUBTREE_BYTES = 16 << 20
@@ -145,10 +145,17 @@ def owners(df: DataFrame, text: str = "text", id: str = "doc_id", keep: str = "s
     with equal text and id are told apart by a hash of their other columns, and the copies fall together. An empty table
     gives an empty result. Columns called group_size or text_sha256 in the input are replaced.
     """
+    made = {"group_size": "_sl_rows", "text_sha256": "_sl_sha256"}
+    own = _own(df, text, id, keep, subtree_bytes)
+    return own.select(
+        *[F.col(f"`{c}`") for c in df.columns if c.lower() not in made], *[F.col(v).alias(k) for k, v in made.items()])
+
+
+def _own(df: DataFrame, text: str, id: str, keep: str, subtree_bytes: int = SUBTREE_BYTES) -> DataFrame:
+    """The owner rows with all columns of the input, _sl_rows and _sl_sha256."""
     if keep not in ("smallest", "largest"):
         raise ValueError(f"keep: {keep}")
     short_batches(df.sparkSession)
-    df = without(df, ["group_size", "text_sha256"])
     names = df.columns
     others = [c for c in names if c != text]
     body = text_bytes(F.col(f"`{text}`"))
@@ -165,13 +172,13 @@ def owners(df: DataFrame, text: str = "text", id: str = "doc_id", keep: str = "s
     found = by_key.mapInArrow(_insert(largest, subtree_bytes, True), rows.schema)
     back = {c: F.col(f"_row.c{i}") for i, c in enumerate(others)}
     back[text] = F.when(~F.col("_null"), F.col("_text").cast("string"))
-    return found.select(*[back[c].alias(c) for c in names], F.col("_n").alias("group_size"),
-                        F.sha2(F.col("_text"), 256).alias("text_sha256"))
+    return found.select(*[back[c].alias(c) for c in names], F.col("_n").alias("_sl_rows"),
+                        F.sha2(F.col("_text"), 256).alias("_sl_sha256"))
 
 
 def drop_copies(df: DataFrame, text: str = "text", id: str = "doc_id", keep: str = "smallest") -> DataFrame:
     """The rows that own their text, with the columns of the input."""
-    return owners(df, text, id, keep).select(*[F.col(f"`{c}`") for c in df.columns])
+    return _own(df, text, id, keep).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def groups(df: DataFrame, text: str = "text", id: str = "doc_id", keep: str = "smallest") -> DataFrame:

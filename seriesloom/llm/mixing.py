@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import WORD, query, staged, table, without, word_count
+from seriesloom.llm.common import WORD, query, staged, table, word_count
 
 BUCKETS, SLOTS = 4096, 2048
 
@@ -121,18 +121,18 @@ def mixed(df: DataFrame, weight: Column | None = None, id: str = "doc_id", sourc
     """The mixed corpus: a row per copy taken, with the columns of the input; the copy at the cut keeps its first words."""
     weight = cycle_weights() if weight is None else weight
     names = df.columns
-    whole = staged(without(df, ["_row"]).withColumn("_row", F.monotonically_increasing_id()))
-    docs = staged(whole.select(F.col("_row").alias("row"), F.col(f"`{id}`").cast("long").alias("doc_id"),
+    whole = staged(df.withColumn("_sl_row", F.monotonically_increasing_id()))
+    docs = staged(whole.select(F.col("_sl_row").alias("row"), F.col(f"`{id}`").cast("long").alias("doc_id"),
                                F.col(f"`{source}`").cast("string").alias("source"),
                                word_count(F.col(f"`{text}`")).alias("size")))
     plan = mix_sizes(docs, weight, budget_share, max_repeats).where("taken > 0 OR size = 0") \
-        .select(F.col("row").alias("_row"), F.col("size").alias("_size"), F.col("copies").alias("_copies"))
-    rows = whole.join(plan, "_row").withColumn(
-        "_take", F.explode(F.when(F.col("_size") == 0, F.array(F.lit(0).cast("long")))
-                           .otherwise(F.filter("_copies", lambda c: c > 0))))
+        .select(F.col("row").alias("_sl_row"), F.col("size").alias("_sl_size"), F.col("copies").alias("_sl_copies"))
+    rows = whole.join(plan, "_sl_row").withColumn(
+        "_sl_take", F.explode(F.when(F.col("_sl_size") == 0, F.array(F.lit(0).cast("long")))
+                              .otherwise(F.filter("_sl_copies", lambda c: c > 0))))
     cut = F.array_join(F.slice(F.regexp_extract_all(F.col(f"`{text}`"), F.lit(WORD), F.lit(0)), 1,
-                               F.greatest(F.col("_take"), F.lit(1)).cast("int")), " ")
-    kept = F.when(F.col("_take") == F.col("_size"), F.col(f"`{text}`")).otherwise(cut)
+                               F.greatest(F.col("_sl_take"), F.lit(1)).cast("int")), " ")
+    kept = F.when(F.col("_sl_take") == F.col("_sl_size"), F.col(f"`{text}`")).otherwise(cut)
     return rows.select(*[kept.alias(c) if c == text else F.col(f"`{c}`") for c in names])
 
 

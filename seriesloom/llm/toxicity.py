@@ -198,17 +198,20 @@ class Scorer:
         return self.model.score(top)
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", id: str = "doc_id",
+def fit(documents: DataFrame, marks: DataFrame, text: str = "text", label: str = "toxic", id: str = "doc_id",
         max_train: int = MAX_TRAIN, seed: int = 7) -> Model:
-    """A model of at most ``max_train`` labelled rows, half of them at most from each label, chosen by a hash of the id.
+    """A model of at most ``max_train`` labelled documents, half of them at most from each label, by a hash of the id.
 
-    Rows with a null label are left out. Without rows, or with one label only, the model gives every text the same score.
+    marks: id and label, one row per id. The sample is chosen before texts are read, so its ids are all that is broadcast.
+    Null labels are left out. Without labelled documents, or with one label only, every text gets the same score.
     """
-    rows = labelled.where(F.col(label).isNotNull()).select(
-        text_bytes(F.col(f"`{text}`")).alias("text"), (F.col(f"`{label}`") > 0).cast("int").alias("label"),
-        F.xxhash64(F.col(f"`{id}`"), F.col(f"`{text}`")).alias("order"))
-    halves = [rows.where(F.col("label") == k).orderBy("order").limit(max_train // 2) for k in (0, 1)]
-    found = halves[0].unionByName(halves[1]).orderBy("order").collect()
+    known = marks.where(F.col(label).isNotNull() & F.col(id).isNotNull()).select(
+        F.col(f"`{id}`").alias("id"), (F.col(f"`{label}`") > 0).cast("int").alias("label"))
+    order = F.xxhash64("id")
+    halves = [known.where(F.col("label") == k).orderBy(order, "id").limit(max_train // 2) for k in (0, 1)]
+    chosen = halves[0].unionByName(halves[1])
+    rows = documents.select(F.col(f"`{id}`").alias("id"), text_bytes(F.col(f"`{text}`")).alias("text"))
+    found = rows.join(F.broadcast(chosen), "id").orderBy(order, F.xxhash64("text")).limit(max_train).collect()
     return train([bytes(r["text"]) for r in found], np.array([r["label"] for r in found], np.float64), seed)
 
 
@@ -228,14 +231,16 @@ def score(df: DataFrame, model: Model, text: str = "text", column: str = "score"
     return df.withColumn(column, scored(text_bytes(F.col(f"`{text}`"))))
 
 
-def thresholds(scored: DataFrame, lang: str = "lang", label: str = "toxic") -> dict[str | None, float]:
+def thresholds(scored: DataFrame, marks: DataFrame, lang: str = "lang", label: str = "toxic",
+               id: str = "doc_id", score: str = "score") -> dict[str | None, float]:
     """For each language the threshold that errs least on its labelled rows, and under None that of all rows.
 
-    The errors are counted over a histogram of 100 scores a language, aggregated by Spark. Toxic rows count as much as clean
-    ones. Between thresholds that err alike the middle one is taken.
+    All labelled rows count, over a histogram of 100 scores a language, aggregated by Spark. Toxic rows count as much as clean
+    ones. Between thresholds that err alike the middle one is taken. The languages are as few as there are of them.
     """
-    bins = scored.where(F.col(label).isNotNull()).groupBy(F.col(f"`{lang}`").cast("string").alias("lang"),
-                                                         F.floor(F.least("score", F.lit(0.9999)) * 100).alias("bin")) \
+    scored = scored.select(id, F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{score}`").alias("score")) \
+        .join(marks.select(id, label), id)
+    bins = scored.where(F.col(label).isNotNull()).groupBy("lang", F.floor(F.least("score", F.lit(0.9999)) * 100).alias("bin")) \
         .agg(F.sum((F.col(label) > 0).cast("long")).alias("toxic"), F.count("*").alias("rows")).collect()
     counts: dict[str | None, np.ndarray] = {None: np.zeros((2, 100))}
     for r in bins:
@@ -252,13 +257,14 @@ def thresholds(scored: DataFrame, lang: str = "lang", label: str = "toxic") -> d
     return found
 
 
-def reject(scored: DataFrame, limits: dict[str | None, float], lang: str = "lang", column: str = "rejected") -> DataFrame:
+def reject(scored: DataFrame, limits: dict[str | None, float], lang: str = "lang", column: str = "rejected",
+           score: str = "score") -> DataFrame:
     """Whether the score reaches the threshold of the document's language, or that of all where it has none."""
     limit: Column = F.lit(limits[None])
     for k, x in limits.items():
         if k is not None:
             limit = F.when(F.col(f"`{lang}`") == k, F.lit(x)).otherwise(limit)
-    return without(scored, [column]).withColumn(column, F.col("score") >= limit)
+    return without(scored, [column]).withColumn(column, F.col(f"`{score}`") >= limit)
 
 
 def learnable(id: Column) -> Column:
@@ -266,17 +272,16 @@ def learnable(id: Column) -> Column:
     return F.coalesce(F.crc32(id.cast("string").cast("binary")) % 3 != 1, F.lit(False))
 
 
-def labelled_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents with their label, of the rows that may be learned from; of repeated labels the largest counts."""
-    marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & learnable(F.col("doc_id"))) \
+def marks_of(labels: DataFrame) -> DataFrame:
+    """doc_id and toxic of the rows that labels may be learned from; of repeated labels the largest counts."""
+    return labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & learnable(F.col("doc_id"))) \
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return documents.select("doc_id", "text", "lang").join(marks, "doc_id")
 
 
 @query("op5_toxicity")
 def op5(spark, sf_dir):
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = fit(labelled_rows(documents, labels))
+    model = fit(documents, marks_of(labels))
     scored = score(documents.select("doc_id", "text"), model)
     return scored.select("doc_id", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1).alias("held_out"),
                          "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
