@@ -22,6 +22,9 @@ from seriesloom.llm.common import query, short_batches, table, text_bytes, witho
 #: Labelled documents that are fitted at most, with their whole texts, taken in the order of a hash.
 MAX_TRAIN = 6000
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 16, 8, (1, 2, 3), 8
+#: Buckets met in fewer fitted documents keep a vector of zeros: a word of one document says nothing of others. In training a
+#: word is left out at this rate, so that no single word carries a document.
+MIN_DOCS, DROP, STEPS = 5, 0.7, 1000
 PREFIXES = (3, 4, 5, 6)
 BLOCK, MEMO = 1 << 14, 400_000
 #: Language thresholds are kept within these bounds, and languages with fewer labelled documents use that of all.
@@ -94,8 +97,11 @@ class Model:
 
 
 def train(texts: list[bytes], labels: np.ndarray, seed: int = 7, epochs: int = 6, batch: int = 32,
-          rate: float = 0.01) -> Model:
-    """Adam on the logistic loss, classes weighted alike; gradients flow through the word at which a filter was largest."""
+          rate: float = 0.01, balance: float = 0.5) -> Model:
+    """Adam on the logistic loss; gradients flow through the word at which a filter was largest.
+
+    Classes are weighted by their share to the power -balance. Small samples are gone over more often, for STEPS steps.
+    """
     model, random = Model.start(seed), np.random.default_rng(seed)
     if not len(texts) or labels.min() == labels.max():
         model.out[:] = 0
@@ -105,7 +111,13 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 7, epochs: int = 6
     for t in texts:
         docs.append(words(t.split()))
     rows = np.array(words.rows or [[0] * (1 + len(PREFIXES))], np.int64)
-    weight = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
+    met = np.zeros(BUCKETS, np.int64)
+    for d in docs:
+        met[np.unique(rows[d])] += 1
+    model.embed[met < MIN_DOCS] = 0
+    share = np.where(labels == 1, labels.mean(), 1 - labels.mean())
+    weight = share ** -balance / np.mean(share ** -balance)
+    epochs = max(epochs, min(8 * epochs, -(-STEPS * batch // len(docs))))
     pad, tail = max(WIDTHS) - 1, np.zeros((max(WIDTHS) - 1, DIM), np.float32)
     params = [*model.filters, *model.bias, model.out]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
@@ -120,6 +132,7 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 7, epochs: int = 6
             touched, steps = [], []
             for d in order[k:k + batch]:
                 ids = docs[d]
+                ids = ids[random.random(len(ids)) >= DROP]
                 vectors = model.embed[rows[ids]].sum(1) if len(ids) else np.zeros((1, DIM), np.float32)
                 padded = np.concatenate((vectors, tail))
                 n, top, where = len(vectors), [], []
@@ -160,6 +173,7 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 7, epochs: int = 6
                 at, back = np.unique(np.concatenate(touched), return_inverse=True)
                 g = np.zeros((len(at), DIM), np.float32)
                 np.add.at(g, back, np.concatenate(steps))
+                g[met[at] < MIN_DOCS] = 0
                 em[at] += 0.1 * (g - em[at])
                 ev[at] += 0.001 * (g * g - ev[at])
                 model.embed[at] -= (scale * em[at] / (np.sqrt(ev[at]) + 1e-8)).astype(np.float32)
