@@ -132,10 +132,10 @@ cw AS (SELECT id, model_desc, abs(actual - prediction) AS r, row_number() OVER (
   WHERE run = 'test' AND ahead AND prediction IS NOT NULL),
 lv AS (SELECT unnest([0.8, 0.85, 0.9, 0.95])::DOUBLE AS conf_lvl),
 hw AS (SELECT id, model_desc, conf_lvl, r AS half FROM cw JOIN lv
-  ON k = greatest(1, least(n, ceil((n + 1) * conf_lvl - 1e-9::DOUBLE)))),
+  ON k = greatest(1, ceil((n + 1) * conf_lvl - 1e-9::DOUBLE))),
 fo AS (SELECT pr.id, pr.model_desc, 'prediction' AS key, pr.date, pr.h, prediction AS value, prediction - half AS conf_lo,
-  prediction + half AS conf_hi, conf_lvl FROM pr JOIN hw ON pr.id = hw.id AND pr.model_desc = hw.model_desc
-  WHERE run = 'future' AND ahead)"""
+  prediction + half AS conf_hi, lv.conf_lvl FROM pr CROSS JOIN lv LEFT JOIN hw ON pr.id = hw.id
+  AND pr.model_desc = hw.model_desc AND hw.conf_lvl = lv.conf_lvl WHERE run = 'future' AND ahead)"""
 
 
 def simple_forecast(spark, sf, panel=orders_monthly, n=12, levels=(0.8, 0.85, 0.9, 0.95)):
@@ -159,7 +159,7 @@ def conformal_intervals(spark, sf):
 SELECT id, model_desc, key, date, round(value, 6) AS value, round(conf_lo, 6) AS conf_lo,
   round(conf_hi, 6) AS conf_hi, conf_lvl FROM fo"""))
 def conformal_many_series(spark, sf):
-    rows = simple_forecast(spark, sf, ship_monthly, 6).oos_forecast.where("key = 'prediction' AND conf_lo IS NOT NULL")
+    rows = simple_forecast(spark, sf, ship_monthly, 6).oos_forecast.where("key = 'prediction'")
     return shown(rows.drop("model_id"), 6)
 
 
@@ -401,6 +401,35 @@ def undifferenced_forecast(spark, sf):
     return back.select("id", h.alias("h"), F.round("value", 1).alias("value"))
 
 
+@query("undifferenced_holdout", "O-71 O-72", with_sql(ORDERS_M, """
+a AS (SELECT id, date, value AS y, row_number() OVER w AS t, count(*) OVER (PARTITION BY id) AS n,
+  value - lag(value) OVER w AS d FROM p WINDOW w AS (PARTITION BY id ORDER BY date))""", """
+b AS (SELECT *, d - lag(d, 12) OVER w AS s, lag(y) OVER w AS y1, lag(y, 12) OVER w AS y12, lag(d, 12) OVER w AS d12 FROM a
+  WINDOW w AS (PARTITION BY id ORDER BY date))""", """
+c AS (SELECT *, lag(s) OVER (PARTITION BY id ORDER BY date) AS s1 FROM b)""", """
+h AS (SELECT c.*, e.y + c.y12 - e.y12 + (c.t - e.t) * e.s AS path FROM c JOIN c AS e ON c.id = e.id AND e.t = c.n - 12
+  WHERE c.t > c.n - 12)""", """
+SELECT id, date, 'fit' AS kind, round(y, 0) AS actual, round(s1 + d12 + y1, 0) AS prediction FROM c
+  WHERE t BETWEEN 14 AND n - 12
+UNION ALL SELECT id, date, 'ahead', round(y, 0), round(path, 0) FROM h
+UNION ALL SELECT id, date, 'table', NULL, round(path, 0) FROM h"""))
+def undifferenced_holdout(spark, sf):
+    """Residuals and hold-out forecast of Naive on a series differenced twice, back on the scale of the data."""
+    from seriesloom.operators.transform import transform_panel
+
+    steps = ["Differencing", "Seasonal Differencing"]
+    moved, params = transform_panel(orders_monthly(spark, sf), steps, 12)
+    result = FC.forecast(append_future(moved, 12, "month"), ["Naive"], CTX, 12, 12, [0.8])
+    back = FC.back_transform(result, params, steps)
+    kind = F.when(F.col("split") == "train", "fit").otherwise("ahead").alias("kind")
+    rows = back.residuals.select("id", "date", kind, F.round("actual", 0).alias("actual"),
+                                 F.round("prediction", 0).alias("prediction"))
+    held = back.test_forecast.where("key = 'prediction'").select(
+        "id", "date", F.lit("table").alias("kind"), F.lit(None).cast("double").alias("actual"),
+        F.round("value", 0).alias("prediction"))
+    return rows.unionByName(held)
+
+
 @query("tuning_setup", "O-130", """
 SELECT DISTINCT o_orderpriority AS id, 'Random Forest' AS method, k AS parameter, v AS default, k = 'rf_mtry' AS tune
 FROM orders, (VALUES ('rf_mtry', '5'), ('rf_trees', '100'), ('rf_min_n', '5')) d(k, v)""")

@@ -132,12 +132,25 @@ def calendar_months(spark, sf):
 
 
 @query("calendar_business_days", "O-07", """
-SELECT date FROM (SELECT unnest(generate_series(min(o_orderdate), max(o_orderdate), INTERVAL 1 DAY)) AS date
-FROM orders) WHERE dayofweek(date) NOT IN (0, 6)""")
+SELECT date FROM (SELECT unnest(generate_series(min(o_orderdate) - to_days(greatest(isodow(min(o_orderdate))::INTEGER - 5, 0)),
+  max(o_orderdate), INTERVAL 1 DAY)) AS date FROM orders) WHERE dayofweek(date) NOT IN (0, 6)""")
 def calendar_business_days(spark, sf):
     return P.calendar_of(table(spark, sf, "orders"), "o_orderdate", "business_day")
 
 
+@query("business_day_grid", "O-45 O-05", """
+WITH r AS (SELECT o_orderpriority AS id, date_trunc('day', o_orderdate) AS d, o_totalprice::DECIMAL(18, 2) AS v FROM orders),
+s AS (SELECT id, d - to_days(greatest(isodow(d)::INTEGER - 5, 0)) AS date, sum(v)::DOUBLE AS value FROM r GROUP BY 1, 2),
+g AS (SELECT id, unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS date FROM s GROUP BY id)
+SELECT g.id, g.date::TIMESTAMP AS date, round(value, 0) AS value FROM g LEFT JOIN s ON g.id = s.id AND g.date = s.date
+WHERE isodow(g.date) <= 5""")
+def business_day_grid(spark, sf):
+    """Weekend orders count for the Friday before, so the sum over the grid is that of all orders."""
+    series = P.build_series(table(spark, sf, "orders"), "o_orderpriority", "o_orderdate", "o_totalprice", "business_day",
+                            decimals=2)
+    return P.regular_grid(series, "business_day").select("id", "date", F.round("value", 0).alias("value"))
+
+
 REGRESSORS = """SELECT o_orderpriority AS id, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS date,
   CAST(count(*) AS DOUBLE) AS n_orders,
   round(CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(*), 4) AS avg_price

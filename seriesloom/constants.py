@@ -86,10 +86,9 @@ METHOD_DEFAULTS = {
     "MARS": {"num_terms": 20, "prod_degree": 1, "prune_method": "backward"},
     "KNN": {"neighbors": 5},
     "SVM": {"boundary": "Linear", "cost": 1.0, "margin": 0.1, "rbf_sigma": 0.02},
-    # 1000 trees in the desktop defaults; 100 here, the forest is flat long before that.
-    "Random Forest": {"rf_mtry": 5, "rf_trees": 100, "rf_min_n": 5},
+    "Random Forest": {"rf_mtry": 5, "rf_trees": 1000, "rf_min_n": 5},
     "Boosted Trees": {
-        "boost_method": "XGBoost", "boost_mtry": 5, "boost_trees": 100, "boost_min_n": 1,
+        "boost_method": "XGBoost", "boost_mtry": 5, "boost_trees": 1000, "boost_min_n": 1,
         "boost_tree_depth": 6, "boost_learn_rate": 0.3, "boost_loss_reduction": 0.0, "boost_sample_size": 1.0,
     },
     "Cubist": {"committees": 1, "cub_neighbors": 0, "max_rules": 20},

@@ -36,7 +36,7 @@ def step(grain: str) -> Column:
 
 
 def truncate(col: Column, grain: str) -> Column:
-    """Start of the period a time stamp falls in."""
+    """Start of the period a time stamp falls in; a weekend belongs to the business day before it."""
     check_grain(grain)
     if grain in ("year", "quarter", "month", "week"):
         return F.trunc(col.cast("date"), grain).cast("timestamp_ntz")
@@ -44,8 +44,11 @@ def truncate(col: Column, grain: str) -> Column:
         first = F.when(F.month(col) <= 6, 1).otherwise(7)
         return F.make_date(F.year(col), first, F.lit(1)).cast("timestamp_ntz")
     day = col.cast("date").cast("timestamp_ntz")
-    if grain in ("day", "business_day"):
+    if grain == "day":
         return day
+    if grain == "business_day":
+        after = F.weekday(col) - 4  # days since Friday, above 0 on Saturday and Sunday
+        return F.date_sub(col.cast("date"), F.greatest(after, F.lit(0))).cast("timestamp_ntz")
     seconds = F.hour(col) * 3600
     if grain == "half_hour":
         seconds = seconds + F.when(F.minute(col) >= 30, 1800).otherwise(0)

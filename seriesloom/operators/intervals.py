@@ -12,9 +12,9 @@ from seriesloom.operators.reshape import with_levels
 def add_conformal(preds: DataFrame, run: str, levels: list[float]) -> DataFrame:
     """Predicted rows of a run with split-conformal bounds for every level.
 
-    The half width is the ceil((n + 1) level)-th smallest absolute test residual of the same id and model. The residuals
-    (as many as the hold-out has rows) reach the rows of the run by a window, so the predictions are read once and
-    nothing is joined.
+    The half width is the ceil((n + 1) level)-th smallest absolute test residual of the same id and model. A level
+    that needs more residuals than there are has no bounds. The residuals (as many as the hold-out has rows) reach the
+    rows of the run by a window, so the predictions are read once and nothing is joined.
     """
     rows = preds.where(F.col("ahead") & F.col("run").isin("test", run))
     size = F.when(F.col("run") == "test", F.abs(F.col("actual") - F.col("prediction")))
@@ -23,8 +23,8 @@ def add_conformal(preds: DataFrame, run: str, levels: list[float]) -> DataFrame:
         "id", "model_desc", F.lit("prediction").alias("key"), "date", F.col("prediction").alias("value"), "widths")
     rows = with_levels(rows, levels)
     n = F.size("widths")
-    k = F.least(n, F.ceil((n + 1) * F.col("conf_lvl").cast("double") - 1e-9)).cast("int")
-    half = F.when(n > 0, F.element_at("widths", F.greatest(k, F.lit(1))))
+    k = F.greatest(F.lit(1), F.ceil((n + 1) * F.col("conf_lvl").cast("double") - 1e-9)).cast("int")
+    half = F.when(k <= n, F.try_element_at("widths", k))
     return rows.withColumns({"conf_lo": F.col("value") - half, "conf_hi": F.col("value") + half}).drop("widths")
 
 

@@ -107,14 +107,18 @@ def arima_fit(frame: DataFrame, m: int, params: dict, extra: list[str] = ()) ->
 
 
 def sarima(frame: DataFrame, ctx: Context, params: dict, extra: list[str] = ()) -> DataFrame:
-    """ARIMA(p,d,q)(P,D,Q); with feature columns in the context, ARIMA errors around a regression on them."""
+    """ARIMA(p,d,q)(P,D,Q); with feature columns in the context, ARIMA errors around a regression on them.
+
+    Rows with a missing regressor have no place in the regression: they are left out of the fit and predicted as null.
+    """
     m = max(1, ctx.period)
     offset = None
     if ctx.features:
         x = features_array(list(ctx.features))
         frame = fit_in_place(frame, RUN_KEYS, x, F.col("y"), "_bx", penalty=[0.0] + [1e-6] * len(ctx.features))
-        frame = frame.withColumn("_reg", F.coalesce(fitted(x, F.col("_bx")), F.lit(0.0))).drop("_bx")
-        frame = frame.withColumn("y", F.col("y") - F.col("_reg"))
+        frame = frame.withColumn("_reg", fitted(x, F.col("_bx"))).drop("_bx")
+        left_out = frame.where(F.col("_reg").isNull())
+        frame = frame.where(F.col("_reg").isNotNull()).withColumn("y", F.col("y") - F.col("_reg"))
         extra = [*extra, "_reg"]
         offset = "_reg"
     arrays, names = arima_fit(frame, m, params, extra)
@@ -161,6 +165,9 @@ def sarima(frame: DataFrame, ctx: Context, params: dict, extra: list[str] = ())
     rows = zipped.select(*RUN_KEYS, "q.rows.*", F.col("q.p").alias("_p"))
     if offset:
         rows = rows.withColumn("_p", F.col("_p") + F.col("_reg"))
+        left_out = left_out.withColumn("_p", F.lit(None).cast("double"))
+        rows = rows.unionByName(left_out.select(*[c for c in rows.columns if c in left_out.columns]),
+                                allowMissingColumns=True)
     out = predictions(rows, "SARIMA", F.col("_p"))
     keep = [c for c in extra if c != "_reg"]
     return out if not keep else rows.select(*BASE, F.lit("SARIMA").alias("model_desc"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -15,15 +17,20 @@ from seriesloom.operators.panel import whole
 
 
 def scaled_frame(frame: DataFrame, ctx: Context, method: str) -> tuple[DataFrame, list[str]]:
-    """Target and value-based features (lags, rolls) on the scale of their series; features as one vector."""
+    """Target and value-based features (lags, rolls) on the scale of their series; features as one vector.
+
+    Rows without some feature stay: ``_whole`` is false there and the label null, so nothing is fitted on them.
+    """
     df, names = feature_names(frame, ctx, method)
     mean, sd = F.avg("y").over(whole(*RUN_KEYS)), F.stddev_samp("y").over(whole(*RUN_KEYS))
     df = df.withColumn("_mu", mean).withColumn("_sd", F.coalesce(F.nullif(sd, F.lit(0.0)), F.lit(1.0)))
     moved = {c: (F.col(c) - F.col("_mu")) / F.col("_sd") for c in names if c.startswith(("lag", "roll_mean"))}
     moved.update({c: F.col(c) / F.col("_sd") for c in names if c.startswith("roll_sd")})
     plain = {c: F.col(c).cast("double") for c in names if c not in moved}
-    df = df.withColumns({**moved, **plain, "label": (F.col("y") - F.col("_mu")) / F.col("_sd")})
-    vectors = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="skip").transform(df)
+    df = df.withColumns({**moved, **plain}).withColumn("_whole", reduce(
+        lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(c) for c in names], F.lit(True)))
+    df = df.withColumn("label", F.when(F.col("_whole"), (F.col("y") - F.col("_mu")) / F.col("_sd")))
+    vectors = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep").transform(df)
     return vectors, names
 
 
@@ -42,7 +49,7 @@ def pooled(frame: DataFrame, ctx: Context, method: str, estimator, runs: list[st
         model = estimator.fit(part.where("label IS NOT NULL").select("features", "label"))
         rows = model.transform(part)
         value = F.col("_mu") + F.col("_sd") * F.col("prediction")
-        rows = rows.withColumn("_v", value).drop("prediction")
+        rows = rows.withColumn("_v", F.when(F.col("_whole"), value)).drop("prediction")
         rows = predictions(rows, method, F.col("_v"))
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -100,7 +107,7 @@ def leaf_linear(frame: DataFrame, ctx: Context, params: dict) -> DataFrame:
             part = joined.withColumn("_guess", guess).withColumn("_sum", F.col("_sum") + F.col("_guess")).withColumn(
                 "_target", 2 * F.col("label") - F.col("_guess")).drop("_leaf", "_tree", "beta", "_guess")
         value = F.col("_mu") + F.col("_sd") * F.col("_sum") / members
-        rows = predictions(part, "Cubist", value)
+        rows = predictions(part, "Cubist", F.when(F.col("_whole"), value))
         out = rows if out is None else out.unionByName(rows)
     return out
 

@@ -129,13 +129,13 @@ def regular_grid(panel: DataFrame, grain: str) -> DataFrame:
     """Every period between the first and last date of each id; missing ones carry null values.
 
     Each row expands into itself and the empty periods up to the next row, so there is no second scan and no join.
-    Dates must lie on the grain, as ``build_series`` leaves them.
+    Dates should lie on the grain, as ``build_series`` leaves them; a row that does not keeps its own date.
     """
     after = F.lead("date").over(by_date())
     dates = F.filter(periods.dates_between(F.col("date"), F.col("_next"), grain), lambda d: d < F.col("_next"))
     own = F.array(F.col("date"))
     rows = panel.withColumn("_next", after).withColumn(
-        "_d", F.explode(F.when(F.col("_next").isNull(), own).otherwise(dates)))
+        "_d", F.explode(F.when(F.col("_next").isNull(), own).otherwise(F.array_union(own, dates))))
     others = [c for c in panel.columns if c not in KEY]
     return rows.select("id", F.col("_d").alias("date"), *[
         F.when(F.col("_d") == F.col("date"), F.col(c)).alias(c) for c in others])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -159,8 +160,12 @@ def levels_of(conf_min: float, conf_max: float | None = None, by: float = 0.05)
 
 
 def with_levels(df: DataFrame, levels: list[float], out: str = "conf_lvl") -> DataFrame:
-    """Repeat every row once per level; a literal array, so no join."""
-    array = F.array(*[F.lit(lv).cast("decimal(3,2)") for lv in levels])
+    """Repeat every row once per level; a literal array, so no join.
+
+    Levels are decimals with two places, or as many as they need.
+    """
+    places = max([2, *[-Decimal(str(lv)).normalize().as_tuple().exponent for lv in levels]])
+    array = F.array(*[F.lit(Decimal(str(lv))).cast(f"decimal({places + 1},{places})") for lv in levels])
     return df.withColumn(out, F.explode(array))
 
 

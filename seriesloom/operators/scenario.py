@@ -25,7 +25,7 @@ def aggregate(forecast: DataFrame, n_future: int, level: float = 0.9, how: str =
         raise ValueError(f"unknown aggregation {how!r}; one of {AGGREGATIONS}")
     fold = {"sum": F.sum, "mean": F.avg, "median": F.median}[how]
     keys = ["id", "model_desc"]
-    preds = forecast.where((F.col("key") == "prediction") & (F.col("conf_lvl") == F.lit(level).cast("decimal(3,2)")))
+    preds = forecast.where((F.col("key") == "prediction") & (F.abs(F.col("conf_lvl").cast("double") - level) < 1e-9))
     ahead = preds.groupBy(*keys).agg(
         fold("value").alias("mid"), fold("conf_lo").alias("lo"), fold("conf_hi").alias("hi"),
         F.stddev_samp("value").alias("sd"))
@@ -49,7 +49,7 @@ def aggregate(forecast: DataFrame, n_future: int, level: float = 0.9, how: str =
 
 def scenario_values(forecast: DataFrame, level: float = 0.9, digits: int = 2) -> DataFrame:
     """Date, worst case, forecast and best case of every predicted row."""
-    preds = forecast.where((F.col("key") == "prediction") & (F.col("conf_lvl") == F.lit(level).cast("decimal(3,2)")))
+    preds = forecast.where((F.col("key") == "prediction") & (F.abs(F.col("conf_lvl").cast("double") - level) < 1e-9))
     return preds.select(
         "id", "model_desc", "date", F.round("conf_lo", digits).alias("worst_case"),
         F.round("value", digits).alias("forecast"), F.round("conf_hi", digits).alias("best_case"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
@@ -52,9 +54,12 @@ def _boosted(wide: DataFrame, names: list[str]) -> DataFrame:
     mean, sd = F.avg("actual").over(whole()), F.stddev_samp("actual").over(whole())
     df = wide.withColumn("_mu", mean).withColumn("_sd", F.coalesce(F.nullif(sd, F.lit(0.0)), F.lit(1.0)))
     df = df.withColumns({n: (F.col(n) - F.col("_mu")) / F.col("_sd") for n in names})
-    df = df.withColumn("label", (F.col("y") - F.col("_mu")) / F.col("_sd"))
-    df = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="skip").transform(df)
+    whole_row = reduce(lambda a, b: a & b, [F.col(n).isNotNull() & ~F.isnan(n) for n in names], F.lit(True))
+    df = df.withColumn("_whole", whole_row).withColumn(
+        "label", F.when(F.col("_whole"), (F.col("y") - F.col("_mu")) / F.col("_sd")))
+    df = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep").transform(df)
     model = GBTRegressor(maxIter=15, maxDepth=3, seed=SEED).fit(
         df.where("label IS NOT NULL").select("features", "label"))
     scored = model.transform(df)
-    return scored.withColumn("prediction", F.col("_mu") + F.col("_sd") * F.col("prediction"))
+    value = F.col("_mu") + F.col("_sd") * F.col("prediction")
+    return scored.withColumn("prediction", F.when(F.col("_whole"), value)).drop("_whole")

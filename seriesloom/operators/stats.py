@@ -8,9 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.functions import distributions as S
-from seriesloom.operators.panel import by_date, by_date_desc, whole
-
-SAMPLE = 5000  # the tests look at the last 5000 points of a series
+from seriesloom.operators.panel import by_date, whole
 
 # Null hypotheses by test.
 NULL_HYPOTHESES = {
@@ -30,15 +28,10 @@ def stars(p: Column) -> Column:
 
 
 def sample(panel: DataFrame) -> DataFrame:
-    """Last points of each series with n (all points) and k, the number of lags of the tests."""
+    """Known points of each series, all of them, with their number n and k, the number of lags of the tests."""
     known = panel.where(F.col("value").isNotNull())
-    n = F.count(F.lit(1)).over(whole())
-    ranked = known.select("id", "date", "value", n.alias("n"), F.row_number().over(by_date_desc()).alias("_r"))
-    k = F.floor(F.pow(F.col("n") - 1, F.lit(1.0 / 3.0))).cast("int")
-    return ranked.where(F.col("_r") <= SAMPLE).withColumn("k", k).drop("_r")
-
-
-MOST_LAGS = int(4 * (SAMPLE / 100) ** 0.25)  # truncation lag of the KPSS statistic at the full sample: 10
+    counted = known.select("id", "date", "value", F.count(F.lit(1)).over(whole()).alias("n"))
+    return counted.withColumn("k", F.floor(F.pow(F.col("n") - 1, F.lit(1.0 / 3.0))).cast("int"))
 
 
 def gather(points: DataFrame) -> DataFrame:
@@ -49,14 +42,24 @@ def gather(points: DataFrame) -> DataFrame:
     w = by_date()
     e = points.withColumn("e", F.col("value") - F.avg("value").over(whole()))
     e = e.withColumn("cum", F.sum("e").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    e = e.withColumns({f"p{i}": F.col("e") * F.lag("e", i).over(w) for i in range(1, MOST_LAGS + 1)})
     rows = F.array_sort(F.collect_list(F.struct("date", "value", "e")))
     return e.groupBy("id").agg(
         F.count(F.lit(1)).alias("m"), F.first("k").alias("k"), F.skewness("value").alias("skew"),
         F.kurtosis("value").alias("kurt"), F.sum(F.col("cum") * F.col("cum")).alias("cum2"),
-        F.sum(F.col("e") * F.col("e")).alias("ss"),
-        F.array(*[F.coalesce(F.sum(f"p{i}"), F.lit(0.0)) for i in range(1, MOST_LAGS + 1)]).alias("products"),
-        rows.alias("rows"))
+        F.sum(F.col("e") * F.col("e")).alias("ss"), rows.alias("rows"))
+
+
+def lag_sum(lag: Column) -> Column:
+    """Sum of the products of deviations ``lag`` points apart, over the rows of a series."""
+    size = F.greatest(F.col("m") - lag, F.lit(0)).cast("int")
+    d = F.transform("rows", lambda r: r["e"])
+    pairs = F.zip_with(F.slice(d, F.lit(1), size), F.slice(d, lag + 1, size), lambda a, b: a * b)
+    return F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x)
+
+
+def lags_up_to(most: Column) -> Column:
+    """1, 2, ... most; empty for 0."""
+    return F.slice(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), F.lit(1), F.greatest(most, F.lit(0)))
 
 
 def _result(test: str, statistic: Column, p_value: Column) -> Column:
@@ -71,32 +74,24 @@ def jarque_bera_of() -> list[Column]:
 def kpss_of() -> list[Column]:
     """Level stationarity with Bartlett weights up to trunc(4 (n / 100)^(1/4)) lags."""
     m = F.col("m")
-    lags = F.floor(4 * F.pow(m / 100.0, F.lit(0.25)))
-    spread = F.col("ss") / m
-    for i in range(1, MOST_LAGS + 1):
-        spread = spread + F.when(
-            F.lit(i) <= lags, 2.0 / m * (1 - i / (lags + 1)) * F.col("products")[i - 1]).otherwise(0.0)
+    lags = F.floor(4 * F.pow(m / 100.0, F.lit(0.25))).cast("int")
+    spread = F.aggregate(F.transform(lags_up_to(F.least(lags, m.cast("int") - 1)),
+                                     lambda i: 2.0 / m * (1 - i / (lags + 1)) * lag_sum(i)),
+                         F.col("ss") / m, lambda s, x: s + x)
     stat = F.try_divide(F.col("cum2") / (m * m), spread)
     return [_result("KPSS", stat, S.kpss_p(stat))]
 
 
 def with_box(gathered: DataFrame) -> DataFrame:
     """Adds bp and lb, the Box-Pierce and Ljung-Box statistics over the first k autocorrelations; k differs by id."""
-    d = F.transform("rows", lambda r: r["e"])
-    df = gathered.withColumn("_d", d)
-    size = lambda lag: F.greatest(F.col("m") - lag, F.lit(0)).cast("int")
-    product = lambda lag: F.aggregate(
-        F.zip_with(F.slice("_d", F.lit(1), size(lag)), F.slice("_d", lag + 1, size(lag)), lambda a, b: a * b),
-        F.lit(0.0), lambda s, x: s + x)
     usable = F.least(F.col("k"), F.col("m").cast("int") - 1)
-    lags = F.slice(F.sequence(F.lit(1), F.greatest(usable, F.lit(1))), F.lit(1), F.greatest(usable, F.lit(0)))
-    df = df.withColumn("_r", F.transform(
-        lags, lambda lag: F.struct(lag.alias("lag"), F.try_divide(product(lag), F.col("ss")).alias("r"))))
+    df = gathered.withColumn("_r", F.transform(lags_up_to(usable), lambda lag: F.struct(
+        lag.alias("lag"), F.try_divide(lag_sum(lag), F.col("ss")).alias("r"))))
     zero, m = F.lit(0.0), F.col("m")
     return df.withColumns({
         "bp": m * F.aggregate("_r", zero, lambda s, x: s + x["r"] * x["r"]),
         "lb": m * (m + 2) * F.aggregate("_r", zero, lambda s, x: s + x["r"] * x["r"] / (m - x["lag"])),
-    }).drop("_d", "_r")
+    }).drop("_r")
 
 
 def box_of() -> list[Column]:
@@ -167,7 +162,7 @@ def phillips_perron(x: np.ndarray) -> tuple[float, float]:
 
 
 def array_results() -> Column:
-    """Shapiro-Wilk, augmented Dickey-Fuller and Phillips-Perron: at most 5000 points of one series per call."""
+    """Shapiro-Wilk, augmented Dickey-Fuller and Phillips-Perron over all points of a series."""
 
     @F.pandas_udf("array<struct<test:string,statistic:double,p_value:double>>")
     def run(x: pd.Series, k: pd.Series) -> pd.Series:

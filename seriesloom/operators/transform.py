@@ -160,14 +160,15 @@ def seed_rows(params: DataFrame, name: str, side: str = "first") -> DataFrame:
 
 def undo_difference(
     df: DataFrame, params: DataFrame, name: str, columns: list[str] = ("value",), keys: list[str] = ("id",),
-    side: str = "first",
+    side: str = "first", seed_keys: list[str] = ("id",),
 ) -> DataFrame:
     """Running sums over date from the seed: 'first' for the history, 'last' for rows after the last observation.
 
-    ``name`` is d (lag 1) or sd (one season); a seasonal difference is summed within each phase.
+    ``name`` is d (lag 1) or sd (one season); a seasonal difference is summed within each phase. ``params`` has one row
+    for each value of ``seed_keys``.
     """
     lag = F.size(F.col("_seed"))
-    seeded = df.join(params.select("id", F.col(f"{name}_{side}").alias("_seed")), "id", "left")
+    seeded = df.join(params.select(*seed_keys, F.col(f"{name}_{side}").alias("_seed")), list(seed_keys), "left")
     seeded = seeded.withColumn("_i", F.row_number().over(by_date(*keys)) - 1)
     seeded = seeded.withColumn("_phase", F.pmod("_i", lag))
     w = by_date(*keys, "_phase").rowsBetween(Window.unboundedPreceding, 0)
@@ -201,7 +202,52 @@ def invert_forecast(df: DataFrame, params: DataFrame, steps: list[str], keys: li
     return invert_values(df, params, steps, columns)
 
 
-def invert_residuals(df: DataFrame, params: DataFrame, steps: list[str]) -> DataFrame:
-    """Undo the steps on actual and prediction, and take the residual again."""
-    out = invert_values(df, params, steps, ["actual", "prediction"])
-    return out.withColumn("residual", F.col("actual") - F.col("prediction"))
+def history_levels(data: DataFrame, params: DataFrame, steps: list[str]) -> list[tuple[str, DataFrame]]:
+    """For each difference step, last one first, its name and the history (id, date, value, lag) with the step undone."""
+    steps, out, df = ordered_steps(steps), [], data.select("id", "date", "value")
+    for step, name in (("Seasonal Differencing", "sd"), ("Differencing", "d")):
+        if step in steps:
+            df = restore_history(df, params, name)
+            lag = F.col("period").cast("int") if name == "sd" else F.lit(1)
+            out.append((name, df.join(params.select("id", lag.alias("lag")), "id")))
+    return out
+
+
+def invert_ahead(df: DataFrame, levels: list[tuple[str, DataFrame]], columns: list[str], keys: list[str],
+                 starts: list[str] = ("id",)) -> DataFrame:
+    """Undo the differences on rows ahead: running sums from the last values before the first row of each ``starts``.
+
+    So a hold-out continues the history before it, and the future the last observation. ``keys`` tell series of rows
+    apart, ``starts`` those that begin at one date.
+    """
+    for name, level in levels:
+        first = df.groupBy(*starts).agg(F.min("date").alias("_first"))
+        before = level.join(first, "id").where(F.col("date") < F.col("_first"))
+        rank = F.row_number().over(Window.partitionBy(*starts).orderBy(F.desc("date")))
+        seeds = before.withColumn("_r", rank).where(F.col("_r") <= F.col("lag")).groupBy(*starts).agg(
+            F.array_sort(F.collect_list(F.struct("date", "value"))).alias(f"{name}_last"))
+        df = undo_difference(df, seeds, name, columns, keys, "last", starts)
+    return df
+
+
+def invert_predictions(df: DataFrame, data: DataFrame, params: DataFrame, steps: list[str]) -> DataFrame:
+    """Undo all steps on actual and prediction of predicted rows (id, run, model_desc, date, ahead, ...).
+
+    A fitted row is one step from the known values before it; rows ahead follow each other.
+    """
+    columns, levels = df.columns, history_levels(data, params, steps)
+    ahead = invert_ahead(df.where("ahead"), levels, ["prediction"], ["id", "run", "model_desc"], ["id", "run"])
+    fit = df.where("NOT ahead")
+    known = None
+    for _, level in levels:
+        order = F.row_number().over(by_date())
+        numbered = level.withColumn("_n", order)
+        back = numbered.select("id", (F.col("_n") + F.col("lag")).alias("_n"), F.col("value").alias("_before"))
+        known = numbered.join(back, ["id", "_n"], "left").select("id", "date", F.col("value").alias("_known"), "_before")
+        fit = fit.join(known.drop("_known"), ["id", "date"], "left").withColumn(
+            "prediction", F.col("prediction") + F.col("_before")).drop("_before")
+    out = fit.select(*columns).unionByName(ahead.select(*columns))
+    if known is not None:
+        out = out.join(known.drop("_before"), ["id", "date"], "left").withColumn(
+            "actual", F.when(F.col("actual").isNotNull(), F.col("_known"))).select(*columns)
+    return invert_values(out, params, steps, ["actual", "prediction"])

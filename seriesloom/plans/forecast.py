@@ -137,23 +137,23 @@ def only_combinations(result: Forecast) -> Forecast:
 
 
 def back_transform(result: Forecast, params: DataFrame, steps: list[str]) -> Forecast:
-    """All tables on the original scale; accuracy is taken again from the restored values."""
-    from seriesloom.operators.transform import invert_forecast, invert_panel, invert_residuals
+    """All tables on the original scale; residuals and accuracy are taken again from the restored values."""
+    from seriesloom.operators.transform import history_levels, invert_ahead, invert_panel, invert_predictions, invert_values
 
-    keys = ["id", "model_desc", "conf_lvl", "key"]
+    keys, bounds = ["id", "model_desc", "conf_lvl", "key"], ["value", "conf_lo", "conf_hi"]
+    levels = history_levels(result.data, params, steps)
 
     def table(df):
-        ahead = invert_forecast(df.where("key = 'prediction'"), params, steps, keys)
+        ahead = invert_ahead(df.where("key = 'prediction'"), levels, bounds, keys)
+        ahead = invert_values(ahead, params, steps, bounds)
         known = df.where("key = 'actual'")
         back = invert_panel(known.select("id", "date", "value"), params, steps)
         return ahead.unionByName(
             back.select("id", F.lit("ACTUAL").alias("model_desc"), F.lit("actual").alias("key"), "date", "value"),
             allowMissingColumns=True)
 
-    residuals = invert_residuals(result.residuals, params, steps)
-    accuracy = accuracy_table(
-        residuals.withColumn("type", F.initcap("split")), ["id", "model_desc", "type"])
+    parts = invert_predictions(result.predictions, result.data, params, steps)
     return Forecast(
-        invert_panel(result.data.select("id", "date", "value"), params, steps), result.models, result.predictions,
-        residuals.where("split = 'test'").drop("split"), residuals, accuracy, table(result.test_forecast),
+        invert_panel(result.data.select("id", "date", "value"), params, steps), result.models, parts,
+        calibration_of(parts), residuals_of(parts), accuracy_of(parts), table(result.test_forecast),
         table(result.oos_forecast))
