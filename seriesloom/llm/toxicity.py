@@ -79,11 +79,11 @@ class Model:
                      [np.zeros(FILTERS, np.float32) for _ in WIDTHS],
                      random.normal(0, 0.2, len(WIDTHS) * FILTERS).astype(np.float32), 0.0)
 
-    def responses(self, vectors: np.ndarray) -> np.ndarray:
-        """Largest response of each filter over word vectors, padded so that every word starts a window of each width."""
+    def responses(self, vectors: np.ndarray, starts: int) -> np.ndarray:
+        """Largest response of each filter over the windows that start at the first ``starts`` words; zeros follow the last."""
         top = []
         padded = np.concatenate((vectors, np.zeros((max(WIDTHS) - 1, DIM), np.float32)))
-        n = len(vectors)
+        n = starts
         for w, f, b in zip(WIDTHS, self.filters, self.bias):
             total = padded[:n] @ f[:DIM]
             for k in range(1, w):
@@ -204,10 +204,10 @@ class Scorer:
     def __call__(self, text: bytes) -> float:
         words = text.split()
         if not words:
-            return self.model.score(self.model.responses(np.zeros((1, DIM), np.float32)))
+            return self.model.score(self.model.responses(np.zeros((1, DIM), np.float32), 1))
         top, over = None, max(WIDTHS) - 1
         for k in range(0, len(words), BLOCK):
-            part = self.model.responses(self._vectors(words[k:k + BLOCK + over]))
+            part = self.model.responses(self._vectors(words[k:k + BLOCK + over]), min(BLOCK, len(words) - k))
             top = part if top is None else np.maximum(top, part)
         return self.model.score(top)
 
