@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 import os
-import re
 from itertools import chain
 
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Blanks on which a text is cut into pieces whose ids do not depend on each other, and blanks or marks for which it is not.
-_ODD = re.compile(r"[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]"
-                  r"|[ \n]{2}|^[ \n]|[ \n]$|<\|")
+#: Blanks other than space and line feed, blanks in a row, and the mark of a special token: texts with them are not cut.
+_ODD = [*"\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2028\u2029\u202f\u205f\u3000\ufeff",
+        *map(chr, range(0x2000, 0x200c)), "  ", " \n", "\n ", "\n\n", "<|"]
 #: Words whose ids are remembered (the first ones met: the common words are among them), and letters in such a word.
-MEMO, LONGEST = 600_000, 40
+MEMO, LONGEST = 900_000, 40
 
 
 class Encoder:
@@ -41,21 +40,18 @@ class Encoder:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, memo: dict[str, bytes], words: set[str], before: str) -> None:
-        """Ids of new words; words with a blank before them are encoded as one text, whose ids are cut by their bytes."""
-        words = list(words)
+        """Ids of new words after a space or a line feed: encoded as one text, whose ids are cut by their bytes."""
+        words, step = list(words), self.kind().itemsize
+        skip = step * (before == "\n")  # the line feed has an id of its own
         for k in range(0, len(words), 2048):
             some = [before + w for w in words[k:k + 2048]]
-            found = None
-            if before:
-                ids = self._whole(["".join(some)])[0]
-                ends = np.cumsum(self.bytes[ids])
-                cuts = np.searchsorted(ends, np.cumsum([len(w.encode()) for w in some])) + 1
-                if len(ids) and len(ids) == cuts[-1]:
-                    data, step, cuts = ids.astype(self.kind).tobytes(), self.kind().itemsize, cuts.tolist()
-                    found = [data[a * step:b * step] for a, b in zip([0, *cuts], cuts)]
-            if found is None:
-                found = [x.astype(self.kind).tobytes() for x in self._whole(some)]
-            memo.update(zip(words[k:k + 2048], found))
+            ids = self._whole(["".join(some)])[0]
+            ends, wanted = np.cumsum(self.bytes[ids]), np.cumsum([len(w.encode()) for w in some])
+            cuts = np.searchsorted(ends, wanted) + 1
+            if len(ids) != cuts[-1] or not np.array_equal(ends[cuts - 1], wanted):
+                raise ValueError("this tokenizer is not byte-level: give split=False")
+            data, cuts = ids.astype(self.kind).tobytes(), (cuts * step).tolist()
+            memo.update(zip(words[k:k + 2048], [data[a + skip:b] for a, b in zip([0, *cuts], cuts)]))
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         out: list = [None] * len(texts)
@@ -63,7 +59,7 @@ class Encoder:
         for i, t in enumerate(texts):
             if not t:
                 out[i] = np.zeros(0, np.uint32)
-            elif self.split and not _ODD.search(t):
+            elif self.split and t[0] not in " \n" and t[-1] not in " \n" and not any(map(t.__contains__, _ODD)):
                 cut.append(i)
             else:
                 whole.append(i)
@@ -76,7 +72,7 @@ class Encoder:
             passing = [(memo, w) for memo, words, most in ((self.spaced, new, MEMO), (self.bare, first, MEMO // 8))
                        for w in words if len(w) > LONGEST or len(memo) >= most]
             self._learn(self.spaced, new, " ")
-            self._learn(self.bare, first, "")
+            self._learn(self.bare, first, "\n")
             spaced, bare = self.spaced.__getitem__, self.bare.__getitem__
             for i in cut:
                 ids = self.line.join(bare(line[0]) + b"".join(map(spaced, line[1:])) for line in lines[i])
