@@ -60,7 +60,7 @@ def history(spark, sf):
 
 @query("predictive_power", "O-97")
 def predictive_power(spark, sf):
-    return IM.predictive_power(history(spark, sf), ["time_trend", "month", "lag12"])
+    return IM.predictive_power(history(spark, sf), list(FEATURES))
 
 
 @query("lasso_importance", "O-98")
@@ -80,13 +80,12 @@ def lasso_single_feature(spark, sf):
 
 @query("forest_importance", "O-99")
 def forest_importance(spark, sf):
-    return IM.forest(history(spark, sf), ["time_trend", "month", "lag12"], trees=10, repeats=2)
+    return IM.forest(history(spark, sf), list(FEATURES))
 
 
 @query("combined_importance", "O-100")
 def combined_importance(spark, sf):
-    return IM.importance(history(spark, sf), ["Correlation", "PPS", "LASSO", "Random Forest"],
-                         ["time_trend", "month", "lag12"])
+    return IM.importance(history(spark, sf), ["Correlation", "PPS", "LASSO", "Random Forest"], list(FEATURES))
 
 
 # Two importance types whose scores SQL can build: rank correlation, and ten times its absolute value as LASSO.

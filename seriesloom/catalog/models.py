@@ -269,14 +269,14 @@ _register("model_elastic_net", "O-114", "Elastic Net")
 _register("model_hinge_basis", "O-115", "MARS", {"num_terms": 10})
 _register("model_support_vector", "O-117", "SVM")
 _register("model_support_vector_radial", "O-117", "SVM", {"boundary": "Radial"})
-_register("model_random_forest", "O-118", "Random Forest", {"rf_trees": 20})
-_register("model_boosted_trees", "O-119", "Boosted Trees", {"boost_trees": 8, "boost_tree_depth": 4})
+_register("model_random_forest", "O-118", "Random Forest")
+_register("model_boosted_trees", "O-119", "Boosted Trees")
 _register("model_leaf_linear", "O-120", "Cubist", {"committees": 2})
 _register("model_feed_forward", "O-121", "Feed-Forward")
 _register("model_feed_forward_ar", "O-122", "Feed-Forward AR", {
     "ffar_num_networks": 3, "ffar_hidden_units": 5, "ffar_non_seasonal_ar": 2, "ffar_seasonal_ar": 1})
-_register("model_arima_boost", "O-123", "ARIMA-Boost", {"arima_boost_trees": 5, "arima_boost_tree_depth": 3})
-_register("model_changepoint_boost", "O-124", "Prophet-Boost", {"prophet_boost_trees": 5, "prophet_boost_tree_depth": 3})
+_register("model_arima_boost", "O-123", "ARIMA-Boost")
+_register("model_changepoint_boost", "O-124", "Prophet-Boost")
 _register("model_several_seasons", "O-110", "TBATS")
 _register("model_changepoints", "O-112", "Prophet")
 _register("model_changepoints_logistic", "O-112", "Prophet", {"growth": "logistic"})

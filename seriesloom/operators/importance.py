@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.constants import SEED
-from seriesloom.operators.explain import permutation_importance
+from seriesloom.functions import trees as T
 from seriesloom.operators.linear import elastic_net, features_array, fit_series
 from seriesloom.operators.panel import all_but_last_rows, last_rows, whole
 from seriesloom.operators.reshape import feature_columns, stack
@@ -62,34 +64,36 @@ def correlation_matrix(df: DataFrame, features: list[str], method: str = "spearm
     return wide.select("id", F.inline(entries))
 
 
-def _scaled(rows: DataFrame, features: list[str]) -> DataFrame:
-    """Target, and features taken from the target, on the scale of their series."""
-    mean, sd = F.avg("value").over(whole()), F.stddev_samp("value").over(whole())
-    df = rows.withColumn("_mu", mean).withColumn("_sd", F.coalesce(F.nullif(sd, F.lit(0.0)), F.lit(1.0)))
-    moved = {c: (F.col(c) - F.col("_mu")) / F.col("_sd") for c in features if c.startswith(("lag", "roll_mean"))}
-    moved.update({c: F.col(c) / F.col("_sd") for c in features if c.startswith("roll_sd")})
-    moved.update({c: F.col(c).cast("double") for c in features if c not in moved})
-    return df.withColumns({**moved, "actual": (F.col("value") - F.col("_mu")) / F.col("_sd")}).drop("_mu", "_sd")
+def _per_series(df: DataFrame, features: list[str], kind: str, score) -> DataFrame:
+    """Positive scores score(x, y) of the features, one job group per series."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("date")
+        found = score(part[features].to_numpy(float), part["value"].to_numpy(float))
+        return pd.DataFrame({"id": part["id"].iloc[0], "variable": features, "importance": found})
+
+    rows = complete_rows(df, features).select("id", "date", "value", *[F.col(c).cast("double").alias(c) for c in features])
+    scores = rows.groupBy("id").applyInPandas(run, "id string, variable string, importance double")
+    return scores.where(F.col("importance") > 0).select("id", "variable", "importance", F.lit(kind).alias("type"))
 
 
-def predictive_power(df: DataFrame, features: list[str]) -> DataFrame:
+def predictive_power(df: DataFrame, features: list[str], min_leaf: int = 7, min_share: float = 0.01) -> DataFrame:
     """max(0, 1 - MAE of a tree on one feature / MAE of the median) per id, in sample.
 
-    One pooled tree per feature (on targets scaled per series), scored for every id.
+    A split must take ``min_share`` of the squared error around the mean and leave ``min_leaf`` rows on each side.
     """
-    rows = _scaled(complete_rows(df, features), features)
-    rows = rows.withColumn("_median", F.percentile("actual", 0.5).over(whole()))
-    out = None
-    for f in features:
-        vectors = VectorAssembler(inputCols=[f], outputCol="features").transform(rows)
-        tree = DecisionTreeRegressor(labelCol="actual", maxDepth=5, minInstancesPerNode=7, seed=SEED)
-        scored = tree.fit(vectors).transform(vectors)
-        ratio = F.try_divide(F.avg(F.abs(F.col("actual") - F.col("prediction"))),
-                             F.avg(F.abs(F.col("actual") - F.col("_median"))))
-        part = scored.groupBy("id").agg(F.greatest(F.lit(0.0), 1 - ratio).alias("importance"))
-        part = part.select("id", F.lit(f).alias("variable"), "importance", F.lit("PPS").alias("type"))
-        out = part if out is None else out.unionByName(part)
-    return out.where(F.col("importance") > 0)
+
+    def score(x, y):
+        plain = np.abs(y - np.median(y)).mean()
+        least = min_share * ((y - y.mean()) ** 2).sum()
+        out = []
+        for j in range(x.shape[1]):
+            codes = T.binned(x[:, [j]])
+            guess = T.Tree(codes, y, np.arange(len(y)), min_leaf, min_gain=least).predict(codes)
+            out.append(max(0.0, 1 - np.abs(y - guess).mean() / plain) if plain > 0 else 0.0)
+        return out
+
+    return _per_series(df, features, "PPS", score)
 
 
 def lasso(df: DataFrame, features: list[str], penalty: float = 1.0) -> DataFrame:
@@ -102,15 +106,25 @@ def lasso(df: DataFrame, features: list[str], penalty: float = 1.0) -> DataFrame
         "id", F.element_at(names, F.col("j") + 1).alias("variable"), "importance", F.lit("LASSO").alias("type"))
 
 
-def forest(df: DataFrame, features: list[str], trees: int = 50, repeats: int = 3) -> DataFrame:
-    """Permutation importance per id in one pooled random forest."""
-    rows = _scaled(complete_rows(df, features), features).drop("value")
-    vectors = VectorAssembler(inputCols=features, outputCol="features")
-    model = RandomForestRegressor(labelCol="actual", numTrees=trees, maxDepth=8, seed=SEED).fit(
-        vectors.transform(rows))
-    scores = permutation_importance(rows, features, lambda d: model.transform(vectors.transform(d)), repeats)
-    return scores.where(F.col("importance") > 0).select(
-        "id", "variable", "importance", F.lit("Random Forest").alias("type"))
+def forest(df: DataFrame, features: list[str], trees: int = 500, repeats: int = 10, min_leaf: int = 5) -> DataFrame:
+    """Permutation importance in a random forest of each id: the mean rise of the RMSE when a feature is shuffled."""
+
+    def score(x, y):
+        codes, rows = T.binned(x), np.ones(len(y), bool)
+        model = T.forest(codes, y, rows, trees, max(1, x.shape[1] // 3), min_leaf, SEED)
+        random = np.random.default_rng(SEED)
+        rmse = lambda c: float(np.sqrt(((y - T.forest_predict(model, c)) ** 2).mean()))
+        base, out = rmse(codes), []
+        for j in range(x.shape[1]):
+            rise = 0.0
+            for _ in range(repeats):
+                moved = codes.copy()
+                moved[:, j] = random.permutation(moved[:, j])
+                rise += rmse(moved) - base
+            out.append(rise / repeats)
+        return out
+
+    return _per_series(df, features, "Random Forest", score)
 
 
 def importance(df: DataFrame, methods: list[str], features: list[str] | None = None) -> DataFrame:
@@ -157,13 +171,21 @@ def selected_names(scores: DataFrame) -> list[str]:
 def select_features(
     df: DataFrame, scores: DataFrame, thresholds: dict[str, float], n_future: int
 ) -> dict[str, DataFrame]:
-    """History and future rows with the selected features, the summary, and the importances that passed."""
+    """History and future rows with the selected features, the summary, and the importances that passed.
+
+    Selection is per id: a column that some ids keep is null in the rows of the others, whose history does not miss it.
+    """
     kept = keep_important(scores, thresholds)
     names = [n for n in selected_names(kept) if n in df.columns]
-    chosen = df.select("id", "date", "value", *names)
+    own = kept.groupBy("id").agg(F.collect_set("variable").alias("_own"))
+    with_own = df.join(own, "id", "left")
+    mine = {n: F.coalesce(F.array_contains("_own", n), F.lit(False)) for n in names}
+    whole_row = reduce(lambda a, b: a & b, [~mine[n] | F.col(n).isNotNull() for n in names], F.col("value").isNotNull())
+    chosen = with_own.withColumn("_whole", whole_row).select(
+        "id", "date", "value", *[F.when(mine[n], F.col(n)).alias(n) for n in names], "_whole")
     return {
-        "data": all_but_last_rows(chosen, n_future).na.drop(),
-        "future_data": last_rows(chosen, n_future),
+        "data": all_but_last_rows(chosen, n_future).where("_whole").drop("_whole"),
+        "future_data": last_rows(chosen.drop("_whole"), n_future),
         "summary": selection_summary(kept),
         "importance": kept,
     }

@@ -285,55 +285,48 @@ def _per_network(nets: int, width: int, ridge: list[float]):
     return solver
 
 
-def support_vector(frame: DataFrame, ctx: Context, params: dict, rounds: int = 6) -> DataFrame:
-    """Linear regression with the epsilon-insensitive loss, pooled over all series, by reweighted least squares.
+#: Random Fourier features of the radial variant; rounds of reweighting if the coefficients never stand still.
+RADIAL, MOST_ROUNDS = 256, 500
 
-    Targets and features are standardised per series. Every round is one pass that sums weighted cross products per
-    run; only those coefficients (runs x columns) come to the driver. The radial variant puts random Fourier features
-    in front.
+
+def support_vector(frame: DataFrame, ctx: Context, params: dict) -> DataFrame:
+    """Regression with the epsilon-insensitive loss for each series, by reweighted least squares until it stands still.
+
+    Targets and features are standardised by the fitted rows of the series; the radial variant puts RADIAL random Fourier
+    features in front.
     """
-    from seriesloom.operators.linear import cross_products, least_squares
-
-    df, names = feature_names(frame, ctx, "SVM")
-    everything = whole(*RUN_KEYS)
-    inputs = F.array(*_standardised(names))
-    width = len(names)
-    df = df.withColumn("_in", inputs)
-    if params["boundary"] == "Radial":
-        rng = np.random.default_rng(SEED)
-        size = 48
-        spread = math.sqrt(2 * float(params["rbf_sigma"]))
-        basis = []
-        for _ in range(size):
-            weights = F.array(*[F.lit(float(v)) for v in rng.normal(0, spread, width)])
-            basis.append(F.cos(dot(F.col("_in"), weights) + float(rng.uniform(0, 2 * math.pi))) * math.sqrt(2 / size))
-        width = size
-        df = df.withColumn("x", F.array(F.lit(1.0), *basis))
-    else:
-        df = df.withColumn("x", F.concat(F.array(F.lit(1.0)), F.col("_in")))
-    df = df.withColumn("_mu", F.avg("y").over(everything)).withColumn("_sd", F.coalesce(F.nullif(
-        F.stddev_samp("y").over(everything), F.lit(0.0)), F.lit(1.0)))
-    df = df.withColumn("_ys", (F.col("y") - F.col("_mu")) / F.col("_sd"))
-    cost, margin = float(params["cost"]), float(params["margin"])
-    ridge = [1e-9] + [1.0] * width
-    betas: dict[str, list[float]] = {}
-    for _ in range(rounds):
-        if betas:
-            error = F.col("_ys") - dot(F.col("x"), _by_run(betas))
-            beyond = F.abs(error) - margin
-            weight = F.when(beyond > 0, cost / F.greatest(F.abs(error), F.lit(1e-3))).otherwise(1e-6)
-            target = F.col("_ys") - F.signum(error) * F.least(F.lit(margin), F.abs(error))
-        else:
-            weight, target = F.lit(cost), F.col("_ys")
-        sums = cross_products(df, ["run"], F.col("x"), target, weight)
-        betas = {r["run"]: list(r["beta"]) for r in least_squares(sums, penalty=ridge).collect()}
-    value = F.col("_mu") + F.col("_sd") * fitted(F.col("x"), _by_run(betas))
-    return predictions(df, "SVM", value)
-
-
-def _by_run(betas: dict[str, list[float]]) -> Column:
-    """Coefficients of the few runs as literals."""
-    out = F.lit(None).cast("array<double>")
-    for run, beta in betas.items():
-        out = F.when(F.col("run") == run, F.array(*[F.lit(float(b)) for b in beta])).otherwise(out)
-    return out
+    from seriesloom.operators.models.trees import by_series
+
+    cost, margin, radial = float(params["cost"]), float(params["margin"]), params["boundary"] == "Radial"
+    spread = math.sqrt(2 * float(params["rbf_sigma"]))
+
+    def scaled(values, rows):
+        mean, sd = rows.mean(0), rows.std(0, ddof=1)
+        return (values - mean) / np.where(sd > 1e-12, sd, 1.0), mean, np.where(sd > 1e-12, sd, 1.0)
+
+    def predict(x, y, known):
+        z, _, _ = scaled(x, x[known])
+        target, mu, sd = scaled(y, y[known])
+        if radial:
+            random = np.random.default_rng(SEED)
+            turn = random.normal(0, spread, (z.shape[1], RADIAL))
+            z = np.cos(z @ turn + random.uniform(0, 2 * math.pi, RADIAL)) * math.sqrt(2 / RADIAL)
+        z = np.column_stack((np.ones(len(z)), z))
+        ridge = np.diag([1e-9] + [1.0] * (z.shape[1] - 1))
+        inside, wanted, beta = z[known], target[known], None
+        for _ in range(MOST_ROUNDS):
+            if beta is None:
+                weight, aim = np.full(len(wanted), cost), wanted
+            else:
+                error = wanted - inside @ beta
+                size = np.abs(error)
+                weight = np.where(size > margin, cost / np.maximum(size, 1e-3), 1e-6)
+                aim = wanted - np.sign(error) * np.minimum(margin, size)
+            new = np.linalg.solve(inside.T @ (inside * weight[:, None]) + ridge, inside.T @ (aim * weight))
+            still = beta is not None and np.abs(new - beta).max() <= 1e-6 * max(1.0, np.abs(new).max())
+            beta = new
+            if still:
+                break
+        return mu + sd * (z @ beta)
+
+    return by_series(frame, ctx, "SVM", predict)

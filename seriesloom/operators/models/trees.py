@@ -1,115 +1,76 @@
-"""Tree models by pyspark.ml: one pooled model per run over all series, on targets scaled per series."""
+"""Tree models, one per series and run: every (id, run) is a group of a grouped job, so series never touch each other."""
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.constants import SEED
+from seriesloom.functions import trees as T
 from seriesloom.operators.frames import BASE, RUN_KEYS, Context, predictions
-from seriesloom.operators.linear import cross_products, features_array, fitted, least_squares
 from seriesloom.operators.models.regression import feature_names
-from seriesloom.operators.panel import whole
 
 
-def scaled_frame(frame: DataFrame, ctx: Context, method: str) -> tuple[DataFrame, list[str]]:
-    """Target and value-based features (lags, rolls) on the scale of their series; features as one vector.
+def by_series(frame: DataFrame, ctx: Context, method: str, predict: Callable) -> DataFrame:
+    """Predictions of all rows of every series by ``predict(x, y, known)``; rows without some feature get null.
 
-    Rows without some feature stay: ``_whole`` is false there and the label null, so nothing is fitted on them.
+    A group is one series of one run, as long as the calendar makes it. Series with fewer than two whole known rows get null.
     """
     df, names = feature_names(frame, ctx, method)
-    mean, sd = F.avg("y").over(whole(*RUN_KEYS)), F.stddev_samp("y").over(whole(*RUN_KEYS))
-    df = df.withColumn("_mu", mean).withColumn("_sd", F.coalesce(F.nullif(sd, F.lit(0.0)), F.lit(1.0)))
-    moved = {c: (F.col(c) - F.col("_mu")) / F.col("_sd") for c in names if c.startswith(("lag", "roll_mean"))}
-    moved.update({c: F.col(c) / F.col("_sd") for c in names if c.startswith("roll_sd")})
-    plain = {c: F.col(c).cast("double") for c in names if c not in moved}
-    df = df.withColumns({**moved, **plain}).withColumn("_whole", reduce(
-        lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(c) for c in names], F.lit(True)))
-    df = df.withColumn("label", F.when(F.col("_whole"), (F.col("y") - F.col("_mu")) / F.col("_sd")))
-    vectors = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep").transform(df)
-    return vectors, names
-
-
-def runs_of(frame: DataFrame) -> list[str]:
-    """Names of the runs, a handful: model_frame notes them on the column, so no job is needed."""
-    noted = frame.schema["run"].metadata.get("runs")
-    return noted or [r["run"] for r in frame.select("run").distinct().collect()]
-
-
-def pooled(frame: DataFrame, ctx: Context, method: str, estimator, runs: list[str] | None = None) -> DataFrame:
-    """Fit one model per run on its fitted rows and predict all its rows."""
-    df, _ = scaled_frame(frame, ctx, method)
-    out = None
-    for run in runs or runs_of(frame):
-        part = df.where(F.col("run") == run)
-        model = estimator.fit(part.where("label IS NOT NULL").select("features", "label"))
-        rows = model.transform(part)
-        value = F.col("_mu") + F.col("_sd") * F.col("prediction")
-        rows = rows.withColumn("_v", F.when(F.col("_whole"), value)).drop("prediction")
-        rows = predictions(rows, method, F.col("_v"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
-def subset_strategy(mtry: int, count: int) -> str:
-    """Share of features tried per split; a count above the number of features means all of them."""
-    return "all" if mtry >= count else str(max(1, int(mtry)))
-
-
-def forest_estimator(params: dict, count: int) -> RandomForestRegressor:
-    return RandomForestRegressor(
-        numTrees=int(params["rf_trees"]), minInstancesPerNode=int(params["rf_min_n"]), maxDepth=10, seed=SEED,
-        featureSubsetStrategy=subset_strategy(int(params["rf_mtry"]), count))
-
-
-def boosted_estimator(params: dict, prefix: str, count: int) -> GBTRegressor:
-    p = lambda name: params[f"{prefix}_{name}"]
-    return GBTRegressor(
-        maxIter=int(p("trees")), minInstancesPerNode=max(1, int(p("min_n"))), maxDepth=int(p("tree_depth")),
-        stepSize=float(p("learn_rate")), minInfoGain=float(p("loss_reduction")),
-        subsamplingRate=float(p("sample_size")), seed=SEED,
-        featureSubsetStrategy=subset_strategy(int(p("mtry")), count))
+    rows = df.select(*BASE, "y", F.array(*[F.col(c).cast("double") for c in names]).alias("x"))
+    schema = rows.select(*BASE, F.lit(None).cast("double").alias("_v")).schema
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        x = np.array([[np.nan if v is None else v for v in r] for r in part["x"]], float).reshape(len(part), len(names))
+        y = part["y"].to_numpy(float)
+        whole = np.isfinite(x).all(1)
+        out = np.full(len(part), np.nan)
+        known = (np.isfinite(y) & ~part["ahead"].to_numpy(bool))[whole]
+        if known.sum() >= 2:
+            order = np.argsort(part["date"].to_numpy()[whole], kind="stable")
+            back = np.empty_like(order)
+            back[order] = np.arange(len(order))
+            value = predict(x[whole][order], np.where(known, y[whole], 0.0)[order], known[order])
+            out[whole] = value[back]
+        return part[list(BASE)].assign(_v=out)
+
+    return predictions(rows.groupBy(*RUN_KEYS).applyInPandas(run, schema), method, F.col("_v"))
 
 
 def random_forest(frame: DataFrame, ctx: Context, params: dict) -> DataFrame:
-    _, names = feature_names(frame, ctx, "Random Forest")
-    return pooled(frame, ctx, "Random Forest", forest_estimator(params, len(names)))
+    trees, mtry, min_n = (int(params[f"rf_{k}"]) for k in ("trees", "mtry", "min_n"))
+
+    def predict(x, y, known):
+        codes = T.binned(x)
+        return T.forest_predict(T.forest(codes, y, known, trees, mtry, min_n, SEED), codes)
+
+    return by_series(frame, ctx, "Random Forest", predict)
+
+
+def boosting(params: dict, prefix: str) -> Callable:
+    p = {k: params[f"{prefix}_{k}"] for k in ("trees", "tree_depth", "learn_rate", "min_n", "mtry", "loss_reduction",
+                                              "sample_size")}
+
+    def predict(x, y, known):
+        return T.boosted(T.binned(x), y, known, int(p["trees"]), int(p["tree_depth"]), float(p["learn_rate"]),
+                         int(p["min_n"]), int(p["mtry"]), float(p["loss_reduction"]), float(p["sample_size"]), SEED)
+
+    return predict
 
 
 def boosted_trees(frame: DataFrame, ctx: Context, params: dict) -> DataFrame:
-    _, names = feature_names(frame, ctx, "Boosted Trees")
-    return pooled(frame, ctx, "Boosted Trees", boosted_estimator(params, "boost", len(names)))
+    return by_series(frame, ctx, "Boosted Trees", boosting(params, "boost"))
 
 
 def leaf_linear(frame: DataFrame, ctx: Context, params: dict) -> DataFrame:
-    """A shallow tree with a linear model in every leaf; further members fit what the ones before missed."""
-    df, names = scaled_frame(frame, ctx, "Cubist")
-    depth = max(1, min(5, (max(2, int(params["max_rules"])) - 1).bit_length()))
-    x = features_array(names)
-    out = None
-    for run in runs_of(frame):
-        part = df.where(F.col("run") == run).withColumn("_sum", F.lit(0.0)).withColumn("_target", F.col("label"))
-        members = max(1, int(params["committees"]))
-        for _ in range(members):
-            tree = DecisionTreeRegressor(
-                maxDepth=depth, minInstancesPerNode=20, seed=SEED, labelCol="_target", leafCol="_leaf",
-                predictionCol="_tree").fit(part.where("label IS NOT NULL").select("features", "_target"))
-            leaves = tree.transform(part)
-            sums = cross_products(leaves, ["_leaf"], x, F.col("_target"))
-            # one row of coefficients per leaf: at most 2^depth rows, safe to broadcast
-            fit = least_squares(sums, penalty=[1e-9] + [1e-3] * len(names)).select("_leaf", "beta")
-            joined = leaves.join(F.broadcast(fit), "_leaf", "left")
-            guess = F.coalesce(fitted(x), F.col("_tree"))
-            part = joined.withColumn("_guess", guess).withColumn("_sum", F.col("_sum") + F.col("_guess")).withColumn(
-                "_target", 2 * F.col("label") - F.col("_guess")).drop("_leaf", "_tree", "beta", "_guess")
-        value = F.col("_mu") + F.col("_sd") * F.col("_sum") / members
-        rows = predictions(part, "Cubist", F.when(F.col("_whole"), value))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """A tree of at most ``max_rules`` leaves with a linear model in each, in committees, moved by nearest neighbours."""
+    most, committees, neighbours = (int(params[k]) for k in ("max_rules", "committees", "cub_neighbors"))
+    return by_series(frame, ctx, "Cubist",
+                     lambda x, y, known: T.rules(x, T.binned(x), y, known, most, committees, neighbours))
 
 
 def boosted_residuals(frame: DataFrame, ctx: Context, params: dict, base: DataFrame, method: str,
@@ -118,8 +79,7 @@ def boosted_residuals(frame: DataFrame, ctx: Context, params: dict, base: DataFr
     basis = base.select(*RUN_KEYS, "date", F.col("prediction").alias("_base"))
     joined = frame.join(basis, [*RUN_KEYS, "date"], "left")
     left_over = joined.withColumn("y", F.when(~F.col("ahead"), F.col("y") - F.col("_base")))
-    _, names = feature_names(frame, ctx, method)
-    boosted = pooled(left_over.drop("_base"), ctx, method, boosted_estimator(params, prefix, len(names)))
+    boosted = by_series(left_over.drop("_base"), ctx, method, boosting(params, prefix))
     both = boosted.join(basis, [*RUN_KEYS, "date"], "left")
     return both.select(*BASE, "model_desc", (F.col("_base") + F.col("prediction")).alias("prediction"))
 

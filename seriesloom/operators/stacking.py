@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.constants import SEED
+from seriesloom.constants import default_params
 from seriesloom.operators.frames import BASE
 from seriesloom.operators.linear import elastic_net, features_array, fit_series, fitted, least_squares
-from seriesloom.operators.panel import whole
+from seriesloom.operators.models.trees import boosting
 
 
 def member_columns(preds: DataFrame, members: list[str]) -> tuple[DataFrame, list[str]]:
@@ -50,16 +48,18 @@ def stack(preds: DataFrame, members: list[str], methods: list[str]) -> DataFrame
 
 
 def _boosted(wide: DataFrame, names: list[str]) -> DataFrame:
-    """One pooled boosted model on predictions and targets scaled per series."""
-    mean, sd = F.avg("actual").over(whole()), F.stddev_samp("actual").over(whole())
-    df = wide.withColumn("_mu", mean).withColumn("_sd", F.coalesce(F.nullif(sd, F.lit(0.0)), F.lit(1.0)))
-    df = df.withColumns({n: (F.col(n) - F.col("_mu")) / F.col("_sd") for n in names})
-    whole_row = reduce(lambda a, b: a & b, [F.col(n).isNotNull() & ~F.isnan(n) for n in names], F.lit(True))
-    df = df.withColumn("_whole", whole_row).withColumn(
-        "label", F.when(F.col("_whole"), (F.col("y") - F.col("_mu")) / F.col("_sd")))
-    df = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep").transform(df)
-    model = GBTRegressor(maxIter=15, maxDepth=3, seed=SEED).fit(
-        df.where("label IS NOT NULL").select("features", "label"))
-    scored = model.transform(df)
-    value = F.col("_mu") + F.col("_sd") * F.col("prediction")
-    return scored.withColumn("prediction", F.when(F.col("_whole"), value)).drop("_whole")
+    """A boosted model of each series on the predictions of the members; rows without one of them get null."""
+    predict = boosting(default_params("Boosted Trees"), "boost")
+    rows = wide.select(*BASE, "y", *names)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["run", "date"])
+        x, y = part[names].to_numpy(float), part["y"].to_numpy(float)
+        whole_row, out = np.isfinite(x).all(1), np.full(len(part), np.nan)
+        known = np.isfinite(y)[whole_row]
+        if known.sum() >= 2:
+            out[whole_row] = predict(x[whole_row], np.where(known, y[whole_row], 0.0), known)
+        return part[list(BASE)].assign(prediction=out)
+
+    schema = rows.select(*BASE, F.lit(None).cast("double").alias("prediction")).schema
+    return rows.groupBy("id").applyInPandas(run, schema)
