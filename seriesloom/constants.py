@@ -121,6 +121,12 @@ def method_family(method: str) -> str:
     raise ValueError(f"unknown method {method!r}")
 
 
+# Settings of other engines that have no counterpart here: the nets and the trend model are solved in closed form, the search
+# runs over a fixed list of candidates. Any value but the default is refused rather than ignored.
+WITHOUT_EFFECT = {"ff_epochs", "ffar_epochs", "auto_prophet", "boost_method", "h2o_max_time", "h2o_max_time_model",
+                  "h2o_nfolds"}
+
+
 def default_params(method: str, overrides: dict | None = None) -> dict:
     """Defaults of a method, with overrides checked against its parameter names."""
     if method not in METHOD_DEFAULTS:
@@ -129,5 +135,8 @@ def default_params(method: str, overrides: dict | None = None) -> dict:
     unknown = set(overrides or {}) - set(params)
     if unknown:
         raise ValueError(f"{method} has no parameters {sorted(unknown)}")
+    idle = sorted(k for k, v in (overrides or {}).items() if k in WITHOUT_EFFECT and v != params[k])
+    if idle:
+        raise ValueError(f"{method} cannot change {idle}")
     params.update(overrides or {})
     return params

@@ -95,16 +95,25 @@ def forecast(
     stacking: list[str] = (),
     n_folds: int = 5,
     stage: bool | None = None,
+    tuned: DataFrame | None = None,
 ) -> Forecast:
     """Run all methods on the hold-out test and on the future (and on folds when stacking).
 
     ``panel`` carries its future rows (``is_future``). With ``stage`` the predictions are written to the shared folder
     at once, and all tables of the result read them from there; without it every table fits the models anew. The
-    default stages them unless all methods are plain windows.
+    default stages them unless all methods are plain windows. ``tuned`` (id, method, params) holds parameters of single
+    ids, as ``tune`` finds them: its methods are fitted with them.
     """
     runs = standard_runs(n_assess, n_future) + (fold_runs(n_assess, n_folds) if stacking else [])
     frame = model_frame(panel, runs)
-    preds = fit_predict_all(frame, methods, ctx, params)
+    chosen = set() if tuned is None else {r["method"] for r in tuned.select("method").distinct().collect()}
+    plain = [m for m in methods if m not in chosen]
+    parts = [fit_predict_all(frame, plain, ctx, params)] if plain else []
+    if chosen:
+        from seriesloom.plans.tuning import predict_tuned
+
+        parts += [predict_tuned(frame, m, ctx, tuned, (params or {}).get(m)) for m in methods if m in chosen]
+    preds = reduce(lambda a, b: a.unionByName(b), parts)
     if stage or (stage is None and not set(methods) <= WINDOW_ONLY):
         preds = materialise(preds)
     labels = list(methods)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,12 +27,29 @@ RANGES = {
     "cost": (0.05, 30.0, False, True),
     "margin": (0.0, 0.2, False, False),
     "rf_mtry": (1, 10, True, False),
-    "rf_trees": (20, 100, True, False),
+    "rf_trees": (20, 1000, True, False),
     "rf_min_n": (2, 40, True, False),
     "boost_learn_rate": (0.01, 0.4, False, True),
     "arima_boost_learn_rate": (0.01, 0.4, False, True),
     "prophet_boost_learn_rate": (0.01, 0.4, False, True),
     "committees": (1, 5, True, False),
+    "cub_neighbors": (0, 9, True, False),
+    "rbf_sigma": (1e-3, 1.0, False, True),
+    "window_size": (2, 24, True, False),
+    "smooth_level": (0.05, 0.95, False, False),
+    "smooth_trend": (0.0, 0.5, False, False),
+    "smooth_season": (0.0, 0.5, False, False),
+    "changepoint_num": (1, 50, True, False),
+    "changepoint_range": (0.6, 0.9, False, False),
+    "prior_scale_changepoints": (1e-3, 100.0, False, True),
+    "prior_scale_seasonality": (1e-3, 100.0, False, True),
+    "prior_scale_holidays": (1e-3, 100.0, False, True),
+    "ffar_non_seasonal_ar": (1, 5, True, False),
+    "ffar_num_networks": (1, 50, True, False),
+    **{f"{model}_{name}": span for model in ("boost", "arima_boost", "prophet_boost") for name, span in {
+        "mtry": (1, 10, True, False), "trees": (20, 1000, True, False), "min_n": (1, 40, True, False),
+        "tree_depth": (1, 15, True, False), "loss_reduction": (1e-10, 30.0, False, True),
+        "sample_size": (0.1, 1.0, False, False)}.items()},
     "max_rules": (2, 32, True, False),
     "ff_hidden_units": (2, 20, True, False),
     "ff_penalty": (1e-4, 10.0, False, True),
@@ -75,6 +93,9 @@ def space_filling(names: list[str], size: int, seed: int = SEED, around: dict |
 
     With ``around`` the ranges shrink to a neighbourhood of that point (a finer second round).
     """
+    unknown = [n for n in names if n not in RANGES]
+    if unknown:
+        raise ValueError(f"no range to search for {unknown}; parameters that can vary: {sorted(RANGES)}")
     rng = random.Random(seed)
     columns = {}
     for name in names:
@@ -165,6 +186,22 @@ def tune(panel: DataFrame, method: str, ctx: Context, n_assess: int, n_folds: in
         "id", F.lit(method).alias("method"), F.element_at(points, F.col("choice") + 1).alias("params"), "score")
 
 
+def predict_tuned(frame: DataFrame, method: str, ctx: Context, tuned: DataFrame, params: dict | None = None) -> DataFrame:
+    """Predictions with the tuned parameters of every id; ids that are not tuned use ``params``.
+
+    Tuned points are those of one grid, a few; each is fitted on the ids that chose it, so every series is fitted once.
+    """
+    own = tuned.where(F.col("method") == method).select("id", F.array_sort(F.map_entries("params")).alias("_point"))
+    points = [r["_point"] for r in own.select("_point").distinct().collect()]
+    parts = [fit_predict(frame.join(own, "id", "left_anti"), method, ctx, params)]
+    for point in points:
+        given = {e["key"]: int(e["value"]) if RANGES[e["key"]][2] else e["value"] for e in point}
+        same = F.array(*[F.struct(F.lit(e["key"]).alias("key"), F.lit(e["value"]).alias("value")) for e in point])
+        ids = own.where(F.col("_point") == same)
+        parts.append(fit_predict(frame.join(ids, "id", "left_semi"), method, ctx, {**(params or {}), **given}))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def with_tuned(wanted: DataFrame, tuned: DataFrame, defaults: dict[str, dict]) -> DataFrame:
     """Parameters per (id, method): defaults overridden by tuned values where they exist."""
     def literal(values):
