@@ -12,6 +12,8 @@ values have equal pseudonyms in every document and layout, and different ones ha
     ip      octets (256)
     date    number of the day in its century, in two symbols: 1900s (92, 397), 2000s (75, 487)
     email   letters (26) and digits (10) of the part before @, in lower case; the domain stays
+    iban    letters (26) and digits (10) after the check digits, which are computed anew; the country stays
+    foreign digits of a number in + notation of other plans, after the first two (10); eight to fifteen in all
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ _DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]
 _SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 _PHONE = r"(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}([ .-])[0-9]{3}\1[0-9]{4})"
 _CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
+_IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
+_FOREIGN = r"\+[2-9][0-9]{1,3}(?:[ .-]?\(?[0-9]{1,8}\)?){1,5}"
 
 
 def _grouped(pattern: str) -> str:
@@ -38,7 +42,7 @@ def _grouped(pattern: str) -> str:
 
 
 #: A plus sign or an opening bracket may stand before a phone number.
-FOUND = (rf"{_EMAIL}|(?<![A-Za-z0-9_.+-])(?:{_IP}|{_DATE}|{_SSN}|{_grouped(_PHONE)}|{_CARD}){_SHUT}")
+FOUND = rf"{_EMAIL}|{_OPEN}(?:{_IP}|{_DATE}|{_SSN}|{_grouped(_PHONE)}|{_FOREIGN}|{_IBAN}|{_CARD}){_SHUT}"
 
 
 def _digits(x: Column) -> Column:
@@ -62,6 +66,13 @@ def _luhn_sum(digits: Column, double_last: bool) -> Column:
         (i % 2 == odd), F.when(x > 4, x * 2 - 9).otherwise(x * 2)).otherwise(x)), F.lit(0).cast("long"), lambda a, x: a + x)
 
 
+def _iban_rest(country: Column, check: Column, body: Column) -> Column:
+    """Remainder by 97 of an account number, with the country and the check digits moved behind the body."""
+    values = F.transform(_letters(F.concat(body, country, check)), lambda c: F.when(
+        c.rlike("^[A-Z]$"), F.ascii(c) - 55).otherwise(c.cast("int")).cast("long"))
+    return F.aggregate(values, F.lit(0).cast("long"), lambda a, v: (a * F.when(v > 9, 100).otherwise(10) + v) % 97)
+
+
 def _longs(*columns) -> Column:
     return F.array(*[c.cast("long") if isinstance(c, Column) else F.lit(c).cast("long") for c in columns])
 
@@ -104,6 +115,13 @@ def _parse(m: Column) -> Column:
                F.transform(_numbers(ten), lambda x, i: F.when(first_of(i), F.lit(8)).otherwise(F.lit(10)).cast("long")))
     inner = _numbers(F.substring(digits, F.lit(2), F.length(digits) - 2))
     card = of("card", inner, F.transform(inner, lambda x: F.lit(10).cast("long")))
+    account = F.regexp_replace(m, " ", "")
+    body = _letters(F.substring(account, F.lit(5), F.length(account)))
+    iban = of("iban", F.transform(body, lambda c: F.when(c.rlike("^[A-Z]$"), F.ascii(c) - 65).otherwise(c.cast("int"))
+                                  .cast("long")),
+              F.transform(body, lambda c: F.when(c.rlike("^[A-Z]$"), F.lit(26)).otherwise(F.lit(10)).cast("long")))
+    after = _numbers(F.substring(digits, F.lit(3), F.length(digits)))
+    foreign = of("foreign", after, F.transform(after, lambda x: F.lit(10).cast("long")))
     none = F.struct(F.lit(None).cast("string").alias("kind"), no_symbols.alias("symbols"), no_symbols.alias("radices"))
     plan = ten.rlike("^[2-9][0-9]{2}[2-9]") & ((F.length(digits) == 10) | digits.startswith("1"))
     return (F.when(m.contains("@"), email)
@@ -111,6 +129,9 @@ def _parse(m: Column) -> Column:
             .when(m.rlike(f"^(?:{_DATE})$") & day.isNotNull(), date)
             .when(m.rlike(f"^{_SSN}$") & area.between(1, 899) & (area != 666) & (part > 0) & (serial > 0), ssn)
             .when(m.rlike(f"^{_PHONE}$") & plan, phone)
+            .when(m.rlike(f"^{_FOREIGN}$") & F.length(digits).between(8, 15), foreign)
+            .when(m.rlike(f"^{_IBAN}$") & (_iban_rest(F.substring(account, 1, 2), F.substring(account, 3, 2),
+                                                      F.substring(account, F.lit(5), F.length(account))) == 1), iban)
             .when(m.rlike(f"^{_CARD}$") & (_luhn_sum(digits, False) % 10 == 0), card)
             .otherwise(none))
 
@@ -168,7 +189,17 @@ def _render(m: Column, kind: Column, s: Column) -> Column:
     phone = _laid_out(m, F.concat(F.substring(digits, F.lit(1), F.length(digits) - 10), ten))
     front = F.concat(F.substring(digits, 1, 1), joined)
     card = _laid_out(m, F.concat(front, F.pmod(-_luhn_sum(front, True), F.lit(10)).cast("string")))
-    return F.when(kind == "email", email).when(kind == "ip", F.array_join(s.cast("array<string>"), ".")) \
+    account = F.regexp_replace(m, " ", "")
+    country, body = F.substring(account, 1, 2), _letters(F.substring(account, F.lit(5), F.length(account)))
+    moved_body = F.array_join(F.transform(body, lambda c, i: F.when(
+        c.rlike("^[A-Z]$"), F.substring(F.lit(alphabet.upper()), F.element_at(s, i + 1).cast("int") + 1, F.lit(1)))
+        .otherwise(F.element_at(s, i + 1).cast("string"))), "")
+    check = F.lpad((98 - _iban_rest(country, F.lit("00"), moved_body)).cast("string"), 2, "0")
+    whole_iban, chars = F.concat(country, check, moved_body), _letters(m)
+    iban = F.array_join(F.transform(chars, lambda c, i: F.when(c == " ", c).otherwise(F.substring(
+        whole_iban, F.length(F.regexp_replace(F.substring(m, F.lit(1), i + 1), " ", "")), F.lit(1)))), "")
+    foreign = _laid_out(m, F.concat(F.substring(digits, 1, 2), joined))
+    return F.when(kind == "iban", iban).when(kind == "foreign", foreign).when(kind == "email", email).when(kind == "ip", F.array_join(s.cast("array<string>"), ".")) \
         .when(kind == "date", date).when(kind == "ssn", ssn).when(kind == "phone", phone).when(kind == "card", card) \
         .otherwise(m)
 

@@ -34,6 +34,17 @@ def luhn(d):
 
 def pseudonym(m):
     digits = re.sub("[^0-9]", "", m)
+    if m[0].isalpha():
+        plain = m.replace(" ", "")
+        old = [int(c, 36) - (10 if c.isalpha() else 0) for c in plain[4:]]
+        new = network("iban", old, [26 if c.isalpha() else 10 for c in plain[4:]])
+        body = "".join(chr(65 + x) if c.isalpha() else str(x) for c, x in zip(plain[4:], new))
+        check = 98 - int("".join(str(int(c, 36)) for c in body + plain[:2] + "00")) % 97
+        left = iter(f"{plain[:2]}{check:02d}{body}")
+        return "".join(c if c == " " else next(left) for c in m)
+    if m[0] == "+" and m[1] != "1":
+        left = iter(digits[:2] + "".join(map(str, network("foreign", map(int, digits[2:]), [10] * (len(digits) - 2)))))
+        return "".join(next(left) if c.isdigit() else c for c in m)
     if re.fullmatch(r"\d+\.\d+\.\d+\.\d+", m):
         return ".".join(map(str, network("ip", list(map(int, m.split("."))), [256] * 4)))
     if re.fullmatch(r"\d{3}-\d\d-\d{4}", m):
@@ -63,7 +74,8 @@ def run(spark, texts):
 
 
 VALUES = ["4041894974608795", "4041 8949 7460 8795", "+1 (988) 555-2485", "(988) 555-2485", "988-555-2485", "42.144.35.254",
-          "123-45-6789", "700-01-0001", "2021-03-05", "1999-12-31", "2000-02-29"]
+          "123-45-6789", "700-01-0001", "2021-03-05", "1999-12-31", "2000-02-29", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "+49 (30) 1234567",
+          "+33 1 23 45 67 89"]
 
 
 def test_values_equal_the_plain_version(spark):
@@ -82,7 +94,7 @@ def test_links_over_layouts(spark):
 
 
 def test_invalid_values_and_edges_stay(spark):
-    texts = ["4041894974608796", "123-45-67890", "666-45-6789", "000-45-6789", "300.1.1.1", "1.2.3.4.5", "2021-02-30",
+    texts = ["4041894974608796", "123-45-67890", "666-45-6789", "000-45-6789", "300.1.1.1", "1.2.3.4.5", "2021-02-30", "DE89 3704 0044 0532 0130 01", "+49 123",
              "(188) 555-2485", "x4041894974608795", "", None, "no digits", "99", "@", "a@b"]
     for t, row in zip(texts, run(spark, texts)):
         assert row.text == t and row.pii == [], t
