@@ -18,9 +18,10 @@ def main() -> None:
     spark = local_session(cpus, "bench")
     from seriesloom.catalog import QUERIES, models, registry
     from seriesloom.constants import default_params
-    from seriesloom.operators import describe, features as FX, frames, quality as Q, stats
+    from seriesloom.operators import describe, features as FX, frames, importance as IM, quality as Q, stats
     from seriesloom.operators.models import arima, smoothing
-    from seriesloom.plans import forecast as FC
+    from seriesloom.operators.models.registry import fit_predict
+    from seriesloom.plans import forecast as FC, tuning
 
     ctx = frames.Context(12)
 
@@ -33,6 +34,18 @@ def main() -> None:
         result = FC.forecast(panel, ["Naive", "Seasonal Naive", "Rolling Average", "ETS", "Theta"], ctx, 6, 6, levels)
         return result.oos_forecast
 
+    from pyspark.sql import functions as F
+
+    features = frames.Context(12, ("trend", "month", "year"))
+
+    def orders_panel():
+        panel = FX.append_future(registry.orders_monthly(spark, sf), 12, "month")
+        return panel.withColumns({"trend": F.row_number().over(registry.P.by_date()).cast("double"),
+                                  "month": F.month("date").cast("double"), "year": F.year("date").cast("double")})
+
+    def fitted(method):
+        return lambda: fit_predict(frames.model_frame(orders_panel(), frames.standard_runs(12, 12)), method, features)
+
     params = FX.FeatureParams(calendar=True, fourier_periods=[12], lags=[12, 24], rolls=[3, 6])
     work = {
         "daily_panel": lambda: registry.orders_daily(spark, sf),
@@ -46,6 +59,11 @@ def main() -> None:
         "theta": lambda: smoothing.theta(ship_frame(), ctx, {}),
         "arima": lambda: arima.sarima(ship_frame(), ctx, default_params("SARIMA")),
         "five_models_20_levels": accuracy_and_levels,
+        **{name: fitted(method) for name, method in {
+            "random_forest_1000": "Random Forest", "boosted_trees_1000": "Boosted Trees", "rule_model": "Cubist",
+            "support_vector": "SVM", "neighbours": "KNN", "hinges": "MARS"}.items()},
+        "importance_all": lambda: IM.importance(orders_panel().where("NOT is_future"), IM.METHODS, list(features.features)),
+        "tune_elastic_net": lambda: tuning.tune(orders_panel(), "Elastic Net", features, 12),
         "scenario_aggregate": lambda: QUERIES["scenario_aggregate"](spark, sf),
     }
     registry.ship_monthly(spark, "/root/testdata/sf0.001").write.format("noop").mode("overwrite").save()
