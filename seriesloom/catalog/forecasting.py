@@ -54,28 +54,30 @@ acc AS (SELECT id, model_desc, type, avg(prediction - actual) AS me, avg(abs(act
 
 @query("accuracy_by_model", "O-84 O-85 O-86", with_sql(*simple_sql(ORDERS_M), ACC_SQL, """
 SELECT id, model_desc, type, round(me, 1) AS me, round(mae, 1) AS mae, round(mape, 6) AS mape,
-  round(mase, 6) AS mase, round(smape, 6) AS smape, round(rmse, 1) AS rmse, round(rmspe, 6) AS rmspe FROM acc"""))
+  round(mase, 6) AS mase, round(smape, 6) AS smape, round(rmse, 1) AS rmse, round(rmspe, 6) AS rmspe,
+  round(rsq, 6) AS rsq FROM acc"""))
 def accuracy_by_model(spark, sf):
-    acc = FC.accuracy_of(simple_predictions(spark, sf)).drop("rsq")
+    acc = FC.accuracy_of(simple_predictions(spark, sf))
     return acc.select("id", "model_desc", "type", *[F.round(m, 1 if m in ("me", "mae", "rmse") else 6).alias(m)
-                                                    for m in A.ACCURACY if m != "rsq"])
+                                                    for m in A.ACCURACY])
 
 
 @query("accuracy_many_series", "O-84", with_sql(*simple_sql(SHIP_M, 6), ACC_SQL, """
 SELECT id, model_desc, type, round(me, 6) AS me, round(mae, 6) AS mae, round(mape, 6) AS mape,
-  round(smape, 6) AS smape, round(rmse, 6) AS rmse FROM acc"""))
+  round(mase, 6) AS mase, round(smape, 6) AS smape, round(rmse, 6) AS rmse, round(rmspe, 6) AS rmspe FROM acc"""))
 def accuracy_many_series(spark, sf):
     preds = simple_predictions(spark, sf, ship_monthly, 6)
-    return R.round_numeric(FC.accuracy_of(preds, metrics=["me", "mae", "mape", "smape", "rmse"]), 6)
+    return R.round_numeric(FC.accuracy_of(preds, metrics=[m for m in A.ACCURACY if m != "rsq"]), 6)
 
 
 @query("metrics_by_name", "O-87", with_sql(*simple_sql(ORDERS_M), ACC_SQL, """
-SELECT id, 'Naive' AS model_desc, round(mae, 1) AS mae, round(rmse * rmse / 1e6, 1) AS mse FROM acc
-WHERE type = 'Test' AND model_desc = 'Naive'"""))
+SELECT id, model_desc, round(mae, 1) AS mae, round(mape, 6) AS mape, round(mase, 6) AS mase, round(smape, 6) AS smape,
+  round(rmse * rmse / 1e6, 1) AS mse, round(rmse, 1) AS rmse, round(rmspe, 6) AS rmspe FROM acc WHERE type = 'Test'"""))
 def metrics_by_name(spark, sf):
-    test = FC.calibration_of(simple_predictions(spark, sf)).where("model_desc = 'Naive'")
-    both = A.accuracy_table(test, ["id", "model_desc"], ["mae", "mse"])
-    return both.select("id", "model_desc", F.round("mae", 1).alias("mae"), F.round(F.col("mse") / 1e6, 1).alias("mse"))
+    names = ["mae", "mape", "mase", "smape", "mse", "rmse", "rmspe"]
+    every = A.accuracy_table(FC.calibration_of(simple_predictions(spark, sf)), ["id", "model_desc"], names)
+    every = every.withColumn("mse", F.col("mse") / 1e6)
+    return every.select("id", "model_desc", *[F.round(m, 1 if m in ("mae", "mse", "rmse") else 6).alias(m) for m in names])
 
 
 @query("accuracy_report_single", "O-88 O-18", with_sql(*simple_sql(ORDERS_M), ACC_SQL, """

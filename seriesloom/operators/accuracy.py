@@ -22,8 +22,7 @@ def accuracy_table(rows: DataFrame, keys: list[str], metrics: list[str] = ACCURA
 
 def accuracy_report(table: DataFrame, single_method: bool = True, digits: int = 2) -> DataFrame:
     """Single method: metric by Train/Test; several: one row per algorithm and type."""
-    ordered = ["me", "mae", "mape", "mase", "smape", "rmse", "rmspe", "rsq"]
-    names = [m for m in ordered if m in table.columns]
+    names = [m for m in ACCURACY if m in table.columns]
     rounded = table.select(
         "id", F.col("model_desc").alias("Algorithm"), F.col("type").alias("Type"),
         *[F.round(m, digits).alias(m.upper()) for m in names])
