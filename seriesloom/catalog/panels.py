@@ -231,6 +231,8 @@ def cv_slices_rolling(spark, sf):
     return P.time_folds(orders_monthly(spark, sf), 24, 5, False).withColumn("fold", F.col("fold").cast("bigint"))
 
 
-@query("cv_random_folds", "O-58")
+@query("cv_random_folds", "O-58", with_sql(SHIP_M, """
+SELECT id, date, value, (('0x' || substr(md5('1992|' || id || '|' || date::TIMESTAMP::VARCHAR), 1, 8))::BIGINT % 5 + 1)::INTEGER
+  AS fold FROM p"""))
 def cv_random_folds(spark, sf):
     return P.random_folds(ship_monthly(spark, sf), 5)

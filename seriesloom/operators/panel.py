@@ -183,5 +183,6 @@ def time_folds(
 
 def random_folds(panel: DataFrame, n_folds: int = 5, seed: int = SEED) -> DataFrame:
     """K-fold assignment by a hash of the key: the same on every run, no shuffle."""
-    fold = F.pmod(F.xxhash64("id", "date", F.lit(seed)), F.lit(n_folds)).cast("int") + 1
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string"), F.col("date").cast("string")))
+    fold = (F.conv(F.substring(key, 1, 8), 16, 10).cast("long") % n_folds).cast("int") + 1
     return panel.withColumn("fold", fold)
