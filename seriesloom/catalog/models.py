@@ -282,3 +282,19 @@ _register("model_changepoints", "O-112", "Prophet")
 _register("model_changepoints_logistic", "O-112", "Prophet", {"growth": "logistic"})
 _register("model_changepoints_multiplicative", "O-112", "Prophet", {"prophet_season": "multiplicative"})
 _register("model_arima_with_regressors", "O-109", "SARIMA")
+
+
+@query("boosted_single_split", "O-119", with_sql(*run_sql(ORDERS_M, 12, 12), """
+c AS (SELECT a.id, a.run, a.t AS cut, avg(b.y) FILTER (b.t <= a.t) AS l, avg(b.y) FILTER (b.t > a.t) AS r,
+  count(*) FILTER (b.t <= a.t) AS nl, count(*) FILTER (b.t > a.t) AS nr
+  FROM fr AS a JOIN fr AS b ON a.id = b.id AND a.run = b.run WHERE NOT a.ahead AND NOT b.ahead AND a.t < a.nf
+  GROUP BY 1, 2, 3)""", """
+s AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY id, run
+  ORDER BY (l - r) * (l - r) * nl * nr / (nl + nr) DESC, cut) = 1)""", """
+SELECT fr.id, fr.run, date, ahead, round(CASE WHEN t <= cut THEN l ELSE r END, 0) AS prediction
+FROM fr JOIN s ON fr.id = s.id AND fr.run = s.run"""))
+def boosted_single_split(spark, sf):
+    """One tree of one split at full rate: the best cut of the trend and the two means."""
+    frame = frame_of(orders_monthly(spark, sf)).withColumn("trend", F.col("t").cast("double"))
+    params = {"boost_trees": 1, "boost_tree_depth": 1, "boost_learn_rate": 1.0}
+    return out(fit_predict(frame, "Boosted Trees", M.Context(12, ("trend",)), params), 0)
