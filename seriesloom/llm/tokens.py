@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 _ODD = [*"\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2028\u2029\u202f\u205f\u3000\ufeff",
         *map(chr, range(0x2000, 0x200c)), "  ", " \n", "\n ", "\n\n", "<|"]
 #: Words whose ids are remembered (the first ones met: the common words are among them), and letters in such a word.
-MEMO, LONGEST = 900_000, 40
+MEMO, LONGEST = 300_000, 40
 
 
 class Encoder:

@@ -26,7 +26,8 @@ BUCKETS, DIM, WIDTHS, FILTERS = 1 << 16, 8, (1, 2, 3), 8
 #: word is left out at this rate, so that no single word carries a document.
 MIN_DOCS, DROP, STEPS = 5, 0.7, 1000
 PREFIXES = (3, 4, 5, 6)
-BLOCK, MEMO = 1 << 14, 400_000
+#: Words in a block of a text; words whose vectors a task remembers (the first ones met, so the common ones).
+BLOCK, MEMO = 1 << 14, 200_000
 #: Language thresholds are kept within these bounds, and languages with fewer labelled documents use that of all.
 LOW, HIGH, ENOUGH = 0.05, 0.95, 50
 
@@ -40,11 +41,12 @@ def _buckets(word: bytes) -> list[int]:
 
 
 class Words:
-    """Numbers for words, and the buckets of the words that were new since ``rows`` was last emptied."""
+    """Numbers for words, and the words that were new since ``fresh`` was last emptied, with their buckets in ``rows``."""
 
     def __init__(self):
         self.number: dict[bytes, int] = {}
         self.rows: list[list[int]] = []
+        self.fresh: list[bytes] = []
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         get = self.number.get
@@ -57,6 +59,7 @@ class Words:
                     if k is None:
                         k = self.number[w] = len(self.number)
                         self.rows.append(_buckets(w))
+                        self.fresh.append(w)
                     out[i] = k
         return np.array(out, np.int64)
 
@@ -189,16 +192,21 @@ class Scorer:
         self.known = 0
 
     def _vectors(self, words: list[bytes]) -> np.ndarray:
-        if self.known > MEMO:
-            self.words, self.known = Words(), 0
         ids = self.words(words)
         now = len(self.words.number)
         if now > self.known:
             if now > len(self.vectors):
                 self.vectors = np.concatenate((self.vectors, np.zeros((max(now, len(self.vectors)), DIM), np.float32)))
             self.vectors[self.known:now] = self.model.embed[np.array(self.words.rows, np.int64)].sum(1)
-            self.words.rows.clear()
             self.known = now
+            found = self.vectors[ids]
+            if now > MEMO:  # what came last is forgotten
+                for w in self.words.fresh[-(now - MEMO):]:
+                    del self.words.number[w]
+                self.known = MEMO
+            self.words.rows.clear()
+            self.words.fresh.clear()
+            return found
         return self.vectors[ids]
 
     def __call__(self, text: bytes) -> float:
