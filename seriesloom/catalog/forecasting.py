@@ -150,11 +150,11 @@ def shown(df, digits=1):
 
 
 @query("conformal_intervals", "O-140 O-32 O-141 O-133 O-126", with_sql(*simple_sql(ORDERS_M), CONF_SQL, """
-SELECT id, model_desc, key, date, round(value, 1) AS value, round(conf_lo, 1) AS conf_lo,
-  round(conf_hi, 1) AS conf_hi, conf_lvl FROM fo"""))
+SELECT id, model_desc, key, date, round(value, 4) AS value, round(conf_lo, 4) AS conf_lo,
+  round(conf_hi, 4) AS conf_hi, conf_lvl FROM fo"""))
 def conformal_intervals(spark, sf):
     rows = simple_forecast(spark, sf).oos_forecast.where("key = 'prediction'")
-    return shown(rows.drop("model_id"))
+    return shown(rows.drop("model_id"), 4)
 
 
 @query("conformal_many_series", "O-140", with_sql(*simple_sql(SHIP_M, 6), CONF_SQL, """
