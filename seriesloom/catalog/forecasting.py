@@ -270,10 +270,10 @@ SELECT id, model_desc, CAST(line AS INTEGER) AS line, scenario, round(v, {digits
     unnest([prev, mid, lo, hi]) AS v, unnest([psd, sd, sd, sd]) AS s FROM ah JOIN pv ON ah.id = pv.id)""")
 
 
-def _scenario(how):
+def _scenario(how, digits=1):
     def run(spark, sf):
         out = S.aggregate(simple_forecast(spark, sf).oos_forecast, 12, 0.9, how)
-        return out.withColumn("value", F.round("value", 1)).withColumn(
+        return out.withColumn("value", F.round("value", digits)).withColumn(
             "variability", F.round("variability", 1)).withColumn("delta_pp", F.round("delta_pp", 6))
 
     return run
@@ -281,7 +281,7 @@ def _scenario(how):
 
 query("scenario_aggregate", "O-145", scenario_sql("sum", 1))(_scenario("sum"))
 query("scenario_mean", "O-145", scenario_sql("avg", 1))(_scenario("mean"))
-query("scenario_median", "O-145", scenario_sql("median", 1))(_scenario("median"))
+query("scenario_median", "O-145", scenario_sql("median", 6))(_scenario("median", 6))
 
 
 @query("scenario_values", "O-146", with_sql(*simple_sql(ORDERS_M), CONF_SQL, """
