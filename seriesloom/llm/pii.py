@@ -25,7 +25,7 @@ from seriesloom.llm.common import query, table, without
 
 ROUNDS = 10
 #: Layouts, none inside a longer run of letters, digits or joining marks.
-_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*+\.)++[A-Za-z]{2,}+"
+_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9][A-Za-z0-9-]*+\.){1,127}[A-Za-z]{2,}+"
 _OPEN, _SHUT = r"(?<![A-Za-z0-9_.+-])", r"(?![A-Za-z0-9_]|[.-][0-9])"
 _IP = r"[0-9]{1,3}+(?:\.[0-9]{1,3}+){3}"
 _DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4}"

@@ -117,3 +117,10 @@ def test_empty_table(spark):
 def test_short_local_parts(spark, n):
     out = {r.text for r in run(spark, ["".join(x) + "@a.org" for x in itertools.product("abcdefghij", repeat=n)])}
     assert len(out) == 10 ** n
+
+
+def test_addresses_before_marks(spark):
+    ends = [".", "...", ". Thanks", ")", "", ", x", "; x", "?"]
+    alone, *marked = run(spark, ["jane.doe@mail.example.com"] + [f"Write to jane.doe@mail.example.com{e}" for e in ends])
+    assert alone.text != "jane.doe@mail.example.com"
+    assert [r.text for r in marked] == [f"Write to {alone.text}{e}" for e in ends]
