@@ -33,6 +33,9 @@ _SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 _PHONE = r"(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}([ .-])[0-9]{3}\1[0-9]{4})"
 _CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
 _IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
+#: Groupings of cards that may stand next to other numbers; other groupings count where nothing else is in the run.
+_CARD_GROUPS = (r"[0-9](?:-?[0-9]){12,18}|[0-9]{4}(?: [0-9]{4}){3}(?: [0-9]{3})?|[0-9]{4} [0-9]{6} [0-9]{4,5}"
+                r"|[0-9]{4}(?: [0-9]{3}){3}|[0-9]{4} [0-9]{4} [0-9]{5}|[0-9]{4} [0-9]{5} [0-9]{6}|[0-9]{6} [0-9]{13}")
 _FOREIGN = r"\+[2-9][0-9]{1,3}(?:[ .-]?\(?[0-9]{1,8}\)?){1,5}"
 
 
@@ -41,8 +44,27 @@ def _grouped(pattern: str) -> str:
     return pattern.replace(r"([ .-])", r"(?<sep>[ .-])").replace(r"\1", r"\k<sep>")
 
 
+#: Runs of numbers, and of numbers and capital words, with blanks between: what may hold a card or an account number. A word
+#: of a run ends like a value and begins no address and no date with slashes.
+_WORD_END = rf"(?!/[0-9]){_SHUT}"
+_NUMBER = rf"[0-9]++(?:-[0-9]++)*+{_WORD_END}"
+_WORD = rf"(?![A-Za-z0-9._%+-]*+@)[A-Z0-9]++(?:-[0-9]++)*+{_WORD_END}"
+_NUMBERS = rf"(?=[0-9](?:[ -]?[0-9]){{12}}){_NUMBER}(?: {_NUMBER})*+"
+_WORDS = rf"(?={_IBAN}{_SHUT}){_WORD}(?: {_WORD})*+"
+#: Most words of a value in a run: 34 characters in fours.
+WORDS = 9
+
+
 #: A plus sign or an opening bracket may stand before a phone number.
-FOUND = rf"{_EMAIL}|{_OPEN}(?:{_IP}|{_DATE}|{_SSN}|{_grouped(_PHONE)}|{_FOREIGN}|{_IBAN}|{_CARD}){_SHUT}"
+FOUND = rf"{_EMAIL}|{_OPEN}(?:{_IP}|{_DATE}|{_SSN}|{_grouped(_PHONE)}|{_FOREIGN}|{_WORDS}|{_NUMBERS}){_SHUT}"
+#: Lengths of account numbers by country, for those that may stand next to other words; others count where nothing else does.
+_LENGTHS = {15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+            22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+            25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+            29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+_LONG = "|".join(rf"(?:{c.replace(' ', '|')})(?: ?[A-Z0-9]){{{n - 2}}}" for n, c in _LENGTHS.items())
+#: What a part of a run can be.
+_PART = rf"^(?:{_DATE}|{_SSN}|{_grouped(_PHONE)}|(?=(?:{_LONG})$){_IBAN}|{_CARD_GROUPS})$"
 
 
 def _digits(x: Column) -> Column:
@@ -136,6 +158,34 @@ def _parse(m: Column) -> Column:
             .otherwise(none))
 
 
+def _parts(m: Column) -> Column:
+    """The found string in parts that give it again when joined: in a run, valid values and what lies between them.
+
+    The leftmost value counts, and of those with one start the longest.
+    """
+    words = F.split(m, " ", -1)
+    n = F.size(words)
+    joined = lambda start, size: F.array_join(F.slice(words, start + 1, size), " ")
+    spans = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(
+        F.sequence(F.least(F.lit(WORDS), n - i), F.lit(1)), lambda k: F.struct(i.alias("i"), k.alias("k")))))
+    value = lambda x: F.when(joined(x["i"], x["k"]).rlike(_PART), _parse(joined(x["i"], x["k"]))["kind"])
+    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("out"))
+
+    def between(state, end):
+        """The parts so far and the words from the last value to ``end``, each followed by a blank."""
+        return F.when(end > state["end"], F.concat(
+            state["out"], F.array(joined(state["end"], end - state["end"]), F.lit(" ")))).otherwise(state["out"])
+
+    def take(state, x):
+        out = F.concat(between(state, x["i"]), F.array(joined(x["i"], x["k"]), F.lit(" ")))
+        return F.when(x["i"] >= state["end"], F.struct((x["i"] + x["k"]).alias("end"), out.alias("out"))).otherwise(state)
+
+    cut = F.aggregate(F.filter(spans, lambda x: value(x).isNotNull()), start, take, lambda st: F.slice(
+        between(st, n), 1, F.size(between(st, n)) - 1))
+    return F.when(m.contains(" ") & m.rlike("^[A-Z0-9 -]+$") & ~m.rlike(f"^(?:{_DATE}|{_SSN}|{_grouped(_PHONE)})$"), cut) \
+        .otherwise(F.array(m))
+
+
 def permute(kind: Column, symbols: Column, radices: Column, key: str, rounds: int = ROUNDS) -> Column:
     """Feistel network over symbols with a radix each; ``kind``, the radices and the key choose the permutation."""
     half = F.floor(F.size(symbols) / 2).cast("int")
@@ -216,16 +266,18 @@ def pseudonymise(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     body = F.col(f"`{text}`").cast("string")
     some = body.rlike("[0-9@]")
     found = df.select("*", F.when(some, F.regexp_extract_all(body, F.lit(FOUND), F.lit(0))).alias("_found"))
-    parsed = found.withColumn("_parsed", F.when(F.size("_found") > 0, F.transform("_found", lambda m: F.struct(
-        m.alias("m"), _parse(m).alias("p")))))
-    made = parsed.withColumn("_made", F.transform("_parsed", lambda x: F.struct(
+    cut = found.withColumn("_parts", F.when(F.size("_found") > 0, F.transform("_found", _parts)))
+    inside = lambda name, f: F.transform(name, lambda parts: F.transform(parts, f))
+    parsed = cut.withColumn("_parsed", inside("_parts", lambda m: F.struct(m.alias("m"), _parse(m).alias("p"))))
+    made = parsed.withColumn("_made", inside("_parsed", lambda x: F.struct(
         x["m"].alias("m"), x["p"]["kind"].alias("kind"),
         permute(x["p"]["kind"], x["p"]["symbols"], x["p"]["radices"], key).alias("s"))))
-    shown = made.withColumn("_shown", F.transform("_made", lambda x: F.struct(
+    shown = made.withColumn("_shown", inside("_made", lambda x: F.struct(
         x["kind"].alias("kind"), _render(x["m"], x["kind"], x["s"]).alias("pseudonym"))))
     gaps = F.split(body, FOUND, -1)
-    new = F.array_join(F.zip_with(gaps, F.col("_shown"), lambda g, x: F.concat(g, F.coalesce(x["pseudonym"], F.lit("")))), "")
-    valid = F.filter("_shown", lambda x: x["kind"].isNotNull())
+    new = F.array_join(F.zip_with(gaps, F.col("_shown"), lambda g, parts: F.concat(g, F.coalesce(
+        F.array_join(F.transform(parts, lambda x: x["pseudonym"]), ""), F.lit("")))), "")
+    valid = F.filter(F.flatten("_shown"), lambda x: x["kind"].isNotNull())
     none = F.array().cast("array<struct<kind:string,pseudonym:string>>")
     return shown.select(*[F.when(F.col("_shown").isNotNull(), new).otherwise(F.col(f"`{c}`")).alias(c) if c == text
                           else F.col(f"`{c}`") for c in names], F.coalesce(valid, none).alias("pii"))

@@ -124,3 +124,17 @@ def test_addresses_before_marks(spark):
     alone, *marked = run(spark, ["jane.doe@mail.example.com"] + [f"Write to jane.doe@mail.example.com{e}" for e in ends])
     assert alone.text != "jane.doe@mail.example.com"
     assert [r.text for r in marked] == [f"Write to {alone.text}{e}" for e in ends]
+
+
+def test_values_next_to_others(spark):
+    card, iban, day = "4111 1111 1111 1111", "BE68 5390 0754 7034", "2021-03-05"
+    texts = ["card {c} 123 ok", "12 {c}", "1234 {c}", "{c} {c} {c} 12 12", "{i} EUR 50", "AB12 {i} XXXX", "{c} 03/05/2021x",
+             "PAID {i} PAID {c} AND {d} A.B", "42 {d} 10 15 30", "5 {d} {d} {d}", "{c} 5-2nd", "{i}. {c}, {d}"]
+    ways = {"c": card, "i": iban, "d": day}
+    news = {k: pseudonym(v) for k, v in ways.items()}
+    for t, row in zip(texts, run(spark, [t.format(**ways) for t in texts])):
+        assert row.text == t.format(**news), t
+    odd = "41111 11111 11111 1"
+    rows = run(spark, [odd, f"{card[:-1]}2 123", " ".join(["12"] * 1000), f"3782 822463 10005 7 {iban}"])
+    assert rows[0].text == pseudonym(odd) and rows[1].pii == [] == rows[2].pii
+    assert rows[3].text == f"{pseudonym('3782 822463 10005')} 7 {news['i']}"
