@@ -7,7 +7,8 @@ values have equal pseudonyms in every document and layout, and different ones ha
 
     kind    symbols (radix)
     card    digits after the first, without the Luhn digit (10), which is computed anew
-    phone   ten digits of the North American plan (10; 8 for the first of area and exchange, which are 2 to 9)
+    phone   ten digits of the North American plan (10; 8 for the first of area and exchange, which are 2 to 9); behind the
+            country code also others (2 for a first digit of 0 or 1), so those within and outside the plan stay so
     ssn     area 001-899 without 666 (898), group 01-99 (99), serial 0001-9999 (9999)
     ip      octets (256)
     date    number of the day in its century, in two symbols: 1900s (92, 397), 2000s (75, 487)
@@ -56,7 +57,8 @@ WORDS = 9
 
 
 #: A plus sign or an opening bracket may stand before a phone number.
-FOUND = rf"{_EMAIL}|{_OPEN}(?:{_IP}|{_DATE}|{_SSN}|{_grouped(_PHONE)}|{_FOREIGN}|{_WORDS}|{_NUMBERS}){_SHUT}"
+#: A time may follow a date: 2021-03-05T10:00.
+FOUND = rf"{_EMAIL}|{_OPEN}[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}(?=T[0-9]{{2}})|{_OPEN}(?:{_IP}|{_DATE}|{_SSN}|{_grouped(_PHONE)}|{_FOREIGN}|{_WORDS}|{_NUMBERS}){_SHUT}"
 #: Lengths of account numbers by country, for those that may stand next to other words; others count where nothing else does.
 _LENGTHS = {15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
             22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
@@ -99,10 +101,15 @@ def _longs(*columns) -> Column:
     return F.array(*[c.cast("long") if isinstance(c, Column) else F.lit(c).cast("long") for c in columns])
 
 
+def _day_first(m: Column) -> Column:
+    """Whether a date with slashes has its day in front: only where the first number is no month."""
+    return F.substring(m, 1, 2).cast("int") > 12
+
+
 def _date_of(m: Column) -> Column:
-    """Day that a date in one of the three layouts names, null if there is no such day between 1900 and 2099."""
+    """Day that a date in one of the layouts names, null if there is no such day between 1900 and 2099."""
     text = F.when(F.substring(m, 5, 1) == "-", m).when(
-        F.substring(m, 3, 1) == ".", F.concat_ws("-", F.substring(m, 7, 4), F.substring(m, 4, 2), F.substring(m, 1, 2))) \
+        (F.substring(m, 3, 1) == ".") | _day_first(m), F.concat_ws("-", F.substring(m, 7, 4), F.substring(m, 4, 2), F.substring(m, 1, 2))) \
         .otherwise(F.concat_ws("-", F.substring(m, 7, 4), F.substring(m, 1, 2), F.substring(m, 4, 2)))
     day = F.try_to_date(text, "yyyy-MM-dd")
     return F.when((F.substring(text, 1, 2).isin("19", "20")) & (F.date_format(day, "yyyy-MM-dd") == text), day)
@@ -133,8 +140,9 @@ def _parse(m: Column) -> Column:
     ssn = of("ssn", _longs(F.when(area > 666, area - 2).otherwise(area - 1), part - 1, serial - 1), _longs(898, 99, 9999))
     ten = F.substring(digits, -10, 10)
     first_of = lambda i: (i == 0) | (i == 3)
-    phone = of("phone", F.transform(_numbers(ten), lambda x, i: F.when(first_of(i), x - 2).otherwise(x)),
-               F.transform(_numbers(ten), lambda x, i: F.when(first_of(i), F.lit(8)).otherwise(F.lit(10)).cast("long")))
+    phone = of("phone", F.transform(_numbers(ten), lambda x, i: F.when(first_of(i) & (x > 1), x - 2).otherwise(x)),
+               F.transform(_numbers(ten), lambda x, i: F.when(first_of(i), F.when(x > 1, F.lit(8)).otherwise(F.lit(2)))
+                           .otherwise(F.lit(10)).cast("long")))
     inner = _numbers(F.substring(digits, F.lit(2), F.length(digits) - 2))
     card = of("card", inner, F.transform(inner, lambda x: F.lit(10).cast("long")))
     account = F.regexp_replace(m, " ", "")
@@ -145,7 +153,9 @@ def _parse(m: Column) -> Column:
     after = _numbers(F.substring(digits, F.lit(3), F.length(digits)))
     foreign = of("foreign", after, F.transform(after, lambda x: F.lit(10).cast("long")))
     none = F.struct(F.lit(None).cast("string").alias("kind"), no_symbols.alias("symbols"), no_symbols.alias("radices"))
-    plan = ten.rlike("^[2-9][0-9]{2}[2-9]") & ((F.length(digits) == 10) | digits.startswith("1"))
+    coded = (F.length(digits) == 11) & digits.startswith("1")
+    plan = ten.rlike("^[2-9][0-9]{2}[2-9]") & ((F.length(digits) == 10) | coded)
+    plan = plan | (coded & (m.startswith("+") | m.contains("(")))
     return (F.when(m.contains("@"), email)
             .when(m.rlike(f"^{_IP}$") & F.forall(octets, lambda x: x < 256), ip)
             .when(m.rlike(f"^(?:{_DATE})$") & day.isNotNull(), date)
@@ -232,10 +242,12 @@ def _render(m: Column, kind: Column, s: Column) -> Column:
                        (at(1) + at(2) * F.when(old, F.lit(92)).otherwise(F.lit(75))).cast("int"))
     layout = lambda f: F.date_format(moved, f)
     date = F.when(F.substring(m, 5, 1) == "-", layout("yyyy-MM-dd")).when(F.substring(m, 3, 1) == ".", layout("dd.MM.yyyy")) \
-        .otherwise(layout("MM/dd/yyyy"))
+        .when(_day_first(m), layout("dd/MM/yyyy")).otherwise(layout("MM/dd/yyyy"))
     ssn = F.concat_ws("-", F.lpad(F.when(at(1) >= 665, at(1) + 2).otherwise(at(1) + 1).cast("string"), 3, "0"),
                       F.lpad((at(2) + 1).cast("string"), 2, "0"), F.lpad((at(3) + 1).cast("string"), 4, "0"))
-    ten = F.array_join(F.transform(s, lambda x, i: F.when((i == 0) | (i == 3), x + 2).otherwise(x)).cast("array<string>"), "")
+    old_ten = F.substring(digits, -10, 10)
+    ten = F.array_join(F.transform(s, lambda x, i: F.when(
+        ((i == 0) | (i == 3)) & (F.substring(old_ten, i + 1, F.lit(1)) > "1"), x + 2).otherwise(x)).cast("array<string>"), "")
     phone = _laid_out(m, F.concat(F.substring(digits, F.lit(1), F.length(digits) - 10), ten))
     front = F.concat(F.substring(digits, 1, 1), joined)
     card = _laid_out(m, F.concat(front, F.pmod(-_luhn_sum(front, True), F.lit(10)).cast("string")))

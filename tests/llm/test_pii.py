@@ -138,3 +138,21 @@ def test_values_next_to_others(spark):
     rows = run(spark, [odd, f"{card[:-1]}2 123", " ".join(["12"] * 1000), f"3782 822463 10005 7 {iban}"])
     assert rows[0].text == pseudonym(odd) and rows[1].pii == [] == rows[2].pii
     assert rows[3].text == f"{pseudonym('3782 822463 10005')} 7 {news['i']}"
+
+
+def test_dates_with_times_and_day_first(spark):
+    a, b, c, d = (r.text for r in run(spark, ["2021-12-25", "25/12/2021", "2021-12-25T10:00", "at 2021-12-25T10:00:00Z."]))
+    day = datetime.date.fromisoformat(a)
+    assert a != "2021-12-25" and b == day.strftime("%d/%m/%Y") and c == f"{a}T10:00" and d == f"at {a}T10:00:00Z."
+
+
+def test_phones_outside_the_plan(spark):
+    texts = ["+1 (017) 555-7713", "+1 017-555-7713", "1 (988) 155-2485", "+1.188.055.2485"]
+    rows = run(spark, texts)
+    for t, row in zip(texts, rows):
+        old, new = (re.sub("[^0-9]", "", x)[-10:] for x in (t, row.text))
+        radices = [(8 if x > "1" else 2) if i in (0, 3) else 10 for i, x in enumerate(old)]
+        want = network("phone", [int(x) - 2 * (r == 8) for x, r in zip(old, radices)], radices)
+        assert new == "".join(str(x + 2 * (r == 8)) for x, r in zip(want, radices)) and new != old
+        assert re.sub("[0-9]", "9", t) == re.sub("[0-9]", "9", row.text) and [x.kind for x in row.pii] == ["phone"]
+    assert re.sub("[^0-9]", "", rows[0].text) == re.sub("[^0-9]", "", rows[1].text)
