@@ -348,7 +348,7 @@ def stacked_single_member(spark, sf):
 
 @query("stacked_boosted", "O-129")
 def stacked_boosted(spark, sf):
-    frame = M.model_frame(features_with_future(spark, sf), M.standard_runs(24, 12) + M.fold_runs(24, 3))
+    frame = M.model_frame(features_with_future(spark, sf), M.standard_runs(24, 12) + M.fold_runs(24, 5))
     from seriesloom.operators.stacking import stack
 
     members = ["Seasonal Naive", "Linear Regression"]
@@ -465,9 +465,8 @@ def tuned_random_folds(spark, sf):
 
 @query("tuned_forest", "O-132")
 def tuned_forest(spark, sf):
-    """A method without a shared pass: one pooled fit per grid point and fold."""
-    tuned = TU.tune(features_with_future(spark, sf), "Random Forest", M.Context(12, ("time_trend", "month")), 24, 2, 2,
-                    chosen=["rf_min_n"])
+    """A method without a shared pass: one fit of every series per grid point and fold."""
+    tuned = TU.tune(features_with_future(spark, sf), "Random Forest", FCTX, 24)
     return tuned.select("id", "method", F.explode("params").alias("parameter", "value"), "score")
 
 
@@ -492,4 +491,4 @@ def best_candidate(spark, sf):
 
 @query("automatic_leaderboard", "O-125 O-58")
 def automatic_leaderboard(spark, sf):
-    return TU.leaderboard(features_with_future(spark, sf), FCTX, 24, 3)
+    return TU.leaderboard(features_with_future(spark, sf), FCTX, 24)

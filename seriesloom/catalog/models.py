@@ -266,15 +266,14 @@ def parameters_by_method(spark, sf):
 _register("model_automatic", "O-125", "H2O AutoML")
 _register("model_linear_features", "O-113", "Linear Regression")
 _register("model_elastic_net", "O-114", "Elastic Net")
-_register("model_hinge_basis", "O-115", "MARS", {"num_terms": 10})
+_register("model_hinge_basis", "O-115", "MARS")
 _register("model_support_vector", "O-117", "SVM")
 _register("model_support_vector_radial", "O-117", "SVM", {"boundary": "Radial"})
 _register("model_random_forest", "O-118", "Random Forest")
 _register("model_boosted_trees", "O-119", "Boosted Trees")
 _register("model_leaf_linear", "O-120", "Cubist", {"committees": 2})
 _register("model_feed_forward", "O-121", "Feed-Forward")
-_register("model_feed_forward_ar", "O-122", "Feed-Forward AR", {
-    "ffar_num_networks": 3, "ffar_hidden_units": 5, "ffar_non_seasonal_ar": 2, "ffar_seasonal_ar": 1})
+_register("model_feed_forward_ar", "O-122", "Feed-Forward AR", {"ffar_non_seasonal_ar": 2, "ffar_seasonal_ar": 1})
 _register("model_arima_boost", "O-123", "ARIMA-Boost")
 _register("model_changepoint_boost", "O-124", "Prophet-Boost")
 _register("model_several_seasons", "O-110", "TBATS")
