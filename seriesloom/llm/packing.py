@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.llm.common import query, short_batches, table
-from seriesloom.llm.tokens import encoder, public_file
+from seriesloom.llm.tokens import MEMO_BYTES, encoder, public_file
 
 #: Documents in a group on average. The padding of first-fit decreasing shrinks with it, the tree grows with it.
 GROUP = 1024
@@ -62,7 +62,7 @@ class Tournament:
 
 
 def pieces(df: DataFrame, tokenizer: str | None = None, text: str = "text", id: str = "doc_id", end_id: int = 1,
-           capacity: int = 2048, group: int = GROUP, split: bool = True) -> DataFrame:
+           capacity: int = 2048, group: int = GROUP, split: bool = True, memo_bytes: int = MEMO_BYTES) -> DataFrame:
     """Pieces of all documents before packing: group, length, doc_id, start, doc_tokens, ids (packed at 2 or 4 bytes)."""
     spark = df.sparkSession
     short_batches(spark)
@@ -78,7 +78,7 @@ def pieces(df: DataFrame, tokenizer: str | None = None, text: str = "text", id:
         return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
 
     def run(batches):
-        encode, end = encoder(path or public_file(), split), np.array([end_id], np.uint32)
+        encode, end = encoder(path or public_file(), split, memo_bytes), np.array([end_id], np.uint32)
         for batch in batches:
             out, size = [], 0
             found = encode(batch.column("text").to_pylist())
@@ -99,15 +99,15 @@ def pieces(df: DataFrame, tokenizer: str | None = None, text: str = "text", id:
 
 
 def pack(df: DataFrame, tokenizer: str | None = None, text: str = "text", id: str = "doc_id", end_id: int = 1,
-         capacity: int = 2048, group: int = GROUP, split: bool = True) -> DataFrame:
+         capacity: int = 2048, group: int = GROUP, split: bool = True, memo_bytes: int = MEMO_BYTES) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids (binary, unsigned 32-bit little-endian).
 
     Every id of every document is in just one piece. Offsets of a sequence run on without gaps from 0. Null texts are empty
     and have the end id alone; null ids and repeated rows are documents of their own. Equal input gives equal sequences,
     whatever its order. An empty table gives no pieces. Bins of a group are numbered from 0 and the group goes to the upper
-    32 bits of sequence_id.
+    32 bits of sequence_id. Each Python worker remembers words and their ids up to ``memo_bytes``.
     """
-    found = pieces(df, tokenizer, text, id, end_id, capacity, group, split)
+    found = pieces(df, tokenizer, text, id, end_id, capacity, group, split, memo_bytes)
     by_length = found.repartition("group").sortWithinPartitions("group", F.desc("length"), "doc_id", "start", "ids")
 
     def run(batches):
@@ -156,4 +156,4 @@ def digest(packed: DataFrame) -> DataFrame:
 
 @query("op6_packing")
 def op6(spark, sf_dir):
-    return digest(pack(table(spark, sf_dir, "documents"), end_id=1))
+    return digest(pack(table(spark, sf_dir, "documents"), end_id=1, memo_bytes=192 << 20))

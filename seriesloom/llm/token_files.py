@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seriesloom.llm.common import query, short_batches, staged, table
-from seriesloom.llm.tokens import encoder, public_file
+from seriesloom.llm.tokens import MEMO_BYTES, encoder, public_file
 from seriesloom.session import scratch_path
 
 MAGIC, BLOCK = b"IDBITS01", 1 << 16
@@ -147,11 +147,12 @@ def _open(folder: str):
 
 
 def write(df: DataFrame, folder: str, tokenizer: str | None = None, text: str = "text", id: str = "doc_id",
-          end_id: int = 0, split: bool = True) -> DataFrame:
+          end_id: int = 0, split: bool = True, memo_bytes: int = MEMO_BYTES) -> DataFrame:
     """Encode all texts into files of the folder; returns their list (part, file, documents, ids), a staged frame.
 
     Documents are in ascending order of ids over the files by part, null ids first; equal ids are ordered by a hash of their
     texts. A null text is empty. ``end_id`` is added to each document. An empty table gives no files.
+    Each Python worker remembers words and their ids up to ``memo_bytes``.
     """
     spark = df.sparkSession
     short_batches(spark)
@@ -166,7 +167,7 @@ def write(df: DataFrame, folder: str, tokenizer: str | None = None, text: str =
             if writer is None:
                 if not batch.num_rows:
                     continue
-                encode = encoder(path or public_file(), split)
+                encode = encoder(path or public_file(), split, memo_bytes)
                 store, place = _open(folder)
                 store.create_dir(place, recursive=True)
                 part = TaskContext.get().partitionId()
@@ -226,5 +227,5 @@ def read(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
 @query("op4_token_files")
 def op4(spark, sf_dir):
     folder = scratch_path(spark, "tokens")
-    files = write(table(spark, sf_dir, "documents"), folder, end_id=0)
+    files = write(table(spark, sf_dir, "documents"), folder, end_id=0, memo_bytes=192 << 20)
     return read(spark, folder, files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -32,13 +32,23 @@ def test_encoder_equals_the_tokenizer(tokenizer):
             assert ids.tolist() == ids_of(tokenizer, t), t[:60]
 
 
-def test_full_memo_changes_nothing(tokenizer, monkeypatch):
-    monkeypatch.setattr(tokens, "MEMO", 20)
+def test_full_memo_changes_nothing(tokenizer):
     texts = [t or "" for _, t, *_ in corpus()]
-    encode = tokens.Encoder(tokens.public_file())
+    encode = tokens.Encoder(tokens.public_file(), memo_bytes=4000)
     for t in texts:
         assert encode([t])[0].tolist() == ids_of(tokenizer, t)
-    assert len(encode.spaced) <= 3200
+    assert 10 < len(encode.memo) <= 4000 // tokens.ENTRY_BYTES + 1
+    nothing = tokens.Encoder(tokens.public_file(), memo_bytes=0)
+    assert [x.tolist() for x in nothing(texts)] == [ids_of(tokenizer, t) for t in texts] and not nothing.memo
+
+
+def test_slices_of_long_texts_change_nothing(tokenizer, monkeypatch):
+    monkeypatch.setattr(tokens, "SLICE", 30)
+    texts = [t or "" for _, t, *_ in corpus()] + ["a\nb " * 40 + "c", "x" * 90 + "\n" + "y" * 90, "x" * 90 + " " + "y" * 31]
+    encode = tokens.Encoder(tokens.public_file())
+    for _ in range(2):
+        for t, ids in zip(texts, encode(texts)):
+            assert ids.tolist() == ids_of(tokenizer, t), t[:60]
 
 
 @pytest.mark.parametrize("width", range(1, 33))
