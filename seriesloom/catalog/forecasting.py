@@ -234,27 +234,27 @@ def candidate_models(spark, sf):
 
 
 @query("adjusted_forecast", "O-143", with_sql(*simple_sql(ORDERS_M), CONF_SQL, """
-SELECT id, model_desc, key, date, round(value * 1.05, 1) AS value, round(conf_lo, 1) AS conf_lo,
-  round(conf_hi, 1) AS conf_hi, conf_lvl FROM fo UNION ALL
-SELECT id, 'ACTUAL', 'actual', date, round(value, 1), NULL, NULL, NULL FROM p"""))
+SELECT id, model_desc, key, date, round(value * 1.05, 4) AS value, round(conf_lo, 4) AS conf_lo,
+  round(conf_hi, 4) AS conf_hi, conf_lvl FROM fo UNION ALL
+SELECT id, 'ACTUAL', 'actual', date, round(value, 4), NULL, NULL, NULL FROM p"""))
 def adjusted_forecast(spark, sf):
-    return shown(S.adjust(simple_forecast(spark, sf).oos_forecast, 5.0).drop("model_id"))
+    return shown(S.adjust(simple_forecast(spark, sf).oos_forecast, 5.0).drop("model_id"), 4)
 
 
 @query("widened_linear", "O-144", with_sql(*simple_sql(ORDERS_M), CONF_SQL, """
-SELECT id, model_desc, key, date, round(value, 1) AS value, round(conf_lo - 1000.0 * (h - 1), 1) AS conf_lo,
-  round(conf_hi + 1000.0 * (h - 1), 1) AS conf_hi, conf_lvl FROM fo"""))
+SELECT id, model_desc, key, date, round(value, 4) AS value, round(conf_lo - 1000.0 * (h - 1), 4) AS conf_lo,
+  round(conf_hi + 1000.0 * (h - 1), 4) AS conf_hi, conf_lvl FROM fo"""))
 def widened_linear(spark, sf):
     rows = I.widen(simple_forecast(spark, sf).oos_forecast.where("key = 'prediction'"), "linear", 1000.0)
-    return shown(rows.drop("model_id"))
+    return shown(rows.drop("model_id"), 4)
 
 
 @query("widened_exponential", "O-144", with_sql(*simple_sql(ORDERS_M), CONF_SQL, """
-SELECT id, model_desc, key, date, round(value, 1) AS value, round(conf_lo - (pow(h, 4.5::DOUBLE) - 1), 1) AS conf_lo,
-  round(conf_hi + pow(h, 4.5::DOUBLE) - 1, 1) AS conf_hi, conf_lvl FROM fo"""))
+SELECT id, model_desc, key, date, round(value, 4) AS value, round(conf_lo - (pow(h, 4.5::DOUBLE) - 1), 4) AS conf_lo,
+  round(conf_hi + pow(h, 4.5::DOUBLE) - 1, 4) AS conf_hi, conf_lvl FROM fo"""))
 def widened_exponential(spark, sf):
     rows = I.widen(simple_forecast(spark, sf).oos_forecast.where("key = 'prediction'"), "exponential", 4.5)
-    return shown(rows.drop("model_id"))
+    return shown(rows.drop("model_id"), 4)
 
 
 def scenario_sql(fold, digits):
@@ -264,7 +264,7 @@ ah AS (SELECT id, model_desc, {fold}(value) AS mid, {fold}(conf_lo) AS lo, {fold
 pv AS (SELECT id, {fold}(value) AS prev, stddev_samp(value) AS psd FROM (SELECT *, row_number() OVER (PARTITION BY id
   ORDER BY date DESC) AS r FROM p) WHERE r <= 12 GROUP BY id)""", f"""
 SELECT id, model_desc, CAST(line AS INTEGER) AS line, scenario, round(v, {digits}) AS value,
-  round(s, 1) AS variability, round((CASE WHEN line > 1 THEN v END - prev) / prev * 100, 6) AS delta_pp FROM (
+  round(s, 4) AS variability, round((CASE WHEN line > 1 THEN v END - prev) / prev * 100, 6) AS delta_pp FROM (
   SELECT ah.id, model_desc, prev, unnest([1, 2, 3, 4]) AS line,
     unnest(['Previous Period', 'Forecast', 'Worst Case', 'Best Case']) AS scenario,
     unnest([prev, mid, lo, hi]) AS v, unnest([psd, sd, sd, sd]) AS s FROM ah JOIN pv ON ah.id = pv.id)""")
@@ -274,21 +274,21 @@ def _scenario(how, digits=1):
     def run(spark, sf):
         out = S.aggregate(simple_forecast(spark, sf).oos_forecast, 12, 0.9, how)
         return out.withColumn("value", F.round("value", digits)).withColumn(
-            "variability", F.round("variability", 1)).withColumn("delta_pp", F.round("delta_pp", 6))
+            "variability", F.round("variability", 4)).withColumn("delta_pp", F.round("delta_pp", 6))
 
     return run
 
 
-query("scenario_aggregate", "O-145", scenario_sql("sum", 1))(_scenario("sum"))
-query("scenario_mean", "O-145", scenario_sql("avg", 1))(_scenario("mean"))
+query("scenario_aggregate", "O-145", scenario_sql("sum", 4))(_scenario("sum", 4))
+query("scenario_mean", "O-145", scenario_sql("avg", 4))(_scenario("mean", 4))
 query("scenario_median", "O-145", scenario_sql("median", 6))(_scenario("median", 6))
 
 
 @query("scenario_values", "O-146", with_sql(*simple_sql(ORDERS_M), CONF_SQL, """
-SELECT id, model_desc, date, round(conf_lo, 1) AS worst_case, round(value, 1) AS forecast,
-  round(conf_hi, 1) AS best_case FROM fo WHERE conf_lvl = 0.9"""))
+SELECT id, model_desc, date, round(conf_lo, 4) AS worst_case, round(value, 4) AS forecast,
+  round(conf_hi, 4) AS best_case FROM fo WHERE conf_lvl = 0.9"""))
 def scenario_values(spark, sf):
-    return S.scenario_values(simple_forecast(spark, sf).oos_forecast, 0.9, 1)
+    return S.scenario_values(simple_forecast(spark, sf).oos_forecast, 0.9, 4)
 
 
 # Workflows that SQL cannot express.
@@ -411,10 +411,10 @@ b AS (SELECT *, d - lag(d, 12) OVER w AS s, lag(y) OVER w AS y1, lag(y, 12) OVER
 c AS (SELECT *, lag(s) OVER (PARTITION BY id ORDER BY date) AS s1 FROM b)""", """
 h AS (SELECT c.*, e.y + c.y12 - e.y12 + (c.t - e.t) * e.s AS path FROM c JOIN c AS e ON c.id = e.id AND e.t = c.n - 12
   WHERE c.t > c.n - 12)""", """
-SELECT id, date, 'fit' AS kind, round(y, 0) AS actual, round(s1 + d12 + y1, 0) AS prediction FROM c
+SELECT id, date, 'fit' AS kind, round(y, 3) AS actual, round(s1 + d12 + y1, 3) AS prediction FROM c
   WHERE t BETWEEN 14 AND n - 12
-UNION ALL SELECT id, date, 'ahead', round(y, 0), round(path, 0) FROM h
-UNION ALL SELECT id, date, 'table', NULL, round(path, 0) FROM h"""))
+UNION ALL SELECT id, date, 'ahead', round(y, 3), round(path, 3) FROM h
+UNION ALL SELECT id, date, 'table', NULL, round(path, 3) FROM h"""))
 def undifferenced_holdout(spark, sf):
     """Residuals and hold-out forecast of Naive on a series differenced twice, back on the scale of the data."""
     from seriesloom.operators.transform import transform_panel
@@ -424,17 +424,17 @@ def undifferenced_holdout(spark, sf):
     result = FC.forecast(append_future(moved, 12, "month"), ["Naive"], CTX, 12, 12, [0.8])
     back = FC.back_transform(result, params, steps)
     kind = F.when(F.col("split") == "train", "fit").otherwise("ahead").alias("kind")
-    rows = back.residuals.select("id", "date", kind, F.round("actual", 0).alias("actual"),
-                                 F.round("prediction", 0).alias("prediction"))
+    rows = back.residuals.select("id", "date", kind, F.round("actual", 3).alias("actual"),
+                                 F.round("prediction", 3).alias("prediction"))
     held = back.test_forecast.where("key = 'prediction'").select(
         "id", "date", F.lit("table").alias("kind"), F.lit(None).cast("double").alias("actual"),
-        F.round("value", 0).alias("prediction"))
+        F.round("value", 3).alias("prediction"))
     return rows.unionByName(held)
 
 
 @query("tuning_setup", "O-130", """
 SELECT DISTINCT o_orderpriority AS id, 'Random Forest' AS method, k AS parameter, v AS default, k = 'rf_mtry' AS tune
-FROM orders, (VALUES ('rf_mtry', '5'), ('rf_trees', '100'), ('rf_min_n', '5')) d(k, v)""")
+FROM orders, (VALUES ('rf_mtry', '5'), ('rf_trees', '1000'), ('rf_min_n', '5')) d(k, v)""")
 def tuning_setup(spark, sf):
     return TU.tune_setup(priorities(spark, sf), "Random Forest", ["rf_mtry"])
 

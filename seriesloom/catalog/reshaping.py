@@ -170,7 +170,7 @@ def clean_strings(spark, sf):
 
 
 @query("edited_cells", "O-10", with_sql(ORDERS_M, """
-e AS (SELECT id, date, round(value / 2, 2) AS edit FROM p WHERE month(date) = 12 AND year(date) = 1999)""", """
+e AS (SELECT id, date, round(value / 2, 4) AS edit FROM p WHERE month(date) = 12 AND year(date) = 1999)""", """
 SELECT p.id, p.date, coalesce(e.edit, p.value) AS value, e.edit IS NOT NULL AS edited
 FROM p LEFT JOIN e ON p.id = e.id AND p.date = e.date"""))
 def edited_cells(spark, sf):
@@ -178,7 +178,7 @@ def edited_cells(spark, sf):
 
     panel = orders_monthly(spark, sf)
     chosen = (F.month("date") == 12) & (F.year("date") == 1999)
-    edits = panel.where(chosen).select("id", "date", F.round(F.col("value") / 2, 2).alias("value"))
+    edits = panel.where(chosen).select("id", "date", F.round(F.col("value") / 2, 4).alias("value"))
     return apply_edits(panel, edits)
 
 

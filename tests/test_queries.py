@@ -17,8 +17,7 @@ def con():
     return c
 
 
-# every fifth query here; tools/check_queries.py runs them all
-@pytest.mark.parametrize("name", sorted(ORACLES)[::5])
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, con, name):
     df = QUERIES[name](spark, SF)
     rel = con.sql(ORACLES[name])
