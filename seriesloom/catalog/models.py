@@ -113,24 +113,22 @@ def model_arima_auto(spark, sf):
 
 @query("model_arima_fixed", "O-109", with_sql(*run_sql(SHIP_M, 6, 6), """
 d AS (SELECT *, y - lag(y) OVER (PARTITION BY id, run ORDER BY date) AS z FROM fr)""", """
-x AS (SELECT *, lag(z) OVER (PARTITION BY id, run ORDER BY date) AS z1 FROM d)""", """
-r AS (SELECT id, run, regr_slope(z, z1) AS b, regr_intercept(z, z1) AS a, count(z1) AS k, var_pop(z1) AS v
-  FROM x WHERE NOT ahead GROUP BY id, run)""", """
-la AS (SELECT id, run, y, z FROM x WHERE NOT ahead QUALIFY row_number() OVER (PARTITION BY id, run
+x AS (SELECT *, lag(z) OVER (PARTITION BY id, run ORDER BY date) AS z1, lag(y) OVER (PARTITION BY id, run ORDER BY date) AS y1
+  FROM d)""", """
+r AS (SELECT id, run, count(z1) AS k, coalesce(var_pop(z1), 0) AS v, avg(z) FILTER (z1 IS NOT NULL) AS mz, avg(z1) AS mz1,
+  regr_slope(z, z1) AS slope, regr_intercept(z, z1) AS icept FROM x WHERE NOT ahead GROUP BY id, run)""", """
+c AS (SELECT id, run, CASE WHEN k = 0 THEN 0 WHEN v > 0 THEN slope WHEN mz1 = 0 THEN 0 ELSE mz / (2 * mz1) END AS b,
+  CASE WHEN k = 0 THEN 0 WHEN v > 0 THEN icept WHEN mz1 = 0 THEN mz ELSE mz / 2 END AS a FROM r)""", """
+la AS (SELECT id, run, y AS y0, coalesce(z, 0) AS z0 FROM x WHERE NOT ahead QUALIFY row_number() OVER (PARTITION BY id, run
   ORDER BY date DESC) = 1)""", """
-SELECT x.id, x.run, x.date, true AS ahead, round(la.y + a + b * la.z, 4) AS prediction
-FROM x JOIN r ON x.id = r.id AND x.run = r.run JOIN la ON la.id = x.id AND la.run = x.run
-WHERE x.h = 1 AND k >= 12 AND v > 0"""))
+SELECT x.id, x.run, x.date, x.ahead, round(CASE WHEN NOT ahead THEN y1 + a + b * z1 ELSE y0 + list_sum(list_transform(
+  range(1, h + 1), lambda j: pow(b, j) * z0 + a * CASE WHEN b = 1 THEN j ELSE (1 - pow(b, j)) / (1 - b) END)) END, 4)
+  AS prediction
+FROM x LEFT JOIN c ON x.id = c.id AND x.run = c.run LEFT JOIN la ON la.id = x.id AND la.run = x.run"""))
 def model_arima_fixed(spark, sf):
+    """Every horizon and every fitted row; series without enough rows get the shortest coefficients that fit."""
     params = default_params("SARIMA", {"auto_arima": False, "non_seasonal_ar": 1, "non_seasonal_differences": 1})
-    preds = arima.sarima(frame_of(ship_monthly(spark, sf), 6, 6), M.Context(1), params)
-    long_enough = preds.where("NOT ahead").groupBy("id", "run").agg(F.count(F.lit(1)).alias("k")).where("k >= 14")
-    return out(preds.where("h = 1").join(long_enough.select("id", "run"), ["id", "run"], "left_semi"))
-
-
-@query("model_decompose_ets", "O-111")
-def model_decompose_ets(spark, sf):
-    return out(smoothing.decompose_then(frame_of(ship_monthly(spark, sf)), CTX, default_params("STLM")))
+    return out(arima.sarima(frame_of(ship_monthly(spark, sf), 6, 6), M.Context(1), params))
 
 
 @query("model_decompose_arima", "O-111")

@@ -1,45 +1,157 @@
 """Seasonal ARIMA by two regressions (Hannan and Rissanen 1982), for all series at once.
 
-Stage 1 regresses on many lags and yields residuals; stage 2 regresses on lags of the series and of the residuals.
-All candidate orders are subsets of one regression, so they share one pass and the smallest AICc wins. This
-approximates the maximum-likelihood fit; it needs no iteration.
+Stage 1 regresses on many lags, as many as AICc wants around zero and around multiples of the season, and yields residuals;
+stage 2 regresses on lags of the series and of the residuals. All candidate orders are subsets of one regression, so they
+share one pass; of those that are stationary and invertible the smallest AICc wins. This approximates the maximum-likelihood
+fit; it needs no iteration.
 """
 
 from __future__ import annotations
 
 import itertools
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.functions.text import dot
 from seriesloom.operators.frames import BASE, RUN_KEYS, Context, filled_y, predictions, steps_ahead
-from seriesloom.operators.linear import features_array, fit_in_place, fit_series, fitted
+from seriesloom.operators.linear import FIT_SCHEMA, _least_squares, _square, features_array, fit_in_place, fit_series, fitted
 from seriesloom.operators.panel import by_date, whole
 
-LONG_LAGS = 8
+# Bounds of the automatic search: orders, seasonal orders, their sum, differences and seasonal differences.
+MOST_ORDER, MOST_SEASONAL, MOST_SUM, MOST_DIFFERENCES = 5, 2, 5, 2
+# Lags of the first regression: near zero, at multiples of the season, and on either side of such a multiple.
+NEAR_LAGS, SEASON_LAGS, BESIDE = (2, 4, 8, 12), 4, 2
+KPSS_LIMIT, KPSS_LAGS = 0.463, 30
 
 
 def _orders(params: dict, m: int) -> tuple[int, int, int, int, list[list[int]]]:
     """Largest orders p, P, q, Q and the column subsets of all candidates; column 0 is the constant."""
     if params["auto_arima"]:
-        p, q, cap_p, cap_q = 2, 2, (1 if m > 1 else 0), (1 if m > 1 else 0)
-        options = itertools.product(range(p + 1), range(q + 1), range(cap_p + 1), range(cap_q + 1))
+        p = q = MOST_ORDER if m <= 1 else max(1, min(MOST_ORDER, m - 1))
+        cap_p = cap_q = MOST_SEASONAL if m > 1 else 0
+        every = itertools.product(range(p + 1), range(q + 1), range(cap_p + 1), range(cap_q + 1), (True, False))
+        options = [o for o in every if sum(o[:4]) <= MOST_SUM]
     else:
         p, q = int(params["non_seasonal_ar"]), int(params["non_seasonal_ma"])
         cap_p, cap_q = (int(params["seasonal_ar"]), int(params["seasonal_ma"])) if m > 1 else (0, 0)
-        options = [(p, q, cap_p, cap_q)]
+        options = [(p, q, cap_p, cap_q, True)]
     subsets = []
-    for i, j, s, r in options:
-        columns = [0] + list(range(1, 1 + i)) + [1 + p + k for k in range(s)]
+    for i, j, s, r, constant in options:
+        columns = [0] * constant + list(range(1, 1 + i)) + [1 + p + k for k in range(s)]
         columns += [1 + p + cap_p + k for k in range(j)] + [1 + p + cap_p + q + k for k in range(r)]
-        subsets.append(columns)
+        if columns:
+            subsets.append(columns)
     return p, cap_p, q, cap_q, subsets
 
 
+def long_lags(p: int, cap_p: int, q: int, cap_q: int, m: int) -> tuple[list[int], list[list[int]]]:
+    """Lags of the first regression in order, and the nested candidates among them as column subsets (0 is the constant).
+
+    Near zero they reach at least past the orders; around multiples of the season they reach past the seasonal orders, as a
+    seasonal moving average echoes in the regression at all these multiples.
+    """
+    near = sorted({*NEAR_LAGS, p + q + 2})
+    lags = list(range(1, near[-1] + 1))
+    ends = [k for k in near]
+    seasons = max(SEASON_LAGS, cap_p + cap_q + 1) if m > 1 else 0
+    for j in range(1, seasons + 1):
+        new = [k for k in range(j * m - BESIDE, j * m + BESIDE + 1) if k > 0 and k not in lags]
+        lags += new
+        ends.append(len(lags))
+    return lags, [list(range(e + 1)) for e in dict.fromkeys(ends)]
+
+
+def is_stable(weights: np.ndarray) -> bool:
+    """Whether x(t) = sum of weights[k - 1] x(t - k) dies out: all reflection coefficients lie inside the unit circle."""
+    a = np.trim_zeros(np.asarray(weights, float), "b")
+    while len(a):
+        k = a[-1]
+        if not abs(k) < 0.9995:
+            return False
+        a = (a[:-1] + k * a[:-1][::-1]) / (1 - k * k)
+    return True
+
+
+def _polynomials(beta: np.ndarray, p: int, cap_p: int, q: int, cap_q: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights by lag of the autoregression and of the residuals (with the sign that makes their recursion)."""
+    ar, ma = np.zeros(max(p, cap_p * m)), np.zeros(max(q, cap_q * m))
+    for k in range(p):
+        ar[k] += beta[1 + k]
+    for k in range(cap_p):
+        ar[(k + 1) * m - 1] += beta[1 + p + k]
+    for k in range(q):
+        ma[k] -= beta[1 + p + cap_p + k]
+    for k in range(cap_q):
+        ma[(k + 1) * m - 1] -= beta[1 + p + cap_p + q + k]
+    return ar, ma
+
+
+def _choose(p: int, cap_p: int, q: int, cap_q: int, m: int):
+    """Solver for ``fit_series``: the subset with the least AICc among those that are stationary and invertible."""
+
+    def solver(sums: DataFrame, subsets: list[list[int]], carry: list[str] = ()) -> DataFrame:
+        @F.pandas_udf(FIT_SCHEMA)
+        def solve(gram: pd.Series, n: pd.Series) -> pd.DataFrame:
+            g, rows = _square(np.stack(gram.to_numpy())), n.to_numpy(dtype=float)
+            width = g.shape[1] - 1
+            d = np.sqrt(np.maximum(np.diagonal(g, axis1=1, axis2=2)[:, :width], 0))
+            d = np.where(d > 0, d, 1.0)
+            a = g[:, :width, :width] / d[:, :, None] / d[:, None, :] + np.eye(width) * 1e-10
+            b, yy = g[:, :width, width] / d, g[:, width, width]
+            score = np.empty((len(g), len(subsets)))
+            for c, subset in enumerate(subsets):
+                s = np.array(subset)
+                x = np.linalg.solve(a[:, s[:, None], s[None, :]], b[:, s, None])[:, :, 0]
+                sse = np.maximum(yy - (x * b[:, s]).sum(1), 1e-12 * np.maximum(yy, 1e-300))
+                k = len(s) + 1
+                aicc = rows * np.log(np.maximum(sse, 1e-300) / np.maximum(rows, 1)) + 2 * k + 2 * k * (k + 1) / np.maximum(
+                    rows - k - 1, 1e-9)
+                score[:, c] = np.where(rows > k + 1, aicc, 1e300 * (1 + k / 100))
+            out = []
+            for i, order in enumerate(np.argsort(score, axis=1, kind="stable")):
+                for c in order:
+                    s = np.array(subsets[c])
+                    beta, inverse = _least_squares(g[i][None, s[:, None], s[None, :]], g[i][None, s, width], np.zeros(len(s)))
+                    full = np.zeros(width)
+                    full[s] = beta[0]
+                    if all(map(is_stable, _polynomials(full, p, cap_p, q, cap_q, m))):
+                        break
+                sse = max(float(yy[i] - beta[0] @ g[i, s, width]), 0.0)
+                se = np.full(width, np.nan)
+                se[s] = np.sqrt(np.maximum(inverse[0], 0) * sse / max(rows[i] - len(s), 1))
+                out.append((full, se, sse, int(c), float(score[i, c])))
+            return pd.DataFrame(out, columns=["beta", "se", "sse", "choice", "aicc"]).astype({"choice": "int32"})
+
+        keys = [c for c in sums.columns if c not in ("n", "gram", *carry)]
+        return sums.select(*keys, *carry, "n", solve("gram", "n").alias("f")).select(*keys, *carry, "n", "f.*")
+
+    return solver
+
+
+def _kpss(df: DataFrame) -> DataFrame:
+    """Adds _eta, the KPSS statistic of level stationarity of z; the truncation lag grows with the root of the length."""
+    w, everything = by_date(*RUN_KEYS), whole(*RUN_KEYS)
+    df = df.withColumn("_e", F.col("z") - F.avg("z").over(everything))
+    df = df.withColumn("_cum", F.sum("_e").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    n = F.count("z").over(everything)
+    reach = F.least(F.floor(3 * F.sqrt(n) / 13), F.lit(KPSS_LAGS))
+    past = F.collect_list(F.coalesce("_e", F.lit(0.0))).over(w.rowsBetween(-KPSS_LAGS, -1))
+    df = df.withColumns({"_past": past, "_reach": reach, "_n": n})
+    weighted = F.aggregate(
+        F.transform("_past", lambda e, i: e * F.greatest(1 - (F.size("_past") - i) / (F.col("_reach") + 1), F.lit(0.0))),
+        F.lit(0.0), lambda s, x: s + x)
+    df = df.withColumn("_echo", F.col("_e") * weighted)
+    spread = F.sum(F.col("_e") * F.col("_e")).over(everything) + 2 * F.coalesce(F.sum("_echo").over(everything), F.lit(0.0))
+    eta = F.try_divide(F.sum(F.col("_cum") * F.col("_cum")).over(everything), F.col("_n") * spread)
+    return df.withColumn("_eta", eta).drop("_e", "_cum", "_past", "_reach", "_n", "_echo")
+
+
 def _with_differences(df: DataFrame, m: int, params: dict) -> DataFrame:
     """Adds dd, ds (orders of differencing) and z, the differenced y."""
-    keys, w, everything = RUN_KEYS, by_date(*RUN_KEYS), whole(*RUN_KEYS)
+    w, everything = by_date(*RUN_KEYS), whole(*RUN_KEYS)
     if not params["auto_arima"]:
         dd, ds = int(params["non_seasonal_differences"]), int(params["seasonal_differences"]) if m > 1 else 0
         df = df.withColumn("dd", F.lit(dd)).withColumn("ds", F.lit(ds)).withColumn("z", F.col("y"))
@@ -59,19 +171,12 @@ def _with_differences(df: DataFrame, m: int, params: dict) -> DataFrame:
         df = df.withColumn("z", F.when(F.col("ds") == 1, F.col("y") - F.lag("y", m).over(w)).otherwise(F.col("y")))
     else:
         df = df.withColumn("ds", F.lit(0)).withColumn("z", F.col("y"))
-    # KPSS statistic of level stationarity with the short truncation lag taken as 3
-    df = df.withColumn("_e", F.col("z") - F.avg("z").over(everything))
-    df = df.withColumn("_cum", F.sum("_e").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    n = F.count("z").over(everything)
-    spread = F.sum(F.col("_e") * F.col("_e")).over(everything)
-    lags = {k: F.lag("_e", k).over(w) for k in (1, 2, 3)}
-    df = df.withColumns({f"_l{k}": F.col("_e") * c for k, c in lags.items()})
-    for k in (1, 2, 3):
-        spread = spread + 2 * (1 - k / 4) * F.coalesce(F.sum(f"_l{k}").over(everything), F.lit(0.0))
-    eta = F.try_divide(F.sum(F.col("_cum") * F.col("_cum")).over(everything), n * spread)
-    df = df.withColumn("dd", F.when(eta > 0.463, 1).otherwise(0))
-    df = df.withColumn("z", F.when(F.col("dd") == 1, F.col("z") - F.lag("z", 1).over(w)).otherwise(F.col("z")))
-    return df.drop("_e", "_cum", "_l1", "_l2", "_l3")
+    df = df.withColumn("dd", F.lit(0))
+    for k in range(MOST_DIFFERENCES):  # one more difference as long as the last one left the series unsteady
+        more = (F.col("_eta") > KPSS_LIMIT) & (F.col("dd") == k)
+        df = _kpss(df).withColumn("dd", F.when(more, k + 1).otherwise(F.col("dd"))).drop("_eta")
+        df = df.withColumn("z", F.when(F.col("dd") == k + 1, F.col("z") - F.lag("z", 1).over(w)).otherwise(F.col("z")))
+    return df
 
 
 def difference_weights(dd: int, ds: int, m: int) -> list[float]:
@@ -88,20 +193,31 @@ def arima_fit(frame: DataFrame, m: int, params: dict, extra: list[str] = ()) ->
     p, cap_p, q, cap_q, subsets = _orders(params, m)
     w = by_date(*RUN_KEYS)
     df = _with_differences(filled_y(frame), m, params)
-    long = [f"_z{k}" for k in range(1, LONG_LAGS + 1)]
-    x1 = features_array(long)
-    df = fit_in_place(df.withColumns({c: F.lag("z", k).over(w) for k, c in enumerate(long, 1)}), RUN_KEYS, x1,
-                      F.col("z"), "_b1")
-    df = df.withColumn("e", F.coalesce(F.col("z") - fitted(x1, F.col("_b1")), F.lit(0.0))).drop("_b1", *long)
+    lags, nested = long_lags(p, cap_p, q, cap_q, m)
+    # in front of the series stands its mean, so that no row is lost to long lags
+    df = df.withColumn("_mean", F.avg("z").over(whole(*RUN_KEYS)))
+    before = lambda k: F.when(F.col("z").isNotNull(), F.coalesce(F.lag("z", k).over(w), F.col("_mean")))
+    if q or cap_q:
+        long = [f"_z{k}" for k in lags]
+        x1 = features_array(long)
+        df = fit_in_place(df.withColumns({c: before(k) for k, c in zip(lags, long)}), RUN_KEYS, x1, F.col("z"), "_b1",
+                          subsets=nested)
+        df = df.withColumn("e", F.coalesce(F.col("z") - fitted(x1, F.col("_b1")), F.lit(0.0))).drop("_b1", *long)
+    else:
+        df = df.withColumn("e", F.lit(0.0))
     df = df.withColumn("e", F.when(~F.col("ahead"), F.col("e")))
-    names = {f"z{k}": F.lag("z", k).over(w) for k in range(1, p + 1)}
-    names.update({f"zs{k}": F.lag("z", k * m).over(w) for k in range(1, cap_p + 1)})
-    names.update({f"e{k}": F.lag("e", k).over(w) for k in range(1, q + 1)})
-    names.update({f"es{k}": F.lag("e", k * m).over(w) for k in range(1, cap_q + 1)})
+    auto = params["auto_arima"]
+    lag_z = before if auto else lambda k: F.lag("z", k).over(w)
+    lag_e = lambda k: F.lag("e", k, 0.0).over(w) if auto else F.lag("e", k).over(w)
+    names = {f"z{k}": lag_z(k) for k in range(1, p + 1)}
+    names.update({f"zs{k}": lag_z(k * m) for k in range(1, cap_p + 1)})
+    names.update({f"e{k}": lag_e(k) for k in range(1, q + 1)})
+    names.update({f"es{k}": lag_e(k * m) for k in range(1, cap_q + 1)})
     x2 = features_array(list(names))
     df = df.withColumns(names).withColumn("x", x2)
     columns = ["t", "date", "h", "ahead", "actual", "y", "z", "e", "x", "dd", "ds", *extra]
-    fit = fit_series(df, RUN_KEYS, F.col("x"), F.col("z"), columns, subsets=subsets)
+    solver = {"solver": _choose(p, cap_p, q, cap_q, m)} if auto else {}
+    fit = fit_series(df, RUN_KEYS, F.col("x"), F.col("z"), columns, subsets=subsets, **solver)
     first = F.element_at("rows", 1)
     return fit.withColumn("dd", first["dd"]).withColumn("ds", first["ds"]), list(names)
 
@@ -126,7 +242,7 @@ def sarima(frame: DataFrame, ctx: Context, params: dict, extra: list[str] = ())
     known = F.filter("rows", lambda r: ~r["ahead"])
     reach = max(p, q, cap_p * m, cap_q * m, 1)
     if params["auto_arima"]:
-        pairs = [(a, b) for a in (0, 1) for b in ((0, 1) if m > 1 else (0,))]
+        pairs = [(a, b) for a in range(MOST_DIFFERENCES + 1) for b in ((0, 1) if m > 1 else (0,))]
     else:
         pairs = [(int(params["non_seasonal_differences"]), int(params["seasonal_differences"]) if m > 1 else 0)]
     back = max(a + b * m for a, b in pairs) or 1
@@ -160,6 +276,7 @@ def sarima(frame: DataFrame, ctx: Context, params: dict, extra: list[str] = ())
 
     ahead = F.aggregate(steps_ahead(F.size("rows") - F.size(known)), start, step, lambda s: s["out"])
     inside = F.transform(known, lambda r: r["y"] - r["z"] + fitted(r["x"], b))
+    ahead = F.when(F.size(known) > 0, ahead).otherwise(F.transform(ahead, lambda _: F.lit(None).cast("double")))
     values = F.concat(inside, ahead)
     zipped = arrays.select(*RUN_KEYS, F.explode(F.arrays_zip("rows", values.alias("p"))).alias("q"))
     rows = zipped.select(*RUN_KEYS, "q.rows.*", F.col("q.p").alias("_p"))

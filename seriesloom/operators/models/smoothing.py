@@ -19,8 +19,13 @@ from seriesloom.operators.frames import RUN_KEYS, Context, as_arrays, explode_ar
 from seriesloom.operators.panel import by_date, whole
 
 ALPHAS, BETAS, GAMMAS, PHI = (0.1, 0.3, 0.6, 0.9), (0.05, 0.2), (0.05, 0.2), 0.9
-ETS_SCHEMA = ("season string, trended boolean, damped boolean, alpha double, beta double, gamma double, aicc double, "
-              "values array<double>")
+ETS_SCHEMA = ("season string, trended boolean, damped boolean, alpha double, beta double, gamma double, phi double, aicc double, "
+              "values array<double>, level double, slope double, slots array<double>")
+SEARCHED = ("alpha", "beta", "gamma", "phi")
+# Range of each parameter, first step of the refinement, step and gain at which it stands still, and forms refined a series.
+RANGES = {"alpha": (1e-4, 0.9999), "beta": (0.0, 0.9999), "gamma": (0.0, 0.9999), "phi": (0.8, 0.98)}
+FIRST_STEP, LAST_STEP, LEAST_GAIN, FINALISTS = 0.1, 1e-3, 1e-7, 3
+NO_ROOM = 1e9  # added to the score of candidates with more parameters than the series can carry: among them the error decides
 BATCH_CELLS = 400_000  # series x candidates held at once in a task
 
 
@@ -128,11 +133,53 @@ def _ets_forms(period: int, params: dict) -> tuple[list[str], list[str], str, bo
     return seasons, trends, kind, params["error"] == "multiplicative"
 
 
+def _score(sse, logs, size, k):
+    """AICc; candidates without room for it come after all others and are told apart by their error."""
+    room = size - k - 1
+    fit = size * np.log(np.maximum(sse / size, 1e-300)) + 2 * logs
+    aicc = fit + 2 * k + 2 * k * (k + 1) / np.maximum(room, 1)
+    return np.where(np.isfinite(fit), np.where(room > 0, aicc, fit + NO_ROOM), 1e300)
+
+
+def _refine(y, n, own, score, season, m, kind, relative):
+    """Move the parameters of every series (own: arrays of its length) until its score stands still.
+
+    A round tries a step up and down in each parameter for all series at once; where none helps, the step is halved.
+    """
+    own = {k: v.copy() for k, v in own.items()}
+    moving = [name for name in SEARCHED if not (
+        name == "gamma" and season == "none" or name in ("beta", "phi") and not own["trended"].any())]
+    step, best, alive = np.full(len(y), FIRST_STEP), score.copy(), np.arange(len(y))
+    while len(alive):
+        trial = {name: np.repeat(own[name][alive][:, None], 2 * len(moving), 1) for name in (*SEARCHED, "trended")}
+        for i, name in enumerate(moving):
+            low, high = RANGES[name]
+            free = own["phi"][alive] < 1 if name == "phi" else own["trended"][alive] > 0 if name == "beta" else True
+            size = step[alive] * (high - low) * free
+            trial[name][:, 2 * i] = np.clip(trial[name][:, 2 * i] + size, low, np.where(size > 0, high, np.inf))
+            trial[name][:, 2 * i + 1] = np.clip(trial[name][:, 2 * i + 1] - size, np.where(size > 0, low, 0), np.inf)
+        *_, sse, logs = _recursion(y[alive], n[alive], trial, season, m, kind, relative)
+        got = _score(sse, logs, n[alive][:, None], own["k"][alive][:, None])
+        pick = got.argmin(1)
+        least = got[np.arange(len(alive)), pick]
+        gain = best[alive] - least
+        better = gain > LEAST_GAIN * np.maximum(np.abs(best[alive]), 1.0)
+        rows = alive[better]
+        for name in SEARCHED:
+            own[name][rows] = trial[name][better, pick[better]]
+        best[rows] = least[better]
+        step[alive[~better]] /= 2
+        alive = alive[step[alive] >= LAST_STEP]
+    return own, best
+
+
 def _solve_chunk(y, n, steps, seasons, trends, kind, relative, m, params):
-    """Best candidate of every series, its fitted values and forecasts."""
+    """Best candidate of every series, its fitted values, forecasts and last state."""
+    names = ("alpha", "beta", "gamma", "phi", "trended")
     best = {"aicc": np.full(len(y), np.inf), "season": np.full(len(y), "none", dtype=object)}
-    for k in ("alpha", "beta", "gamma", "phi", "trended"):
+    for k in names:
         best[k] = np.ones(len(y)) if k == "phi" else np.zeros(len(y))
+    found = []  # of each season and form: series, score, parameters
     for season in seasons:
         grid = _grid(trends, season, params)
         usable = n >= (2 * m if season != "none" else 2)
@@ -140,39 +187,55 @@ def _solve_chunk(y, n, steps, seasons, trends, kind, relative, m, params):
             usable &= np.array([row[:size].min(initial=np.inf) > 0 for row, size in zip(y, n)])
         if not usable.any():
             continue
-        size = n[usable]
+        where, size = np.flatnonzero(usable), n[usable]
         *_, sse, logs = _recursion(y[usable], size, grid, season, m, kind, relative)
         k = grid["k"] + (m if season != "none" else 0)
-        room = size[:, None] - k - 1
-        aicc = size[:, None] * np.log(np.maximum(sse / size[:, None], 1e-300)) + 2 * logs + 2 * k + (
-            2 * k * (k + 1) / np.maximum(room, 1))
-        aicc = np.where((room > 0) & np.isfinite(aicc), aicc, 1e300)
+        score = _score(sse, logs, size[:, None], k)
         if season != "none" and not params["auto_ets"]:
-            aicc = aicc * 0 - 1e300  # a season asked for is used wherever the series is long enough
-        pick = aicc.argmin(1)
-        least = aicc[np.arange(len(size)), pick]
-        where = np.flatnonzero(usable)
-        better = least < best["aicc"][where]
-        where, pick = where[better], pick[better]
-        best["aicc"][where], best["season"][where] = least[better], season
-        for name in ("alpha", "beta", "gamma", "phi", "trended"):
-            best[name][where] = grid[name][0][pick]
-    values = [None] * len(y)
+            score = score * 0 - 1e300  # a season asked for is used wherever the series is long enough
+        form = grid["trended"][0] * 2 + (grid["phi"][0] < 1)
+        for f in np.unique(form):
+            columns = np.flatnonzero(form == f)
+            pick = columns[score[:, columns].argmin(1)]
+            own = {name: grid[name][0][pick] for name in names} | {"k": k[0][pick]}
+            found.append((season, where, score[np.arange(len(size)), pick], own))
+    if params["auto_ets"] and "alphas" not in params and found:
+        table = np.full((len(y), len(found)), np.inf)
+        for c, (_, where, score, _) in enumerate(found):
+            table[where, c] = score
+        last = np.sort(table, axis=1)[:, min(FINALISTS, len(found)) - 1]
+        for c, (season, where, score, own) in enumerate(found):
+            some = np.flatnonzero((score <= last[where]) & (score < 1e300))
+            if len(some):
+                moved, least = _refine(y[where[some]], n[where[some]], {k: v[some] for k, v in own.items()}, score[some],
+                                       season, m, kind, relative)
+                score[some] = least
+                for name in names:
+                    own[name][some] = moved[name]
+    for season, where, score, own in found:
+        better = score < best["aicc"][where]
+        rows = where[better]
+        best["aicc"][rows], best["season"][rows] = score[better], season
+        for name in names:
+            best[name][rows] = own[name][better]
+    values, state = [None] * len(y), [(np.nan, np.nan, [])] * len(y)
     for season in seasons:
         mine = np.flatnonzero((best["season"] == season) & np.isfinite(best["aicc"]))
         if not len(mine):
             continue
-        own = {k: best[k][mine][:, None] for k in ("alpha", "beta", "gamma", "phi", "trended")}
+        own = {k: best[k][mine][:, None] for k in names}
         inside = np.zeros((len(mine), y.shape[1]))
         level, slope, slots, _, _ = _recursion(y[mine], n[mine], own, season, m, kind, relative, inside)
         for j, i in enumerate(mine):
-            state = slots[:, j, 0] if season != "none" else slots
-            ahead = _ahead(level[j, 0], slope[j, 0], state, best["phi"][i], n[i], steps[i], season, m, kind)
+            now = slots[:, j, 0] if season != "none" else slots
+            ahead = _ahead(level[j, 0], slope[j, 0], now, best["phi"][i], n[i], steps[i], season, m, kind)
             values[i] = np.concatenate([inside[j, :n[i]], ahead])
+            state[i] = level[j, 0], slope[j, 0], now if season != "none" else []
     return pd.DataFrame({
         "season": best["season"], "trended": best["trended"] > 0, "damped": best["phi"] < 1, "alpha": best["alpha"],
-        "beta": best["beta"], "gamma": best["gamma"], "aicc": np.where(np.isfinite(best["aicc"]), best["aicc"], np.nan),
-        "values": values})
+        "beta": best["beta"], "gamma": best["gamma"], "phi": best["phi"],
+        "aicc": np.where(np.isfinite(best["aicc"]), best["aicc"], np.nan),
+        "values": values, "level": [x[0] for x in state], "slope": [x[1] for x in state], "slots": [x[2] for x in state]})
 
 
 def ets_table(arrays: DataFrame, period: int, params: dict, column: str = "ys") -> DataFrame:
