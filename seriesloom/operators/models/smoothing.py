@@ -25,6 +25,7 @@ SEARCHED = ("alpha", "beta", "gamma", "phi")
 # Range of each parameter, first step of the refinement, step and gain at which it stands still, and forms refined a series.
 RANGES = {"alpha": (1e-4, 0.9999), "beta": (0.0, 0.9999), "gamma": (0.0, 0.9999), "phi": (0.8, 0.98)}
 FIRST_STEP, LAST_STEP, LEAST_GAIN, FINALISTS = 0.1, 1e-3, 1e-7, 3
+LONG = 2000  # points beyond which a series is worked on in segments
 NO_ROOM = 1e9  # added to the score of candidates with more parameters than the series can carry: among them the error decides
 BATCH_CELLS = 400_000  # series x candidates held at once in a task
 
@@ -58,6 +59,14 @@ def _recursion(y, n, grid, season, m, trend, relative, fitted=None):
         slots = first - level if season == "additive" else first / level
     else:
         slots = np.zeros((1, 1, 1))
+    if y.shape[1] > LONG and season != "multiplicative" and not grow and not relative:
+        return _by_segments(y, n, grid, season, m, level, slope, slots, fitted)
+    return _walk(y, n, grid, season, m, grow, relative, level, slope, slots, fitted)
+
+
+def _walk(y, n, grid, season, m, grow, relative, level, slope, slots, fitted=None):
+    """The recursions from given states, step by step for all rows and candidates."""
+    alpha, beta, gamma, phi = (grid[k] for k in ("alpha", "beta", "gamma", "phi"))
     sse, logs = np.zeros_like(level), np.zeros_like(level)
     for t in range(y.shape[1]):
         live = (t < n)[:, None]
@@ -92,6 +101,49 @@ def _recursion(y, n, grid, season, m, trend, relative, fitted=None):
     return level, slope, slots, sse, logs
 
 
+def _by_segments(y, n, grid, season, m, level, slope, slots, fitted=None):
+    """The recursions of long series whose step is affine in the state, all segments of a series side by side.
+
+    What a segment makes of its first state is a matrix that all segments share (they start at the same phase), and what it
+    adds is its result from a state of zeros. Composed along the series these give the first state of every segment, from
+    which one more pass yields errors and fitted values. Steps in Python: twice the root of the length.
+    """
+    cols, phases = level.shape[1], m if season == "additive" else 1
+    size = 2 + (phases if season == "additive" else 0)
+    ends = np.zeros_like(level), np.zeros_like(level), np.zeros((phases, *level.shape)), np.zeros_like(level)
+    for i in range(len(y)):
+        own = {k: np.broadcast_to(v, level.shape)[i:i + 1] for k, v in grid.items()}
+        length = -(-int(np.ceil(np.sqrt(n[i]))) // phases) * phases
+        count = max(1, -(-int(n[i]) // length))
+        parts = np.zeros((count, length))
+        parts.ravel()[:n[i]] = y[i, :n[i]]
+        sizes = np.clip(n[i] - length * np.arange(count), 0, length)
+
+        def run(values, live, states, into=None):
+            a, b, c = states[:, :, 0], states[:, :, 1], np.moveaxis(states[:, :, 2:], 2, 0)
+            c = c.copy() if size > 2 else np.zeros((1, 1, 1))
+            a, b, c, sse, _ = _walk(values, live, own, season, m, False, False, a.copy(), b.copy(), c, into)
+            out = np.stack([a, b, *(c if size > 2 else ())], axis=2)
+            return out, sse
+
+        added, _ = run(parts, np.full(count, length), np.zeros((count, cols, size)))
+        basis = np.repeat(np.eye(size)[:, None, :], cols, 1)
+        turned, _ = run(np.zeros((size, length)), np.full(size, length), basis)  # [basis, candidate, state]
+        first = np.stack([level[i], slope[i], *(np.broadcast_to(slots, (phases, *level.shape))[:, i] if size > 2 else ())], 1)
+        starts = np.empty((count, cols, size))
+        for k in range(count):
+            starts[k] = first
+            first = np.einsum("bcs,cb->cs", turned, first) + added[k]
+        inside = np.zeros((count, length)) if fitted is not None else None
+        last, sse = run(parts, sizes, starts, inside)
+        if fitted is not None:
+            fitted[i, :n[i]] = inside.ravel()[:n[i]]
+        ends[0][i], ends[1][i], ends[3][i] = last[-1, :, 0], last[-1, :, 1], sse.sum(0)
+        if size > 2:
+            ends[2][:, i] = last[-1, :, 2:].T
+    return ends[0], ends[1], ends[2] if size > 2 else slots, ends[3], np.zeros_like(level)
+
+
 def _ahead(level, slope, slots, phi, n, steps, season, m, trend):
     """Forecasts of one series from its final state."""
     h = np.arange(1, steps + 1)
