@@ -6,6 +6,9 @@ from seriesloom.catalog.models import feature_model_frame, run_sql
 from seriesloom.catalog.registry import ORDERS_M, query, with_sql
 from seriesloom.operators import explain as X
 from seriesloom.operators import reshape as R
+from seriesloom.operators.frames import Context
+from seriesloom.operators.models.store import fit_models, load_models, predictor, save_models
+from seriesloom.session import scratch_path
 
 FEATURES = ["time_trend", "month", "lag12"]
 OBSERVED = "2001-02-01"
@@ -94,3 +97,49 @@ def explain_stability(spark, sf):
 def explain_neighbour_profiles(spark, sf):
     frame, test, predict = parts(spark, sf)
     return X.neighbour_profiles(test, X.observation(frame, OBSERVED, FEATURES), "month", FEATURES, predict, 5)
+
+
+# Methods by name, from their stored form.
+NAMED = ["Elastic Net", "MARS", "KNN", "Feed-Forward"]
+
+
+def stored(spark, sf, methods, features):
+    """Test rows, and a prediction function for each method, read from models that were fitted on the training rows."""
+    frame = feature_model_frame(spark, sf)
+    folder = scratch_path(spark, "models")
+    save_models(fit_models(frame, methods, Context(12, tuple(features)), {"Elastic Net": {"penalty": 0.1}}, run="test"), folder)
+    return X.prepared(frame, features), {m: predictor(load_models(spark, folder, [m]), m) for m in methods}, frame
+
+
+@query("explain_importance_by_name", "O-134 O-138 O-126")
+def explain_importance_by_name(spark, sf):
+    test, named, _ = stored(spark, sf, NAMED, FEATURES)
+    return R.stack(*[X.permutation_importance(test, FEATURES, p).withColumn("method", F.lit(m)) for m, p in named.items()])
+
+
+@query("explain_break_down_by_name", "O-136 O-126")
+def explain_break_down_by_name(spark, sf):
+    test, named, frame = stored(spark, sf, NAMED, FEATURES)
+    chosen = X.observation(frame, OBSERVED, FEATURES)
+    return R.stack(*[X.break_down(test, chosen, FEATURES, p).withColumn("method", F.lit(m)) for m, p in named.items()])
+
+
+@query("explain_response_by_name", "O-135 O-126", with_sql(*run_sql(ORDERS_M, 12, 12), TREND_SQL, """
+g AS (SELECT id, min(t) AS lo, max(t) AS hi FROM fr WHERE run = 'test' AND ahead GROUP BY id)""", """
+SELECT g.id, CAST(k AS INTEGER) AS point, 'time_trend' AS variable, round(lo + (hi - lo) * k / 10.0::DOUBLE, 6) AS x,
+  round(a + b * (lo + (hi - lo) * k / 10.0::DOUBLE), 3) AS prediction
+FROM g JOIN r ON g.id = r.id, (SELECT unnest(range(0, 11)) AS k)"""))
+def explain_response_by_name(spark, sf):
+    """A stored regression on the position alone, which SQL can follow."""
+    test, named, _ = stored(spark, sf, ["Linear Regression"], ["time_trend"])
+    out = X.partial_dependence(test, "time_trend", ["time_trend"], named["Linear Regression"], 11)
+    return out.withColumn("x", F.round("x", 6)).withColumn("prediction", F.round("prediction", 3))
+
+
+@query("explain_stability_by_name", "O-137 O-126")
+def explain_stability_by_name(spark, sf):
+    """The 50 training rows nearest to the observation (the operator's own number)."""
+    _, named, frame = stored(spark, sf, ["Elastic Net", "MARS"], FEATURES)
+    train = X.prepared(frame, FEATURES, "train").na.drop()
+    chosen = X.observation(frame, OBSERVED, FEATURES)
+    return R.stack(*[X.local_stability(train, chosen, FEATURES, p).withColumn("method", F.lit(m)) for m, p in named.items()])

@@ -11,6 +11,8 @@ from seriesloom.operators.features import append_future
 from seriesloom.operators.linear import features_array, grouped_ols
 from seriesloom.operators.models import arima, simple, smoothing
 from seriesloom.operators.models.registry import fit_predict, fitted_parameters
+from seriesloom.operators.models.store import STATES, fit_models, load_models, save_models, score
+from seriesloom.session import scratch_path
 
 CTX = M.Context(12)
 
@@ -64,28 +66,29 @@ def model_rolling_average(spark, sf):
 
 
 @query("model_exponential_smoothing", "O-107", with_sql(*run_sql(SHIP_M, 6, 6), """
-l AS (SELECT id, run, list_reduce(list(y ORDER BY date) FILTER (y IS NOT NULL),
-  lambda a, x: a * 0.8::DOUBLE + x * 0.2::DOUBLE) AS level FROM fr GROUP BY id, run HAVING count(y) >= 2)""", """
-SELECT fr.id, fr.run, date, ahead, round(level, 6) AS prediction FROM fr JOIN l ON fr.id = l.id AND fr.run = l.run
-WHERE ahead"""))
+l AS (SELECT id, run, list_reduce(list(y ORDER BY date) FILTER (y IS NOT NULL), lambda a, x: a) AS y1,
+  list_reduce(list([y] ORDER BY date) FILTER (y IS NOT NULL), lambda a, x: list_append(a,
+    a[len(a)] * 0.8::DOUBLE + x[1] * 0.2::DOUBLE)) AS ls FROM fr GROUP BY id, run HAVING count(y) >= 2)""", """
+SELECT fr.id, fr.run, date, ahead, round(CASE WHEN ahead THEN ls[len(ls)] WHEN t = 1 THEN ls[1] ELSE ls[t - 1] END, 6)
+  AS prediction FROM fr LEFT JOIN l ON fr.id = l.id AND fr.run = l.run"""))
 def model_exponential_smoothing(spark, sf):
     params = default_params("ETS", {"auto_ets": False, "smooth_level": 0.2})
-    return out(smoothing.ets(frame_of(ship_monthly(spark, sf), 6, 6), CTX, params), 6).where(
-        "ahead AND prediction IS NOT NULL")
+    return out(smoothing.ets(frame_of(ship_monthly(spark, sf), 6, 6), CTX, params), 6)
 
 
 @query("model_holt_linear", "O-107", with_sql(*run_sql(ORDERS_M, 12, 12), """
 l AS (SELECT id, run, list(y ORDER BY date) FILTER (y IS NOT NULL) AS ys FROM fr GROUP BY id, run)""", """
-s AS (SELECT id, run, list_reduce(list_transform(ys, lambda y: [y, 0.0::DOUBLE, 0.0::DOUBLE]), lambda a, x: [
-  0.3::DOUBLE * x[1] + 0.7::DOUBLE * (a[1] + a[2]),
-  0.1::DOUBLE * (0.3::DOUBLE * x[1] + 0.7::DOUBLE * (a[1] + a[2]) - a[1]) + 0.9::DOUBLE * a[2], 0.0::DOUBLE],
-  [ys[1], (ys[12] - ys[1]) / 11, 0.0::DOUBLE]) AS st FROM l)""", """
-SELECT fr.id, fr.run, date, ahead, round(st[1] + h * st[2], 1) AS prediction
-FROM fr JOIN s ON fr.id = s.id AND fr.run = s.run WHERE ahead"""))
+s AS (SELECT id, run, list_reduce(list_transform(ys, lambda y: [y, 0.0::DOUBLE]), lambda a, x: list_concat(a, [
+  0.3::DOUBLE * x[1] + 0.7::DOUBLE * (a[len(a) - 1] + a[len(a)]),
+  0.1::DOUBLE * (0.3::DOUBLE * x[1] + 0.7::DOUBLE * (a[len(a) - 1] + a[len(a)]) - a[len(a) - 1]) + 0.9::DOUBLE * a[len(a)]]),
+  [ys[1], (ys[12] - ys[1]) / 11]) AS st FROM l)""", """
+SELECT fr.id, fr.run, date, ahead, round(CASE WHEN ahead THEN st[len(st) - 1] + h * st[len(st)]
+  ELSE st[2 * t - 1] + st[2 * t] END, 4) AS prediction
+FROM fr JOIN s ON fr.id = s.id AND fr.run = s.run"""))
 def model_holt_linear(spark, sf):
     params = default_params("ETS", {
         "auto_ets": False, "trend": "additive", "smooth_level": 0.3, "smooth_trend": 0.1})
-    return out(smoothing.ets(frame_of(orders_monthly(spark, sf)), CTX, params), 1).where("ahead")
+    return out(smoothing.ets(frame_of(orders_monthly(spark, sf)), CTX, params))
 
 
 @query("model_ets_auto", "O-107")
@@ -148,12 +151,17 @@ def parameters_arima(spark, sf):
     return params.select("id", "run", "d", "seasonal_d", F.explode("coefficients").alias("term", "value"), "aicc")
 
 
-@query("parameters_linear", "O-127 O-113", with_sql(*run_sql(SHIP_M, 6, 6), """
-SELECT id, run, round(regr_intercept(y, t), 6) AS intercept, round(regr_slope(y, t), 6) AS slope, count(y) AS n FROM fr
-WHERE NOT ahead GROUP BY id, run HAVING count(y) >= 3"""))
+# One row leaves a line open: the shortest coefficients in units of the columns split its value between both.
+LINE_SQL = """
+r AS (SELECT id, run, count(y) AS n, CASE WHEN count(y) = 1 THEN avg(y) / 2 / avg(t) ELSE regr_slope(y, t) END AS b,
+  CASE WHEN count(y) = 1 THEN avg(y) / 2 ELSE regr_intercept(y, t) END AS a FROM fr WHERE NOT ahead GROUP BY id, run)"""
+
+
+@query("parameters_linear", "O-127 O-113", with_sql(*run_sql(SHIP_M, 6, 6), LINE_SQL, """
+SELECT id, run, round(a, 6) AS intercept, round(b, 6) AS slope, n FROM r WHERE n > 0"""))
 def parameters_linear(spark, sf):
     frame = frame_of(ship_monthly(spark, sf), 6, 6).withColumn("trend", F.col("t").cast("double"))
-    fit = grouped_ols(frame, M.RUN_KEYS, features_array(["trend"]), F.col("y")).where("n >= 3")
+    fit = grouped_ols(frame, M.RUN_KEYS, features_array(["trend"]), F.col("y"))
     return fit.select("id", "run", F.round(F.col("beta")[0], 6).alias("intercept"),
                       F.round(F.col("beta")[1], 6).alias("slope"), "n")
 
@@ -178,16 +186,18 @@ l AS (SELECT id, run, list(y ORDER BY date) FILTER (y IS NOT NULL) AS ys, regr_s
   GROUP BY id, run),
 g AS (SELECT id, run, ys, slope, k / 20.0::DOUBLE AS a FROM l, (SELECT unnest(range(1, 20)) AS k)),
 fs AS (SELECT id, run, slope, a, list_reduce(list_transform(ys, lambda y: [y, 0.0::DOUBLE]), lambda s, x: [
-  a * x[1] + (1 - a) * s[1], s[2] + (x[1] - s[1]) * (x[1] - s[1])]) AS st FROM g),
-be AS (SELECT * FROM fs QUALIFY row_number() OVER (PARTITION BY id, run ORDER BY st[2]) = 1)"""
+  a * x[1] + (1 - a) * s[1], s[2] + (x[1] - s[1]) * (x[1] - s[1])]) AS st, ys FROM g),
+be AS (SELECT *, list_reduce(list_transform(ys, lambda y: [y]), lambda s, x: list_append(s, a * x[1] + (1 - a) * s[len(s)]))
+  AS ls FROM fs QUALIFY row_number() OVER (PARTITION BY id, run ORDER BY st[2]) = 1)"""
 
 
 @query("model_theta_plain", "O-108", with_sql(*run_sql(ORDERS_M, 12, 12), THETA_SQL, """
-SELECT fr.id, fr.run, date, ahead, round(st[1] + slope / 2 * (h - 1 + 1 / a), 0) AS prediction
-FROM fr JOIN be ON fr.id = be.id AND fr.run = be.run WHERE ahead"""))
+SELECT fr.id, fr.run, date, ahead, round(CASE WHEN ahead THEN st[1] + slope / 2 * (h - 1 + 1 / a)
+  WHEN t = 1 THEN ls[1] + slope / 2 ELSE ls[t - 1] + slope / 2 END, 3) AS prediction
+FROM fr JOIN be ON fr.id = be.id AND fr.run = be.run"""))
 def model_theta_plain(spark, sf):
     """Without a season the method is a fold and a slope, which SQL can follow."""
-    return out(smoothing.theta(frame_of(orders_monthly(spark, sf)), M.Context(1), {}), 0).where("ahead")
+    return out(smoothing.theta(frame_of(orders_monthly(spark, sf)), M.Context(1), {}), 3)
 
 
 def feature_panel(spark, sf, n_future=12):
@@ -232,16 +242,13 @@ def model_neighbours(spark, sf):
     return out(preds.where("ahead"), 1)
 
 
-@query("model_linear_trend", "O-113 O-103", with_sql(*run_sql(SHIP_M, 6, 6), """
-r AS (SELECT id, run, regr_slope(y, t) AS b, regr_intercept(y, t) AS a, count(y) AS k FROM fr WHERE NOT ahead
-  GROUP BY id, run)""", """
-SELECT fr.id, fr.run, date, ahead, round(a + b * t, 5) AS prediction FROM fr JOIN r ON fr.id = r.id
-  AND fr.run = r.run WHERE k >= 3"""))
+@query("model_linear_trend", "O-113 O-103", with_sql(*run_sql(SHIP_M, 6, 6), LINE_SQL, """
+SELECT fr.id, fr.run, date, ahead, round(coalesce(a + b * t, 0), 5) AS prediction FROM fr LEFT JOIN r ON fr.id = r.id
+  AND fr.run = r.run"""))
 def model_linear_trend(spark, sf):
+    """All series; without a known row the coefficients are zero."""
     frame = frame_of(ship_monthly(spark, sf), 6, 6).withColumn("trend", F.col("t").cast("double"))
-    preds = fit_predict(frame, "Linear Regression", M.Context(12, ("trend",)))
-    long_enough = frame.groupBy("id", "run").agg(F.count("y").alias("k")).where("k >= 3").select("id", "run")
-    return out(preds.join(long_enough, ["id", "run"], "left_semi"), 5)
+    return out(fit_predict(frame, "Linear Regression", M.Context(12, ("trend",))), 5)
 
 
 @query("grouped_least_squares", "O-103", """
@@ -257,10 +264,46 @@ def grouped_least_squares(spark, sf):
 @query("parameters_by_method", "O-127")
 def parameters_by_method(spark, sf):
     frame = feature_model_frame(spark, sf)
-    parts = [fitted_parameters(frame, m, FCTX).withColumn("method", F.lit(m)) for m in ("ETS", "SARIMA", "Elastic Net")]
+    """Every method that has a stored form, for every run."""
+    parts = [fitted_parameters(frame, m, FCTX).withColumn("method", F.lit(m)) for m in STATES]
     return R.stack(*parts)
 
 
+STORED = ("Naive", "Seasonal Naive", "Rolling Average", "Linear Regression")
+
+
+@query("stored_models", "O-126 O-133 O-154", with_sql(*run_sql(SHIP_M, 6, 6), """
+k AS (SELECT id, avg(y) AS my, avg(t) AS mt, count(y) AS k, CASE WHEN count(y) = 1 THEN avg(y) / 2 / avg(t)
+    ELSE regr_slope(y, t) END AS b, arg_max(y, t) AS last, avg(y) FILTER (t > nf - 12) AS mean
+  FROM fr WHERE run = 'future' AND NOT ahead GROUP BY id)""", """
+c AS (SELECT *, CASE WHEN k = 1 THEN my / 2 ELSE my - b * mt END AS a FROM k)""", """
+s AS (SELECT id, t % 12 AS phase, arg_max(y, t) AS same FROM fr WHERE run = 'future' AND NOT ahead GROUP BY 1, 2)""", """
+u AS (SELECT fr.id, fr.date, fr.t, fr.h, c.*, s.same FROM fr JOIN c ON fr.id = c.id
+  LEFT JOIN s ON fr.id = s.id AND fr.t % 12 = s.phase WHERE fr.run = 'future' AND fr.ahead)""", """
+SELECT id, date, method, 'v1' AS version, CAST(t AS INTEGER) AS t, CAST(h AS INTEGER) AS h, round(prediction, 5) AS prediction
+FROM (SELECT id, date, t, h, unnest(['Naive', 'Seasonal Naive', 'Rolling Average', 'Linear Regression']) AS method,
+  unnest([last, coalesce(same, last), mean, a + b * t]) AS prediction FROM u)"""))
+def stored_models(spark, sf):
+    """Models are fitted on the known rows, saved, loaded again and scored on rows that they have not seen."""
+    trend = ("trend",)
+    frame = frame_of(ship_monthly(spark, sf), 6, 6).withColumn("trend", F.col("t").cast("double"))
+    folder = scratch_path(spark, "models")
+    models = fit_models(frame.where("NOT ahead"), list(STORED), M.Context(12, trend), version="v1")
+    save_models(models, folder)
+    rows = frame.where("run = 'future' AND ahead").select("id", "date", *trend)
+    scored = score(load_models(spark, folder, version="v1"), rows).drop(*trend)
+    return scored.withColumn("prediction", F.round("prediction", 5))
+
+
+@query("stored_features", "O-126 O-133 O-27")
+def stored_features(spark, sf):
+    """Every stored method that looks at features or steps through time, scored from its saved form."""
+    panel = feature_panel(spark, sf)
+    folder = scratch_path(spark, "models")
+    save_models(fit_models(M.model_frame(panel, M.standard_runs(12, 12)), list(STATES), FCTX), folder)
+    return score(load_models(spark, folder), panel.where("is_future").select("id", "date", *FEATURES))
+
+
 _register("model_automatic", "O-125", "H2O AutoML")
 _register("model_linear_features", "O-113", "Linear Regression")
 _register("model_elastic_net", "O-114", "Elastic Net")

@@ -222,6 +222,45 @@ def arima_fit(frame: DataFrame, m: int, params: dict, extra: list[str] = ()) ->
     return fit.withColumn("dd", first["dd"]).withColumn("ds", first["ds"]), list(names)
 
 
+def memory(params: dict, m: int) -> tuple[int, int, list[tuple[int, int]]]:
+    """Values of z and e that a forecast looks back on, values of y, and the possible (differences, seasonal differences)."""
+    p, cap_p, q, cap_q, _ = _orders(params, m)
+    if params["auto_arima"]:
+        pairs = [(a, b) for a in range(MOST_DIFFERENCES + 1) for b in ((0, 1) if m > 1 else (0,))]
+    else:
+        pairs = [(int(params["non_seasonal_differences"]), int(params["seasonal_differences"]) if m > 1 else 0)]
+    return max(p, q, cap_p * m, cap_q * m, 1), max(a + b * m for a, b in pairs) or 1, pairs
+
+
+def path(params: dict, m: int, z: Column, e: Column, y: Column, beta: Column, dd: Column, ds: Column, steps: Column) -> Column:
+    """Forecasts of all steps as an array, from the last values of z, e and y (missing ones in front count as zero)."""
+    p, cap_p, q, cap_q, _ = _orders(params, m)
+    reach, back, pairs = memory(params, m)
+    zeros = lambda k: F.array_repeat(F.lit(0.0), k)
+    start = F.struct(F.concat(zeros(reach), z).alias("z"), F.concat(zeros(reach), e).alias("e"),
+                     F.concat(zeros(back), y).alias("y"), F.array().cast("array<double>").alias("out"))
+
+    def step(st, h):
+        lags = [F.element_at(st["z"], -k) for k in range(1, p + 1)]
+        lags += [F.element_at(st["z"], -k * m) for k in range(1, cap_p + 1)]
+        lags += [F.element_at(st["e"], -k) for k in range(1, q + 1)]
+        lags += [F.element_at(st["e"], -k * m) for k in range(1, cap_q + 1)]
+        value = dot(F.array(F.lit(1.0), *lags), beta)
+        level = F.lit(0.0)
+        for a, b in pairs:
+            past = F.lit(0.0)
+            for j, c in enumerate(difference_weights(a, b, m), 1):
+                if c:
+                    past = past + c * F.element_at(st["y"], -j)
+            level = F.when((dd == a) & (ds == b), past).otherwise(level)
+        push = lambda a, v: F.concat(F.slice(a, 2, F.size(a) - 1), F.array(v))
+        now = value + level
+        return F.struct(push(st["z"], value).alias("z"), push(st["e"], F.lit(0.0)).alias("e"),
+                        push(st["y"], now).alias("y"), F.concat(st["out"], F.array(now)).alias("out"))
+
+    return F.aggregate(steps_ahead(steps), start, step, lambda s: s["out"])
+
+
 def sarima(frame: DataFrame, ctx: Context, params: dict, extra: list[str] = ()) -> DataFrame:
     """ARIMA(p,d,q)(P,D,Q); with feature columns in the context, ARIMA errors around a regression on them.
 
@@ -238,45 +277,16 @@ def sarima(frame: DataFrame, ctx: Context, params: dict, extra: list[str] = ())
         extra = [*extra, "_reg"]
         offset = "_reg"
     arrays, names = arima_fit(frame, m, params, extra)
-    p, cap_p, q, cap_q, _ = _orders(params, m)
     known = F.filter("rows", lambda r: ~r["ahead"])
-    reach = max(p, q, cap_p * m, cap_q * m, 1)
-    if params["auto_arima"]:
-        pairs = [(a, b) for a in range(MOST_DIFFERENCES + 1) for b in ((0, 1) if m > 1 else (0,))]
-    else:
-        pairs = [(int(params["non_seasonal_differences"]), int(params["seasonal_differences"]) if m > 1 else 0)]
-    back = max(a + b * m for a, b in pairs) or 1
+    reach, back, pairs = memory(params, m)
     tail = lambda field, k: F.transform(
         F.slice(known, F.greatest(F.size(known) - k + 1, F.lit(1)), F.lit(k)),
         lambda r: F.coalesce(r[field], F.lit(0.0)))
-    zeros = lambda k: F.array_repeat(F.lit(0.0), k)
-    start = F.struct(
-        F.concat(zeros(reach), tail("z", reach)).alias("z"), F.concat(zeros(reach), tail("e", reach)).alias("e"),
-        F.concat(zeros(back), tail("y", back)).alias("y"), F.array().cast("array<double>").alias("out"))
     b = F.col("beta")
-
-    def step(st, h):
-        lags = [F.element_at(st["z"], -k) for k in range(1, p + 1)]
-        lags += [F.element_at(st["z"], -k * m) for k in range(1, cap_p + 1)]
-        lags += [F.element_at(st["e"], -k) for k in range(1, q + 1)]
-        lags += [F.element_at(st["e"], -k * m) for k in range(1, cap_q + 1)]
-        z = dot(F.array(F.lit(1.0), *lags), b)
-        level = F.lit(0.0)
-        for dd, ds in pairs:
-            weights = difference_weights(dd, ds, m)
-            past = F.lit(0.0)
-            for j, c in enumerate(weights, 1):
-                if c:
-                    past = past + c * F.element_at(st["y"], -j)
-            level = F.when((F.col("dd") == dd) & (F.col("ds") == ds), past).otherwise(level)
-        push = lambda a, v: F.concat(F.slice(a, 2, F.size(a) - 1), F.array(v))
-        y = z + level
-        return F.struct(push(st["z"], z).alias("z"), push(st["e"], F.lit(0.0)).alias("e"),
-                        push(st["y"], y).alias("y"), F.concat(st["out"], F.array(y)).alias("out"))
-
-    ahead = F.aggregate(steps_ahead(F.size("rows") - F.size(known)), start, step, lambda s: s["out"])
-    inside = F.transform(known, lambda r: r["y"] - r["z"] + fitted(r["x"], b))
+    ahead = path(params, m, tail("z", reach), tail("e", reach), tail("y", back), b, F.col("dd"), F.col("ds"),
+                 F.size("rows") - F.size(known))
     ahead = F.when(F.size(known) > 0, ahead).otherwise(F.transform(ahead, lambda _: F.lit(None).cast("double")))
+    inside = F.transform(known, lambda r: r["y"] - r["z"] + fitted(r["x"], b))
     values = F.concat(inside, ahead)
     zipped = arrays.select(*RUN_KEYS, F.explode(F.arrays_zip("rows", values.alias("p"))).alias("q"))
     rows = zipped.select(*RUN_KEYS, "q.rows.*", F.col("q.p").alias("_p"))

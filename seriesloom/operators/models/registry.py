@@ -57,7 +57,12 @@ def fit_predict(frame: DataFrame, method: str, ctx: Context, params: dict | None
 
 
 def fitted_parameters(frame: DataFrame, method: str, ctx: Context, params: dict | None = None) -> DataFrame:
-    """Fitted parameters in long form (id, run, parameter, value), for the methods that have some per series."""
+    """Fitted parameters in long form (id, run, parameter, value), for every method with a stored form.
+
+    Parameters that are lists are numbered from 0 (``knots_0``); regressions name theirs by feature.
+    """
+    from seriesloom.operators.models.store import STATES
+
     full, ctx = default_params(method, params), context_for(method, ctx)
     number = lambda *names: F.create_map(*[
         x for n in names for x in (F.lit(n), F.col(n).cast("double"))])
@@ -76,6 +81,11 @@ def fitted_parameters(frame: DataFrame, method: str, ctx: Context, params: dict
             table = least_squares(sums)
         labels = F.array(*[F.lit(n) for n in ["intercept", *names]])
         values = F.map_from_arrays(labels, F.col("beta"))
+    elif method in STATES:
+        named = STATES[method][0](frame, ctx, full).select(*RUN_KEYS, F.explode("numbers").alias("_name", "_v"))
+        rows = named.select(*RUN_KEYS, "_name", F.size("_v").alias("_k"), F.posexplode("_v").alias("_i", "value"))
+        label = F.when(F.col("_k") == 1, F.col("_name")).otherwise(F.concat_ws("_", "_name", "_i"))
+        return rows.select(*RUN_KEYS, label.alias("parameter"), "value")
     else:
         raise ValueError(f"{method} has no parameters per series")
     return table.select(*RUN_KEYS, F.explode(values).alias("parameter", "value"))

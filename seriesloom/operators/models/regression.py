@@ -65,19 +65,31 @@ def elastic(frame: DataFrame, ctx: Context, params: dict) -> DataFrame:
 def hinges(frame: DataFrame, ctx: Context, params: dict) -> DataFrame:
     """Hinge basis at the quartiles of every feature (and products for degree 2), grown and pruned term by term."""
     df, names = feature_names(frame, ctx, "MARS")
+    rows = _solved(df.withColumn("_k", hinge_knots(names)), hinge_basis(names, int(params["prod_degree"])), forward_selection,
+                   **hinge_options(params))
+    return predictions(rows, "MARS", fitted(F.col("x")))
+
+
+def hinge_knots(names: list[str]) -> Column:
+    """Quartiles of the fitted rows of a series, for each feature."""
     known = [F.when(~F.col("ahead"), F.col(c).cast("double")) for c in names]
-    knots = F.array(*[F.percentile(k, [0.25, 0.5, 0.75]).over(whole(*RUN_KEYS)) for k in known])
-    df = df.withColumn("_f", F.array(*[F.col(c).cast("double") for c in names])).withColumn("_k", knots)
-    basis = F.flatten(F.zip_with("_f", "_k", lambda v, ks: F.concat(
+    return F.array(*[F.percentile(k, [0.25, 0.5, 0.75]).over(whole(*RUN_KEYS)) for k in known])
+
+
+def hinge_basis(names: list[str], degree: int) -> Column:
+    """Constant, features and hinges at the knots in column _k, and products of features for degree 2."""
+    f = F.array(*[F.col(c).cast("double") for c in names])
+    basis = F.flatten(F.zip_with(f, F.col("_k"), lambda v, ks: F.concat(
         F.array(v), F.transform(ks, lambda k: F.greatest(v - k, F.lit(0.0))))))
-    x = F.concat(F.array(F.lit(1.0)), F.col("_b"))
-    if int(params["prod_degree"]) >= 2:
-        f = F.col("_f")
+    x = F.concat(F.array(F.lit(1.0)), basis)
+    if degree >= 2:
         pairs = F.flatten(F.transform(f, lambda a, i: F.transform(F.slice(f, i + 2, F.size(f)), lambda b: a * b)))
         x = F.concat(x, pairs)
-    rows = _solved(df.withColumn("_b", basis), x, forward_selection, terms=int(params["num_terms"]),
-                   prune="none" if params["prune_method"] in ("none", "forward") else "backward")
-    return predictions(rows, "MARS", fitted(F.col("x")))
+    return x
+
+
+def hinge_options(params: dict) -> dict:
+    return {"terms": int(params["num_terms"]), "prune": "none" if params["prune_method"] in ("none", "forward") else "backward"}
 
 
 def _scaled_time() -> Column:
@@ -92,26 +104,38 @@ def _waves(t: Column, period: float, k: int) -> list[Column]:
     return out
 
 
-def several_seasons(frame: DataFrame, ctx: Context, params: dict) -> DataFrame:
-    """Trend and Fourier terms of up to three seasons (orders by AICc) with first-order errors."""
+MOST_WAVES = 12  # Fourier order of a season in the search
+
+
+def season_terms(ctx: Context, params: dict) -> tuple[Column, list[list[int]]]:
+    """Trend (in column _u) and Fourier terms of the seasons, and the candidate subsets: orders of all seasons rise together, and
+    each season alone goes on rising while the others stay low."""
     if params["auto_tbats"]:
         lengths = [ctx.period]
     else:
         lengths = [int(params[f"tbats_seasonal_period_{i}"]) for i in (1, 2, 3)]
-    lengths = [p for p in lengths if p > 1]
-    columns, blocks = [F.lit(1.0), _scaled_time()], []
-    for p in lengths:
-        most = min(3, p // 2)
+    columns, blocks = [F.lit(1.0), F.col("_u")], []
+    for p in dict.fromkeys(p for p in lengths if p > 1):
+        most = min(MOST_WAVES, p // 2)
         blocks.append([len(columns) + 2 * k for k in range(most + 1)])
         columns += _waves(F.col("t"), p, most)
+    top = max([len(b) - 1 for b in blocks], default=0)
+    orders = [[k] * len(blocks) for k in range(1, top + 1)]
+    orders += [[k if i == j else low for j in range(len(blocks))]
+               for i in range(len(blocks)) for k in range(1, top + 1) for low in (0, 1, 2, 3) if len(blocks) > 1]
     subsets = [[0], [0, 1]]
-    for order in range(1, 4):
+    for order in orders:
         used = [0, 1]
-        for ends in blocks:
-            used += list(range(ends[0], ends[min(order, len(ends) - 1)]))
+        for k, ends in zip(order, blocks):
+            used += list(range(ends[0], ends[min(k, len(ends) - 1)]))
         subsets += [used, [c for c in used if c != 1]]
-    subsets = [list(s) for s in dict.fromkeys(map(tuple, subsets))]
-    df = filled_y(frame).withColumn("x", F.array(*[c.cast("double") for c in columns]))
+    return F.array(*[c.cast("double") for c in columns]), [list(s) for s in dict.fromkeys(map(tuple, subsets))]
+
+
+def several_seasons(frame: DataFrame, ctx: Context, params: dict) -> DataFrame:
+    """Trend and Fourier terms of up to three seasons (orders by AICc) with first-order errors."""
+    x, subsets = season_terms(ctx, params)
+    df = filled_y(frame).withColumn("_u", _scaled_time()).withColumn("x", x)
     rows = fit_in_place(df, RUN_KEYS, F.col("x"), F.col("y"), subsets=subsets)
     w, everything = by_date(*RUN_KEYS), whole(*RUN_KEYS)
     rows = rows.withColumn("_line", fitted(F.col("x"))).withColumn("_e", F.col("y") - F.col("_line"))
@@ -125,6 +149,27 @@ def several_seasons(frame: DataFrame, ctx: Context, params: dict) -> DataFrame:
     return predictions(rows, "TBATS", F.when(F.col("ahead"), ahead).otherwise(inside))
 
 
+def trend_terms(df: DataFrame, ctx: Context, params: dict) -> tuple[DataFrame, Column, list[float]]:
+    """The frame with holiday flags, and the columns of the model (scaled time in column _u) with their ridge penalties."""
+    count, span = int(params["changepoint_num"]), float(params["changepoint_range"])
+    columns = [F.lit(1.0), F.col("_u")]
+    penalty = [0.0, 1e-6]
+    knots = [span * (j + 1) / (count + 1) for j in range(count)]
+    columns += [F.greatest(F.col("_u") - c, F.lit(0.0)) for c in knots]
+    penalty += [0.01 / float(params["prior_scale_changepoints"]) ** 2] * count
+    day = F.datediff(F.col("date").cast("date"), F.lit("2000-01-01").cast("date")) + F.hour("date") / 24.0
+    seasons = [("seasonality_yearly", 365.25, 10), ("seasonality_weekly", 7, 3), ("seasonality_daily", 1, 4)]
+    for name, length, k in seasons:
+        if params[name]:
+            columns += _waves(day, length, k)
+            penalty += [0.01 / float(params["prior_scale_seasonality"]) ** 2] * (2 * k)
+    df = add_holidays(df)
+    flags = [c for c in df.columns if c.startswith("holiday_")]
+    columns += [F.col(c) for c in flags] + [F.col(c) for c in ctx.features]
+    penalty += [0.01 / float(params["prior_scale_holidays"]) ** 2] * (len(flags) + len(ctx.features))
+    return df, F.array(*[c.cast("double") for c in columns]), penalty
+
+
 def changepoints(frame: DataFrame, ctx: Context, params: dict) -> DataFrame:
     """Piecewise trend, yearly/weekly/daily seasons, holidays and regressors with ridge penalties from prior scales.
 
@@ -145,25 +190,9 @@ def changepoints(frame: DataFrame, ctx: Context, params: dict) -> DataFrame:
     df = df.withColumn("_scale", F.coalesce(F.nullif(F.max(F.abs(F.col("y"))).over(whole(*RUN_KEYS)), F.lit(0.0)),
                                             F.lit(1.0)))
     df = df.withColumn("_u", _scaled_time()).withColumn("_ys", F.col("y") / F.col("_scale"))
-    count, span = int(params["changepoint_num"]), float(params["changepoint_range"])
-    columns = [F.lit(1.0), F.col("_u")]
-    penalty = [0.0, 1e-6]
-    knots = [span * (j + 1) / (count + 1) for j in range(count)]
-    columns += [F.greatest(F.col("_u") - c, F.lit(0.0)) for c in knots]
-    penalty += [0.01 / float(params["prior_scale_changepoints"]) ** 2] * count
-    day = F.datediff(F.col("date").cast("date"), F.lit("2000-01-01").cast("date")) + F.hour("date") / 24.0
-    seasons = [("seasonality_yearly", 365.25, 10), ("seasonality_weekly", 7, 3), ("seasonality_daily", 1, 4)]
-    for name, length, k in seasons:
-        if params[name]:
-            columns += _waves(day, length, k)
-            penalty += [0.01 / float(params["prior_scale_seasonality"]) ** 2] * (2 * k)
-    df = add_holidays(df)
-    flags = [c for c in df.columns if c.startswith("holiday_")]
-    columns += [F.col(c) for c in flags] + [F.col(c) for c in ctx.features]
-    penalty += [0.01 / float(params["prior_scale_holidays"]) ** 2] * (len(flags) + len(ctx.features))
-    columns = [c.cast("double") for c in columns]
+    df, x, penalty = trend_terms(df, ctx, params)
     keep = [*ROW, "_scale", "x"] + (["_lo", "_hi"] if logistic else [])
-    df = df.withColumn("x", F.array(*columns))
+    df = df.withColumn("x", x)
     fit = fit_series(df, RUN_KEYS, F.col("x"), F.col("_ys"), keep, penalty=penalty)
     rows = fit.select(*RUN_KEYS, "beta", F.inline("rows"))
     value = fitted(F.col("x")) * F.col("_scale")
@@ -185,6 +214,30 @@ def _random_layer(inputs: Column, width: int, units: int, seed: int) -> list[Col
     return out
 
 
+def moments(names: list[str]) -> dict[str, Column]:
+    """Means and standard deviations of the fitted rows of a series, as arrays _mean and _sd."""
+    known = [F.when(~F.col("ahead"), F.col(c).cast("double")) for c in names]
+    return {"_mean": F.array(*[F.avg(k).over(whole(*RUN_KEYS)) for k in known]),
+            "_sd": F.array(*[F.stddev_samp(k).over(whole(*RUN_KEYS)) for k in known])}
+
+
+def scaled_by_moments(names: list[str]) -> Column:
+    """Features in units of _sd around _mean; a constant feature is zero."""
+    out = []
+    for i, c in enumerate(names):
+        mean, sd = F.col("_mean")[i], F.col("_sd")[i]
+        out.append(F.when(sd > 0, (F.col(c) - mean) / F.nullif(sd, F.lit(0.0))).otherwise(
+            F.when(F.col(c).isNotNull(), F.lit(0.0))))
+    return F.array(*out)
+
+
+def hidden_layer(names: list[str], params: dict) -> tuple[Column, list[float]]:
+    """Constant and hidden units of the net, with the ridge penalties of the output layer."""
+    units = int(params["ff_hidden_units"])
+    hidden = _random_layer(scaled_by_moments(names), len(names), units, SEED)
+    return F.array(F.lit(1.0), *hidden), [0.0] + [1e-3 + float(params["ff_penalty"])] * units
+
+
 def _standardised(names: list[str]) -> list[Column]:
     out = []
     for c in names:
@@ -198,11 +251,8 @@ def _standardised(names: list[str]) -> list[Column]:
 def feed_forward(frame: DataFrame, ctx: Context, params: dict) -> DataFrame:
     """One hidden layer with random weights and a ridge output layer (extreme learning machine)."""
     df, names = feature_names(frame, ctx, "Feed-Forward")
-    df = df.withColumn("_in", F.array(*_standardised(names)))
-    units = int(params["ff_hidden_units"])
-    hidden = _random_layer(F.col("_in"), len(names), units, SEED)
-    ridge = [0.0] + [1e-3 + float(params["ff_penalty"])] * units
-    rows = _solved(df, F.array(F.lit(1.0), *hidden), _ridge(ridge))
+    x, ridge = hidden_layer(names, params)
+    rows = _solved(df.withColumns(moments(names)), x, _ridge(ridge))
     return predictions(rows, "Feed-Forward", fitted(F.col("x")))
 
 

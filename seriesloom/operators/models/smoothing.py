@@ -346,8 +346,8 @@ def _phase_season(frame: DataFrame, period: int, out: str, value: str = "y", rat
     return df.withColumn(out, F.coalesce(season, _d(0))).drop("_phase", "_trend", "_raw")
 
 
-def theta(frame: DataFrame, ctx: Context, params: dict) -> DataFrame:
-    """Half the trend of the series plus its exponentially smoothed level, on seasonally adjusted values."""
+def theta_fit(frame: DataFrame, ctx: Context) -> DataFrame:
+    """One row per (id, run): its rows with their season, whether it is used, the smoothed level and the slope."""
     m = ctx.period
     df = frame.withColumn("_ratio", F.min("y").over(whole(*RUN_KEYS)) > 0)
     if m > 1:
@@ -381,6 +381,14 @@ def theta(frame: DataFrame, ctx: Context, params: dict) -> DataFrame:
     middle = (n + 1) / 2
     top = F.aggregate(F.transform("z", lambda y, i: y * (i + 1 - middle)), _d(0), lambda s, x: s + x)
     arrays = arrays.withColumn("_slope", top * 12 / (n * (F.pow(n, 2) - 1)))
+    return arrays
+
+
+def theta(frame: DataFrame, ctx: Context, params: dict) -> DataFrame:
+    """Half the trend of the series plus its exponentially smoothed level, on seasonally adjusted values."""
+    arrays, n = theta_fit(frame, ctx), F.col("n")
+    ratio = F.element_at("rows", 1)["_ratio"]
+    seasons = F.transform("rows", lambda r: r["season"])
     half = F.col("_slope") / 2
     smoothed = F.col("best.values")
     inside = F.transform(F.slice(smoothed, F.lit(1), n), lambda v: v + half)
