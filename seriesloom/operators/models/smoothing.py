@@ -313,7 +313,8 @@ def ets_table(arrays: DataFrame, period: int, params: dict, column: str = "ys")
             parts.append(part)
         return pd.concat(parts).sort_index()
 
-    return arrays.withColumn("best", solve(column, "n_ahead"))
+    # marked so that the plan neither repeats the call nor moves it into a generator
+    return arrays.withColumn("best", solve.asNondeterministic()(column, "n_ahead"))
 
 
 def ets(frame: DataFrame, ctx: Context, params: dict) -> DataFrame:

@@ -103,7 +103,7 @@ def _score_ets(rows, ctx, params):
 
 
 def _fit_theta(frame, ctx, params):
-    arrays = smoothing.theta_fit(frame, ctx)
+    arrays = smoothing.theta_fit(frame, ctx).where(F.col("best.values").isNotNull())
     seasons = F.transform(F.slice("rows", 1, max(1, ctx.period)), lambda r: r["season"])
     return arrays.select(*RUN_KEYS, _numbers(
         level=_one("best.level"), alpha=_one("best.alpha"), slope=_one("_slope"),
