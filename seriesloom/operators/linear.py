@@ -160,7 +160,8 @@ def forward_selection(sums: DataFrame, terms: int, prune: str = "backward", carr
         return pd.Series([_grow_and_prune(m, r, terms, prune) for m, r in zip(_square(np.stack(gram.to_numpy())), n)])
 
     keys = [c for c in sums.columns if c not in ("n", "gram", *carry)]
-    return sums.select(*keys, *carry, "n", solve("gram", "n").alias("beta"))
+    # marked so that the plan neither repeats the call nor moves it into the lambdas that read its result
+    return sums.select(*keys, *carry, "n", solve.asNondeterministic()("gram", "n").alias("beta"))
 
 
 def _grow_and_prune(m: np.ndarray, rows: int, terms: int, prune: str) -> np.ndarray:
@@ -245,7 +246,7 @@ def series_products(flat: Column, width: Column) -> Column:
             grams.append((z.T @ z)[np.triu_indices(q)])
         return pd.DataFrame({"n": counts, "gram": grams})
 
-    return products(flat, width)
+    return products.asNondeterministic()(flat, width)
 
 
 def fit_in_place(df: DataFrame, keys: list[str], x: Column, y: Column, out: str = "beta", **options) -> DataFrame:

@@ -20,7 +20,7 @@ from seriesloom.functions.text import dot
 from seriesloom.operators.features import add_holidays
 from seriesloom.operators.frames import BASE, RUN_KEYS, Context, filled_y, predictions, steps_ahead
 from seriesloom.operators.linear import (
-    elastic_net, features_array, fit_in_place, fit_series, fitted, forward_selection, grouped_ols,
+    elastic_net, features_array, fit_in_place, fit_series, fitted, forward_selection, grouped_ols, series_products,
 )
 from seriesloom.operators.panel import by_date, whole
 
@@ -62,34 +62,100 @@ def elastic(frame: DataFrame, ctx: Context, params: dict) -> DataFrame:
     return net_path(frame, ctx, [(float(params["penalty"]), float(params["mixture"]))]).drop("choice")
 
 
-def hinges(frame: DataFrame, ctx: Context, params: dict) -> DataFrame:
-    """Hinge basis at the quartiles of every feature (and products for degree 2), grown and pruned term by term."""
-    df, names = feature_names(frame, ctx, "MARS")
-    rows = _solved(df.withColumn("_k", hinge_knots(names)), hinge_basis(names, int(params["prod_degree"])), forward_selection,
-                   **hinge_options(params))
-    return predictions(rows, "MARS", fitted(F.col("x")))
+# Knots of the first look (tenths of the sorted values), knots around the strongest one in each further look, the number of
+# such looks, and the terms whose products are tried for degree 2.
+TENTHS, AROUND, LOOKS, PARTNERS = 9, 4, 3, 8
 
 
-def hinge_knots(names: list[str]) -> Column:
-    """Quartiles of the fitted rows of a series, for each feature."""
-    known = [F.when(~F.col("ahead"), F.col(c).cast("double")) for c in names]
-    return F.array(*[F.percentile(k, [0.25, 0.5, 0.75]).over(whole(*RUN_KEYS)) for k in known])
+def hinge_basis(f: Column, knots: Column, pairs: Column | None = None) -> Column:
+    """Constant, features and hinges at their knots, and products of the terms at the places in ``pairs``."""
+    terms = F.flatten(F.zip_with(f, knots, lambda v, ks: F.concat(
+        F.array(v), F.transform(ks, lambda k: F.greatest(v - k, F.lit(0.0))))))
+    x = F.concat(F.array(F.lit(1.0)), terms)
+    if pairs is None:
+        return x
+    from seriesloom.functions.text import let
+
+    return let(x, lambda b: F.concat(b, F.transform(pairs, lambda p: F.coalesce(
+        F.get(b, p["a"]) * F.get(b, p["b"]), F.when(p["a"] < 0, F.lit(0.0))))))
+
+
+def _closer(count: int, share: int):
+    """Ranks of the next look at a feature: the tenths, and others around its strongest hinge, up to 1/share of the values away.
+
+    ``count`` is the number of knots that ``ranks`` has now.
+    """
+
+    def ranks_of(v: Column, i: Column) -> Column:
+        ranks, size = F.get("ranks", i), F.transform(F.slice("beta", i * (count + 1) + 3, F.lit(count)), lambda b: F.abs(b))
+        place = F.array_position(size, F.array_max(size)).cast("int")
+        here = F.when(F.array_max(size) > 0, F.get(ranks, place - 1)).otherwise(F.get(ranks, F.lit(TENTHS // 2)))
+        step, last = F.greatest(F.size(v) / (share * AROUND), F.lit(1.0)), F.greatest(F.size(v) - 1, F.lit(0))
+        near = F.transform(F.sequence(F.lit(-AROUND), F.lit(AROUND)), lambda k: F.least(F.greatest(
+            here + F.round(k * step).cast("int"), F.lit(0)), last))
+        return F.concat(F.slice(ranks, 1, TENTHS), near)
+
+    return ranks_of
 
 
-def hinge_basis(names: list[str], degree: int) -> Column:
-    """Constant, features and hinges at the knots in column _k, and products of features for degree 2."""
+def hinge_fit(frame: DataFrame, names: list[str], params: dict) -> DataFrame:
+    """One row per series: rows (with features f), knots, pairs (for degree 2) and beta.
+
+    Knots are values of the fitted rows. The first look has the tenths of each feature; every further look keeps these and
+    places others around the strongest hinge of each feature, closer each time, so that after LOOKS looks the knots stand at
+    every few hundredths of a percent of the values (at every value of short series). Looks work on the gathered rows: one
+    shuffle serves all. Degree 2 adds products of the strongest terms chosen so far.
+    """
+    terms, prune = int(params["num_terms"]), "none" if params["prune_method"] in ("none", "forward") else "backward"
     f = F.array(*[F.col(c).cast("double") for c in names])
-    basis = F.flatten(F.zip_with(f, F.col("_k"), lambda v, ks: F.concat(
-        F.array(v), F.transform(ks, lambda k: F.greatest(v - k, F.lit(0.0))))))
-    x = F.concat(F.array(F.lit(1.0)), basis)
-    if degree >= 2:
-        pairs = F.flatten(F.transform(f, lambda a, i: F.transform(F.slice(f, i + 2, F.size(f)), lambda b: a * b)))
-        x = F.concat(x, pairs)
-    return x
+    row = F.struct(*ROW, F.col("y").cast("double").alias("y"), f.alias("f"))
+    df = frame.groupBy(*RUN_KEYS).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    every = F.transform(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda i: F.sort_array(F.filter(F.transform(
+        "rows", lambda r: F.when(~r["ahead"] & r["y"].isNotNull(), F.get(r["f"], i))), lambda v: v.isNotNull())))
+    tenths = F.transform("values", lambda v: F.transform(F.sequence(F.lit(1), F.lit(TENTHS)), lambda k: F.floor(
+        k * F.greatest(F.size(v) - 1, F.lit(0)) / (TENTHS + 1)).cast("int")))
+    df = df.withColumn("values", every).withColumn("ranks", tenths)
+
+    def solved(df: DataFrame, pairs: bool = False) -> DataFrame:
+        knots = F.zip_with("values", "ranks", lambda v, at: F.transform(at, lambda k: F.get(v, k)))
+        df = df.withColumn("knots", knots)
+        carry = [c for c in df.columns if c not in RUN_KEYS]
+        cell = lambda r: F.transform(F.concat(hinge_basis(
+            r["f"], F.col("knots"), F.col("pairs") if pairs else None), F.array(r["y"])),
+            lambda v: F.coalesce(v, F.lit(float("nan"))))
+        flat = F.transform("rows", lambda r: F.when(~r["ahead"], cell(r)))
+        df = df.withColumn("_flat", F.filter(flat, lambda z: z.isNotNull()))
+        width = F.coalesce(F.size(F.get("_flat", 0)), F.lit(1))
+        df = df.withColumn("s", series_products(F.flatten("_flat"), width))
+        sums = df.select(*RUN_KEYS, *carry, "s.n", "s.gram")
+        return forward_selection(sums, terms, prune, carry=carry).drop("n")
+
+    df = solved(df.where(F.exists("rows", lambda r: ~r["ahead"])))
+    for look in range(LOOKS):
+        count = TENTHS if not look else TENTHS + 2 * AROUND + 1
+        closer = _closer(count, (TENTHS + 1) * AROUND**look)
+        df = solved(df.withColumn("ranks", F.transform("values", closer)).drop("beta", "knots"))
+    none = F.array().cast("array<struct<a:int,b:int>>")
+    if int(params["prod_degree"]) < 2:
+        return df.select(*RUN_KEYS, "rows", "knots", none.alias("pairs"), "beta")
+    placed = F.transform("beta", lambda b, i: F.struct(F.abs(b).alias("size"), i.alias("at")))
+    first = F.slice(F.sort_array(F.filter(placed, lambda p: (p["size"] > 0) & (p["at"] > 0)), False), 1, PARTNERS)
+    places = F.concat(F.transform(first, lambda p: p["at"]), F.array_repeat(F.lit(-1), PARTNERS))
+    df = df.withColumn("_at", F.slice(places, 1, PARTNERS))
+    both = [(i, j) for i in range(PARTNERS) for j in range(i + 1, PARTNERS)]
+    pair = F.array(*[F.when(F.get("_at", F.lit(j)) >= 0, F.struct(F.get("_at", F.lit(i)).alias("a"), F.get("_at", F.lit(j))
+                     .alias("b"))).otherwise(F.struct(F.lit(-1).alias("a"), F.lit(-1).alias("b"))) for i, j in both])
+    return solved(df.withColumn("pairs", pair).drop("_at", "beta", "knots"), True).select(
+        *RUN_KEYS, "rows", "knots", "pairs", "beta")
 
 
-def hinge_options(params: dict) -> dict:
-    return {"terms": int(params["num_terms"]), "prune": "none" if params["prune_method"] in ("none", "forward") else "backward"}
+def hinges(frame: DataFrame, ctx: Context, params: dict) -> DataFrame:
+    """Hinge basis (and products of its terms for degree 2), grown and pruned term by term."""
+    df, names = feature_names(frame, ctx, "MARS")
+    fit = hinge_fit(df, names, params)
+    rows = fit.select(*RUN_KEYS, "knots", "pairs", "beta", F.inline("rows"))
+    rows = rows.withColumn("x", hinge_basis(F.col("f"), F.col("knots"), F.col("pairs")))
+    return predictions(rows, "MARS", fitted(F.col("x")))
 
 
 def _scaled_time() -> Column:

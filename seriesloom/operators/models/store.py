@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from seriesloom.constants import default_params
 from seriesloom.operators.frames import RUN_KEYS, Context, as_arrays, filled_y
 from seriesloom.operators.linear import (
-    cross_products, elastic_net, features_array, fit_in_place, fit_series, fitted, forward_selection, least_squares,
+    cross_products, elastic_net, features_array, fit_in_place, fit_series, fitted, least_squares,
 )
 from seriesloom.operators.models import arima, regression, smoothing
 from seriesloom.operators.panel import by_date, whole
@@ -183,9 +183,9 @@ def _with_stats(frame, x, y, stats: dict[str, Column], solver, **options):
 
 def _fit_hinges(frame, ctx, params):
     df, names = regression.feature_names(frame, ctx, "MARS")
-    table = _with_stats(df, regression.hinge_basis(names, int(params["prod_degree"])), F.col("y"),
-                        {"_k": regression.hinge_knots(names)}, forward_selection, **regression.hinge_options(params))
-    return table.select(*RUN_KEYS, _numbers(beta=F.col("beta"), knots=F.flatten("_k")).alias("numbers"))
+    table = regression.hinge_fit(df, names, params)
+    pairs = F.flatten(F.transform("pairs", lambda p: F.array(p["a"], p["b"])))
+    return table.select(*RUN_KEYS, _numbers(beta=F.col("beta"), knots=F.flatten("knots"), pairs=pairs).alias("numbers"))
 
 
 def _score_hinges(rows, ctx, params):
@@ -193,7 +193,11 @@ def _score_hinges(rows, ctx, params):
     count = F.size(_array("knots")) / len(names)
     knots = F.transform(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda i: F.slice(
         _array("knots"), (i * count + 1).cast("int"), count.cast("int")))
-    df = df.withColumn("_k", knots).withColumn("_x", regression.hinge_basis(names, int(params["prod_degree"])))
+    ends = F.filter(F.transform(_array("pairs"), lambda a, i: F.when(i % 2 == 0, F.struct(
+        a.cast("int").alias("a"), F.get(_array("pairs"), i + 1).cast("int").alias("b")))), lambda p: p.isNotNull())
+    f = F.array(*[F.col(c).cast("double") for c in names])
+    df = df.withColumn("_f", f).withColumn("_k", knots).withColumn("_p", ends)
+    df = df.withColumn("_x", regression.hinge_basis(F.col("_f"), F.col("_k"), F.col("_p")))
     return df, fitted(F.col("_x"), _array("beta"))
 
 
