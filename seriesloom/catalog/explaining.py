@@ -90,13 +90,13 @@ def explain_break_down_trend(spark, sf):
 @query("explain_stability", "O-137")
 def explain_stability(spark, sf):
     frame, test, predict = parts(spark, sf)
-    return X.local_stability(test, X.observation(frame, OBSERVED, FEATURES), FEATURES, predict, 5)
+    return X.local_stability(test, X.observation(frame, OBSERVED, FEATURES), FEATURES, predict)
 
 
 @query("explain_neighbour_profiles", "O-137")
 def explain_neighbour_profiles(spark, sf):
     frame, test, predict = parts(spark, sf)
-    return X.neighbour_profiles(test, X.observation(frame, OBSERVED, FEATURES), "month", FEATURES, predict, 5)
+    return X.neighbour_profiles(test, X.observation(frame, OBSERVED, FEATURES), "month", FEATURES, predict)
 
 
 # Methods by name, from their stored form.

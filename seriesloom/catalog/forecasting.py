@@ -48,7 +48,8 @@ acc AS (SELECT id, model_desc, type, avg(prediction - actual) AS me, avg(abs(act
   avg(abs(prediction - actual) / nullif((abs(actual) + abs(prediction)) / 2, 0)) * 100 AS smape,
   sqrt(avg((actual - prediction) * (actual - prediction))) AS rmse,
   sqrt(avg(pow((actual - prediction) / nullif(actual, 0), 2))) * 100 AS rmspe,
-  CASE WHEN var_pop(actual) * var_pop(prediction) > 0 THEN pow(corr(actual, prediction), 2) END AS rsq
+  CASE WHEN var_pop(actual) > 1e-12::DOUBLE * avg(actual * actual)
+    AND var_pop(prediction) > 1e-12::DOUBLE * avg(prediction * prediction) THEN pow(corr(actual, prediction), 2) END AS rsq
   FROM st GROUP BY 1, 2, 3)"""
 
 
@@ -64,10 +65,9 @@ def accuracy_by_model(spark, sf):
 
 @query("accuracy_many_series", "O-84", with_sql(*simple_sql(SHIP_M, 6), ACC_SQL, """
 SELECT id, model_desc, type, round(me, 6) AS me, round(mae, 6) AS mae, round(mape, 6) AS mape,
-  round(mase, 6) AS mase, round(smape, 6) AS smape, round(rmse, 6) AS rmse, round(rmspe, 6) AS rmspe FROM acc"""))
+  round(mase, 6) AS mase, round(smape, 6) AS smape, round(rmse, 6) AS rmse, round(rmspe, 6) AS rmspe, round(rsq, 6) AS rsq FROM acc"""))
 def accuracy_many_series(spark, sf):
-    preds = simple_predictions(spark, sf, ship_monthly, 6)
-    return R.round_numeric(FC.accuracy_of(preds, metrics=[m for m in A.ACCURACY if m != "rsq"]), 6)
+    return R.round_numeric(FC.accuracy_of(simple_predictions(spark, sf, ship_monthly, 6)), 6)
 
 
 @query("metrics_by_name", "O-87", with_sql(*simple_sql(ORDERS_M), ACC_SQL, """
@@ -328,8 +328,8 @@ def stacked_models(spark, sf):
 
 @query("stacked_single_member", "O-129", with_sql(*run_sql(ORDERS_M, 12, 12)[:-1], """
 fr AS (SELECT id, run, date, t, n - cut AS nf, t > n - cut AS ahead, CASE WHEN t <= n - cut THEN value END AS y,
-  value AS actual FROM tt, (VALUES ('test', 12, 12), ('future', 0, 12), ('fold1', 16, 4), ('fold2', 20, 4),
-  ('fold3', 24, 4)) r(run, cut, len) WHERE t <= n - cut + len)""", """
+  value AS actual FROM tt, (VALUES ('test', 12, 12), ('future', 0, 12), ('fold1', 14, 2), ('fold2', 16, 2),
+  ('fold3', 18, 2), ('fold4', 20, 2), ('fold5', 22, 2)) r(run, cut, len) WHERE t <= n - cut + len)""", """
 w AS (SELECT *, coalesce(last_value(y IGNORE NULLS) OVER (PARTITION BY id, run, t % 12 ORDER BY date
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), last_value(y IGNORE NULLS) OVER (PARTITION BY id, run
   ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS p1 FROM fr)""", """
@@ -341,7 +341,7 @@ def stacked_single_member(spark, sf):
     from seriesloom.operators.stacking import stack
 
     panel = append_future(orders_monthly(spark, sf), 12, "month")
-    frame = M.model_frame(panel, M.standard_runs(12, 12) + M.fold_runs(12, 3))
+    frame = M.model_frame(panel, M.standard_runs(12, 12) + M.fold_runs(12, 5))
     out = stack(fit_predict_all(frame, ["Seasonal Naive"], CTX), ["Seasonal Naive"], ["Linear Regression"])
     return out.where("ahead").select("id", "run", "date", "model_desc", F.round("prediction", 0).alias("prediction"))
 
@@ -472,7 +472,7 @@ def tuned_forest(spark, sf):
 
 @query("tuned_neighbours", "O-132 O-41")
 def tuned_neighbours(spark, sf):
-    tuned = TU.tune(features_with_future(spark, sf), "KNN", FCTX, 24, 5, 5, metric="mae")
+    tuned = TU.tune(features_with_future(spark, sf), "KNN", FCTX, 24, metric="mae")
     return tuned.select("id", "method", F.explode("params").alias("parameter", "value"), "score")
 
 

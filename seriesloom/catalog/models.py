@@ -231,15 +231,17 @@ s AS (SELECT *, (m - avg(CASE WHEN NOT ahead THEN m END) OVER w) / stddev_samp(C
 d AS (SELECT p.id, p.run, p.date, k.y, round(sqrt((p.a - k.a) * (p.a - k.a) + (p.b - k.b) * (p.b - k.b)), 12) AS dist,
   row_number() OVER (PARTITION BY p.id, p.run, p.date ORDER BY round(sqrt((p.a - k.a) * (p.a - k.a)
     + (p.b - k.b) * (p.b - k.b)), 12), k.t) AS place
-  FROM s p JOIN s k ON p.id = k.id AND p.run = k.run AND p.ahead AND NOT k.ahead)""", """
-SELECT id, run, date, true AS ahead, round(sum(y / (dist + 1e-6::DOUBLE)) / sum(1 / (dist + 1e-6::DOUBLE)), 1)
-  AS prediction FROM d WHERE place <= 5 GROUP BY id, run, date""")
+  FROM s p JOIN s k ON p.id = k.id AND p.run = k.run AND p.t <> k.t AND NOT k.ahead)""", """
+g AS (SELECT id, run, date, sum(y / (dist + 1e-6::DOUBLE)) / sum(1 / (dist + 1e-6::DOUBLE)) AS v
+  FROM d WHERE place <= 5 GROUP BY id, run, date)""", """
+SELECT fr.id, fr.run, fr.date, fr.ahead, round(v, 3) AS prediction
+FROM fr LEFT JOIN g ON fr.id = g.id AND fr.run = g.run AND fr.date = g.date""")
 
 
 @query("model_neighbours", "O-116", KNN_SQL)
 def model_neighbours(spark, sf):
-    preds = fit_predict(feature_model_frame(spark, sf), "KNN", M.Context(12, ("month", "time_trend")))
-    return out(preds.where("ahead"), 1)
+    """Fitted rows by leaving each out, and the rows ahead."""
+    return out(fit_predict(feature_model_frame(spark, sf), "KNN", M.Context(12, ("month", "time_trend"))), 3)
 
 
 @query("model_linear_trend", "O-113 O-103", with_sql(*run_sql(SHIP_M, 6, 6), LINE_SQL, """

@@ -36,8 +36,9 @@ def rmspe(a: Column, p: Column) -> Column:
 
 
 def rsq(a: Column, p: Column) -> Column:
-    """Squared correlation; null for constant actuals or predictions."""
-    return F.try_divide(F.pow(F.covar_pop(a, p), 2), F.var_pop(a) * F.var_pop(p))
+    """Squared correlation; null for constant actuals or predictions (but for rounding)."""
+    moves = lambda c: F.var_pop(c) > 1e-12 * F.avg(c * c)
+    return F.when(moves(a) & moves(p), F.try_divide(F.pow(F.covar_pop(a, p), 2), F.var_pop(a) * F.var_pop(p)))
 
 
 def mase(a: Column, p: Column, step: Column) -> Column:

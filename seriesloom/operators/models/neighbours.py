@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -12,20 +10,31 @@ from pyspark.sql import functions as F
 from seriesloom.operators.frames import BASE, RUN_KEYS, Context
 from seriesloom.operators.models.regression import _standardised, feature_names
 
-PART = 2048  # fitted rows of one series handled together
+PART, TARGETS = 2048, 256  # fitted rows of one series handled together, and rows whose neighbours are sought there
+
+
+def _nearest(d: np.ndarray, t: np.ndarray, most: int) -> np.ndarray:
+    """Places of the ``most`` least distances of each row of d, ties to the smaller t; t is ascending."""
+    if d.shape[1] > most:
+        edge = np.partition(d, most - 1, axis=1)[:, most - 1:most]
+        # ties at the edge are settled by order: rank by (distance, place) among what does not lie beyond it
+        d = np.where(d <= edge, d, np.inf)
+    return np.argsort(d, axis=1, kind="stable")[:, :most]
 
 
-def neighbour_lists(frame: DataFrame, names: list[str], most: int) -> DataFrame:
-    """The ``most`` nearest fitted rows of every predicted row.
+def neighbour_lists(frame: DataFrame, names: list[str], most: int, inside: bool = False) -> DataFrame:
+    """The ``most`` nearest fitted rows of every predicted row; with ``inside`` of every fitted row, too, itself left out.
 
-    The predicted rows of a series (its horizon) are gathered and sent to parts of at most PART fitted rows each. A
-    part keeps its nearest rows only, so no pair leaves a task, and the parts of a long series run side by side.
+    The wanted rows of a series are gathered and sent to parts of at most PART fitted rows each, TARGETS wanted rows at a
+    time. A part keeps its nearest rows only, so no pair leaves a task, and the parts of a long series run side by side.
     """
     scaled = frame.withColumn("x", F.array(*_standardised(names)))
     scaled = scaled.where(~F.exists("x", lambda v: v.isNull()))
-    wanted = scaled.where("ahead").groupBy(*RUN_KEYS).agg(F.collect_list(F.struct("t", "x")).alias("wanted"))
+    asked = scaled if inside else scaled.where("ahead")
+    wanted = asked.groupBy(*RUN_KEYS, F.floor(F.col("t") / TARGETS).alias("_block")).agg(
+        F.collect_list(F.struct("t", "x")).alias("wanted"))
     known = scaled.where("NOT ahead AND y IS NOT NULL").withColumn("part", F.floor(F.col("t") / PART))
-    parts = known.groupBy(*RUN_KEYS, "part").agg(F.collect_list(F.struct("t", "x", "y")).alias("known"))
+    parts = known.groupBy(*RUN_KEYS, "part").agg(F.array_sort(F.collect_list(F.struct("t", "x", "y"))).alias("known"))
     both = parts.join(wanted, RUN_KEYS)
     width = len(names)
 
@@ -34,12 +43,14 @@ def neighbour_lists(frame: DataFrame, names: list[str], most: int) -> DataFrame:
         out = []
         for a, ta, b, tb, yb in zip(targets, target_t, flat, t, y):
             a, b = np.asarray(a, float).reshape(-1, width), np.asarray(b, float).reshape(-1, width)
+            ta, tb, yb = np.asarray(ta, int), np.asarray(tb, int), np.asarray(yb, float)
+            d = np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(2)).round(12)
+            d[ta[:, None] == tb[None, :]] = np.inf  # a row is no neighbour of itself
             found = []
-            for row, when in zip(a, ta):
-                d = np.sqrt(((b - row) ** 2).sum(1))
-                best = heapq.nsmallest(most, zip(d.round(12), tb, yb))
-                found.append({"t": int(when), "near": [
-                    {"distance": float(q), "other": int(o), "y": float(v)} for q, o, v in best]})
+            for i, at in enumerate(_nearest(d, tb, most)):
+                at = at[np.isfinite(d[i, at])]
+                found.append({"t": int(ta[i]), "near": [
+                    {"distance": q, "other": o, "y": v} for q, o, v in zip(d[i, at].tolist(), tb[at].tolist(), yb[at].tolist())]})
             out.append(found)
         return pd.Series(out)
 
@@ -52,10 +63,10 @@ def neighbour_lists(frame: DataFrame, names: list[str], most: int) -> DataFrame:
     return pairs.withColumn("place", place).where(F.col("place") <= most)
 
 
-def knn_path(frame: DataFrame, ctx: Context, sizes: list[int]) -> DataFrame:
+def knn_path(frame: DataFrame, ctx: Context, sizes: list[int], inside: bool = False) -> DataFrame:
     """Predictions for several numbers of neighbours from one search; ``choice`` indexes ``sizes``."""
     df, names = feature_names(frame, ctx, "KNN")
-    near = neighbour_lists(df, names, max(sizes))
+    near = neighbour_lists(df, names, max(sizes), inside)
     weight = 1 / (F.col("distance") + 1e-6)
     aggs = []
     for i, k in enumerate(sizes):
@@ -69,5 +80,5 @@ def knn_path(frame: DataFrame, ctx: Context, sizes: list[int]) -> DataFrame:
 
 
 def knn(frame: DataFrame, ctx: Context, params: dict) -> DataFrame:
-    """Inverse-distance weighted mean of the nearest rows; only predicted rows get a value."""
-    return knn_path(frame, ctx, [int(params["neighbors"])]).drop("choice")
+    """Inverse-distance weighted mean of the nearest fitted rows; a fitted row is left out of its own neighbours."""
+    return knn_path(frame, ctx, [int(params["neighbors"])], inside=True).drop("choice")
