@@ -21,6 +21,7 @@ from seriesloom.operators.features import add_holidays
 from seriesloom.operators.frames import BASE, RUN_KEYS, Context, filled_y, predictions, steps_ahead
 from seriesloom.operators.linear import (
     elastic_net, features_array, fit_in_place, fit_series, fitted, forward_selection, grouped_ols, series_products,
+    sparse_least_squares,
 )
 from seriesloom.operators.panel import by_date, whole
 
@@ -215,14 +216,19 @@ def several_seasons(frame: DataFrame, ctx: Context, params: dict) -> DataFrame:
     return predictions(rows, "TBATS", F.when(F.col("ahead"), ahead).otherwise(inside))
 
 
-def trend_terms(df: DataFrame, ctx: Context, params: dict) -> tuple[DataFrame, Column, list[float]]:
-    """The frame with holiday flags, and the columns of the model (scaled time in column _u) with their ridge penalties."""
+def trend_terms(df: DataFrame, ctx: Context, params: dict) -> tuple[DataFrame, Column, dict]:
+    """The frame with holiday flags, and the columns of the model (scaled time in column _u) with the penalties of their priors.
+
+    Changes of the trend have a Laplace prior, which leaves most of them at zero; seasons and effects a normal one. Both assume
+    errors of a tenth of the largest value.
+    """
     count, span = int(params["changepoint_num"]), float(params["changepoint_range"])
     columns = [F.lit(1.0), F.col("_u")]
-    penalty = [0.0, 1e-6]
+    penalty, sparse = [0.0, 1e-6], [0.0, 0.0]
     knots = [span * (j + 1) / (count + 1) for j in range(count)]
     columns += [F.greatest(F.col("_u") - c, F.lit(0.0)) for c in knots]
-    penalty += [0.01 / float(params["prior_scale_changepoints"]) ** 2] * count
+    penalty += [0.0] * count
+    sparse += [0.01 / float(params["prior_scale_changepoints"])] * count
     day = F.datediff(F.col("date").cast("date"), F.lit("2000-01-01").cast("date")) + F.hour("date") / 24.0
     seasons = [("seasonality_yearly", 365.25, 10), ("seasonality_weekly", 7, 3), ("seasonality_daily", 1, 4)]
     for name, length, k in seasons:
@@ -233,11 +239,12 @@ def trend_terms(df: DataFrame, ctx: Context, params: dict) -> tuple[DataFrame, C
     flags = [c for c in df.columns if c.startswith("holiday_")]
     columns += [F.col(c) for c in flags] + [F.col(c) for c in ctx.features]
     penalty += [0.01 / float(params["prior_scale_holidays"]) ** 2] * (len(flags) + len(ctx.features))
-    return df, F.array(*[c.cast("double") for c in columns]), penalty
+    sparse += [0.0] * (len(penalty) - len(sparse))
+    return df, F.array(*[c.cast("double") for c in columns]), {"solver": sparse_least_squares, "l1": sparse, "l2": penalty}
 
 
 def changepoints(frame: DataFrame, ctx: Context, params: dict) -> DataFrame:
-    """Piecewise trend, yearly/weekly/daily seasons, holidays and regressors with ridge penalties from prior scales.
+    """Piecewise trend, yearly/weekly/daily seasons, holidays and regressors with penalties from prior scales.
 
     Multiplicative seasons work on the log scale; logistic growth on the logit between floor and cap.
     """
@@ -256,10 +263,10 @@ def changepoints(frame: DataFrame, ctx: Context, params: dict) -> DataFrame:
     df = df.withColumn("_scale", F.coalesce(F.nullif(F.max(F.abs(F.col("y"))).over(whole(*RUN_KEYS)), F.lit(0.0)),
                                             F.lit(1.0)))
     df = df.withColumn("_u", _scaled_time()).withColumn("_ys", F.col("y") / F.col("_scale"))
-    df, x, penalty = trend_terms(df, ctx, params)
+    df, x, options = trend_terms(df, ctx, params)
     keep = [*ROW, "_scale", "x"] + (["_lo", "_hi"] if logistic else [])
     df = df.withColumn("x", x)
-    fit = fit_series(df, RUN_KEYS, F.col("x"), F.col("_ys"), keep, penalty=penalty)
+    fit = fit_series(df, RUN_KEYS, F.col("x"), F.col("_ys"), keep, **options)
     rows = fit.select(*RUN_KEYS, "beta", F.inline("rows"))
     value = fitted(F.col("x")) * F.col("_scale")
     if logistic:

@@ -234,9 +234,9 @@ def _fit_changepoints(frame, ctx, params):
     df = df.withColumn("_scale", F.coalesce(F.nullif(F.max(F.abs("y")).over(everything), F.lit(0.0)), F.lit(1.0)))
     df = df.withColumn("_top", F.max(F.when(~F.col("ahead"), F.col("t"))).over(everything))
     df = df.withColumn("_u", F.col("t") / F.col("_top"))
-    df, x, penalty = regression.trend_terms(df, ctx, params)
+    df, x, options = regression.trend_terms(df, ctx, params)
     table = _with_stats(df, x, F.col("y") / F.col("_scale"), {c: F.col(c) for c in ("_scale", "_top", "_lo", "_hi")},
-                        least_squares, penalty=penalty)
+                        **options)
     return table.select(*RUN_KEYS, _numbers(beta=F.col("beta"), scale=_one("_scale"), top=_one("_top"), floor=_one("_lo"),
                                             cap=_one("_hi")).alias("numbers"))
 

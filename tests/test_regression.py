@@ -57,3 +57,48 @@ def test_sharp_season_takes_its_orders(spark):
     values = [r.prediction for r in rows]
     assert int(np.argmax(values)) == 7 and max(values) > 130
     assert R.MOST_WAVES > 3 and len(R.season_terms(M.Context(48), default_params("TBATS"))[1]) > 20
+
+
+def trend_of(spark, series):
+    frame = frame_of(spark, series)
+    params = default_params("Prophet", {"seasonality_yearly": False})
+    df = frame.withColumn("_u", F.col("t") / F.max(F.when(~F.col("ahead"), F.col("t"))).over(R.whole(*M.RUN_KEYS)))
+    df, x, options = R.trend_terms(df, M.Context(12), params)
+    solver = options.pop("solver")
+    sums = R.fit_series(df.withColumn("x", x), M.RUN_KEYS, F.col("x"), F.col("y") / 100, ["t"], solver=solver, **options)
+    return {r.id: r for r in sums.collect()}, frame, params
+
+
+def test_flat_and_straight_series_have_no_break(spark):
+    r = np.random.default_rng(0)
+    series = {"flat": [80.0] * 120, "line": [10 + 0.5 * t for t in range(120)], "noise": (80 + r.normal(0, 0.5, 120)).tolist(),
+              "broken": [50.0 if t < 48 else 50.0 + 0.6 * (t - 48) for t in range(120)]}
+    got, frame, params = trend_of(spark, series)
+    count = int(params["changepoint_num"])
+    for key in ("flat", "line", "noise"):
+        assert (np.array(got[key].beta)[2:2 + count] == 0).all(), key
+    bent = np.array(got["broken"].beta)[2:2 + count]
+    assert 0 < (bent != 0).sum() <= 8 and bent.sum() > 0.4
+    assert all(x.rounds < 200 for x in got.values())
+    ahead = fit_predict(frame, "Prophet", M.Context(12), {"seasonality_yearly": False}).where("ahead AND id = 'broken'")
+    error = [x.prediction - (50 + 0.6 * (120 + x.h - 1 - 48)) for x in ahead.collect()]
+    assert np.abs(error).max() < 4
+
+
+def test_sparse_solver_against_its_conditions(spark):
+    """At the optimum the gradient balances the penalty in every column."""
+    from seriesloom.operators.linear import cross_products, features_array, sparse_least_squares
+
+    r = np.random.default_rng(1)
+    x = np.column_stack([np.ones(80), r.normal(size=(80, 3))])
+    y = x @ [1.0, 2.0, 0.0, -0.5] + r.normal(0, 0.1, 80)
+    df = spark.createDataFrame([("a", *map(float, row[1:]), float(v)) for row, v in zip(x, y)], "id string, a double, b double, c double, y double")
+    l1, l2 = [0.0, 5.0, 5.0, 5.0], [0.0, 0.5, 0.5, 0.5]
+    beta = np.array(sparse_least_squares(cross_products(df, ["id"], features_array(["a", "b", "c"]), F.col("y")), l1, l2).first().beta)
+    slope = x.T @ (x @ beta - y) + np.array(l2) * beta
+    for j in range(4):
+        if beta[j]:
+            assert abs(slope[j] + l1[j] * np.sign(beta[j])) < 1e-4
+        else:
+            assert abs(slope[j]) <= l1[j] + 1e-6
+    assert beta[2] == 0
