@@ -92,11 +92,14 @@ def _runs_bytes(first, count) -> bytes:
 
 
 def _by_document(uid, doc, first, count):
-    """Rows (uid, doc, runs) of equal documents put together, as three lists."""
+    """Rows (uid, doc, runs) of equal documents put together, as three lists; runs that repeat count once."""
     if not len(uid):
         return [], [], []
-    order = np.lexsort((first, doc, uid))
+    order = np.lexsort((count, first, doc, uid))
     uid, doc, first, count = uid[order], doc[order], first[order], count[order]
+    same = (uid[1:] == uid[:-1]) & (doc[1:] == doc[:-1]) & (first[1:] == first[:-1]) & (count[1:] == count[:-1])
+    new = np.concatenate(([True], ~same))
+    uid, doc, first, count = uid[new], doc[new], first[new], count[new]
     cuts = np.flatnonzero((np.diff(uid) != 0) | (np.diff(doc) != 0)) + 1
     edges = [0, *cuts.tolist(), len(uid)]
     return (uid[edges[:-1]].tolist(), doc[edges[:-1]].tolist(),
@@ -162,12 +165,13 @@ def _sketch(window: int, slices: int):
         yield from table.to_batches(max_chunksize=4096)
 
     def run(batches):
-        parts, held = [], 0
+        parts, held, seen = [], 0, set()
         for batch in batches:
             for uid, text in zip(batch.column("uid").to_pylist(), batch.column("text").to_pylist()):
                 words = text.split()
-                if len(words) < window:
+                if len(words) < window or (uid, len(text)) in seen:  # a row that repeats id and text adds nothing
                     continue
+                seen.add((uid, len(text)))
                 key, first, count = _anchor_runs(_word_hashes(words), window)
                 parts.append((key, np.full(len(key), uid, np.int64), first, count))
                 held += len(key)
@@ -261,13 +265,14 @@ def _windows(window: int, slices: int):
         yield from table.to_batches(max_chunksize=4096)
 
     def run(batches):
-        parts, held = [], 0
+        parts, held, seen = [], 0, set()
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("uid", "doc", "text", "runs")]
             for uid, doc, text, runs in zip(*columns):
                 words = text.split()
-                if len(words) < window:
+                if len(words) < window or (uid, len(text)) in seen:
                     continue
+                seen.add((uid, len(text)))
                 hashes = _word_hashes(words)
                 wanted = np.zeros(len(words) + 1, np.int64)
                 for a, n in np.frombuffer(b"".join(runs), "<u4").reshape(-1, 2).tolist():
@@ -352,7 +357,8 @@ def remove_repeats(df: DataFrame, text: str = "text", id: str = "doc_id", window
 
     A word goes if a window of ``window`` words over it, taken from the input, also starts in a document with a smaller id.
     Null texts have no words. A null id is larger than all others and null ids are not compared with each other; rows with
-    one id are one document for this comparison, so copies under one id stay. An empty table gives an empty result.
+    one id are one document for this comparison, so copies under one id stay. Rows that repeat id and text are searched once a
+    task and cost no more than others. An empty table gives an empty result.
     """
     spark = df.sparkSession
     short_batches(spark)

@@ -158,3 +158,16 @@ def test_remove_repeats(spark, window, monkeypatch):
     assert sorted((tuple(r)[:4] for r in got), key=key) == sorted(removed(rows, window), key=key)
     for r in got:
         assert sum(s.words for s in r.removed) == r.n_removed
+
+
+def test_rows_that_repeat_cost_no_more(spark):
+    """5,000 equal rows, and a document with a larger id that holds the same text."""
+    import time
+
+    r = random.Random(1)
+    text = " ".join(f"w{r.randrange(5000)}" for _ in range(600))
+    rows = [(5, text, "en", "s", 0)] * 5000 + [(9, "x " + text + " y", "en", "s", 0), (3, "short", "en", "s", 0)]
+    at = time.time()
+    got = substrings.remove_repeats(frame(spark, rows).repartition(7)).select("doc_id", "n_words", "n_removed").collect()
+    assert sorted(map(tuple, got)) == sorted([(5, 600, 0)] * 5000 + [(9, 602, 600), (3, 1, 0)])
+    assert time.time() - at < 60
