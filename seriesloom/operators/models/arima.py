@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.functions.text import dot
 from seriesloom.operators.frames import BASE, RUN_KEYS, Context, filled_y, predictions, steps_ahead
-from seriesloom.operators.linear import FIT_SCHEMA, _least_squares, _square, features_array, fit_in_place, fit_series, fitted
+from seriesloom.operators.linear import FIT_SCHEMA, _least_squares, _square, features_array, fit_in_place, fit_series, fitted, series_products
 from seriesloom.operators.panel import by_date, whole
 
 # Bounds of the automatic search: orders, seasonal orders, their sum, differences and seasonal differences.
@@ -140,13 +140,14 @@ def _kpss(df: DataFrame) -> DataFrame:
     reach = F.least(F.floor(3 * F.sqrt(n) / 13), F.lit(KPSS_LAGS))
     past = F.collect_list(F.coalesce("_e", F.lit(0.0))).over(w.rowsBetween(-KPSS_LAGS, -1))
     df = df.withColumns({"_past": past, "_reach": reach, "_n": n})
-    weighted = F.aggregate(
-        F.transform("_past", lambda e, i: e * F.greatest(1 - (F.size("_past") - i) / (F.col("_reach") + 1), F.lit(0.0))),
-        F.lit(0.0), lambda s, x: s + x)
+    near = F.slice("_past", F.greatest(F.size("_past") - F.col("_reach") + 1, F.lit(1)).cast("int"), F.col("_reach").cast("int"))
+    df = df.withColumn("_near", near)
+    weighted = F.aggregate(F.transform("_near", lambda e, i: e * (1 - (F.size("_near") - i) / (F.col("_reach") + 1))),
+                           F.lit(0.0), lambda s, x: s + x)
     df = df.withColumn("_echo", F.col("_e") * weighted)
     spread = F.sum(F.col("_e") * F.col("_e")).over(everything) + 2 * F.coalesce(F.sum("_echo").over(everything), F.lit(0.0))
     eta = F.try_divide(F.sum(F.col("_cum") * F.col("_cum")).over(everything), F.col("_n") * spread)
-    return df.withColumn("_eta", eta).drop("_e", "_cum", "_past", "_reach", "_n", "_echo")
+    return df.withColumn("_eta", eta).drop("_e", "_cum", "_past", "_reach", "_n", "_echo", "_near")
 
 
 def _with_differences(df: DataFrame, m: int, params: dict) -> DataFrame:
@@ -188,6 +189,56 @@ def difference_weights(dd: int, ds: int, m: int) -> list[float]:
     return [-c for c in poly[1:]]
 
 
+def _nested_fit(ends: list[int]):
+    """Coefficients of the first regression: of the first ``ends`` columns (in ascending steps) those that AICc prefers.
+
+    The candidates are nested, so one elimination of the cross products, column by column, shows the error of each.
+    """
+
+    @F.pandas_udf("array<double>")
+    def solve(gram: pd.Series, n: pd.Series) -> pd.Series:
+        g, rows = _square(np.stack(gram.to_numpy())), n.to_numpy(dtype=float)
+        p = g.shape[1] - 1
+        d = np.sqrt(np.maximum(np.diagonal(g, axis1=1, axis2=2), 0))
+        d = np.where(d > 0, d, 1.0)
+        scaled = g / d[:, :, None] / d[:, None, :]
+        left, best, pick = scaled.copy(), np.full(len(g), np.inf), np.full(len(g), ends[0])
+        for j in range(p):
+            pivot = left[:, j, j]
+            fine = pivot > 1e-9
+            ratio = np.where(fine[:, None], left[:, j + 1:, j] / np.where(fine, pivot, 1.0)[:, None], 0.0)
+            left[:, j + 1:, j + 1:] -= ratio[:, :, None] * left[:, j, None, j + 1:]
+            if j + 1 in ends:
+                sse, k = np.maximum(left[:, p, p], 1e-12), j + 2
+                aicc = rows * np.log(sse) + 2 * k + 2 * k * (k + 1) / np.maximum(rows - k - 1, 1e-9)
+                aicc = np.where(rows > k + 1, aicc, 1e300 + k * 1e290)
+                pick, best = np.where(aicc < best, j + 1, pick), np.minimum(best, aicc)
+        out = np.zeros((len(g), p))
+        for k in np.unique(pick):
+            mine = np.flatnonzero(pick == k)
+            a = scaled[mine][:, :k, :k] + np.eye(k) * 1e-9
+            out[mine, :k] = np.linalg.solve(a, scaled[mine][:, :k, p, None])[:, :, 0] * d[mine, p, None] / d[mine, :k]
+        return pd.Series(list(out))
+
+    return solve.asNondeterministic()
+
+
+def _long_residuals(df: DataFrame, lags: list[Column], ends: list[int]) -> DataFrame:
+    """Adds e, what the first regression (constant and lags) leaves of z; zero where z is missing."""
+    cells = F.transform(F.array(F.lit(1.0), *lags, F.col("z")), lambda v: F.coalesce(v, F.lit(float("nan"))))
+    names = [c for c in df.columns if c not in RUN_KEYS]
+    grouped = df.withColumn("_z", cells).groupBy(*RUN_KEYS).agg(F.array_sort(F.collect_list(F.struct(
+        "t", *[c for c in names if c != "t"], "_z"))).alias("rows"))
+    width = len(lags) + 2
+    known = F.filter("rows", lambda r: r["z"].isNotNull())
+    flat = F.flatten(F.transform(known, lambda r: r["_z"]))
+    grouped = grouped.withColumn("_s", series_products(flat, F.lit(width)))
+    grouped = grouped.withColumn("_b", _nested_fit(ends)("_s.gram", "_s.n"))
+    rows = F.transform("rows", lambda r: r.dropFields("_z").withField("e", F.when(r["z"].isNull(), F.lit(0.0)).otherwise(
+        r["z"] - dot(F.slice(r["_z"], 1, width - 1), F.col("_b")))))
+    return grouped.select(*RUN_KEYS, F.inline(rows))
+
+
 def arima_fit(frame: DataFrame, m: int, params: dict, extra: list[str] = ()) -> tuple[DataFrame, list[str]]:
     """One row per (id, run): its rows with their regressors x, coefficients and orders; and the names of x."""
     p, cap_p, q, cap_q, subsets = _orders(params, m)
@@ -198,11 +249,7 @@ def arima_fit(frame: DataFrame, m: int, params: dict, extra: list[str] = ()) ->
     df = df.withColumn("_mean", F.avg("z").over(whole(*RUN_KEYS)))
     before = lambda k: F.when(F.col("z").isNotNull(), F.coalesce(F.lag("z", k).over(w), F.col("_mean")))
     if q or cap_q:
-        long = [f"_z{k}" for k in lags]
-        x1 = features_array(long)
-        df = fit_in_place(df.withColumns({c: before(k) for k, c in zip(lags, long)}), RUN_KEYS, x1, F.col("z"), "_b1",
-                          subsets=nested)
-        df = df.withColumn("e", F.coalesce(F.col("z") - fitted(x1, F.col("_b1")), F.lit(0.0))).drop("_b1", *long)
+        df = _long_residuals(df, [before(k) for k in lags], [len(c) for c in nested])
     else:
         df = df.withColumn("e", F.lit(0.0))
     df = df.withColumn("e", F.when(~F.col("ahead"), F.col("e")))

@@ -24,7 +24,7 @@ ETS_SCHEMA = ("season string, trended boolean, damped boolean, alpha double, bet
 SEARCHED = ("alpha", "beta", "gamma", "phi")
 # Range of each parameter, first step of the refinement, step and gain at which it stands still, and forms refined a series.
 RANGES = {"alpha": (1e-4, 0.9999), "beta": (0.0, 0.9999), "gamma": (0.0, 0.9999), "phi": (0.8, 0.98)}
-FIRST_STEP, LAST_STEP, LEAST_GAIN, FINALISTS = 0.1, 1e-3, 1e-7, 3
+FIRST_STEP, LAST_STEP, LEAST_GAIN, FINALISTS = 0.1, 3e-3, 1e-6, 2
 LONG = 2000  # points beyond which a series is worked on in segments
 NO_ROOM = 1e9  # added to the score of candidates with more parameters than the series can carry: among them the error decides
 BATCH_CELLS = 400_000  # series x candidates held at once in a task
