@@ -52,8 +52,8 @@ _NUMBER = rf"[0-9]++(?:-[0-9]++)*+{_WORD_END}"
 _WORD = rf"(?![A-Za-z0-9._%+-]*+@)[A-Z0-9]++(?:-[0-9]++)*+{_WORD_END}"
 _NUMBERS = rf"(?=[0-9](?:[ -]?[0-9]){{12}}){_NUMBER}(?: {_NUMBER})*+"
 _WORDS = rf"(?={_IBAN}{_SHUT}){_WORD}(?: {_WORD})*+"
-#: Most words of a value in a run: 34 characters in fours.
-WORDS = 9
+#: Most words of a value in a run: 34 characters in fours; words of a run whose parts are put together in one piece.
+WORDS, BLOCK = 9, 512
 
 
 #: A plus sign or an opening bracket may stand before a phone number.
@@ -168,30 +168,53 @@ def _parse(m: Column) -> Column:
             .otherwise(none))
 
 
+def _once(x: Column, f) -> Column:
+    """f(x), with x computed once and not at each place where f uses it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
+def _longest(words: Column, i: Column) -> Column:
+    """Number of words of the longest value that starts at word i of a run, 0 if none does."""
+    value = lambda t: F.when(t.rlike(_PART), _parse(t)["kind"]).isNotNull()
+    return F.aggregate(F.sequence(F.least(F.lit(WORDS), F.size(words) - i), F.lit(1)), F.lit(0), lambda best, k: F.when(
+        best > 0, best).when(_once(F.array_join(F.slice(words, i + 1, k), " "), value), k).otherwise(0))
+
+
+def _cut(words: Column, sizes: Column) -> Column:
+    """Values and what lies between them, each followed by a blank but the last; sizes: of the value that starts at a word.
+
+    The parts are collected in blocks of BLOCK words and the blocks joined at the end, so the copies that a growing array
+    takes stay small against the run.
+    """
+    strings = F.array().cast("array<string>")
+    joined = lambda start, size: F.array_join(F.slice(words, start + 1, size), " ")
+    state = lambda end, out: F.struct(end.cast("int").alias("end"), out.alias("out"))
+
+    def between(end, start):
+        return F.when(start > end, F.array(joined(end, start - end), F.lit(" "))).otherwise(strings)
+
+    def take(st, i):
+        size = F.element_at(sizes, i + 1)
+        return F.when((size > 0) & (i >= st["end"]), state(i + size, F.concat(
+            st["out"], between(st["end"], i), F.array(joined(i, size), F.lit(" "))))).otherwise(st)
+
+    def block(st, b):
+        inner = F.aggregate(F.sequence(b, F.least(b + BLOCK, F.size(words)) - 1), state(st["end"], strings), take)
+        return _once(inner, lambda new: state(new["end"], F.concat(st["out"], F.array(new["out"]))))
+
+    blocks = F.aggregate(F.sequence(F.lit(0), F.size(words) - 1, F.lit(BLOCK)),
+                         state(F.lit(0), F.array().cast("array<array<string>>")), block)
+    parts = _once(blocks, lambda st: F.concat(F.flatten(st["out"]), between(st["end"], F.size(words))))
+    return _once(parts, lambda out: F.slice(out, F.lit(1), F.size(out) - 1))
+
+
 def _parts(m: Column) -> Column:
     """The found string in parts that give it again when joined: in a run, valid values and what lies between them.
 
-    The leftmost value counts, and of those with one start the longest.
+    The leftmost value counts, and of those with one start the longest. The work is linear in the words of a run.
     """
-    words = F.split(m, " ", -1)
-    n = F.size(words)
-    joined = lambda start, size: F.array_join(F.slice(words, start + 1, size), " ")
-    spans = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(
-        F.sequence(F.least(F.lit(WORDS), n - i), F.lit(1)), lambda k: F.struct(i.alias("i"), k.alias("k")))))
-    value = lambda x: F.when(joined(x["i"], x["k"]).rlike(_PART), _parse(joined(x["i"], x["k"]))["kind"])
-    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("out"))
-
-    def between(state, end):
-        """The parts so far and the words from the last value to ``end``, each followed by a blank."""
-        return F.when(end > state["end"], F.concat(
-            state["out"], F.array(joined(state["end"], end - state["end"]), F.lit(" ")))).otherwise(state["out"])
-
-    def take(state, x):
-        out = F.concat(between(state, x["i"]), F.array(joined(x["i"], x["k"]), F.lit(" ")))
-        return F.when(x["i"] >= state["end"], F.struct((x["i"] + x["k"]).alias("end"), out.alias("out"))).otherwise(state)
-
-    cut = F.aggregate(F.filter(spans, lambda x: value(x).isNotNull()), start, take, lambda st: F.slice(
-        between(st, n), 1, F.size(between(st, n)) - 1))
+    cut = _once(F.split(m, " ", -1), lambda words: _once(
+        F.transform(F.sequence(F.lit(0), F.size(words) - 1), lambda i: _longest(words, i)), lambda sizes: _cut(words, sizes)))
     return F.when(m.contains(" ") & m.rlike("^[A-Z0-9 -]+$") & ~m.rlike(f"^(?:{_DATE}|{_SSN}|{_grouped(_PHONE)})$"), cut) \
         .otherwise(F.array(m))
 
@@ -270,8 +293,9 @@ def pseudonymise(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """The table with pseudonyms for personal values in ``text``, and ``pii``: array of struct(kind, pseudonym) in order.
 
     All of a text is read. Values that look like a kind but are not valid stay (no such day, wrong Luhn digit). Null texts
-    stay null, with an empty list, as do texts without values. A column called pii in the input is replaced. Octets are
-    written without zeros in front.
+    stay null, with an empty list, as do texts without values. Rows that repeat stay, each with the same pseudonyms, and an
+    empty table gives an empty one. A column called pii in the input is replaced. Octets are written without zeros in front.
+    Addresses of IP version 6 and numbers of passports are no kinds and stay in clear.
     """
     df = without(df, ["pii"])
     names = df.columns

@@ -156,3 +156,28 @@ def test_phones_outside_the_plan(spark):
         assert new == "".join(str(x + 2 * (r == 8)) for x, r in zip(want, radices)) and new != old
         assert re.sub("[0-9]", "9", t) == re.sub("[0-9]", "9", row.text) and [x.kind for x in row.pii] == ["phone"]
     assert re.sub("[^0-9]", "", rows[0].text) == re.sub("[^0-9]", "", rows[1].text)
+
+
+def test_long_runs_and_repeated_rows(spark):
+    card = "4111 1111 1111 1111"
+    plain = " ".join(str(1000 + i * 7919 % 9000) for i in range(50_000))  # many chance cards
+    dense = " ".join([card] * 12_500)  # nothing but cards, over block borders
+    odd = " ".join(["12"] + [card] * 300)
+    rows = run(spark, [plain, dense, odd, odd])
+    words = plain.split()
+    got, at = [], 0
+    while at < len(words):
+        size = 4 if at + 4 <= len(words) and luhn("".join(words[at:at + 4])) else 0
+        got += [" ".join(words[at:at + size])] if size else []
+        at += size or 1
+    assert len(rows[0].pii) == len(got) and len(got) > 1000
+    assert len(rows[0].text.split()) == 50_000
+    assert rows[1].text == " ".join([pseudonym(card)] * 12_500) and len(rows[1].pii) == 12_500
+    assert rows[2].text == " ".join(["12"] + [pseudonym(card)] * 300)
+    assert (rows[2].text, rows[2].pii) == (rows[3].text, rows[3].pii)
+
+
+@pytest.mark.parametrize("block", [1, 3])
+def test_blocks_of_a_run(spark, monkeypatch, block):
+    monkeypatch.setattr(pii, "BLOCK", block)
+    test_values_next_to_others(spark)
