@@ -1,11 +1,13 @@
 """Substring dedup: passages of ``window`` words that also start in an earlier document, found behind a count-min prefilter.
 
 First pass. Every window has an anchor, the least hash among the k-grams of half its length inside it, so equal windows have
-equal anchors and neighbouring windows mostly share one. Each task counts the anchors of its documents, chunk by chunk, and
-sends for each slice of the hash space one row of its sketch: (anchor, count, where). Slices merge the sketches in a count-min
-table of DEPTH rows; an estimate is never below the number of windows' occurrences, so a window that occurs twice always has an
-anchor estimated at 2 or more. An anchor that repeats within a chunk is known to repeat: its windows go on at once, and the
-slice gets the count only. So a slice holds at most one place of an anchor per chunk, however common it is.
+equal anchors and neighbouring windows mostly share one. The count-min table of all anchors has DEPTH rows of a width that is
+fixed by the size of the input, cut into slices. Each task counts its anchors, chunk by chunk, in such a table and sends of each
+slice the cells it met, not the anchors; slices add these sketches up, and the merged table estimates the places that came
+along with the cells. Counters stop at 2 for a chunk, as only that is asked for. An estimate is never below the number of
+windows' occurrences, so a window that occurs twice always has an anchor estimated at 2 or more. An anchor that repeats within a
+chunk is known to repeat: its windows go on at once, and the slice gets the cells only. So a slice holds at most one place of an
+anchor per chunk, however common it is.
 
 Second pass. Only windows with such an anchor are hashed (96 bits, within the slice of their anchor) and grouped exactly. A
 chunk keeps the smallest document of each window, which flags its own larger documents, and sends that on; the slice flags the
@@ -24,8 +26,9 @@ from pyspark.sql import functions as F
 
 from seriesloom.llm.common import query, short_batches, table, text_bytes
 
-#: Rows of the count-min table; its cells per entry; entries (anchors, windows) in a chunk; the same in a slice, on average.
-DEPTH, SPARE, CHUNK, PER_SLICE = 2, 4, 1 << 18, 1 << 18
+#: Rows of the count-min table; its cells per entry; entries (anchors, windows) in a chunk; the same in a slice, on average;
+#: bits of a cell's number, so that the cells of an entry fit in 64.
+DEPTH, SPARE, CHUNK, PER_SLICE, CELL_BITS = 2, 4, 1 << 18, 1 << 18, 20
 #: Slices at least, so that small inputs are dealt out as well, and bytes that a word takes at least on average.
 LEAST_SLICES, WORD_BYTES = 1024, 5
 _MIX = 0x9E3779B97F4A7C15
@@ -123,13 +126,43 @@ def _per_slice(batches, close):
         yield from close(pa.Table.from_batches(held))
 
 
+def _planes(x: np.ndarray, kind: str) -> bytes:
+    """Numbers as first bytes of all, second bytes of all and so on, whose zeros a shuffle's compression takes away."""
+    return x.astype(kind).view(np.uint8).reshape(len(x), np.dtype(kind).itemsize).T.tobytes()
+
+
+def _from_planes(column, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    parts = [np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+             for x in column.to_pylist() if x]
+    return np.concatenate([np.empty(0, kind), *parts])
+
+
+def _cells(keys: np.ndarray, width: int) -> np.ndarray:
+    """Cells of anchors in the DEPTH rows of a table, as one number each."""
+    packed = np.zeros(len(keys), np.uint64)
+    for d in range(DEPTH):
+        packed |= (_mixed(keys, 3 + d) & np.uint64(width - 1)) << np.uint64(CELL_BITS * d)
+    return packed
+
+
+def _estimates(packed: np.ndarray, counts: np.ndarray, asked: np.ndarray, width: int) -> np.ndarray:
+    """Merges sketches, given as the cells met and their counts, and reads the table at the cells that are asked for."""
+    least = None
+    for d in range(DEPTH):
+        cell = lambda x: (x >> np.uint64(CELL_BITS * d) & np.uint64(width - 1)).astype(np.int64)  # noqa: B023, E731
+        found = np.bincount(cell(packed), weights=counts, minlength=width)[cell(asked)]
+        least = found if least is None else np.minimum(least, found)
+    return least
+
+
 def _joined(column, kind) -> np.ndarray:
     return np.frombuffer(b"".join(x for x in column.to_pylist() if x), kind)
 
 
 _RUNS = pa.schema([("uid", pa.int64()), ("doc", pa.int64()), ("runs", pa.binary())])
-_SKETCH = pa.schema([("slice", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("uids", pa.binary()),
-                     ("places", pa.binary())])
+_SKETCH = pa.schema([("slice", pa.int64()), ("cells", pa.binary()), ("uids", pa.binary()), ("firsts", pa.binary()),
+                     ("counts", pa.binary())])
 _EXACT = pa.schema([("slice", pa.int64()), ("marks", pa.binary()), ("tails", pa.binary()), ("uids", pa.binary()),
                     ("docs", pa.binary()), ("places", pa.binary())])
 
@@ -138,7 +171,7 @@ def _empty(schema):
     return {f.name: [] for f in schema}
 
 
-def _sketch(window: int, slices: int):
+def _sketch(window: int, slices: int, width: int):
     """First pass: sketch rows for the slices, and rows of slice -1 - n with runs known to repeat within the chunk."""
 
     def close(parts):
@@ -150,17 +183,20 @@ def _sketch(window: int, slices: int):
         alone = np.repeat(sizes == 1, sizes)
         out = _empty(_SKETCH)
         for u, _, runs in zip(*_by_document(uid[~alone], uid[~alone], first[~alone], count[~alone])):
-            out["slice"].append(-1 - (u & 0xFFFF))
-            out["keys"].append(None), out["counts"].append(None)
-            out["uids"].append(np.array([u], np.int64).tobytes()), out["places"].append(runs)
-        k, n, at = key[heads], np.minimum(sizes, 255).astype(np.uint8), _slice_of(key[heads], slices)
-        edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(k)]
+            runs = np.frombuffer(runs, "<u4").reshape(-1, 2)
+            for name, x in zip(_SKETCH.names, (-1 - (u & 0xFFFF), None, np.array([u], np.int64).tobytes(),
+                                               _planes(runs[:, 0], "<u4"), _planes(runs[:, 1], "<u4"))):
+                out[name].append(x)
+        at = _slice_of(key[heads], slices)
+        order = np.lexsort((sizes > 1, at))  # of a slice first the cells of places, then those of anchors that repeat here
+        heads, at, once = heads[order], at[order], sizes[order] == 1
+        packed = _cells(key[heads], width)
+        edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
         for a, b in zip(edges, edges[1:]):
-            one = heads[a:b][n[a:b] == 1]
-            out["slice"].append(int(at[a]))
-            out["keys"].append(k[a:b].astype("<u8").tobytes()), out["counts"].append(n[a:b].tobytes())
-            out["uids"].append(uid[one].astype("<i8").tobytes())
-            out["places"].append(_runs_bytes(first[one], count[one]))
+            one = heads[a:b][once[a:b]]
+            for name, x in zip(_SKETCH.names, (int(at[a]), _planes(packed[a:b], "<u8"), _planes(uid[one], "<i8"),
+                                               _planes(first[one], "<u4"), _planes(count[one], "<u4"))):
+                out[name].append(x)
         table = pa.Table.from_pydict(out, _SKETCH)
         yield from table.to_batches(max_chunksize=4096)
 
@@ -184,30 +220,27 @@ def _sketch(window: int, slices: int):
     return run
 
 
-def _estimate(batches):
+def _estimate(width: int):
     """Merges the sketches of a slice; passes on the runs whose anchor is estimated at 2 or more."""
 
     def close(rows):
+        first, count = (_from_planes(rows[c], "<u4") for c in ("firsts", "counts"))
         if rows["slice"][0].as_py() < 0:
-            found = (_joined(rows["uids"], "<i8").tolist(), rows["places"].to_pylist())
+            uid = np.repeat(_joined(rows["uids"], "<i8"), [len(x) // 4 for x in rows["firsts"].to_pylist()])
+            chosen = slice(None)
         else:
-            key, n = _joined(rows["keys"], "<u8"), _joined(rows["counts"], np.uint8)
-            width = 1 << max(8, int(SPARE * len(key) - 1).bit_length())
-            cells = [(_mixed(key, 3 + d) & np.uint64(width - 1)).astype(np.int64) for d in range(DEPTH)]
-            least = None
-            for cell in cells:
-                sums = np.bincount(cell, weights=n, minlength=width)[cell]
-                least = sums if least is None else np.minimum(least, sums)
-            again = least[n == 1] >= 2  # places are those of entries with count 1, in their order
-            uid, places = _joined(rows["uids"], "<i8")[again], _joined(rows["places"], "<u4").reshape(-1, 2)[again]
-            u, _, runs = _by_document(uid, uid, places[:, 0], places[:, 1])
-            found = (u, runs)
-        if found[0]:
-            table = pa.Table.from_pydict({"uid": found[0], "runs": found[1]},
-                                         pa.schema([("uid", pa.int64()), ("runs", pa.binary())]))
+            uid, packed = _from_planes(rows["uids"], "<i8"), _from_planes(rows["cells"], "<u8")
+            places = np.array([len(x) // 8 for x in rows["uids"].to_pylist()], np.int64)
+            cells = np.array([len(x) // 8 for x in rows["cells"].to_pylist()], np.int64)
+            row = np.repeat(np.arange(len(cells)), cells)
+            alone = np.arange(len(packed)) - (np.cumsum(cells) - cells)[row] < places[row]
+            chosen = _estimates(packed, np.where(alone, 1, 2), packed[alone], width) >= 2
+        u, _, runs = _by_document(uid[chosen], uid[chosen], first[chosen], count[chosen])
+        if u:
+            table = pa.Table.from_pydict({"uid": u, "runs": runs}, pa.schema([("uid", pa.int64()), ("runs", pa.binary())]))
             yield from table.to_batches(max_chunksize=4096)
 
-    yield from _per_slice(batches, close)
+    return lambda batches: _per_slice(batches, close)
 
 
 def _flag(marks, tails, docs):
@@ -374,9 +407,11 @@ def remove_repeats(df: DataFrame, text: str = "text", id: str = "doc_id", window
     def dealt(frame):
         return frame.repartition("slice").sortWithinPartitions("slice")
 
+    entries = SPARE * words // (max(1, window // 4) * anchors)
+    width = 1 << min(CELL_BITS, max(8, entries.bit_length()))  # of a slice
     sketch = docs.select("uid", "text").mapInArrow(
-        _sketch(window, anchors), "slice long, keys binary, counts binary, uids binary, places binary")
-    chosen = dealt(sketch).mapInArrow(_estimate, "uid long, runs binary") \
+        _sketch(window, anchors, width), "slice long, cells binary, uids binary, firsts binary, counts binary")
+    chosen = dealt(sketch).mapInArrow(_estimate(width), "uid long, runs binary") \
         .groupBy("uid").agg(F.collect_list("runs").alias("runs"))  # no more than the windows of a document
     windows = docs.join(chosen, "uid").select("uid", "doc", "text", "runs").mapInArrow(
         _windows(window, exact), "slice long, marks binary, tails binary, uids binary, docs binary, places binary")

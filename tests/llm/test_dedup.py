@@ -160,6 +160,44 @@ def test_remove_repeats(spark, window, monkeypatch):
         assert sum(s.words for s in r.removed) == r.n_removed
 
 
+def test_full_tables_change_nothing(spark, monkeypatch):
+    """Sketches of few cells, all of them met by many anchors, only send more windows to the second pass."""
+    monkeypatch.setattr(substrings, "CHUNK", 40)
+    monkeypatch.setattr(substrings, "CELL_BITS", 2)
+    rows = corpus()
+    got = substrings.remove_repeats(frame(spark, rows), window=6).collect()
+    key = lambda x: tuple((v is None, v) for v in x)
+    assert sorted((tuple(r)[:4] for r in got), key=key) == sorted(removed(rows, 6), key=key)
+
+
+@pytest.mark.parametrize("width", [16, 1 << 20])
+def test_merged_sketches_never_underestimate(width):
+    rng = np.random.default_rng(3)
+    keys = rng.integers(0, 2**63, 60).astype(np.uint64)
+    parts = [keys[rng.integers(0, 60, 50)] for _ in range(4)]  # anchors of four tasks
+    sketches = [np.unique(p, return_counts=True) for p in parts]
+    counts = np.concatenate([np.minimum(n, 2) for _, n in sketches])
+    got = substrings._estimates(np.concatenate([substrings._cells(k, width) for k, _ in sketches]), counts,
+                                substrings._cells(keys, width), width)
+    tables = [[0] * width for _ in range(substrings.DEPTH)]
+    place = lambda k, d: int(substrings._mixed(np.array([k], np.uint64), 3 + d)[0]) % width
+    for k, n in zip(np.concatenate([k for k, _ in sketches]), counts):
+        for d, t in enumerate(tables):
+            t[place(k, d)] += int(n)
+    assert got.tolist() == [min(t[place(k, d)] for d, t in enumerate(tables)) for k in keys]
+    true = [sum(int((p == k).sum()) for p in parts) for k in keys]
+    assert all(g >= min(t, 2) for g, t in zip(got, true))
+
+
+@pytest.mark.parametrize("kind,top", [("<u4", 2**32 - 1), ("<i8", 2**63 - 1), ("<u8", 2**64 - 1)])
+def test_byte_planes(kind, top):
+    import pyarrow as pa
+
+    rows = [np.array(x, kind) for x in ([1, top, 256], [], [0])]
+    sent = pa.array([substrings._planes(x, kind) for x in rows] + [None], pa.binary())
+    assert substrings._from_planes(sent, kind).tolist() == [1, top, 256, 0]
+
+
 def test_rows_that_repeat_cost_no_more(spark):
     """5,000 equal rows, and a document with a larger id that holds the same text."""
     import time
