@@ -87,7 +87,8 @@ def _anchor_runs(hashes: np.ndarray, window: int):
 
 
 def _slice_of(keys: np.ndarray, slices: int) -> np.ndarray:
-    return ((keys >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)).astype(np.int64)
+    """Slice of each anchor; anchors are least hashes, most of them small, so they are mixed again."""
+    return ((_mixed(keys, 0) >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)).astype(np.int64)
 
 
 def _runs_bytes(first, count) -> bytes:

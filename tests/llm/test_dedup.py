@@ -189,6 +189,13 @@ def test_merged_sketches_never_underestimate(width):
     assert all(g >= min(t, 2) for g, t in zip(got, true))
 
 
+def test_slices_of_anchors_are_even():
+    hashes = np.random.default_rng(4).integers(0, 2**63, 60_000).astype(np.uint64) * np.uint64(2)
+    keys = np.unique(substrings._anchor_runs(hashes, 50)[0])
+    sizes = np.bincount(substrings._slice_of(keys, 16), minlength=16)
+    assert len(keys) > 3000 and sizes.max() < 1.4 * sizes.mean()
+
+
 @pytest.mark.parametrize("kind,top", [("<u4", 2**32 - 1), ("<i8", 2**63 - 1), ("<u8", 2**64 - 1)])
 def test_byte_planes(kind, top):
     import pyarrow as pa
