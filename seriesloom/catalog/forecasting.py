@@ -476,6 +476,12 @@ def tuned_neighbours(spark, sf):
     return tuned.select("id", "method", F.explode("params").alias("parameter", "value"), "score")
 
 
+@query("tuned_by_halving", "O-132 O-58")
+def tuned_by_halving(spark, sf):
+    tuned = TU.tune_by_halving(features_with_future(spark, sf), "Elastic Net", FCTX, 24)
+    return tuned.select("id", "method", F.explode("params").alias("parameter", "value"), "score", "folds", "fits")
+
+
 @query("best_candidate", "O-41", with_sql(*simple_sql(SHIP_M, 6), """
 sc AS (SELECT id, model_desc, sqrt(avg(pow(actual - prediction, 2))) AS rmse FROM pr WHERE run = 'test' AND ahead
   AND prediction IS NOT NULL GROUP BY 1, 2)""", """

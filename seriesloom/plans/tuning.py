@@ -6,7 +6,7 @@ import math
 import random
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.constants import METHOD_DEFAULTS, SEED, default_params
@@ -157,6 +157,18 @@ def best_choice(scores: DataFrame) -> DataFrame:
         F.min_by("choice", F.struct("score", "choice")).alias("choice"), F.min("score").alias("score"))
 
 
+def fold_frame(panel: DataFrame, n_assess: int, n_folds: int, validation: str, rolling: bool) -> DataFrame:
+    if validation == "TS CV":
+        return model_frame(panel, fold_runs(n_assess, n_folds, rolling=rolling))
+    if validation == "K-Fold CV":
+        return random_fold_frame(panel, n_assess, n_folds)
+    raise ValueError(f"unknown validation {validation!r}")
+
+
+def point_maps(grid: list[dict]) -> Column:
+    return F.array(*[F.create_map(*[v for k, x in p.items() for v in (F.lit(k), F.lit(float(x)))]) for p in grid])
+
+
 def tune(panel: DataFrame, method: str, ctx: Context, n_assess: int, n_folds: int = 5, grid_size: int = 10,
          metric: str = "rmse", chosen: list[str] | None = None, second_round: bool = False,
          validation: str = "TS CV", rolling: bool = False) -> DataFrame:
@@ -167,12 +179,7 @@ def tune(panel: DataFrame, method: str, ctx: Context, n_assess: int, n_folds: in
     best on average (one row to the driver) and replaces a sequential search.
     """
     names = TUNED_BY_DEFAULT[method] if chosen is None else chosen
-    if validation == "TS CV":
-        frame = model_frame(panel, fold_runs(n_assess, n_folds, rolling=rolling))
-    elif validation == "K-Fold CV":
-        frame = random_fold_frame(panel, n_assess, n_folds)
-    else:
-        raise ValueError(f"unknown validation {validation!r}")
+    frame = fold_frame(panel, n_assess, n_folds, validation, rolling)
     if second_round or method not in ("Elastic Net", "KNN"):
         frame = staged(frame)
     grid = space_filling(names, grid_size)
@@ -181,9 +188,67 @@ def tune(panel: DataFrame, method: str, ctx: Context, n_assess: int, n_folds: in
         overall = scores.groupBy("choice").agg(F.avg("score").alias("score")).orderBy("score").first()
         grid = grid + space_filling(names, grid_size, SEED + 1, around=grid[overall["choice"]])
         scores = fold_scores(candidate_predictions(frame, method, ctx, grid), metric)
-    points = F.array(*[F.create_map(*[v for k, x in p.items() for v in (F.lit(k), F.lit(float(x)))]) for p in grid])
-    return best_choice(scores).select(
-        "id", F.lit(method).alias("method"), F.element_at(points, F.col("choice") + 1).alias("params"), "score")
+    return best_choice(scores).select("id", F.lit(method).alias("method"), F.element_at(
+        point_maps(grid), F.col("choice") + 1).alias("params"), "score")
+
+
+def surviving_predictions(frame: DataFrame, method: str, ctx: Context, grid: list[dict], left: DataFrame) -> DataFrame:
+    """Predictions of the grid points that a series still has, given as rows (id, choice)."""
+    names = frame.schema["run"].metadata
+    kept = sorted(r["choice"] for r in left.select("choice").distinct().collect())  # at most the points of the grid
+    if method in ("Elastic Net", "KNN"):  # one pass for all points
+        part = frame.join(left.select("id").distinct(), "id", "left_semi").withMetadata("run", names)
+        rows = candidate_predictions(part, method, ctx, [grid[i] for i in kept])
+        rows = rows.withColumn("choice", F.array(*map(F.lit, kept))[F.col("choice")])
+        return rows.join(left, ["id", "choice"], "left_semi")
+    parts = []
+    for i in kept:
+        part = frame.join(left.where(F.col("choice") == i), "id", "left_semi").withMetadata("run", names)
+        parts.append(candidate_predictions(part, method, ctx, [grid[i]]).withColumn("choice", F.lit(i)))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def tune_by_halving(panel: DataFrame, method: str, ctx: Context, n_assess: int, n_folds: int = 5, grid_size: int = 10,
+                    metric: str = "rmse", chosen: list[str] | None = None, keep: float = 0.5,
+                    validation: str = "TS CV", rolling: bool = False) -> DataFrame:
+    """Tuned parameters per id by successive halving: (id, method, params, score, folds, fits).
+
+    Every fold is a rung. After a rung each series keeps the share ``keep`` of its points, rounded up, with the least mean
+    error over the folds so far (points without an error last, ties to the earlier point). A series with one point left is
+    done: it is not fitted in the rungs that follow. So a series takes ``fits`` fits instead of grid_size * n_folds; its score is
+    the mean over the ``folds`` that it saw. Series without any error have no row; an empty panel gives an empty result.
+    """
+    if not 0 < keep < 1:
+        raise ValueError("keep is a share between 0 and 1")
+    grid = space_filling(TUNED_BY_DEFAULT[method] if chosen is None else chosen, grid_size)
+    frame = staged(fold_frame(panel, n_assess, n_folds, validation, rolling))
+    everything = F.explode(F.sequence(F.lit(0), F.lit(len(grid) - 1))).alias("choice")
+    left = materialise(frame.select("id").distinct().select("id", everything))
+    seen = means = None
+    for run in frame.schema["run"].metadata["runs"]:
+        of_id = Window.partitionBy("id")  # as many rows as points
+        going = left.withColumn("_n", F.count(F.lit(1)).over(of_id)).where("_n > 1").select("id", "choice")
+        if going.isEmpty():
+            break
+        part = frame.where(F.col("run") == run).withMetadata("run", {"runs": [run]})
+        rows = surviving_predictions(part, method, ctx, grid, going)
+        errors = accuracy_table(rows.where(F.col("ahead")), ["id", "choice", "run"], [metric]) \
+            .select("id", "choice", "run", F.col(metric).alias("error"))
+        seen = materialise(errors if seen is None else seen.unionByName(errors))
+        means = seen.groupBy("id", "choice").agg(F.avg("error").alias("score"), F.count("error").alias("folds"))
+        place = F.row_number().over(of_id.orderBy(F.col("score").asc_nulls_last(), "choice"))
+        ranked = left.join(means, ["id", "choice"], "left").withColumns(
+            {"_place": place, "_n": F.count(F.lit(1)).over(of_id)})
+        left = materialise(ranked.where(F.col("_place") <= F.ceil(F.col("_n") * keep)).select("id", "choice"))
+    if seen is None:  # no series, or one point only
+        return tune(panel, method, ctx, n_assess, n_folds, grid_size, metric, chosen, False, validation, rolling) \
+            .withColumns({"folds": F.lit(n_folds).cast("long"), "fits": F.lit(n_folds).cast("long")})
+    fits = seen.groupBy("id").agg(F.count(F.lit(1)).alias("fits"))
+    best = left.join(means, ["id", "choice"]).where(F.col("score").isNotNull()).groupBy("id").agg(
+        F.min_by(F.struct("choice", "score", "folds"), F.struct("score", "choice")).alias("b"))
+    return best.join(fits, "id").select(
+        "id", F.lit(method).alias("method"), F.element_at(point_maps(grid), F.col("b.choice") + 1).alias("params"),
+        F.col("b.score").alias("score"), F.col("b.folds").alias("folds"), "fits")
 
 
 def predict_tuned(frame: DataFrame, method: str, ctx: Context, tuned: DataFrame, params: dict | None = None) -> DataFrame:
