@@ -16,6 +16,9 @@ from seriesloom.operators.ranks import exact_quantiles
 
 KEY = ["id", "date"]
 
+#: Raw rows of a panel for each part that windows by id work on.
+ROWS_A_TASK = 250_000
+
 
 def by_date(*keys: str) -> Window:
     return Window.partitionBy(*(keys or ("id",))).orderBy("date")
@@ -33,10 +36,16 @@ def spread(panel: DataFrame) -> DataFrame:
     """Hash the panel by id into spark.sql.shuffle.partitions parts, ahead of work that is heavy per row.
 
     It takes the place of the exchange that the windows by id need anyway. Adaptive execution sizes partitions by
-    bytes and would run a small but CPU-bound panel in one task; a given number of partitions is left alone.
+    bytes and would run a small but CPU-bound panel in one task; a given number of partitions is left alone. Panels that
+    know their raw rows (``build_series``) get more parts as they grow, so a task holds about ROWS_A_TASK rows at any size.
     """
     parts = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return panel.repartition(max(parts, panel.sparkSession.sparkContext.defaultParallelism), "id")
+    known = panel.schema["id"].metadata.get("rows", 0)
+    return panel.repartition(max(parts, panel.sparkSession.sparkContext.defaultParallelism, parts_for(known)), "id")
+
+
+def parts_for(rows: int) -> int:
+    return -(-rows // ROWS_A_TASK)
 
 
 def build_series(
@@ -48,15 +57,20 @@ def build_series(
     agg: str = "sum",
     decimals: int | None = None,
     where: Column | None = None,
+    rows: int = 0,
 ) -> DataFrame:
     """Aggregate raw rows to one row per id and period.
 
-    With ``decimals`` the measure is summed as DECIMAL, so the total does not depend on the order of the tasks.
+    With ``decimals`` the measure is summed as DECIMAL, so the total does not depend on the order of the tasks. ``rows``
+    is the number of raw rows, where a table tells it cheaply: a panel too large for spark.sql.shuffle.partitions parts is
+    spread by id into more of them. Its id column keeps the number, so that ``spread`` does the same further on.
     """
     if where is not None:
         df = df.where(where)
+    large = parts_for(rows) > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = {"metadata": {"rows": rows}} if large else {}
     raw = df.select(
-        F.col(id_col).cast("string").alias("id") if isinstance(id_col, str) else id_col.alias("id"),
+        (F.col(id_col).cast("string") if isinstance(id_col, str) else id_col).alias("id", **named),
         periods.truncate(F.col(time_col), grain).alias("date"),
         (F.col(measure) if isinstance(measure, str) else measure).alias("value"),
     )
@@ -73,7 +87,8 @@ def build_series(
         return exact_quantiles(raw, KEY, "value", {"value": 0.5})
     if agg not in how:
         raise ValueError(f"unknown aggregation {agg!r}")
-    return raw.groupBy("id", "date").agg(how[agg].alias("value"))
+    panel = raw.groupBy("id", "date").agg(how[agg].alias("value"))
+    return spread(panel) if large else panel
 
 
 def check_panel(panel: DataFrame, grain: str) -> DataFrame:
