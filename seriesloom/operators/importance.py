@@ -33,17 +33,15 @@ def safe_corr(a: Column, b: Column) -> Column:
 
 
 def correlations(df: DataFrame, features: list[str], method: str = "spearman") -> DataFrame:
-    """Correlation of each feature with the value per id, zero ones removed."""
-    long = complete_rows(df, features).select(
-        "id", "date", "value", *[F.col(f).cast("double").alias(f) for f in features]
-    ).unpivot(["id", "date", "value"], features, "variable", "x")
-    keys = ["id", "variable"]
+    """Correlation of each feature with the value per id, zero ones removed.
+
+    Ranks are columns next to each other: the rows are sorted once a column, and the ranks of the value serve all features.
+    """
+    rows = complete_rows(df, features).select("id", "value", *[F.col(f).cast("double").alias(f) for f in features])
     if method == "spearman":
-        # the rank of the value is the same for all features of an id
-        long = long.withColumn("_a", average_rank("x", keys)).withColumn("_b", average_rank("value", keys))
-    else:
-        long = long.withColumn("_a", F.col("x")).withColumn("_b", F.col("value"))
-    out = long.groupBy(*keys).agg(safe_corr(F.col("_a"), F.col("_b")).alias("importance"))
+        rows = rows.select("id", *[average_rank(c, ["id"]).alias(c) for c in ["value", *features]])
+    wide = rows.groupBy("id").agg(*[safe_corr(F.col(f), F.col("value")).alias(f) for f in features])
+    out = wide.unpivot("id", features, "variable", "importance")
     return out.where(F.abs("importance") > 1e-12).withColumn("type", F.lit("Correlation"))
 
 

@@ -35,3 +35,18 @@ def test_shipments_know_their_rows(spark, tmp_path, monkeypatch):
     raw = raw_rows(spark).selectExpr("key l_partkey", "at l_shipdate", "x l_quantity")
     raw.write.parquet(f"{tmp_path}/lineitem.parquet")
     assert ship_monthly(spark, str(tmp_path)).rdd.getNumPartitions() == 60
+
+
+def test_ranks_do_not_multiply_rows(spark):
+    """Rank correlation sorts rows once a column; no copy of the rows for each feature goes through the windows."""
+    panel = P.build_series(raw_rows(spark, 3), "key", "at", "x", "month", decimals=2)
+    rows = panel.withColumns({"month": F.month("date"), "trend": F.row_number().over(P.by_date())})
+    scores = IM.correlations(rows, ["month", "trend"])
+    plan = scores._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan[plan.index("Window"):]
+    data = rows.toPandas()
+    for r in scores.collect():
+        part = data[data["id"] == r["id"]]
+        expected = np.corrcoef(part["value"].rank(), part[r["variable"]].rank())[0, 1]
+        assert abs(r["importance"] - expected) < 1e-12
+    assert scores.count() == 6
