@@ -20,8 +20,7 @@ from seriesloom.functions.text import dot
 from seriesloom.operators.features import add_holidays
 from seriesloom.operators.frames import BASE, RUN_KEYS, Context, filled_y, predictions, steps_ahead
 from seriesloom.operators.linear import (
-    elastic_net, features_array, fit_in_place, fit_series, fitted, forward_selection, grouped_ols, series_products,
-    sparse_least_squares,
+    _grow_and_prune, elastic_net, features_array, fit_in_place, fit_series, fitted, grouped_ols, sparse_least_squares,
 )
 from seriesloom.operators.panel import by_date, whole
 
@@ -81,22 +80,51 @@ def hinge_basis(f: Column, knots: Column, pairs: Column | None = None) -> Column
         F.get(b, p["a"]) * F.get(b, p["b"]), F.when(p["a"] < 0, F.lit(0.0))))))
 
 
-def _closer(count: int, share: int):
-    """Ranks of the next look at a feature: the tenths, and others around its strongest hinge, up to 1/share of the values away.
+def _closer(values: list[np.ndarray], ranks: list[np.ndarray], beta: np.ndarray, share: int) -> list[np.ndarray]:
+    """Ranks of the next look at each feature: the tenths, and others around its strongest hinge, up to 1/share of the values away."""
+    out, count = [], len(ranks[0])
+    for i, (v, at) in enumerate(zip(values, ranks)):
+        size = np.abs(beta[i * (count + 1) + 2:][:count])
+        here = at[size.argmax()] if size.max() > 0 else at[TENTHS // 2]
+        step, last = max(len(v) / (share * AROUND), 1.0), max(len(v) - 1, 0)
+        away = np.arange(-AROUND, AROUND + 1) * step
+        away = (np.sign(away) * np.floor(np.abs(away) + 0.5)).astype(int)  # halves go away from zero
+        out.append(np.concatenate((at[:TENTHS], np.clip(here + away, 0, last))))
+    return out
 
-    ``count`` is the number of knots that ``ranks`` has now.
-    """
 
-    def ranks_of(v: Column, i: Column) -> Column:
-        ranks, size = F.get("ranks", i), F.transform(F.slice("beta", i * (count + 1) + 3, F.lit(count)), lambda b: F.abs(b))
-        place = F.array_position(size, F.array_max(size)).cast("int")
-        here = F.when(F.array_max(size) > 0, F.get(ranks, place - 1)).otherwise(F.get(ranks, F.lit(TENTHS // 2)))
-        step, last = F.greatest(F.size(v) / (share * AROUND), F.lit(1.0)), F.greatest(F.size(v) - 1, F.lit(0))
-        near = F.transform(F.sequence(F.lit(-AROUND), F.lit(AROUND)), lambda k: F.least(F.greatest(
-            here + F.round(k * step).cast("int"), F.lit(0)), last))
-        return F.concat(F.slice(ranks, 1, TENTHS), near)
+def _hinge_values(f: np.ndarray, knots: list[np.ndarray], pairs: list[tuple[int, int]] = ()) -> np.ndarray:
+    """``hinge_basis`` of many rows at once."""
+    columns = [np.ones(len(f))]
+    for v, at in zip(f.T, knots):
+        columns += [v, *[np.maximum(v - k, 0.0) for k in at]]
+    columns += [columns[a] * columns[b] if a >= 0 else np.zeros(len(f)) for a, b in pairs]
+    return np.column_stack(columns)
+
 
-    return ranks_of
+def _look_at_hinges(f: np.ndarray, y: np.ndarray, terms: int, prune: str, degree: int):
+    """Knots, pairs and coefficients of one series from its fitted rows."""
+    whole_rows = np.isfinite(f).all(axis=1) & np.isfinite(y)
+    values = [np.sort(v[~np.isnan(y) & ~np.isnan(v)]) for v in f.T]
+    ranks = [np.array([k * max(len(v) - 1, 0) // (TENTHS + 1) for k in range(1, TENTHS + 1)]) for v in values]
+
+    def solved(pairs=()):
+        knots = [v[at] if len(v) else np.full(len(at), np.nan) for v, at in zip(values, ranks)]
+        z = np.column_stack((_hinge_values(f[whole_rows], knots, pairs), y[whole_rows]))
+        return knots, _grow_and_prune(z.T @ z, len(z), terms, prune)
+
+    knots, beta = solved()
+    for look in range(LOOKS):
+        ranks = _closer(values, ranks, beta, (TENTHS + 1) * AROUND**look)
+        knots, beta = solved()
+    if degree < 2:
+        return knots, [], beta
+    strong = sorted(((abs(b), i) for i, b in enumerate(beta) if i > 0 and b != 0), reverse=True)[:PARTNERS]
+    at = [i for _, i in strong] + [-1] * (PARTNERS - len(strong))
+    both = [(i, j) for i in range(PARTNERS) for j in range(i + 1, PARTNERS)]
+    pairs = [(at[i], at[j]) if at[j] >= 0 else (-1, -1) for i, j in both]
+    knots, beta = solved(pairs)
+    return knots, pairs, beta
 
 
 def hinge_fit(frame: DataFrame, names: list[str], params: dict) -> DataFrame:
@@ -105,49 +133,31 @@ def hinge_fit(frame: DataFrame, names: list[str], params: dict) -> DataFrame:
     Knots are values of the fitted rows. The first look has the tenths of each feature; every further look keeps these and
     places others around the strongest hinge of each feature, closer each time, so that after LOOKS looks the knots stand at
     every few hundredths of a percent of the values (at every value of short series). Looks work on the gathered rows: one
-    shuffle serves all. Degree 2 adds products of the strongest terms chosen so far.
+    shuffle serves all. Degree 2 adds products of the strongest terms chosen so far. All looks of a series are one call, so
+    that a task keeps one Python worker for them, whatever their number.
     """
     terms, prune = int(params["num_terms"]), "none" if params["prune_method"] in ("none", "forward") else "backward"
+    degree, width = int(params["prod_degree"]), len(names)
     f = F.array(*[F.col(c).cast("double") for c in names])
     row = F.struct(*ROW, F.col("y").cast("double").alias("y"), f.alias("f"))
     df = frame.groupBy(*RUN_KEYS).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    every = F.transform(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda i: F.sort_array(F.filter(F.transform(
-        "rows", lambda r: F.when(~r["ahead"] & r["y"].isNotNull(), F.get(r["f"], i))), lambda v: v.isNotNull())))
-    tenths = F.transform("values", lambda v: F.transform(F.sequence(F.lit(1), F.lit(TENTHS)), lambda k: F.floor(
-        k * F.greatest(F.size(v) - 1, F.lit(0)) / (TENTHS + 1)).cast("int")))
-    df = df.withColumn("values", every).withColumn("ranks", tenths)
-
-    def solved(df: DataFrame, pairs: bool = False) -> DataFrame:
-        knots = F.zip_with("values", "ranks", lambda v, at: F.transform(at, lambda k: F.get(v, k)))
-        df = df.withColumn("knots", knots)
-        carry = [c for c in df.columns if c not in RUN_KEYS]
-        cell = lambda r: F.transform(F.concat(hinge_basis(
-            r["f"], F.col("knots"), F.col("pairs") if pairs else None), F.array(r["y"])),
-            lambda v: F.coalesce(v, F.lit(float("nan"))))
-        flat = F.transform("rows", lambda r: F.when(~r["ahead"], cell(r)))
-        df = df.withColumn("_flat", F.filter(flat, lambda z: z.isNotNull()))
-        width = F.coalesce(F.size(F.get("_flat", 0)), F.lit(1))
-        df = df.withColumn("s", series_products(F.flatten("_flat"), width))
-        sums = df.select(*RUN_KEYS, *carry, "s.n", "s.gram")
-        return forward_selection(sums, terms, prune, carry=carry).drop("n")
-
-    df = solved(df.where(F.exists("rows", lambda r: ~r["ahead"])))
-    for look in range(LOOKS):
-        count = TENTHS if not look else TENTHS + 2 * AROUND + 1
-        closer = _closer(count, (TENTHS + 1) * AROUND**look)
-        df = solved(df.withColumn("ranks", F.transform("values", closer)).drop("beta", "knots"))
-    none = F.array().cast("array<struct<a:int,b:int>>")
-    if int(params["prod_degree"]) < 2:
-        return df.select(*RUN_KEYS, "rows", "knots", none.alias("pairs"), "beta")
-    placed = F.transform("beta", lambda b, i: F.struct(F.abs(b).alias("size"), i.alias("at")))
-    first = F.slice(F.sort_array(F.filter(placed, lambda p: (p["size"] > 0) & (p["at"] > 0)), False), 1, PARTNERS)
-    places = F.concat(F.transform(first, lambda p: p["at"]), F.array_repeat(F.lit(-1), PARTNERS))
-    df = df.withColumn("_at", F.slice(places, 1, PARTNERS))
-    both = [(i, j) for i in range(PARTNERS) for j in range(i + 1, PARTNERS)]
-    pair = F.array(*[F.when(F.get("_at", F.lit(j)) >= 0, F.struct(F.get("_at", F.lit(i)).alias("a"), F.get("_at", F.lit(j))
-                     .alias("b"))).otherwise(F.struct(F.lit(-1).alias("a"), F.lit(-1).alias("b"))) for i, j in both])
-    return solved(df.withColumn("pairs", pair).drop("_at", "beta", "knots"), True).select(
-        *RUN_KEYS, "rows", "knots", "pairs", "beta")
+    df = df.where(F.exists("rows", lambda r: ~r["ahead"]))
+
+    @F.pandas_udf("knots array<array<double>>, pairs array<struct<a:int,b:int>>, beta array<double>")
+    def fit(flat: pd.Series) -> pd.DataFrame:
+        found = []
+        for cells in flat:
+            z = np.asarray(cells, dtype=float).reshape(-1, width + 1)
+            found.append(_look_at_hinges(z[:, :-1], z[:, -1], terms, prune, degree))
+        return pd.DataFrame({
+            "knots": [[list(np.where(np.isnan(k), None, k)) for k in knots] for knots, _, _ in found],
+            "pairs": [[{"a": a, "b": b} for a, b in pairs] for _, pairs, _ in found],
+            "beta": [beta for _, _, beta in found]})
+
+    known = F.filter("rows", lambda r: ~r["ahead"])
+    flat = F.flatten(F.transform(known, lambda r: F.transform(
+        F.concat(r["f"], F.array(r["y"])), lambda v: F.coalesce(v, F.lit(float("nan"))))))
+    return df.select(*RUN_KEYS, "rows", fit.asNondeterministic()(flat).alias("fit")).select(*RUN_KEYS, "rows", "fit.*")
 
 
 def hinges(frame: DataFrame, ctx: Context, params: dict) -> DataFrame:

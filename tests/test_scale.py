@@ -50,3 +50,19 @@ def test_ranks_do_not_multiply_rows(spark):
         expected = np.corrcoef(part["value"].rank(), part[r["variable"]].rank())[0, 1]
         assert abs(r["importance"] - expected) < 1e-12
     assert scores.count() == 6
+
+
+def test_hinges_keep_one_python_worker_a_task(spark):
+    """All looks at the knots of a series are one call: each node of the plan has a worker of its own in every task."""
+    from seriesloom.constants import default_params
+    from seriesloom.operators import frames as M
+    from seriesloom.operators.models import regression
+
+    panel = P.build_series(raw_rows(spark, 2), "key", "at", "x", "month", decimals=2)
+    frame = M.model_frame(panel, M.standard_runs(4, 0)).withColumn("trend", F.col("t").cast("double"))
+    for degree in (1, 2):
+        fit = regression.hinge_fit(frame, ["trend"], default_params("MARS", {"prod_degree": degree}))
+        assert fit._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+        found = fit.collect()
+        assert len(found) == 4 and all(len(r["knots"][0]) == regression.TENTHS + 2 * regression.AROUND + 1 for r in found)
+        assert all(bool(r["pairs"]) == (degree == 2) for r in found)
