@@ -204,8 +204,9 @@ def ensembles(spark, sf):
 SELECT id, run, date, model_desc, round(prediction, 6) AS prediction FROM ens
 WHERE ahead AND model_desc <> 'Ens - Weighted Average'"""))
 def ensembles_many_series(spark, sf):
-    out = E.combine(simple_predictions(spark, sf, ship_monthly, 6), ["Average", "Median"])
-    return out.where("ahead").select("id", "run", "date", "model_desc", F.round("prediction", 6).alias("prediction"))
+    ahead = simple_predictions(spark, sf, ship_monthly, 6).where("ahead")  # a row is combined on its own
+    out = E.combine(ahead, ["Average", "Median"])
+    return out.select("id", "run", "date", "model_desc", F.round("prediction", 6).alias("prediction"))
 
 
 @query("ensembles_only", "O-147 O-15", with_sql(*simple_sql(ORDERS_M), ENS_SQL, """
