@@ -125,7 +125,9 @@ def steps_ahead(n: Column) -> Column:
 
 def explode_arrays(df: DataFrame, method: str, values: Column) -> DataFrame:
     """Back to rows: ``values`` holds one prediction per entry of ``rows``, or is null where there are none."""
-    zipped = F.arrays_zip(F.col("rows"), F.coalesce(values, F.array().cast("array<double>")).alias("p"))
+    # a step of its own: an expression inside a generator is not compiled, and its common parts are worked out again
+    df = df.select(*RUN_KEYS, "rows", F.coalesce(values, F.array().cast("array<double>")).alias("_values"))
+    zipped = F.arrays_zip(F.col("rows"), F.col("_values").alias("p"))
     out = df.select(*RUN_KEYS, F.explode(zipped).alias("z")).select(
         *RUN_KEYS, "z.rows.*", F.col("z.p").alias("_p"))
     return predictions(out, method, F.col("_p"))
