@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.functions.text import dot
 
+NARROW = 6  # columns of x up to which cross products are sums of their own
 FIT_SCHEMA = "beta array<double>, se array<double>, sse double, choice int, aicc double"
 
 
@@ -25,8 +26,12 @@ def features_array(names: list[str], intercept: bool = True) -> Column:
     return F.array(*([F.lit(1.0)] + columns if intercept else columns))
 
 
-def cross_products(df: DataFrame, keys: list[str], x: Column, y: Column, weight: Column | None = None) -> DataFrame:
-    """Per group: n and the upper triangle of z z' summed over rows, z = (x, y). Rows with a null are left out."""
+def cross_products(df: DataFrame, keys: list[str], x: Column, y: Column, weight: Column | None = None, width: int = 0
+                   ) -> DataFrame:
+    """Per group: n and the upper triangle of z z' summed over rows, z = (x, y). Rows with a null are left out.
+
+    With the ``width`` of a narrow x, each sum is a buffer of its own, which Spark compiles.
+    """
     rows = df.select(*keys, F.concat(x, F.array(y.cast("double"))).alias("z"), *(
         [weight.cast("double").alias("w")] if weight is not None else []))
     rows = rows.where(~F.exists("z", lambda v: v.isNull() | F.isnan(v)))
@@ -35,6 +40,10 @@ def cross_products(df: DataFrame, keys: list[str], x: Column, y: Column, weight:
     size = F.size(z)
     triangle = F.flatten(F.transform(
         z, lambda a, i: F.transform(F.slice(z, i + 1, size - i), lambda b: scale(a * b))))
+    if 0 < width <= NARROW:
+        at = [F.get("z", F.lit(i)) for i in range(width + 1)]
+        sums = [F.sum(scale(at[i] * at[j])) for i in range(width + 1) for j in range(i, width + 1)]
+        return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.array(*sums).alias("gram"))
     rows = rows.select(*keys, array_to_vector(triangle).alias("v"))
     return rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), Summarizer.sum(F.col("v")).alias("v")
@@ -61,6 +70,37 @@ def _least_squares(a: np.ndarray, b: np.ndarray, penalty: np.ndarray) -> tuple[n
     return np.einsum("nij,nj->ni", inverse, b), np.diagonal(inverse, axis1=1, axis2=2)
 
 
+def _solve_all(m: np.ndarray, rows: np.ndarray, penalty: list[float] | None, subsets: list[list[int]] | None) -> pd.DataFrame:
+    """Least squares of a batch of groups: of each the subset of columns with the smallest AICc."""
+    p = m.shape[1] - 1
+    ridge = np.zeros(p) if penalty is None else np.asarray(penalty, dtype=float)
+    best = None
+    for choice, subset in enumerate(subsets or [list(range(p))]):
+        s = np.asarray(subset, dtype=int)
+        a, b, yy = m[:, s[:, None], s[None, :]], m[:, s, p], m[:, p, p]
+        beta, inverse = _least_squares(a, b, ridge[s])
+        sse = yy - 2 * (beta * b).sum(1) + np.einsum("ni,nij,nj->n", beta, a, beta)
+        sse = np.maximum(sse, 1e-12 * np.maximum(yy, 1e-300))
+        k = len(s) + 1
+        room = np.maximum(rows - k - 1, 1e-9)
+        spread = np.maximum(sse, 1e-300) / np.maximum(rows, 1)
+        aicc = rows * np.log(spread) + 2 * k + 2 * k * (k + 1) / room
+        aicc = np.where(rows > k + 1, aicc, 1e300 + k)
+        free = np.maximum(rows - len(s), 1)
+        full = np.zeros((len(m), p))
+        full[:, s] = beta
+        se = np.full((len(m), p), np.nan)
+        se[:, s] = np.sqrt(np.maximum(inverse, 0) * (sse / free)[:, None])
+        now = [full, se, sse, np.full(len(m), choice), aicc]
+        if best is None:
+            best = now
+        else:
+            better = aicc < best[4]
+            best = [np.where(better[:, None] if x.ndim == 2 else better, x, y) for x, y in zip(now, best)]
+    return pd.DataFrame({"beta": list(best[0]), "se": list(best[1]), "sse": best[2],
+                         "choice": best[3].astype("int32"), "aicc": best[4]})
+
+
 def least_squares(
     sums: DataFrame, penalty: list[float] | None = None, subsets: list[list[int]] | None = None,
     carry: list[str] = (),
@@ -72,35 +112,7 @@ def least_squares(
 
     @F.pandas_udf(FIT_SCHEMA)
     def solve(gram: pd.Series, n: pd.Series) -> pd.DataFrame:
-        m = _square(np.stack(gram.to_numpy()))
-        rows = n.to_numpy(dtype=float)
-        p = m.shape[1] - 1
-        ridge = np.zeros(p) if penalty is None else np.asarray(penalty, dtype=float)
-        best = None
-        for choice, subset in enumerate(subsets or [list(range(p))]):
-            s = np.asarray(subset, dtype=int)
-            a, b, yy = m[:, s[:, None], s[None, :]], m[:, s, p], m[:, p, p]
-            beta, inverse = _least_squares(a, b, ridge[s])
-            sse = yy - 2 * (beta * b).sum(1) + np.einsum("ni,nij,nj->n", beta, a, beta)
-            sse = np.maximum(sse, 1e-12 * np.maximum(yy, 1e-300))
-            k = len(s) + 1
-            room = np.maximum(rows - k - 1, 1e-9)
-            spread = np.maximum(sse, 1e-300) / np.maximum(rows, 1)
-            aicc = rows * np.log(spread) + 2 * k + 2 * k * (k + 1) / room
-            aicc = np.where(rows > k + 1, aicc, 1e300 + k)
-            free = np.maximum(rows - len(s), 1)
-            full = np.zeros((len(m), p))
-            full[:, s] = beta
-            se = np.full((len(m), p), np.nan)
-            se[:, s] = np.sqrt(np.maximum(inverse, 0) * (sse / free)[:, None])
-            now = [full, se, sse, np.full(len(m), choice), aicc]
-            if best is None:
-                best = now
-            else:
-                better = aicc < best[4]
-                best = [np.where(better[:, None] if x.ndim == 2 else better, x, y) for x, y in zip(now, best)]
-        return pd.DataFrame({"beta": list(best[0]), "se": list(best[1]), "sse": best[2],
-                             "choice": best[3].astype("int32"), "aicc": best[4]})
+        return _solve_all(_square(np.stack(gram.to_numpy())), n.to_numpy(dtype=float), penalty, subsets)
 
     keys = [c for c in sums.columns if c not in ("n", "gram", *carry)]
     solved = sums.select(*keys, *carry, "n", solve("gram", "n").alias("f"))
@@ -278,19 +290,28 @@ def _grow_and_prune(m: np.ndarray, rows: int, terms: int, prune: str) -> np.ndar
 
 
 def fit_series(
-    df: DataFrame, keys: list[str], x: Column, y: Column, columns: list[str], solver=least_squares, **options
+    df: DataFrame, keys: list[str], x: Column, y: Column, columns: list[str], solver=least_squares,
+    cells: list[Column] | None = None, **options
 ) -> DataFrame:
     """Least squares (or another solver of this module) per series together with its rows: keys, rows (array in order of columns), n, beta and so on.
 
     For keys whose groups are single series, which the calendar bounds: rows and sums come from one aggregate over the
     partitioning by id, so there is no second pass over the input and no join. ``cross_products`` is the variant for
-    groups without such a bound.
+    groups without such a bound. Where the entries of x are known one by one, ``cells`` names them, which Spark compiles.
     """
-    z = F.transform(F.concat(x, F.array(y.cast("double"))), lambda v: F.coalesce(v, F.lit(float("nan"))))
+    gap = F.lit(float("nan"))
+    if cells is None:
+        z = F.transform(F.concat(x, F.array(y.cast("double"))), lambda v: F.coalesce(v, gap))
+    else:
+        z = F.array(*[F.coalesce(c.cast("double"), gap) for c in [*cells, y]])
     grouped = df.withColumn("_z", z).groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct(*columns, "_z"))).alias("rows"))
     flat = F.flatten(F.transform("rows", lambda r: r["_z"]))
     width = F.size(F.element_at("rows", 1)["_z"])
+    if solver is least_squares:  # sums and solution in one call: one Python worker a task
+        inputs = grouped.select(*keys, F.transform("rows", lambda r: r.dropFields("_z")).alias("rows"), flat.alias("_flat"),
+                                width.alias("_width"))
+        return inputs.withColumn("f", _series_fit(F.col("_flat"), F.col("_width"), **options)).select(*keys, "rows", "f.*")
     sums = grouped.withColumn("s", series_products(flat, width)).select(
         *keys, F.transform("rows", lambda r: r.dropFields("_z")).alias("rows"), "s.n", "s.gram")
     return solver(sums, carry=["rows"], **options)
@@ -301,17 +322,35 @@ def series_products(flat: Column, width: Column) -> Column:
 
     @F.pandas_udf("n bigint, gram array<double>")
     def products(flat: pd.Series, width: pd.Series) -> pd.DataFrame:
-        counts, grams = [], []
-        for values, q in zip(flat, width):
-            z = np.asarray(values, dtype=float).reshape(-1, q)
-            z = z[np.isfinite(z).all(axis=1)]
-            counts.append(len(z))
-            grams.append((z.T @ z)[np.triu_indices(q)])
-        return pd.DataFrame({"n": counts, "gram": grams})
+        counts, grams = _products(flat, width)
+        return pd.DataFrame({"n": counts, "gram": [g[np.triu_indices(len(g))] for g in grams]})
 
     return products.asNondeterministic()(flat, width)
 
 
+def _products(flat: pd.Series, width: pd.Series) -> tuple[list[int], list[np.ndarray]]:
+    counts, grams = [], []
+    for values, q in zip(flat, width):
+        z = np.asarray(values, dtype=float).reshape(-1, q)
+        z = z[np.isfinite(z).all(axis=1)]
+        counts.append(len(z))
+        grams.append(z.T @ z)
+    return counts, grams
+
+
+def _series_fit(flat: Column, width: Column, penalty: list[float] | None = None, subsets: list[list[int]] | None = None) -> Column:
+    """``series_products`` and ``least_squares`` of one series in one call."""
+
+    @F.pandas_udf(f"n bigint, {FIT_SCHEMA}")
+    def fit(flat: pd.Series, width: pd.Series) -> pd.DataFrame:
+        counts, grams = _products(flat, width)
+        found = _solve_all(np.stack(grams), np.asarray(counts, dtype=float), penalty, subsets)
+        found.insert(0, "n", counts)
+        return found
+
+    return fit.asNondeterministic()(flat, width)
+
+
 def fit_in_place(df: DataFrame, keys: list[str], x: Column, y: Column, out: str = "beta", **options) -> DataFrame:
     """``fit_series`` back in row form: the input with the coefficients of its series as a column."""
     columns = [c for c in df.columns if c not in keys]
@@ -319,9 +358,12 @@ def fit_in_place(df: DataFrame, keys: list[str], x: Column, y: Column, out: str
     return fit.select(*keys, F.col("beta").alias(out), F.inline("rows"))
 
 
-def fitted(x: Column, beta: Column = None) -> Column:
-    """x . beta, null when any of them is null."""
+def fitted(x: Column, beta: Column = None, width: int = 0) -> Column:
+    """x . beta, null when any of them is null; with the ``width`` of x as a sum that Spark compiles."""
     beta = F.col("beta") if beta is None else beta
+    if width:
+        terms = [F.get(x, F.lit(i)) * F.get(beta, F.lit(i)) for i in range(width)]
+        return sum(terms[1:], F.lit(0.0) + terms[0])
     return F.when(~F.exists(x, lambda v: v.isNull()), dot(x, beta))
 
 

@@ -264,7 +264,8 @@ def arima_fit(frame: DataFrame, m: int, params: dict, extra: list[str] = ()) ->
     df = df.withColumns(names).withColumn("x", x2)
     columns = ["t", "date", "h", "ahead", "actual", "y", "z", "e", "x", "dd", "ds", *extra]
     solver = {"solver": _choose(p, cap_p, q, cap_q, m)} if auto else {}
-    fit = fit_series(df, RUN_KEYS, F.col("x"), F.col("z"), columns, subsets=subsets, **solver)
+    cells = [F.lit(1.0), *map(F.col, names)]
+    fit = fit_series(df, RUN_KEYS, F.col("x"), F.col("z"), columns, cells=cells, subsets=subsets, **solver)
     first = F.element_at("rows", 1)
     return fit.withColumn("dd", first["dd"]).withColumn("ds", first["ds"]), list(names)
 
@@ -324,7 +325,8 @@ def sarima(frame: DataFrame, ctx: Context, params: dict, extra: list[str] = ())
         extra = [*extra, "_reg"]
         offset = "_reg"
     arrays, names = arima_fit(frame, m, params, extra)
-    known = F.filter("rows", lambda r: ~r["ahead"])
+    arrays = arrays.withColumn("_known", F.filter("rows", lambda r: ~r["ahead"]))
+    known = F.col("_known")
     reach, back, pairs = memory(params, m)
     tail = lambda field, k: F.transform(
         F.slice(known, F.greatest(F.size(known) - k + 1, F.lit(1)), F.lit(k)),
@@ -333,10 +335,13 @@ def sarima(frame: DataFrame, ctx: Context, params: dict, extra: list[str] = ())
     ahead = path(params, m, tail("z", reach), tail("e", reach), tail("y", back), b, F.col("dd"), F.col("ds"),
                  F.size("rows") - F.size(known))
     ahead = F.when(F.size(known) > 0, ahead).otherwise(F.transform(ahead, lambda _: F.lit(None).cast("double")))
-    inside = F.transform(known, lambda r: r["y"] - r["z"] + fitted(r["x"], b))
-    values = F.concat(inside, ahead)
-    zipped = arrays.select(*RUN_KEYS, F.explode(F.arrays_zip("rows", values.alias("p"))).alias("q"))
-    rows = zipped.select(*RUN_KEYS, "q.rows.*", F.col("q.p").alias("_p"))
+    # the steps ahead are worked out once a series; fitted rows are plain arithmetic once the rows are back
+    arrays = arrays.select(*RUN_KEYS, "rows", "beta", F.size("_known").alias("_k"), ahead.alias("_steps"))
+    rows = arrays.select(*RUN_KEYS, "beta", "_k", "_steps", F.posexplode("rows").alias("_i", "_row")).select(
+        *RUN_KEYS, "_row.*", "beta", "_k", "_steps", "_i")
+    inside = F.col("y") - F.col("z") + fitted(F.col("x"), b, len(names) + 1)
+    rows = rows.withColumn("_p", F.when(F.col("_i") < F.col("_k"), inside).otherwise(
+        F.get("_steps", F.col("_i") - F.col("_k")))).drop("beta", "_k", "_steps", "_i")
     if offset:
         rows = rows.withColumn("_p", F.col("_p") + F.col("_reg"))
         left_out = left_out.withColumn("_p", F.lit(None).cast("double"))
