@@ -288,7 +288,8 @@ FROM (SELECT id, date, t, h, unnest(['Naive', 'Seasonal Naive', 'Rolling Average
 def stored_models(spark, sf):
     """Models are fitted on the known rows, saved, loaded again and scored on rows that they have not seen."""
     trend = ("trend",)
-    frame = frame_of(ship_monthly(spark, sf), 6, 6).withColumn("trend", F.col("t").cast("double"))
+    panel = append_future(ship_monthly(spark, sf), 6, "month")
+    frame = M.model_frame(panel, M.standard_runs(6, 6)[1:]).withColumn("trend", F.col("t").cast("double"))
     folder = scratch_path(spark, "models")
     models = fit_models(frame.where("NOT ahead"), list(STORED), M.Context(12, trend), version="v1")
     save_models(models, folder)

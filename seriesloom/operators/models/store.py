@@ -155,7 +155,7 @@ def _score_sarima(rows, ctx, params):
 def _fit_linear(method):
     def fit(frame, ctx, params):
         df, names = regression.feature_names(frame, ctx, method)
-        sums = cross_products(df, RUN_KEYS, features_array(names), F.col("y"))
+        sums = cross_products(df, RUN_KEYS, features_array(names), F.col("y"), width=len(names) + 1)
         if method == "Elastic Net":
             table = elastic_net(sums, [(float(params["penalty"]), float(params["mixture"]))])
         else:
