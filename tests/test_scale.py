@@ -66,3 +66,42 @@ def test_hinges_keep_one_python_worker_a_task(spark):
         found = fit.collect()
         assert len(found) == 4 and all(len(r["knots"][0]) == regression.TENTHS + 2 * regression.AROUND + 1 for r in found)
         assert all(bool(r["pairs"]) == (degree == 2) for r in found)
+
+
+def test_values_of_arrays_are_worked_out_before_the_generator(spark):
+    """Generators do not compile their expressions; and a fixed ARIMA needs one Python worker a task."""
+    from seriesloom.constants import default_params
+    from seriesloom.operators import frames as M
+    from seriesloom.operators.models import arima, smoothing
+
+    panel = P.build_series(raw_rows(spark, 2), "key", "at", "x", "month", decimals=2)
+    frame = M.model_frame(append_future(panel, 3, "month"), M.standard_runs(3, 3))
+    fixed = default_params("SARIMA", {"auto_arima": False, "non_seasonal_ar": 1, "non_seasonal_differences": 1})
+    for out in (smoothing.theta(frame, M.Context(12), {}), arima.sarima(frame, M.Context(1), fixed)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        last = next(line for line in plan.split("\n") if "Generate" in line)
+        assert "lambdafunction" not in last
+        assert out.where("ahead AND prediction IS NULL").count() == 0
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_narrow_cross_products(spark):
+    """Sums of narrow x are buffers of their own and equal those of vectors."""
+    from seriesloom.operators.linear import cross_products, features_array
+
+    rows = raw_rows(spark, 3).withColumn("y", F.when(F.col("x") > 2, F.col("x") * 2))
+    x = features_array(["x"])
+    wide = {r["key"]: (r["n"], list(r["gram"])) for r in cross_products(rows, ["key"], x, F.col("y")).collect()}
+    sums = cross_products(rows, ["key"], x, F.col("y"), width=2)
+    assert {r["key"]: (r["n"], list(r["gram"])) for r in sums.collect()} == wide
+    assert "summ" not in sums._jdf.queryExecution().optimizedPlan().toString().lower().replace("sum(", "")
+
+
+def test_many_ensembles_combine_the_rows_ahead(spark, tmp_path):
+    from seriesloom.catalog import QUERIES
+
+    raw_rows(spark, 2).selectExpr("key l_partkey", "at l_shipdate", "x l_quantity").write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = QUERIES["ensembles_many_series"](spark, str(tmp_path))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("Filter")
+    assert out.count() == 2 * 2 * 6 * 2
