@@ -1,4 +1,7 @@
-"""Feature columns of a panel: one exchange by id, everything else is a projection or a window over it."""
+"""Feature columns of a panel: one exchange by id, everything else is a projection or a window over it.
+
+Features of the place in a series are windows and come first, over narrow rows; features of the date alone are put beside them.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +14,14 @@ from pyspark.sql import functions as F
 from seriesloom.functions import periods
 from seriesloom.functions.calendar import LABELS, easter_steps, holidays, signature
 from seriesloom.operators.panel import by_date, spread, whole
-from seriesloom.operators.reshape import constant_columns, feature_columns
+from seriesloom.operators.reshape import constant_columns, constant_flags, feature_columns
+from seriesloom.session import materialise
+
+#: One series in so many is looked at first for columns that vary.
+LOOK = 1024
+
+#: Up to so many dates are a table of their own, sent to every task (five years of half hours).
+MOST_DAYS = 90_000
 
 
 @dataclass
@@ -48,8 +58,12 @@ def append_future(panel: DataFrame, n_future: int, grain: str) -> DataFrame:
         F.col("_row.is_future").alias("is_future"))
 
 
+def add_trend(df: DataFrame) -> DataFrame:
+    return df.withColumn("time_trend", F.row_number().over(by_date()))
+
+
 def add_calendar(df: DataFrame) -> DataFrame:
-    return df.withColumns({"time_trend": F.row_number().over(by_date()), **signature(F.col("date"))})
+    return add_trend(df).withColumns(signature(F.col("date")))
 
 
 def add_holidays(df: DataFrame) -> DataFrame:
@@ -123,23 +137,25 @@ def add_interactions(df: DataFrame, terms: list[str]) -> DataFrame:
     return df.withColumns(out)
 
 
+def dummies_of(name: str) -> dict[str, str]:
+    """Names of the 0/1 columns of a calendar label and their levels; the first level is the reference."""
+    return {f"{name}_{i:02d}": level for i, level in enumerate(LABELS[name][1:], 2)}
+
+
+DUMMIES = [c for name in LABELS for c in dummies_of(name)]
+
+
 def add_dummies(df: DataFrame) -> DataFrame:
     """0/1 columns for the calendar labels but their first level."""
     columns = {}
-    for name, levels in LABELS.items():
+    for name in LABELS:
         if name in df.columns:
-            for i, level in enumerate(levels[1:], 2):
-                columns[f"{name}_{i:02d}"] = (F.col(name) == level).cast("int")
+            columns |= {c: (F.col(name) == level).cast("int") for c, level in dummies_of(name).items()}
     return df.withColumns(columns).drop(*LABELS)
 
 
-def feature_frame(panel: DataFrame, params: FeatureParams, n_future: int, grain: str) -> DataFrame:
-    """Panel with future rows and all feature families, before constant columns are dropped. One plan."""
-    df = append_future(panel, n_future, grain)
-    if params.calendar:
-        df = add_calendar(df)
-    if params.holiday:
-        df = add_holidays(df)
+def add_place(df: DataFrame, params: FeatureParams) -> DataFrame:
+    """The families that depend on the place in a series, but for the trend."""
     if params.fourier_periods:
         df = add_fourier(df, params.fourier_periods, params.fourier_k)
     if params.spline_degrees:
@@ -148,15 +164,71 @@ def feature_frame(panel: DataFrame, params: FeatureParams, n_future: int, grain:
         df = add_lags(df, params.lags)
         if params.rolls:
             df = add_rolls(df, max(params.lags), params.rolls)
+    return df
+
+
+def add_days(df: DataFrame, params: FeatureParams) -> DataFrame:
+    """The families that depend on the date alone, but for interactions and dummies."""
+    if params.calendar:
+        df = df.withColumns(signature(F.col("date")))
+    return add_holidays(df) if params.holiday else df
+
+
+def days_of(panel: DataFrame, params: FeatureParams, n_future: int, grain: str) -> DataFrame:
+    """One row per date of the frame, future ones too, with the features of the date alone."""
+    dates = append_future(panel.select("id", "date"), n_future, grain).select("date").distinct()
+    return materialise(add_dummies(add_days(dates, params)))
+
+
+def look_up(df: DataFrame, days: DataFrame) -> DataFrame:
+    """Features of the date from a small table of dates; a null date is a date as well."""
+    names = [c for c in days.columns if c != "date"]
+    known = F.broadcast(days.withColumnRenamed("date", "_date"))
+    return df.drop(*names).join(known, F.col("date").eqNullSafe(F.col("_date")), "left").drop("_date")
+
+
+def feature_frame(
+    panel: DataFrame, params: FeatureParams, n_future: int, grain: str, days: DataFrame | None = None
+) -> DataFrame:
+    """Panel with future rows and all feature families, before constant columns are dropped. One plan.
+
+    With ``days`` (``days_of``) the features of a date are worked out once, not in every row that has the date.
+    """
+    df = append_future(panel, n_future, grain)
+    if params.calendar:
+        df = add_trend(df)
+    first = df.columns
+    df = add_place(df, params)
+    place = [c for c in df.columns if c not in first]
+    if days is None:
+        df = add_days(df, params)
+    else:
+        df = look_up(df.drop(*LABELS) if params.calendar else df, days)
+    dummies = [c for c in df.columns if c in DUMMIES and c not in first]
+    of_date = [c for c in df.columns if c not in first + place + dummies]
     if params.interactions:
         df = add_interactions(df, params.interactions)
-    return add_dummies(df)
+    first = [c for c in first if c in df.columns]
+    rest = [c for c in df.columns if c not in first + of_date + place + dummies]
+    return add_dummies(df.select(*[F.col(f"`{c}`") for c in first + of_date + place + rest + dummies]))
 
 
 def generate_features(panel: DataFrame, params: FeatureParams, n_future: int, grain: str) -> DataFrame:
-    """Feature frame without its constant columns (one extra pass over the frame decides which those are)."""
+    """Feature frame without its constant columns.
+
+    A column varies as soon as two values differ, so one series in LOOK settles most columns that stay. A column is
+    dropped only after all of its rows were seen: all dates for features of the date, the whole frame for the others.
+    """
     df = feature_frame(panel, params, n_future, grain)
-    return df.drop(*constant_columns(df, feature_columns(df)))
+    names = feature_columns(df)
+    seen = constant_flags(df.where(F.pmod(F.xxhash64("id"), F.lit(LOOK)) == 0), names)
+    left = [c for c in names if seen.get(c, True)]
+    days = days_of(panel, params, n_future, grain)
+    if len(days.columns) > 1 and days.count() <= MOST_DAYS:
+        df = feature_frame(panel, params, n_future, grain, days)
+    flat = constant_flags(days, [c for c in left if c in days.columns])
+    flat |= constant_flags(df, [c for c in left if c not in days.columns])
+    return df.drop(*[c for c in names if flat.get(c)])
 
 
 def columns_for(method: str, columns: list[str]) -> list[str]:

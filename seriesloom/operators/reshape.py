@@ -81,21 +81,26 @@ def is_constant(column: str) -> Column:
     return F.min(column).eqNullSafe(F.max(column))
 
 
-def constant_columns(df: DataFrame, columns: list[str] | None = None) -> list[str]:
-    """Names of columns without variance: one pass, one row per column to the driver.
+def constant_flags(df: DataFrame, columns: list[str]) -> dict[str, bool]:
+    """Does each column hold one single value? One pass, one row per column to the driver; empty without rows.
 
     The columns are unpivoted in front of a partial aggregate with two buffers, which Spark compiles well for any
     number of columns; an aggregate with two buffers per column is not compiled beyond a hundred of them.
     """
-    columns = columns or feature_columns(df)
     if not columns:
-        return []
+        return {}
     types = dict(df.dtypes)
     kind = "string" if any(types[c] in ("string", "timestamp_ntz", "date") for c in columns) else "double"
     long = df.select([F.col(c).cast(kind).alias(c) for c in columns]).unpivot([], columns, "variable", "x")
-    found = long.groupBy("variable").agg(is_constant("x").alias("constant")).where("constant").collect()
-    flat = {r["variable"] for r in found}
-    return [c for c in columns if c in flat]
+    found = long.groupBy("variable").agg(is_constant("x").alias("constant")).collect()
+    return {r["variable"]: r["constant"] for r in found}
+
+
+def constant_columns(df: DataFrame, columns: list[str] | None = None) -> list[str]:
+    """Names of columns without variance."""
+    columns = columns or feature_columns(df)
+    flags = constant_flags(df, columns)
+    return [c for c in columns if flags.get(c)]
 
 
 def constant_report(df: DataFrame, columns: list[str]) -> DataFrame:

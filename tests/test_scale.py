@@ -107,3 +107,78 @@ def test_many_ensembles_combine_the_rows_ahead(spark, tmp_path):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Aggregate") < plan.index("Filter")
     assert out.count() == 2 * 2 * 6 * 2
+
+
+def small_panel(spark, extra=()):
+    panel = P.build_series(raw_rows(spark, 4), "key", "at", "x", "month", decimals=2)
+    return panel.unionByName(spark.createDataFrame(list(extra), panel.schema)) if extra else panel
+
+
+def whole_search(panel, params):
+    """Features as they come when every column of every row is searched."""
+    from seriesloom.operators import features as X
+    from seriesloom.operators import reshape as R
+
+    df = X.feature_frame(panel, params, 12, "month")
+    return df.drop(*R.constant_columns(df, R.feature_columns(df)))
+
+
+def whole_plan(df):
+    """Optimised plan with all fields of wide nodes."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.debug.maxToStringFields", "1000")
+    try:
+        return df._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        conf.unset("spark.sql.debug.maxToStringFields")
+
+
+def test_features_of_a_date_are_worked_out_once(spark):
+    """Calendar and holidays come from a table of dates and are not carried through the windows of the series."""
+    from seriesloom.catalog.features import full_params
+    from seriesloom.operators import features as X
+
+    panel = small_panel(spark, [("9", None, 4.0), ("9", datetime(2001, 1, 1), 2.0), (None, datetime(2001, 2, 1), 3.0)])
+    out = X.generate_features(panel, full_params(), 12, "month")
+    plan = whole_plan(out)
+    assert "dayofyear" not in plan and "Join LeftOuter" in plan
+    plain = whole_plan(X.feature_frame(panel, full_params(), 12, "month"))
+    assert plain.rindex("dayofyear") < plain.index("Window")
+    expected = whole_search(panel, full_params())
+    assert out.dtypes == expected.dtypes
+    assert sorted(map(repr, out.collect())) == sorted(map(repr, expected.collect()))
+
+
+def test_look_at_few_series_drops_nothing(spark, monkeypatch):
+    """Whatever the look sees or misses, a column goes only if it is constant in all rows."""
+    from seriesloom.operators import features as X
+
+    params = X.FeatureParams(fourier_periods=[12], lags=[3], rolls=[2], interactions=["month * wday.lbl"])
+    panel = small_panel(spark)
+    seen = [r["id"] for r in panel.select("id").distinct().where(F.pmod(F.xxhash64("id"), F.lit(2)) == 0).collect()]
+    assert 0 < len(seen) < 4
+    level = panel.withColumn("value", F.when(F.col("id").isin(seen), 1.0).otherwise(F.col("value")))
+    flat = panel.withColumn("value", F.lit(1.0))
+    for look, data, kept in ((2, level, True), (2, flat, False), (10**9, level, True)):
+        monkeypatch.setattr(X, "LOOK", look)
+        names = X.generate_features(data, params, 12, "month").columns
+        assert ("lag3" in names) == kept and "day" not in names and "month" in names
+    assert names == whole_search(level, params).columns
+
+
+def test_features_without_dates_or_rows(spark, monkeypatch):
+    from seriesloom.operators import features as X
+
+    panel = small_panel(spark)
+    bare = X.FeatureParams(calendar=False, lags=[3])
+    assert X.generate_features(panel, bare, 2, "month").columns == ["id", "date", "value", "is_future", "lag3"]
+    none = panel.where("value > 1e9")
+    assert X.generate_features(none, X.FeatureParams(lags=[3]), 12, "month").columns == whole_search(none, X.FeatureParams(lags=[3])).columns
+    assert "sin365.25_K1" in X.feature_frame(panel, X.FeatureParams(fourier_periods=[365.25]), 2, "month").columns
+    own = panel.withColumns({"month": F.lit(-1), "month_lbl": F.lit("x"), "lag3": F.lit(0)})
+    expected = whole_search(own, X.FeatureParams(lags=[3]))
+    for most in (90_000, 0):
+        monkeypatch.setattr(X, "MOST_DAYS", most)
+        out = X.generate_features(own, X.FeatureParams(lags=[3]), 12, "month")
+        assert out.columns == expected.columns
+        assert sorted(map(repr, out.collect())) == sorted(map(repr, expected.collect()))
